@@ -23,8 +23,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_documents(spark, sf_dir)).select("doc_id", *RESULT)
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document."""
+    from lectern.llm.simhash import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from four fifths of the labelled ones."""
+    from lectern.llm.langid import identify
+
+    docs = _documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return identify(docs, teach=~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
