@@ -16,6 +16,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per document and the verdict of the adaptive rules."""
     from lectern.llm.quality import RESULT, quality
@@ -30,6 +36,16 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents to files and digests what is read back from them."""
+    from lectern.llm import rans
+    from lectern.llm.storage import fresh_path
+
+    path = fresh_path(spark, "token-ids")
+    rans.write(_documents(spark, sf_dir), path, rans.TokenFiles(path=_tokenizer("word_bpe_49k.json"), end_id=1))
+    return rans.digests(spark, path)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from four fifths of the labelled ones."""
     from lectern.llm.langid import identify
@@ -39,10 +55,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, teach=~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1,024 ids."""
+    from lectern.llm.packing import Packing, pack
+
+    return pack(_documents(spark, sf_dir), Packing(path=_tokenizer("byte_bpe_50k.json"), end_id=2, length=1024))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_token_files": op5_token_files,
     "op7_language_id": op7_language_id,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
