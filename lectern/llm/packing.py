@@ -5,7 +5,8 @@ are cut, into full pieces but for the first, which takes what is left over. Full
 pieces are sequences of their own. The other pieces are packed in groups of
 bounded size, longest first: each goes where, afterwards, the squared numbers
 of open sequences per gap sum to the least; among equals into the smallest gap,
-and into a new sequence last.
+and into a new sequence last. The pieces of sequences that stay open are placed
+anew, longest first, as long as that saves sequences.
 
 Cases: a null or empty text is the end id alone; texts of any length are cut and
 kept whole; ties in length go by key, then piece; repeated keys are packed as
@@ -37,7 +38,7 @@ class Packing:
     cut: str = "bytes"
     end_id: int = 2
     length: int = 1024
-    group_pieces: int = 32_768
+    group_pieces: int = 65_536
     with_ids: bool = False
 
 
@@ -69,6 +70,29 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return sequence, offset
 
 
+def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of pieces that come longest first.
+
+    Full sequences stay; all pieces of open ones are placed anew by the same
+    rule, as long as that needs fewer sequences.
+    """
+    sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    left, done, used = np.arange(len(lengths)), 0, np.iinfo(np.int64).max
+    while len(left):
+        own, place = sum_of_squares(lengths[left], capacity)
+        n = int(own.max()) + 1
+        if done + n >= used:
+            break
+        used = done + n
+        full = np.bincount(own, weights=lengths[left], minlength=n) >= capacity
+        # Full sequences get the next numbers, open ones the numbers after those.
+        number = np.where(full, np.cumsum(full) - 1, full.sum() + np.cumsum(~full) - 1) + done
+        sequence[left], offset[left] = number[own], place
+        done += int(full.sum())
+        left = left[~full[own]]
+    return sequence, offset
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "sequence_id long, offset long"
 
@@ -119,7 +143,7 @@ def pack(docs: DataFrame, config: Packing, text: str = "text", key: str = "doc_i
         def packed() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(waiting).combine_chunks()
             rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-            sequence, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
+            sequence, offset = pack_lengths(rows["length"].to_numpy(), capacity)
             base = (task << 40) + (group << 28)
             rows = rows.append_column("sequence_id", pa.array(sequence + base, pa.int64()))
             yield from rows.append_column("offset", pa.array(offset, pa.int64())).combine_chunks().to_batches()

@@ -35,12 +35,15 @@ class QualityRules:
     spread: least width of a fence per ratio, so that groups whose documents
     are all alike don't reject documents for a trifle.
     min_group: documents that a group needs to have limits of its own.
+    detail: size of a sketch; its rank error is about 1.3 / detail, and limits
+    are rounded to hundredths, so that the chance in it hardly ever shows.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     fence: float = 3.0
     min_group: int = 100
+    detail: int = 4096
     spread: tuple[tuple[str, float], ...] = (
         ("symbol_ratio", 0.10),
         ("dup_line_ratio", 0.40),
@@ -135,10 +138,10 @@ def limits(measured: DataFrame, rules: QualityRules) -> DataFrame:
     """One row per (language, source) with the fences that hold there."""
     names = list(_ratios())
     sketches = measured.groupBy("q_lang", "q_source").agg(
-        F.count("*").alias("n"), *[F.kll_sketch_agg_double(c).alias(c) for c in names]
+        F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, F.lit(rules.detail)).alias(c) for c in names]
     )
     by_language = sketches.groupBy("q_lang").agg(
-        F.sum("n").alias("n_all"), *[F.kll_merge_agg_double(c).alias(f"{c}_all") for c in names]
+        F.sum("n").alias("n_all"), *[F.kll_merge_agg_double(c, F.lit(rules.detail)).alias(f"{c}_all") for c in names]
     )
     joined = sketches.join(by_language, "q_lang")
     own = F.col("n") >= rules.min_group
@@ -150,7 +153,7 @@ def limits(measured: DataFrame, rules: QualityRules) -> DataFrame:
     for c in names:
         low, high = (F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)) for q in (0.25, 0.75))
         width = F.greatest((high - low) * rules.fence, F.lit(spread[c]))
-        bounds += [(low - width).alias(f"{c}_min"), (high + width).alias(f"{c}_max")]
+        bounds += [F.round(low - width, 2).alias(f"{c}_min"), F.round(high + width, 2).alias(f"{c}_max")]
     return out.select("q_lang", "q_source", *bounds)
 
 
@@ -164,7 +167,8 @@ def quality(
     # Measured once: both the sketches and the verdict read the small counts.
     counted = cut(measure(keyed, text).drop(text))
     measured = counted.withColumns(_ratios())
-    fences = limits(measured, rules).withColumnsRenamed({"q_lang": "f_lang", "q_source": "f_source"})
+    # Fixed once, so that a task that runs again judges by the same limits.
+    fences = cut(limits(measured, rules)).withColumnsRenamed({"q_lang": "f_lang", "q_source": "f_source"})
     failed = (F.col("n_words") < rules.min_words) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(rules.max_repeat_percent) * F.col("n_words")
     )

@@ -46,6 +46,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.digests(spark, path)
 
 
+def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and their edited twins, with likenesses."""
+    from lectern.llm.imatch import compare
+
+    return compare(_documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from four fifths of the labelled ones."""
     from lectern.llm.langid import identify
@@ -55,6 +62,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, teach=~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text."""
+    from lectern.llm.secrets import BASE, RULES, scan
+
+    found = scan(_documents(spark, sf_dir)).select("doc_id", "secrets")
+    names = F.array(*[F.lit(r.kind) for r in RULES])
+    line = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["order"]), s["start"], s["end"])), ","
+    )
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["order"] == k)).cast("long")
+    base = F.filter("secrets", lambda s: s["order"] < len(BASE))
+    counts = [count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1,024 ids."""
     from lectern.llm.packing import Packing, pack
@@ -66,7 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_token_files": op5_token_files,
+    "op6_imatch_fingerprints": op6_imatch_fingerprints,
     "op7_language_id": op7_language_id,
+    "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
