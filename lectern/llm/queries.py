@@ -36,6 +36,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data replaced by pseudonyms."""
+    from lectern.llm.pii import RESULT, pseudonymize
+
+    return pseudonymize(_documents(spark, sf_dir)).select("doc_id", *RESULT, "text")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of all documents to files and digests what is read back from them."""
     from lectern.llm import rans
@@ -84,14 +91,23 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), Packing(path=_tokenizer("byte_bpe_50k.json"), end_id=2, length=1024))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    from lectern.llm.html import render_pages
+
+    return render_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_token_files": op5_token_files,
     "op6_imatch_fingerprints": op6_imatch_fingerprints,
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
