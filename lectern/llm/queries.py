@@ -16,7 +16,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file; operators take any other path as well."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -29,6 +30,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_documents(spark, sf_dir)).select("doc_id", *RESULT)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and what decoding them gives back."""
+    from lectern.llm import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    encoded = sentencepiece.encode(_documents(spark, sf_dir), sentencepiece.Pieces(path=path))
+    counted = encoded.select(
+        "doc_id", "n_chunks", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "ids"
+    )
+    decoded = sentencepiece.decode(counted, path)
+    return decoded.select("doc_id", "n_chunks", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of every document."""
     from lectern.llm.simhash import near_duplicates
@@ -49,7 +63,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.storage import fresh_path
 
     path = fresh_path(spark, "token-ids")
-    rans.write(_documents(spark, sf_dir), path, rans.TokenFiles(path=_tokenizer("word_bpe_49k.json"), end_id=1))
+    rans.write(_documents(spark, sf_dir), path, rans.TokenFiles(path=tokenizer("word_bpe_49k.json"), end_id=1))
     return rans.digests(spark, path)
 
 
@@ -88,7 +102,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1,024 ids."""
     from lectern.llm.packing import Packing, pack
 
-    return pack(_documents(spark, sf_dir), Packing(path=_tokenizer("byte_bpe_50k.json"), end_id=2, length=1024))
+    return pack(_documents(spark, sf_dir), Packing(path=tokenizer("byte_bpe_50k.json"), end_id=2, length=1024))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +114,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_token_files": op5_token_files,
