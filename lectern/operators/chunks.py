@@ -85,7 +85,7 @@ def merge_ocr(native: DataFrame, ocr: DataFrame, keys: list[str]) -> DataFrame:
     seen, found = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("ocr_text"), F.lit(""))
     text = F.when(found == "", seen).when(seen == "", found).otherwise(F.concat_ws("\n", seen, found))
     source = F.when(found == "", "native").when(seen == "", "ocr").otherwise("hybrid")
-    return both.withColumn("text", text).withColumn("text_source", source).drop("ocr_text")
+    return both.withColumns({"text": text, "text_source": source}).drop("ocr_text")
 
 
 #: Progress that a document shows while a stage is active.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,20 +65,76 @@ def stored_retrieval_metrics(log: DataFrame, question: str, rank: str, k: int =
 
 def fact_tokens(text: Column) -> Column:
     """Words, signed numbers and comparisons in order; thousands are joined, n't is not."""
-    plain = F.regexp_replace(text, r"(?<=[0-9]),(?=[0-9]{3})", "")
+    plain = F.regexp_replace(F.lower(text), r"(?<=[0-9]),(?=[0-9]{3}(?:[^0-9]|$))", "")
     plain = F.replace(F.regexp_replace(plain, r"n['’]t\b", " not"), F.lit("−"), F.lit("-"))
-    return F.regexp_extract_all(F.lower(plain), F.lit(r"[+-]?[0-9]+(?:\.[0-9]+)?|[a-z]+|[<>]=?|[≤≥%]"), F.lit(0))
+    return F.regexp_extract_all(plain, F.lit(r"[a-z][a-z0-9]*|[+-]?[0-9]+(?:\.[0-9]+)?|[<>]=?|[=%+]"), F.lit(0))
 
 
 def says(answer: Column, pattern: Column) -> Column:
     """Whether one sentence of the answer holds the pattern's tokens in a row, denied as often."""
     wanted = fact_tokens(pattern)
     denied = lambda tokens: F.size(F.filter(tokens, lambda t: t.isin("not", "no", "never", "without", "neither", "cannot")))
-    sentences = F.split(answer, r"(?<=[.!?])\s+")
+    sentences = F.split(answer, r"(?i)(?<!\bal\.)(?<=[.!?])\s+")
 
     def holds(tokens: Column) -> Column:
         last = F.size(tokens) - F.size(wanted)
         starts = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
-        return F.exists(starts, lambda i: F.slice(tokens, i, F.size(wanted)) == wanted) & (denied(tokens) == denied(wanted))
+        return (F.size(wanted) > 0) & F.exists(starts, lambda i: F.slice(tokens, i, F.size(wanted)) == wanted) & (denied(tokens) == denied(wanted))
 
     return F.exists(F.transform(sentences, fact_tokens), holds)
+
+
+def source_text(text: str) -> str:
+    """Words that a line end hyphenates become whole, and white space collapses."""
+    return " ".join(re.sub(r"(?<=[A-Za-z])-\s*\n\s*(?=[A-Za-z])", "", text).split())
+
+
+def join_sources(texts: Iterable[str]) -> str:
+    """One text of overlapping ones: the longest end of what is there that begins the next, up to a word's end, counts once."""
+    joined = ""
+    for text in map(source_text, texts):
+        shared = 0
+        for size in range(min(len(joined), len(text)), 0, -1):
+            if joined.endswith(text[:size]) and (size == len(text) or text[size].isspace()):
+                shared = size
+                break
+        joined = joined + text[shared:] if shared else f"{joined} {text}" if joined else text
+    return joined
+
+
+def covering(quote: str, chunks: list[tuple[int, str]]) -> set[int]:
+    """Indexes of the chunks, (index, text) of one page, in neighbouring groups that hold the quote and none too many."""
+    ordered, wanted = sorted(chunks), source_text(quote)
+    holds = lambda group: wanted in join_sources(t for _, t in group)
+    found: set[int] = set()
+    for start in range(len(ordered)):
+        for end in range(start + 1, len(ordered) + 1):
+            group = ordered[start:end]
+            if group[-1][0] - group[0][0] != len(group) - 1:
+                break
+            if holds(group):
+                if len(group) == 1 or not (holds(group[1:]) or holds(group[:-1])):
+                    found.update(i for i, _ in group)
+                break  # a longer group from here could drop its last chunk
+    return found
+
+
+def anchor_coverage(hits: DataFrame, anchors: DataFrame, keys: list[str], page: str = "page_number") -> DataFrame:
+    """(keys, page, quote, covered, chunk_indexes): which retrieved chunks of its page hold each quote.
+
+    A group holds the hits of one case on one page, at most as many as were retrieved.
+    """
+    grouped = hits.groupBy(*keys, page).agg(F.collect_set(F.struct("chunk_index", "text")).alias("found"))
+    both = anchors.join(grouped, [*keys, page], "left")
+    kept = [*keys, page, "quote"]
+
+    def run(batches):
+        for batch in batches:
+            found = [
+                sorted(covering(q, [(c["chunk_index"], c["text"]) for c in f]) if f is not None else ())
+                for q, f in zip(batch["quote"], batch["found"])
+            ]
+            yield batch[kept].assign(covered=[bool(f) for f in found], chunk_indexes=found)
+
+    fields = ", ".join(f"`{c}` {anchors.schema[c].dataType.simpleString()}" for c in kept)
+    return both.select(*kept, "found").mapInPandas(run, f"{fields}, covered boolean, chunk_indexes array<int>")

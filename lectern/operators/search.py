@@ -35,8 +35,8 @@ def lexical_scores(
     questions: DataFrame, chunks: DataFrame, qid: str, question: str, ids: list[str], text: str
 ) -> DataFrame:
     """(qid, ids, score): share of a question's words that a text has, where it has any."""
-    asked = questions.select(F.col(qid), W.search_words(F.col(question)).alias("q"))
-    asked = asked.select(qid, F.size("q").alias("n_asked"), F.explode("q").alias("word"))
+    asked = questions.select(F.col(qid), W.search_words(F.col(question)).alias("asked"))
+    asked = asked.select(qid, F.size("asked").alias("n_asked"), F.explode("asked").alias("word"))
     postings = chunks.select(*ids, F.explode(W.search_words(F.col(text))).alias("word"))
     hits = postings.join(asked, "word")
     return hits.groupBy(qid, *ids).agg((F.count("*") / F.first("n_asked")).alias("score"))

@@ -13,7 +13,8 @@ from lectern.functions import words as W
 from lectern.operators.evidence import sentences
 
 # Stop words of grading, and the bands of a grade.
-STOPWORDS = "a an and are as at be by for from has in is it of on or that the this to was were with".split()
+STOPWORDS = "a an and are as at be by for from how in is it of on or that the this to what with".split()
+SIMILAR_STOPWORDS = "a about an and are as be by for from in is it of on or that the this to uses what which with".split()
 STRONG, PARTIAL = 0.75, 0.4
 SAME_WORDS, SAME_TEXT = 0.82, 0.88
 
@@ -62,7 +63,7 @@ def jaccard_pairs(items: DataFrame, key: str, text: str, least: float) -> DataFr
 
 def similar(first: str, second: str) -> bool:
     """Whether two questions ask the same, by their words or letter by letter."""
-    stop = set(STOPWORDS)
+    stop = set(SIMILAR_STOPWORDS)
     words = [{w for w in re.findall("[a-z0-9]+", t.lower()) if w not in stop and len(w) > 1} for t in (first, second)]
     if not all(words):
         return False
@@ -96,3 +97,54 @@ def summarize(docs: DataFrame, text: str, detailed: bool = False) -> DataFrame:
     leading = F.slice(sentences(context(F.col(text)), r"(?<=[.!?])\s+"), 1, 3 if detailed else 2)
     none = F.lit("No usable context was available for summarization.")
     return docs.withColumn("summary", F.when(F.size(leading) == 0, none).otherwise(F.array_join(leading, " ")))
+
+
+# Topics that questions are made of, in order.
+TOPICS = (
+    "overview objective", "design approach", "development pipeline", "training pipeline", "payment terms",
+    "confidentiality obligations", "total amount", "contract parties", "datasets", "methods", "results", "limitations",
+)
+ASKING = {
+    "exam": "Which evidence does the document give about {}?",
+    "revision": "What should you remember about {}?",
+    "balanced": "What does the document say about {}?",
+}
+
+
+def _python_words(text: str) -> set[str]:
+    return {w for w in re.findall("[a-z0-9]+", text.lower()) if w not in STOPWORDS}
+
+
+def make_questions(said: list[str], count: int, mode: str = "balanced") -> list[tuple[str, str]]:
+    """(question, expected answer) pairs from sentences: known topics first, then each sentence's first two words."""
+    shape = ASKING.get(mode, ASKING["balanced"])
+    found: dict[str, str] = {}
+
+    def about(topic: str) -> str | None:
+        named = next((s for s in said if topic in s.lower()), None)
+        return named or next((s for s in said if _python_words(topic) <= _python_words(s)), None)
+
+    pairs = [(t, about(t)) for t in TOPICS] + [(" ".join(sorted(_python_words(s))[:2]), s) for s in said]
+    for topic, sentence in pairs:
+        if len(found) < count and topic and sentence:
+            found.setdefault(shape.format(topic), sentence)
+    if not found and count > 0:
+        found["What are the main points in this document?"] = " ".join(said[:2]) or "No usable context was available for summarization."
+    return list(found.items())
+
+
+def study_questions(docs: DataFrame, key: str, text: str, count: int, mode: str = "balanced") -> DataFrame:
+    """(key, number, question, expected_answer): questions about every document."""
+    split = docs.select(key, sentences(context(F.col(text)), r"(?<=[.!?])\s+").alias("said"))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows = [
+                (k, n, q, a)
+                for k, said in zip(batch[key], batch["said"])
+                for n, (q, a) in enumerate(make_questions(list(said), count, mode))
+            ]
+            yield pd.DataFrame(rows, columns=[key, "number", "question", "expected_answer"])
+
+    return split.mapInPandas(run, f"`{key}` {kind}, number int, question string, expected_answer string")
