@@ -83,9 +83,6 @@ def _spell(parsed) -> list[list[str]]:
             options = [way for branch in arg[1] for way in _spell(branch)]
         elif op is codes.MAX_REPEAT and arg[0] == 0 and arg[1] == 1:
             options = [[""], *_spell(arg[2])]
-        elif op in (codes.MAX_REPEAT, codes.MIN_REPEAT) and arg[0] >= 1:
-            options = [[*way, ""] if arg[1] > 1 else way for way in _spell(arg[2])] if len(arg[2]) == 1 else [["", ""]]
-            options = [["", *way[-2:]] if arg[1] > 1 else way for way in options]
         else:
             options = [["", ""]]
         if len(ways) * len(options) > MANY:
