@@ -256,3 +256,71 @@ def answers(hits: DataFrame, qid: str, question: str) -> DataFrame:
 
     kind = hits.schema[qid].dataType.simpleString()
     return hits.groupBy(qid).applyInPandas(run, f"`{qid}` {kind}, status string, confidence string, summary string, cited array<long>")
+
+
+# Names that don't tell what a follow-up is about.
+GENERIC_NAMES = frozenset("a an the education project report framework degree method invoice receipt".split())
+FOLLOW_UP = re.compile(r"\band\s+when\b.*\bit\b", re.I)
+
+
+def same_referent(first: str, second: str) -> bool:
+    """Whether a follow-up names what the first answer was about."""
+    names = {w.lower() for w in re.findall(r"\b[A-Z][A-Za-z0-9-]+\b", first)} - GENERIC_NAMES
+    return first == second or bool(names) and names <= set(re.findall("[a-z0-9-]+", second.lower()))
+
+
+def draft(question: str, parts: list[str], items: list[dict]) -> str:
+    """The joined answers to all parts, each from its best item alone; empty unless every part has one."""
+    found: list[str] = []
+    for part in parts or [question]:
+        whole = grounded_answer(part, items)
+        best = [h for h in items if whole["cited"][:1] == [h["chunk_id"]]]
+        summary = grounded_answer(part, best)["summary"] if best else None
+        if summary is None or found and FOLLOW_UP.search(question) and not same_referent(found[0], summary):
+            return ""
+        if summary not in found:
+            found.append(summary)
+    return " ".join(found)
+
+
+VERIFIED = "status string, confidence string, answer string, cited array<long>, n_sentences int, n_unsupported int, risk double"
+
+
+def verified(question: str, parts: list[str], items: list[dict]) -> dict:
+    """An answer whose every sentence one sentence of the chosen evidence supports, or an abstention."""
+    from lectern.operators.verify import check
+
+    none = {"status": "insufficient_evidence", "confidence": "weak", "answer": None, "cited": [], "n_sentences": 0, "n_unsupported": 0, "risk": 1.0}
+    text = draft(question, parts, items) if items else ""
+    if not text:
+        return none
+    checked = check(text, items)
+    kept = [s for s in checked if s["supported"]]
+    counts = {"n_sentences": len(checked), "n_unsupported": len(checked) - len(kept), "risk": 1 - len(kept) / len(checked)}
+    if not kept:
+        return none | counts
+    support = sum(max(h["score"], h["source_score"]) for h in items) / len(items)
+    cited = {s["chunk_id"] for s in kept}
+    return {
+        "status": "answerable",
+        "confidence": "strong" if support >= 0.75 else "moderate",
+        "answer": " ".join(s["sentence"] for s in kept),
+        "cited": [h["chunk_id"] for h in items if h["chunk_id"] in cited],
+        **counts,
+    }
+
+
+def verified_answers(packs: DataFrame, qid: str, question: str) -> DataFrame:
+    """(qid, VERIFIED) per question from the items of its evidence pack."""
+    from lectern.operators.routing import plan
+
+    fields = ["chunk_id", "text", "score", "source_score", "section_heading"]
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        rows = table.sort_values("place")[fields]
+        items = rows.astype(object).where(rows.notna(), None).to_dict("records")
+        asked = table[question].iloc[0]
+        return pd.DataFrame([{qid: table[qid].iloc[0], **verified(asked, list(plan(asked).parts), items)}])
+
+    kind = packs.schema[qid].dataType.simpleString()
+    return packs.groupBy(qid).applyInPandas(run, f"`{qid}` {kind}, {VERIFIED}")

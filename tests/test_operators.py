@@ -274,3 +274,33 @@ def test_streaming(spark, tmp_path):
         index_new_documents(spark, str(tmp_path / "in"), docs.schema, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == expected
         docs.withColumn("doc_id", F.lit(2).cast("long")).write.mode("append").parquet(str(tmp_path / "in"))
+
+
+def test_profile(spark):
+    from lectern.operators import profile as X
+
+    text = "Invoice 7\nBill to: Acme Corp\nIssue date 2024-01-05\nPAYMENT TERMS\nnet 30 days\nTotal due USD 1,200.00\n18% tax"
+    pages = spark.createDataFrame([(1, "a.pdf", 1, text), (2, "b.pdf", 1, ""), (3, "c.pdf", 1, None)], "d long, f string, page_number int, text string")
+    got = {r["d"]: r for r in X.profiles(pages, "d", "f").collect()}
+    one = got[1]
+    assert one["document_type"] == "invoice" and one["title"] == "Invoice 7"
+    facts = {(f["kind"], f["value"]): f["label"] for f in one["facts"]}
+    assert facts["date", "2024-01-05"] == "Issue date" and facts["amount", "USD 1,200.00"] == "Total due" and ("date", "2024") in facts
+    assert "What total amount is due?" in one["suggested_questions"] and "What payment terms are mentioned?" in one["suggested_questions"]
+    assert ("PAYMENT TERMS", 1) in {(s["heading"], s["page_number"]) for s in one["sections"]}
+    assert got[2]["document_type"] == "generic" and got[3]["title"] is None
+    assert X.label("tax total due ", 14, X.AMOUNT_LABELS, "Amount") == "Total due"
+    assert X.document_type("", "the api contract of the interface", set()) == "generic"
+
+
+def test_verified_answers(spark):
+    rows = [
+        (1, "How many records remained, and when was the guide published?", 1, 5, "There 2366 records remained.", 0.9, 0.9, None),
+        (1, "How many records remained, and when was the guide published?", 2, 6, "The guide was published in 2019.", 0.8, 0.8, None),
+        (2, "How many records remained, and when was the guide published?", 1, 5, "There 2366 records remained.", 0.9, 0.9, None),
+    ]
+    packs = spark.createDataFrame(rows, "q long, question string, place int, chunk_id long, text string, score double, source_score double, section_heading string")
+    got = {r["q"]: r for r in A.verified_answers(packs, "q", "question").collect()}
+    assert got[1]["answer"] == "There 2366 records remained. The guide was published in 2019." and got[1]["cited"] == [5, 6]
+    assert got[1]["status"] == "answerable" and got[1]["risk"] == 0
+    assert got[2]["status"] == "insufficient_evidence" and got[2]["answer"] is None
