@@ -66,15 +66,20 @@ class Table:
         self.starts = np.cumsum(self.freqs) - self.freqs
 
     @classmethod
-    def of(cls, ids: np.ndarray) -> Table:
-        symbols, counts = np.unique(ids, return_counts=True)
+    def of(cls, ids: np.ndarray) -> tuple[Table, np.ndarray]:
+        """The table of some ids, and their numbers in it."""
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        number = np.zeros(len(counts), np.uint32)
+        number[symbols] = np.arange(len(symbols))
+        counts = counts[symbols]
         room = (1 << SCALE) - len(symbols)
         if room < 0:
             raise ValueError("more distinct ids than slots")
-        freqs = 1 + counts.astype(np.int64) * room // max(int(counts.sum()), 1)
+        freqs = 1 + counts * room // max(int(counts.sum()), 1)
         if len(freqs):
             freqs[counts.argmax()] += (1 << SCALE) - freqs.sum()
-        return cls(symbols, freqs)
+        return cls(symbols, freqs), number[ids]
 
     def slots(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.symbols), dtype=np.uint32), self.freqs.astype(np.int64))
@@ -139,8 +144,7 @@ def decode_block(data: memoryview, table: Table, slots: np.ndarray, begin: int =
 
 def encode_record(keys: list[int | None], sizes: list[int], ids: np.ndarray, config: TokenFiles) -> bytes:
     """One record of whole documents."""
-    table = Table.of(ids)
-    dense = np.searchsorted(table.symbols, ids)
+    table, dense = Table.of(ids)
     blocks = [
         encode_block(dense[a : a + config.block_tokens], table, config.checkpoint)
         for a in range(0, len(dense), config.block_tokens)

@@ -4,7 +4,7 @@ Text is cut into units that the tokenizer cannot join, each unit is encoded by
 the ``tokenizers`` library once, and its ids are looked up from then on. The
 cuts give the same ids as encoding the whole text:
 
-* ``words`` (vocabularies that drop white space): at every blank and line end.
+* ``words`` (vocabularies that drop white space and case): at every blank and line end.
 * ``bytes`` (byte-level vocabularies that keep it): at a single blank or line
   end between two characters that are not white space; a text with any other
   white space at a cut is encoded whole.
@@ -13,37 +13,59 @@ cuts give the same ids as encoding the whole text:
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Units kept in a worker: one generation being filled and the one before.
-CACHED_UNITS = 300_000
+CACHED_UNITS = 500_000
+#: Up to here letters are composed, and their lower case is one letter each.
+LATIN = "\u017f"
+DIGITS = frozenset("0123456789")
 
 
-class _Units(dict):
-    """Ids of units as bytes; when full, the older half is forgotten."""
+def _byte_level() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself where it prints."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def __init__(self, encode):
+
+LEVEL = _byte_level()
+
+
+class Units(dict):
+    """Ids of units as bytes, made when first asked for; when full, the older half is forgotten."""
+
+    def __init__(self, make, most: int = CACHED_UNITS):
         super().__init__()
-        self.encode, self.old = encode, {}
-
-    def learn(self, units: set[str]) -> None:
-        new = units.difference(self)
-        if not new:
-            return
-        for unit in new.intersection(self.old):
-            self[unit] = self.old[unit]
-            new.discard(unit)
-        todo = list(new)
-        self.update(zip(todo, self.encode(todo)))
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        known = self.old.get(unit)
+        if known is None:
+            known = self.make(unit)
+        self[unit] = known
+        return known
 
     def age(self) -> None:
-        if len(self) > CACHED_UNITS:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
 
+class Uncut(Exception):
+    """White space stands where the cuts don't cover it: the text must be encoded whole."""
+
+
+def _lower(text: str) -> str:
+    """Lower case letter by letter, as the vocabularies have it, whatever stands around."""
+    if "\u03a3" in text or "\u0130" in text:
+        return "".join(map(str.lower, text))
+    return text.lower()
+
+
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned integers of ``dtype``."""
 
@@ -55,38 +77,69 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cut = cut
-        self.bare = _Units(self._ids)
-        self.spaced = _Units(lambda units: self._ids([" " + u for u in units]))
-        self.newline = self._ids(["\n"])[0]
-
-    def _ids(self, units: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        self.model = self.tokenizer.model
+        self.bare = Units(self._bare if cut == "words" else self._clean)
+        self.spaced = Units(self._spaced)
+        self.lead = LEVEL[ord(" ")]
+        self.newline = self._bare("\n") if cut == "bytes" else b""
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.dtype.char, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str, lead: str) -> bytes | None:
+        """Ids of a plain Latin word: one pre-token, so it goes straight to the merges."""
+        if not word.isascii():
+            if max(word) > LATIN:
+                return None
+            word = word.encode().decode("latin-1").translate(LEVEL)
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(lead + word)]).tobytes()
+
+    def _bare(self, unit: str) -> bytes:
+        """Full stops and commas after a letter or digit are a pre-token of their own."""
+        found = self._word(unit, "") if unit.isalpha() else None
+        if found is None:
+            head = unit.rstrip(".,")
+            if 0 < len(head) < len(unit) and (head[-1].isalpha() or head[-1] in DIGITS):
+                return self.bare[head] + self.bare[unit[len(head) :]]
+            found = self._whole(unit)
+        return found
+
+    def _clean(self, unit: str) -> bytes:
+        if not unit or unit[0].isspace() or unit[-1].isspace():
+            raise Uncut
+        return self._bare(unit)
+
+    def _spaced(self, unit: str) -> bytes:
+        """As ``_bare``, after a blank."""
+        if not unit or unit[0].isspace() or unit[-1].isspace():
+            raise Uncut
+        found = self._word(unit, self.lead) if unit.isalpha() else None
+        if found is None:
+            head = unit.rstrip(".,")
+            if 0 < len(head) < len(unit) and (head[-1].isalpha() or head[-1] in DIGITS):
+                return self.spaced[head] + self.bare[unit[len(head) :]]
+            found = self._whole(" " + unit)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return self._by_words(texts) if self.cut == "words" else self._by_bytes(texts)
 
     def _by_words(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         self.bare.age()
-        self.bare.learn(set().union(*split))
         get = self.bare.__getitem__
-        return [b"".join(map(get, units)) for units in split]
+        return [b"".join(map(get, _lower(t).replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
     def _by_bytes(self, texts: list[str | None]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] if t else [] for t in texts]
-        clean = lambda units: {u for u in units if u and not u[0].isspace() and not u[-1].isspace()}
         self.bare.age()
         self.spaced.age()
-        self.bare.learn(clean({line[0] for lines in split for line in lines}))
-        self.spaced.learn(clean(set().union(*(line[1:] for lines in split for line in lines))))
-        first, rest = self.bare.get, self.spaced.get
+        first, rest = self.bare.__getitem__, self.spaced.__getitem__
         out = []
-        for text, lines in zip(texts, split):
+        for text in texts:
             try:
+                lines = [line.split(" ") for line in text.split("\n")] if text else []
                 out.append(self.newline.join([first(x[0]) + b"".join(map(rest, x[1:])) for x in lines]))
-            except TypeError:  # white space that the cuts don't cover
-                out.append(self._ids([text])[0])
+            except Uncut:
+                out.append(self._whole(text))
         return out
 
 
