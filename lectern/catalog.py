@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import words as W
+from lectern.operators import answers as A
 from lectern.operators import chunks as C
 from lectern.operators import evaluation as E
 from lectern.operators import evidence as V
 from lectern.operators import facts as D
+from lectern.operators import profile as X
 from lectern.operators import routing as R
 from lectern.operators import search as S
+from lectern.operators import sections as P
 from lectern.operators import study as T
+from lectern.operators import tables as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -517,3 +521,91 @@ def evidence_pack(spark, sf):
         "score", F.col("score").alias("source_score"),
     )
     return V.evidence_packs(full)
+
+
+@query("""SELECT l_orderkey AS order_id, count(*) AS n_rows, 3 * count(*) AS n_cells, sum(l_quantity)::BIGINT AS total
+    FROM lineitem GROUP BY l_orderkey""")
+def table_cells(spark, sf):
+    """Cells found in tables of text made from the lines of orders."""
+    line = F.concat_ws("\t", F.concat(F.lit("part number "), F.col("l_partkey").cast("string")), F.col("l_quantity").cast("long").cast("string"), F.date_format("l_shipdate", "yyyy"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("body"))
+    pages = lines.select("l_orderkey", F.concat(F.lit("Table 1 Parts\nPart\tQuantity\tYear\n"), F.col("body")).alias("text"))
+    cells = B.table_cells(pages, ["l_orderkey"])
+    number = F.when(F.col("column_label") == "Quantity", F.col("text").try_cast("long"))
+    return cells.groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        (F.max("row_index").cast("long") + 1).alias("n_rows"), F.count("*").alias("n_cells"), F.sum(number).alias("total")
+    )
+
+
+@query()
+def section_chunks(spark, sf):
+    """Section-aware windows of every document; heading grammar, so without SQL."""
+    return P.section_chunks(table(spark, sf, "documents"), ["doc_id"])
+
+
+@query()
+def document_profiles(spark, sf):
+    """Profiles of customers from the pages made of their orders; rule-based, so without SQL."""
+    pages = _invoices(spark, sf).select("doc", F.concat(F.lit("customer"), F.col("doc"), F.lit(".pdf")).alias("filename"), "page", "text")
+    return X.profiles(pages, "doc", "filename", "page")
+
+
+def _packs(spark, sf) -> DataFrame:
+    """Chosen evidence of every benchmark question with its text."""
+    chosen = evidence_pack(spark, sf).where("place is not null")
+    texts = _chunked(spark, sf).select((F.col("doc_id") * 10_000 + F.col("chunk_index")).alias("chunk_id"), F.col("chunk").alias("text"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    full = chosen.join(texts, "chunk_id").join(asked, "qid")
+    return full.select(
+        "qid", "question", "place", "chunk_id", "text", "score", F.col("score").alias("source_score"), F.lit(None).cast("string").alias("section_heading")
+    )
+
+
+@query()
+def extractive_answers(spark, sf):
+    """Answers of every benchmark question from its evidence; gated sentence by sentence, so without SQL."""
+    return A.answers(_packs(spark, sf), "qid", "question")
+
+
+@query()
+def verified_answers(spark, sf):
+    """Answers whose every sentence the evidence supports, or abstentions; without SQL."""
+    return A.verified_answers(_packs(spark, sf), "qid", "question")
+
+
+@query()
+def anchor_coverage(spark, sf):
+    """Which retrieved chunks hold a benchmark text whole, alone or side by side; without SQL."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    hits = _lexical(spark, sf, 20).join(_chunked(spark, sf).select("doc_id", "chunk_index", "chunk"), ["doc_id", "chunk_index"])
+    hits = hits.select("item_id", F.col("doc_id").alias("page_number"), F.col("chunk_index").cast("int"), F.col("chunk").alias("text"))
+    anchors = hits.select("item_id", "page_number").distinct().join(items, "item_id")
+    return E.anchor_coverage(hits, anchors, ["item_id"])
+
+
+@query()
+def study_questions(spark, sf):
+    """Three questions about every document; order-dependent, so without SQL."""
+    return T.study_questions(table(spark, sf, "documents"), "doc_id", "text", 3)
+
+
+@query(r"""SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(string_split_regex(
+        array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^Page\s+[0-9]+')
+            AND NOT contains(lower(x), 'table of contents') AND NOT regexp_matches(x, '\.{4,}')), ' '),
+        '[.!?]\s+'), lambda s: trim(s)), lambda s: s <> ''), 1, 2), ' | ') AS summary FROM documents""")
+def leading_sentences(spark, sf):
+    """The first two sentences of every document's context, by the simple splitter."""
+    said = V.sentences(T.context(F.col("text")), V.SIMPLE_END)
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(said, 1, 2), " | ").alias("summary"))
+
+
+@query("""SELECT d.doc_id, coalesce(l.quality = 1 AND d.n_chars >= 200, false) AS outcome, CASE WHEN l.doc_id IS NULL THEN 'draft' WHEN e.vec_id IS NULL THEN 'unavailable' ELSE 'ready' END AS readiness
+    FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN embeddings e ON d.doc_id = e.vec_id""")
+def case_readiness(spark, sf):
+    """Cases that can be run: reviewed ones, being labelled, whose document is indexed, having a vector."""
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    labels = table(spark, sf, "labels").select("doc_id", "quality", F.lit(True).alias("reviewed"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("indexed"))
+    both = docs.join(labels, "doc_id", "left").join(vectors, "doc_id", "left")
+    outcome = (F.col("quality") == 1) & (F.col("n_chars") >= 200)
+    return both.select("doc_id", F.coalesce(outcome, F.lit(False)).alias("outcome"), E.readiness(F.col("indexed"), F.col("reviewed")).alias("readiness"))

@@ -138,3 +138,57 @@ def anchor_coverage(hits: DataFrame, anchors: DataFrame, keys: list[str], page:
 
     fields = ", ".join(f"`{c}` {anchors.schema[c].dataType.simpleString()}" for c in kept)
     return both.select(*kept, "found").mapInPandas(run, f"{fields}, covered boolean, chunk_indexes array<int>")
+
+
+def readiness(indexed: Column, reviewed: Column, fresh: Column | None = None) -> Column:
+    """Whether a case can be run: its document indexed, itself reviewed, and the pages as they were then."""
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    stale = ~sure(fresh) if fresh is not None else F.lit(False)
+    return F.when(~sure(reviewed), "draft").when(~sure(indexed), "unavailable").when(stale, "stale").otherwise("ready")
+
+
+def case_scores(results: DataFrame) -> DataFrame:
+    """Measurements of every case as (case_id, metric, numerator, denominator).
+
+    ``results`` has, per case: negative, answered, facts_said, n_facts, anchors_recalled,
+    anchors_cited, anchors_packed, n_anchors, right_citations, n_citations,
+    sentences_verified, n_sentences and duration_ms. What only a positive case
+    can show has denominator 0 for a negative one.
+    """
+    positive = (~F.col("negative")).cast("int")
+    abstained = (F.col("negative") & ~F.col("answered")).cast("int")
+    right = (F.col("negative") != F.col("answered")).cast("int")
+    shown = lambda n, d: (F.col(n) * positive, F.col(d) * positive)
+    pairs = {
+        "outcome_match": (right, F.lit(1)),
+        "fact_match": shown("facts_said", "n_facts"),
+        "retrieval_anchor_recall_at_5": shown("anchors_recalled", "n_anchors"),
+        "citation_precision": shown("right_citations", "n_citations"),
+        "citation_anchor_coverage": shown("anchors_cited", "n_anchors"),
+        "pack_anchor_coverage": shown("anchors_packed", "n_anchors"),
+        "abstention_match": (abstained, F.col("negative").cast("int")),
+        "checker_support": (F.col("sentences_verified"), F.col("n_sentences")),
+        "latency": (F.col("duration_ms"), F.lit(1)),
+    }
+    rows = [F.struct(F.lit(k).alias("metric"), n.cast("double").alias("numerator"), d.cast("int").alias("denominator")) for k, (n, d) in pairs.items()]
+    return results.select("case_id", F.explode(F.array(*rows)).alias("m")).select("case_id", "m.*")
+
+
+#: What a case must show to pass, by whether it is answerable.
+REQUIRED = {
+    False: (
+        "outcome_match", "fact_match", "retrieval_anchor_recall_at_5", "citation_precision", "citation_anchor_coverage",
+        "pack_anchor_coverage", "checker_support",
+    ),
+    True: ("outcome_match", "abstention_match"),
+}
+
+
+def case_verdicts(scores: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_id, negative, failed): the required metrics of each case that are not exactly 1; passed without any."""
+    both = scores.join(cases.select("case_id", "negative"), "case_id")
+    names = lambda v: F.array(*[F.lit(n) for n in REQUIRED[v]])
+    needed = F.array_contains(F.when(F.col("negative"), names(True)).otherwise(names(False)), F.col("metric"))
+    bad = F.coalesce(ratio(F.col("numerator"), F.col("denominator")), F.lit(-1.0)) != 1.0
+    failed = F.array_sort(F.collect_set(F.when(needed & bad, F.col("metric"))))
+    return both.groupBy("case_id", "negative").agg(failed.alias("failed")).withColumn("passed", F.size("failed") == 0)

@@ -304,3 +304,40 @@ def test_verified_answers(spark):
     assert got[1]["answer"] == "There 2366 records remained. The guide was published in 2019." and got[1]["cited"] == [5, 6]
     assert got[1]["status"] == "answerable" and got[1]["risk"] == 0
     assert got[2]["status"] == "insufficient_evidence" and got[2]["answer"] is None
+
+
+def test_case_scores(spark):
+    fields = "case_id long, negative boolean, answered boolean, facts_said int, n_facts int, anchors_recalled int, anchors_cited int, anchors_packed int, n_anchors int, right_citations int, n_citations int, sentences_verified int, n_sentences int, duration_ms double"
+    cases = spark.createDataFrame([(1, False, True, 1, 1, 1, 1, 1, 1, 2, 2, 1, 1, 5.0), (2, True, False, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 7.0), (3, False, True, 0, 3, 1, 1, 1, 1, 1, 2, 1, 1, 1.0)], fields)
+    scores = E.case_scores(cases)
+    total = {r["metric"]: (r["numerator"], r["denominator"], r["value"]) for r in E.ratios_of_sums(scores, ["metric"]).collect()}
+    assert total["fact_match"] == (1, 4, 0.25) and total["abstention_match"] == (1, 1, 1.0) and total["latency"][2] == pytest.approx(13 / 3)
+    verdicts = {r["case_id"]: (r["passed"], r["failed"]) for r in E.case_verdicts(scores, cases).collect()}
+    assert verdicts == {1: (True, []), 2: (True, []), 3: (False, ["citation_precision", "fact_match"])}
+    row = spark.range(1).select(E.readiness(F.lit(True), F.lit(True), F.lit(False)).alias("a"), E.readiness(F.lit(None).cast("boolean"), F.lit(True)).alias("b")).first()
+    assert (row["a"], row["b"]) == ("stale", "unavailable")
+
+
+@pytest.mark.parametrize(
+    "question, intent, text, answer",
+    [
+        ("When is payment due?", "payment_due", "Invoice 1\nDue date 2024-02-03\nIssue date 2024-01-01", "Dates mentioned: Due date: 2024-02-03, Due date: 2024."),
+        ("What is the total due?", "amounts", "Subtotal USD 5.00 then the total due USD 7.00", "Amounts mentioned: Total due: USD 7.00."),
+        ("Which datasets?", "datasets", "We use COCO and MNIST.", "Datasets mentioned: COCO, MNIST."),
+        ("What methods are used?", "methods", "METHODS\nWe count words.\nRESULTS\nMany.", "We count words."),
+        ("Which datasets?", "datasets", "Nothing here.", None),
+    ],
+)
+def test_document_answers(question, intent, text, answer):
+    from lectern.operators.document_answers import answer as find
+
+    found = find(question, intent, "a.pdf", [(1, text)])
+    assert found["answer"] == answer and found["status"] == ("answerable" if answer else "insufficient_evidence")
+
+
+def test_document_answers_in_spark(spark):
+    from lectern.operators.document_answers import document_answers
+
+    rows = [(1, "When is payment due?", "payment_due", "a.pdf", 2, "Due date 2024-02-03"), (1, "When is payment due?", "payment_due", "a.pdf", 1, None), (2, "hello", "evidence_search", None, 1, "x")]
+    asked = spark.createDataFrame(rows, "q long, question string, intent string, filename string, page_number int, text string")
+    assert {r["q"]: r["status"] for r in document_answers(asked, "q").collect()} == {1: "answerable", 2: "fall_through"}
