@@ -4,8 +4,9 @@ Numbers and dates that validate are permuted by a keyed Feistel network within
 their own format, so the same value gets the same pseudonym in every document
 and no two values share one:
 
-* card numbers of 13 to 19 digits with a valid Luhn sum: the digits but the last
-  are permuted, the last one is computed anew; blanks and hyphens stay.
+* card numbers of 13 to 19 digits, unbroken or in the usual groups, with a valid
+  Luhn sum: the digits but the last are permuted, the last one is computed anew;
+  blanks and hyphens stay.
 * IPv4 addresses: the 32 bits are permuted.
 * telephone numbers, +country (area) number or area-number-number: the digits
   after the country code are permuted, all other characters stay.
@@ -42,7 +43,8 @@ KINDS = {
     "address": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ -]?\([0-9]{2,4}\)[ -]?[0-9]{3,4}[ -][0-9]{3,4}|\+[0-9]{1,3}(?:[ -][0-9]{2,4}){2,4}|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    # Unbroken, or in groups of four, or of four, six and five: a number that stands beside it is none of its digits.
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Cheap condition that every match satisfies: a mail sign or two digits near one another.

@@ -45,6 +45,12 @@ def test_formats(spark):
     assert re.fullmatch(r"to [A-Z][a-z]{3}\.[A-Z][a-z]{2}\d@mail\.example\.com now", d["text"]) and d["n_mails"] == 1
 
 
+def test_neighbours(spark):
+    row = run(spark, "4111111111111111 10.1.2.3 4111111111111111 +1 (988) 555-2485 123456 4111 1111 1111 1111 7")[0]
+    assert (row["n_cards"], row["n_addresses"], row["n_phones"]) == (3, 1, 1) and "4111" not in row["text"] and "10.1.2.3" not in row["text"]
+    assert row["text"].endswith(" 7") and " 123456 " in row["text"]
+
+
 def test_equal_values_stay_linked(spark):
     one, two = run(spark, "x 10.1.2.3 y", "10.1.2.3")
     assert two["text"] in one["text"]

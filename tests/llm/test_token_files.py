@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lectern.llm import packing, rans
-from lectern.llm.tokens import Encoder
+from lectern.llm.tokens import Encoder, encoder
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -17,6 +18,7 @@ TEXTS = [
 ]
 
 
+@lru_cache
 def library(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
@@ -35,7 +37,7 @@ def test_ids_equal_the_library(path, cut):
 def test_ids_of_odd_texts(texts):
     for path, cut in ((WORDS, "words"), (BYTES, "bytes")):
         expected = library(path)
-        for text, ids in zip(texts, Encoder(path, cut).encode(texts)):
+        for text, ids in zip(texts, encoder(path, cut).encode(texts)):
             assert np.frombuffer(ids, "<u2").tolist() == expected(text)
 
 
