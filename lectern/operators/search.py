@@ -65,9 +65,10 @@ def vector_top(
     Each side is dealt into blocks of about ``block`` vectors; every pair of
     blocks is one matrix product, whose best k per question go on.
     """
-    left = _blocks(questions, qid, vector, block, questions.count(), "q")
+    n_questions = questions.count()
+    left = _blocks(questions, qid, vector, block, n_questions, "q")
     right = _blocks(rows, rid, vector, block, rows.count(), "r")
-    n_left = max(1, -(-questions.count() // block))
+    n_left = max(1, -(-n_questions // block))
     # Each block of rows meets each block of questions once.
     pairs = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).join(left, "q")
 
