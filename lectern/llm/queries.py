@@ -35,12 +35,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm import sentencepiece
 
     path = tokenizer("piece_bpe_32k.model")
-    encoded = sentencepiece.encode(_documents(spark, sf_dir), sentencepiece.Pieces(path=path))
-    counted = encoded.select(
-        "doc_id", "n_chunks", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "ids"
+    found = sentencepiece.encode(_documents(spark, sf_dir), sentencepiece.Pieces(path=path), decoded=True)
+    return found.select(
+        "doc_id",
+        "n_chunks",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    decoded = sentencepiece.decode(counted, path)
-    return decoded.select("doc_id", "n_chunks", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

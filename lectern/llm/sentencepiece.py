@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,9 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.storage import cut
-from lectern.llm.tokens import _Units, batches_of
+from lectern.llm.tokens import Uncut, Units, batches_of
 
 MARK = "▁"
+MEET = re.compile(f"[^{MARK}](?={MARK})")
+#: Units, and twice as many pairs, that a worker knows at a time.
+KEPT = 150_000
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -76,48 +80,79 @@ class Model:
             raise ValueError("pieces that reach over a blank are not supported")
         self.raw = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()}
         self.raw |= {i: bytes([b]) for b, i in self.bytes_at.items()} | {i: b"" for i in range(size) if special[i]}
-        self.alone: dict[int, bool] = {}
+        #: For each piece that merging gives from its own text: its rank, none for a character, and its last merge.
+        self.rank: dict[int, float] = {}
+        self.split: dict[int, tuple[int, int]] = {}
+        #: Pieces that can stand in a tokenization, by their text.
+        self.live: dict[str, int] = {}
+        for piece, i in self.ids.items():
+            left = self.halves(piece)
+            if left is not None:
+                self.live[piece] = i
+                self.rank[i] = -self.score[i] if left else -1.0
+                if left:
+                    self.split[i] = (self.ids[left], self.ids[piece[len(left) :]])
         self.pairs: dict[tuple[int, int], bool] = {}
         #: Whether a line end always stands alone, so that lines are cut there too.
         self.lines = not any("\n" in p for p in self.ids)
-        self.bare = _Units(lambda units: [self.unit(u) for u in units])
-        self.spaced = _Units(lambda units: [self.unit(MARK + u) for u in units])
+        self.bare = Units(lambda u: self._known(u, ""), KEPT)
+        self.spaced = Units(lambda u: self._known(u, MARK), KEPT)
+        self.inner = Units(self.unit, KEPT)
         self.newline = self.unit("\n")
 
-    def merged(self, text: str) -> list[int]:
-        """Pieces of a short text of known characters by merging pairs, best first: what defines a BPE."""
+    def halves(self, text: str) -> str | None:
+        """The left part of the last merge that makes a piece of its own text; "" for a character, None if it isn't made."""
         parts = list(text)
-        while True:
+        if any(p not in self.ids for p in parts):
+            return None
+        left = ""
+        while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 found = self.ids.get(parts[i] + parts[i + 1])
                 if found is not None and (best is None or self.score[found] > best):
                     best, at = self.score[found], i
             if at < 0:
-                return [self.ids[p] for p in parts]
+                return None
+            left = parts[at]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def stands(self, piece: int) -> bool:
-        """Whether the piece's own text encodes to it."""
-        known = self.alone.get(piece)
-        if known is None:
-            known = self.alone[piece] = self.merged(self.text[piece]) == [piece]
-        return known
+        return left
 
     def worth(self, left: int, right: int) -> bool:
-        """Whether the step from left to right is worth 0."""
+        """Whether the step from left to right is worth 0: nothing merges across before both are made.
+
+        Going back in time, the piece made later comes apart first, and what
+        then faces the cut must not merge, at an earlier rank than that of the
+        merge undone. Of equal ranks the one on the left merges first.
+        """
         if left < 0:
             return True
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= 2 * KEPT:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(self.text[left] + self.text[right]) == [left, right]
+            known = self.pairs[left, right] = self._apart(left, right)
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        text, rank, bound, closed = self.text, self.rank, float("inf"), False
+        while True:
+            across = self.ids.get(text[a] + text[b])
+            if across is not None:
+                own = -self.score[across]
+                if own < bound or closed and own == bound:
+                    return False
+            ra, rb = rank[a], rank[b]
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                bound, closed, a = ra, False, self.split[a][1]
+            else:
+                bound, closed, b = rb, True, self.split[b][0]
+
     def forward(self, text: str, begin: int, piece: int, end: int) -> list[tuple[int, int] | None]:
         """For each place up to end, (piece that ends there, where it begins) on the path from begin, if any."""
-        ids, longest = self.ids, self.longest
+        get, ids, longest, pairs = self.live.get, self.ids, self.longest, self.pairs
         back: list[tuple[int, int] | None] = [None] * (end + 1)
         back[begin] = (piece, -1)
         for at in range(begin + 1, end + 1):
@@ -127,10 +162,14 @@ class Model:
                     back[at] = (-1, at - 1)
                 continue
             for start in range(max(begin, at - longest), at):
-                if back[start] is None:
+                found = get(text[start:at])
+                if found is None or back[start] is None:
                     continue
-                found = ids.get(text[start:at])
-                if found is not None and self.worth(back[start][0], found) and self.stands(found):
+                before = back[start][0]
+                good = True if before < 0 else pairs.get((before, found))
+                if good is None:
+                    good = self.worth(before, found)
+                if good:
                     back[at] = (found, start)
                     break
         return back
@@ -149,25 +188,30 @@ class Model:
 
     def unit(self, unit: str) -> bytes:
         """Ids, as bytes, of a text that nothing reaches into."""
-        return np.array(self.trace(unit, self.forward(unit, 0, -1, len(unit)), 0, len(unit)), "<u4").tobytes()
+        return array("I", self.trace(unit, self.forward(unit, 0, -1, len(unit)), 0, len(unit))).tobytes()
+
+    def _known(self, unit: str, before: str) -> bytes:
+        if not unit or MARK in unit:
+            raise Uncut
+        return self.unit(before + unit)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts that are one chunk each."""
-        split = [[line.split(" ") for line in t.split("\n")] if t and self.lines else None for t in texts]
-        plain = [s for s in split if s]
         self.bare.age()
         self.spaced.age()
-        self.bare.learn({line[0] for s in plain for line in s[1:] if line[0]})
-        self.spaced.learn({u for s in plain for line in s for u in line[1:] if u} | {s[0][0] for s in plain if s[0][0]})
-        bare, spaced, out = self.bare.get, self.spaced.get, []
-        for text, lines in zip(texts, split):
+        bare, spaced, out = self.bare.__getitem__, self.spaced.__getitem__, []
+        for text in texts:
+            if not text:
+                out.append(b"")
+                continue
             try:
-                if lines is None or MARK in text:
-                    raise TypeError
-                done = [spaced(lines[0][0]) + b"".join(map(spaced, lines[0][1:]))]
-                done += [bare(x[0]) + b"".join(map(spaced, x[1:])) for x in lines[1:]]
+                if not self.lines:
+                    raise Uncut
+                head, *more = [line.split(" ") for line in text.split("\n")]
+                done = [b"".join(map(spaced, head))]
+                done += [bare(x[0]) + b"".join(map(spaced, x[1:])) for x in more]
                 out.append(self.newline.join(done))
-            except TypeError:  # runs of blanks
+            except Uncut:  # runs of blanks, or marks
                 out.append(b"".join(map(self.unit, UNITS.findall(normal(text)))))
         return out
 
@@ -177,7 +221,7 @@ class Model:
             (end - at, piece)
             for start in range(max(0, at - self.longest), at)
             for end in range(at, min(len(text), start + self.longest) + 1)
-            if (piece := self.ids.get(text[start:end])) is not None and self.stands(piece)
+            if (piece := self.live.get(text[start:end])) is not None
         ]
         return found + ([(0, -1)] if at == 0 or text[at - 1] not in self.ids else [])
 
@@ -188,17 +232,16 @@ class Model:
             if back[start] is None:
                 continue
             for end in range(at, min(len(text), start + self.longest) + 1):
-                piece = self.ids.get(text[start:end])
-                if piece is not None and self.worth(back[start][0], piece) and self.stands(piece):
+                piece = self.live.get(text[start:end])
+                if piece is not None and self.worth(back[start][0], piece):
                     found.append((end - at, piece))
         return found
 
     def matrix(self, text: str, left: int, right: int, first: bool) -> list[tuple[State, State]]:
         """The entries worth 0 of the chunk from left to right of a text with context on both sides."""
         entries = [(0, -1)] if first else self.states(text, left)
-        # Where a blank follows something else all paths meet: what comes after is walked once.
-        meet = re.search(f"[^{MARK}](?={MARK})", text[left + self.longest : max(right - self.longest, 0)])
-        if meet is None:
+        meeting = self.meeting(text, left, right)
+        if meeting is None:
             # A piece that reaches to the chunk's end or over it is the state there too.
             over = [(s, (left + s[0] - right, s[1])) for s in entries if left + s[0] >= right]
             return over + [
@@ -207,21 +250,41 @@ class Model:
                 if left + state[0] < right
                 for to in self.reach(text, self.forward(text, left + state[0], state[1], right), right)
             ]
-        place = left + self.longest + meet.end()
-        rest = self.reach(text, self.forward(text, place, -1, right), right)
-        alive = [s for s in entries if self.forward(text, left + s[0], s[1], place)[place] is not None]
+        first_at, last_at = meeting
+        rest = self.reach(text, self.forward(text, last_at, -1, right), right)
+        alive = [s for s in entries if self.forward(text, left + s[0], s[1], first_at)[first_at] is not None]
         return [(state, to) for state in alive for to in rest]
 
+    def meeting(self, text: str, left: int, right: int) -> tuple[int, int] | None:
+        """The first and last place, out of reach of the cuts, where a blank follows something else: all paths meet there."""
+        low, high = left + self.longest, max(right - self.longest, 0)
+        first = MEET.search(text, low, high) if low < high else None
+        if first is None:
+            return None
+        at = first.start() + 1
+        last = text.rfind(MARK, at, high)
+        while text[last - 1] == MARK:  # the first of a run of blanks
+            last -= 1
+        return at, max(at, last)
+
     def part(self, text: str, left: int, right: int, entry: State, to: State) -> list[int]:
         """Ids that the chunk emits between two states: those after the entry's piece, and the last."""
         begin, end = left + entry[0], right + to[0]
         if begin >= end:
             return []  # the entry's piece reaches as far
-        back = self.forward(text, begin, entry[1], right)
-        if to[1] >= 0:
-            start = end - len(self.text[to[1]])
-            return [*self.trace(text, back, begin, start), to[1]]
-        return self.trace(text, back, begin, end)
+        out: list[int] = []
+        meeting = self.meeting(text, left, right)
+        piece = entry[1]
+        if meeting is not None:
+            first, last = meeting
+            out += self.trace(text, self.forward(text, begin, piece, first), begin, first)
+            for unit in UNITS.findall(text[first:last]):
+                out += np.frombuffer(self.inner[unit], "<u4").tolist()
+            begin, piece = last, -1
+        back = self.forward(text, begin, piece, right)
+        start = end - len(self.text[to[1]]) if to[1] >= 0 else end
+        out += self.trace(text, back, begin, start)
+        return [*out, to[1]] if to[1] >= 0 else out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; a dummy blank at the beginning is taken off."""
@@ -258,8 +321,10 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def encode(docs: DataFrame, config: Pieces, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids, n_chunks): ids as little-endian unsigned 32-bit integers."""
+def encode(
+    docs: DataFrame, config: Pieces, text: str = "text", key: str = "doc_id", decoded: bool = False
+) -> DataFrame:
+    """(key, ids, n_chunks): ids as little-endian unsigned 32-bit integers; with the text that they decode to, if asked for."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     long = F.length("t") > config.giant
@@ -269,13 +334,19 @@ def encode(docs: DataFrame, config: Pieces, text: str = "text", key: str = "doc_
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in batches_of(texts):
-                ids = pa.array(m.encode(texts[a:b]), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], ids], names=["k", "ids"])
+                ids = m.encode(texts[a:b])
+                found = [batch.column(0)[a:b], pa.array(ids, pa.binary())]
+                if decoded:
+                    found.append(pa.array([m.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(found, names=["k", "ids", "decoded"][: len(found)])
 
-    small = rows.where(~long).mapInArrow(whole, f"k {kind}, ids binary").withColumn("n", F.lit(1))
-    return small.unionByName(_giants(rows.where(long), config, kind)).select(
-        F.col("k").alias(key), "ids", F.col("n").cast("int").alias("n_chunks")
-    )
+    schema = f"k {kind}, ids binary" + (", decoded string" if decoded else "")
+    small = rows.where(~long).mapInArrow(whole, schema).withColumn("n", F.lit(1))
+    giants = _giants(rows.where(long), config, kind)
+    if decoded:
+        giants = decode(giants.withColumn("kept_ids", F.col("ids")), config.path).withColumnRenamed("kept_ids", "ids")
+    last = ["decoded"] if decoded else []
+    return small.unionByName(giants).select(F.col("k").alias(key), "ids", F.col("n").cast("int").alias("n_chunks"), *last)
 
 
 def _giants(rows: DataFrame, config: Pieces, kind: str) -> DataFrame:
@@ -297,7 +368,8 @@ def _giants(rows: DataFrame, config: Pieces, kind: str) -> DataFrame:
                 row += 1
 
     # Kept, so that a row's number names the same document to all that follow, and spread out.
-    cuts = cut(rows.mapInArrow(divide, chunks).repartition("row", "chunk"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = cut(rows.mapInArrow(divide, chunks).repartition(parts, "row", "chunk"))
 
     kinds = pa.schema([("row", pa.int64()), ("chunk", pa.int32()), ("matrix", pa.string())])
 
