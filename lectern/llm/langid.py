@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.llm.resident import resident
+
 UNKNOWN = "und"
 
 
@@ -45,7 +47,7 @@ class LanguageRules:
     sample_letters: int = 40_000
     languages: int = 100
     walkers: int = 4096
-    letters: int = 8_000_000
+    letters: int = 2_000_000
     reject_score: float = 0.0
 
 
@@ -100,7 +102,7 @@ class Automaton:
 
     def steps(self, classes: dict[str, int], width: int) -> np.ndarray:
         """For each state and class of letters: four times the next state, plus the phrases that end."""
-        first = np.zeros(width, np.int64)
+        first = np.zeros(width, np.int32)
         for c, to in self.edges[0].items():
             first[classes[c]] = to
         # A letter without an edge ends the phrase and begins the next one at the root;
@@ -127,24 +129,29 @@ class Model:
     codes: np.ndarray
 
 
-@lru_cache(maxsize=2)
 def model(sample: tuple[tuple[str, str], ...]) -> Model:
     """The automata of a sample; built once in each Python worker."""
+    return resident((Model, sample), lambda: _build(sample))
+
+
+def _build(sample: tuple[tuple[str, str], ...]) -> Model:
     alphabet = sorted({c for _, t in sample for c in t})
     classes = {c: k for k, c in enumerate(alphabet, 1)}
     width = len(alphabet) + 1
-    parts, roots, base = [], [], 0
-    for _, text in sample:
-        steps = Automaton(text).steps(classes, width)
-        roots.append(base * width)
-        parts.append(((steps >> 2) + base) * width * 4 + (steps & 3))
-        base += len(steps)
-    table = np.concatenate(parts).ravel()
-    codes = np.zeros(0x10000, np.int64)
+    automata = [Automaton(text) for _, text in sample]
+    sizes = [len(a.edges) for a in automata]
+    bases = np.cumsum([0, *sizes])
+    small = int(bases[-1]) * width * 4 < 2**31
+    table = np.empty((int(bases[-1]), width), np.int32 if small else np.int64)
+    for automaton, base, size in zip(automata, bases.tolist(), sizes):
+        steps = automaton.steps(classes, width)
+        automaton.edges = []
+        np.multiply((steps >> 2) + base, width * 4, out=table[base : base + size])
+        table[base : base + size] += steps & 3
+    codes = np.zeros(0x10000, np.int32)
     for c, k in classes.items():
         codes[min(ord(c), 0xFFFF)] = k
-    small = table.max(initial=0) < 2**31
-    return Model(tuple(x for x, _ in sample), table.astype(np.int32 if small else np.int64), np.array(roots), codes)
+    return Model(tuple(x for x, _ in sample), table.ravel(), bases[:-1] * width, codes)
 
 
 def phrase_counts(texts: list[str | None], m: Model, rules: LanguageRules) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,13 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.resident import resident
 from lectern.llm.storage import cut
 from lectern.llm.tokens import Uncut, Units, batches_of
 
 MARK = "▁"
 MEET = re.compile(f"[^{MARK}](?={MARK})")
 #: Units, and twice as many pairs, that a worker knows at a time.
-KEPT = 150_000
+KEPT = 250_000
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -92,6 +92,13 @@ class Model:
                 self.rank[i] = -self.score[i] if left else -1.0
                 if left:
                     self.split[i] = (self.ids[left], self.ids[piece[len(left) :]])
+        #: The same as a tree by characters; a piece's number is kept under 0 where it ends.
+        self.tree: dict = {}
+        for piece, i in self.live.items():
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[0] = i
         self.pairs: dict[tuple[int, int], bool] = {}
         #: Whether a line end always stands alone, so that lines are cut there too.
         self.lines = not any("\n" in p for p in self.ids)
@@ -152,26 +159,29 @@ class Model:
 
     def forward(self, text: str, begin: int, piece: int, end: int) -> list[tuple[int, int] | None]:
         """For each place up to end, (piece that ends there, where it begins) on the path from begin, if any."""
-        get, ids, longest, pairs = self.live.get, self.ids, self.longest, self.pairs
+        root, longest, pairs = self.tree, self.longest, self.pairs
         back: list[tuple[int, int] | None] = [None] * (end + 1)
         back[begin] = (piece, -1)
-        for at in range(begin + 1, end + 1):
-            if text[at - 1] not in ids:
-                # No piece has this character: the path goes through it from any piece.
-                if back[at - 1] is not None:
-                    back[at] = (-1, at - 1)
+        for start in range(begin, end):
+            if back[start] is None:
                 continue
-            for start in range(max(begin, at - longest), at):
-                found = get(text[start:at])
-                if found is None or back[start] is None:
+            before, at, node = back[start][0], start, root
+            for c in text[start : min(end, start + longest)]:
+                node = node.get(c)
+                if node is None:
+                    break
+                at += 1
+                found = node.get(0)
+                if found is None or back[at] is not None:
                     continue
-                before = back[start][0]
                 good = True if before < 0 else pairs.get((before, found))
                 if good is None:
                     good = self.worth(before, found)
                 if good:
                     back[at] = (found, start)
-                    break
+            if at == start and text[start] not in self.ids:
+                # No piece has this character: the path goes through it from any piece.
+                back[start + 1] = (-1, start)
         return back
 
     def trace(self, text: str, back: list, begin: int, at: int) -> list[int]:
@@ -315,10 +325,9 @@ def scan(matrices: list[list[tuple[State, State]]]) -> list[tuple[State, State]]
     return chosen[::-1]
 
 
-@lru_cache(maxsize=2)
 def model(path: str) -> Model:
     """One model, with its known units, for each Python worker."""
-    return Model(path)
+    return resident((Model, path), lambda: Model(path))
 
 
 def encode(

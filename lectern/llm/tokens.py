@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import os
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from lectern.llm.resident import resident
+
 #: Units kept in a worker: one generation being filled and the one before.
-CACHED_UNITS = 500_000
+CACHED_UNITS = 400_000
 #: Up to here letters are composed, and their lower case is one letter each.
 LATIN = "\u017f"
 DIGITS = frozenset("0123456789")
@@ -143,10 +144,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, cut: str) -> Encoder:
     """One encoder, with its units, for each Python worker."""
-    return Encoder(path, cut)
+    return resident((Encoder, path, cut), lambda: Encoder(path, cut))
 
 
 def batches_of(texts: list[str | None], letters: int = 1_000_000):
