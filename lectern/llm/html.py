@@ -49,18 +49,22 @@ CLOSES = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu", "dir"})),
     "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
     "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
-    "tr": (frozenset({"tr", "td", "th", "caption"}), frozenset({"table"})),
-    "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
-    "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
+    "tr": (frozenset({"tr", "td", "th", "caption", "colgroup"}), frozenset({"table"})),
+    "td": (frozenset({"td", "th", "colgroup"}), frozenset({"tr", "table"})),
+    "th": (frozenset({"td", "th", "colgroup"}), frozenset({"tr", "table"})),
     **{
-        k: (frozenset({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}), frozenset({"table"}))
+        k: (frozenset({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}), frozenset({"table"}))
         for k in ("thead", "tbody", "tfoot")
     },
+    **{k: (frozenset({"caption", "colgroup"}), frozenset({"table", "td", "th"})) for k in ("caption", "colgroup")},
     "body": (frozenset({"head"}), frozenset()),
 }
 #: A paragraph ends where one of these begins, unless one of the fence lies between.
 PARAGRAPH = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "legend"}
 FENCE = frozenset({"td", "th", "caption", "button", "table", "object"})
+#: Where rows or cells go, and what keeps its content from them.
+FRAME = frozenset({"table", "thead", "tbody", "tfoot", "tr"})
+CELLS = frozenset({"td", "th", "caption"})
 BREAK = object()
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -77,12 +81,14 @@ class Block:
 class Element:
     """An open element and what was laid out of it so far."""
 
-    __slots__ = ("tag", "hidden", "keeps", "parts", "number", "span")
+    __slots__ = ("tag", "hidden", "keeps", "parts", "number", "span", "framed")
 
     def __init__(self, tag: str, hidden: bool, keeps: bool):
         self.tag, self.hidden, self.keeps = tag, hidden, keeps
         self.parts: list = []
         self.number, self.span = 1, 1
+        #: Whether rows and cells in it belong to a table around it.
+        self.framed = False
 
 
 def _width(text: str) -> int:
@@ -112,7 +118,7 @@ def _flow(parts: list, keeps: bool) -> list[str]:
             apart = False
             lines.extend(x.rstrip() for x in found)
 
-    for part in parts:
+    for part in _framed(parts) if any(isinstance(x, (list, tuple)) for x in parts) else parts:
         if isinstance(part, str):
             inline.append(part)
         elif part is BREAK:
@@ -156,6 +162,38 @@ def _grid(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     return out
 
 
+def _rows(parts: list) -> list[list]:
+    """Rows among parts, where cells without a row make rows of their own."""
+    rows: list[list] = []
+    loose = None
+    for part in parts:
+        if isinstance(part, tuple):
+            if loose is None:
+                loose = []
+                rows.append(loose)
+            loose.append(part)
+        elif isinstance(part, list):
+            rows.append(part)
+            loose = None
+    return rows
+
+
+def _framed(parts: list) -> list:
+    """The parts, with rows and cells that no table holds laid out as if one did."""
+    out: list = []
+    run: list = []
+    for part in [*parts, None]:
+        if isinstance(part, (list, tuple)):
+            run.append(part)
+        elif not (run and isinstance(part, str) and part.isspace()):
+            if run:
+                out.append(Block(_grid(_rows(run)), True))
+                run = []
+            if part is not None:
+                out.append(part)
+    return out
+
+
 class Page:
     """The tree builder: feed it a page, then ask for its text."""
 
@@ -202,6 +240,7 @@ class Page:
         self._push(element)
 
     def _push(self, element: Element) -> None:
+        element.framed = element.tag in FRAME or element.tag not in CELLS and self.open[-1].framed
         self.open.append(element)
         self.count[element.tag] += 1
 
@@ -257,20 +296,24 @@ class Page:
         if done.hidden:
             return
         tag = done.tag
+        passed: list = []
+        if into.framed and tag not in FRAME and tag not in CELLS:
+            passed = [x for x in done.parts if isinstance(x, (list, tuple))]
+            if passed:
+                done.parts = [x for x in done.parts if not isinstance(x, (list, tuple))]
         if tag in ("td", "th"):
             into.parts.append((_flow(done.parts, done.keeps), done.span))
         elif tag == "tr":
             cells = [x for x in done.parts if isinstance(x, tuple)]
-            stray = _flow([x for x in done.parts if not isinstance(x, tuple)], False)
+            stray = _flow([x for x in done.parts if not isinstance(x, (list, tuple))], False)
             into.parts += [Block(stray, False)] if stray else []
+            into.parts += [x for x in done.parts if isinstance(x, list)]
             into.parts += [cells] if cells else []
         elif tag in ("thead", "tbody", "tfoot"):
             into.parts += done.parts
         elif tag == "table":
-            rows = [x for x in done.parts if isinstance(x, list)]
-            loose = [x for x in done.parts if isinstance(x, tuple)]
             around = _flow([x for x in done.parts if not isinstance(x, (list, tuple))], False)
-            into.parts.append(Block(around + _grid(rows + ([loose] if loose else [])), True))
+            into.parts.append(Block(around + _grid(_rows(done.parts)), True))
         elif tag == "li":
             mark = "- "
             if into.tag == "ol":
@@ -284,13 +327,13 @@ class Page:
             nested = tag in ("ul", "ol") and self.count["li"] > 0
             into.parts.append(Block(lines, tag in SPACED and not nested))
         else:
-            into.parts += [x for x in done.parts if isinstance(x, (str, Block)) or x is BREAK]
+            into.parts += done.parts
+        into.parts += passed
 
     def result(self) -> str:
         while len(self.open) > 1:
             self._close()
-        lines = _flow([x for x in self.open[0].parts if isinstance(x, (str, Block)) or x is BREAK], False)
-        return "\n".join(lines).strip("\n")
+        return "\n".join(_flow(self.open[0].parts, False)).strip("\n")
 
 
 def render(html: str | None) -> str:

@@ -29,3 +29,19 @@ def test_cases(spark):
     assert got == [(1, ""), (2, ""), (3, "x"), (3, "x"), (4, "deep")]
     assert render_pages(pages.limit(0)).count() == 0
     assert render("<p>word</p>" * 20_000).count("word") == 20_000
+
+
+def test_cells_within_other_elements():
+    assert render("<table><colgroup><col><tr><td>x</table>") == "x"
+    assert render("<table><colgroup><col><tbody><tr><td>x</table>y") == "x\n\ny"
+    assert render("<table><colgroup><td>x<td>y</table>") == "x  y"
+    assert render("<table><font><tr><td>a<td>b<tr><td>c</font></table>") == "a  b\nc"
+    assert render("<table><tr><b><td>a<td>b</b></table>") == "a  b"
+    assert render("<table><tr><form><td>a</td><td>b</td></form></tr></table>") == "a  b"
+    assert render("<table><center><tr><td>a</center><tr><td>b</table>") == "a\nb"
+    assert render("<table><font><td>a<td>b<tr><td>c</table>") == "a  b\nc"
+    assert render("<tr><td>x") == "x" and render("<td>x") == "x" and render("<body><tr><td>x<td>y") == "x  y"
+    assert render("<div><td>x</td></div>") == "x" and render("a<div><td>x</td>\n<td>y</td></div>b") == "a\nx  y\nb"
+    assert render("<tr><td>aa<td>b</tr>\n<tr><td>c<td>d</tr>") == "aa  b\nc   d"
+    assert render("<ul><li><tr><td>x</ul>") == "- x" and render("<table><tr><td>a<table><tr><td>b</table></table>") == "a\n\nb"
+    assert render("<table>" + "<div>" * 5000 + "<td>deep</table>") == "deep"
