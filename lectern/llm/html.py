@@ -5,8 +5,10 @@ stack of open elements. An element is laid out when it closes: inline text
 collapses to single blanks, blocks stand on lines of their own with a blank
 line where the browser leaves space, list items get bullets or numbers and
 hang, and the cells of a table are padded to columns. What a browser doesn't
-show is not emitted: head, scripts, styles, templates, hidden elements.
-Everything else is: navigation and boilerplate are visible text too.
+show is not emitted: head, scripts, styles, templates, hidden elements, the
+options of a drop-down that aren't chosen, what a drawing holds besides texts.
+Everything else is: navigation and boilerplate are visible text too. Formulas
+are inline text; parts that stand over or beside each other are kept apart.
 
 Cases: a null or empty page is an empty text; pages of any length and depth are
 rendered whole, without recursion; unclosed and stray tags are repaired; repeated
@@ -37,7 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
     "head script style template title meta link base noscript iframe noembed noframes object audio video canvas "
-    "datalist svg math map param source track area embed select rp".split()
+    "datalist map param source track area embed rp".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr menu dir fieldset".split())
 BLOCKS = SPACED | frozenset(
@@ -58,6 +60,8 @@ CLOSES = {
     },
     **{k: (frozenset({"caption", "colgroup"}), frozenset({"table", "td", "th"})) for k in ("caption", "colgroup")},
     "body": (frozenset({"head"}), frozenset()),
+    "option": (frozenset({"option"}), frozenset({"select"})),
+    "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select"})),
 }
 #: A paragraph ends where one of these begins, unless one of the fence lies between.
 PARAGRAPH = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "legend"}
@@ -65,6 +69,15 @@ FENCE = frozenset({"td", "th", "caption", "button", "table", "object"})
 #: Where rows or cells go, and what keeps its content from them.
 FRAME = frozenset({"table", "thead", "tbody", "tfoot", "tr"})
 CELLS = frozenset({"td", "th", "caption"})
+#: In drawings and formulas: what isn't shown, what HTML may stand in, and the tags of HTML that end them.
+UNDRAWN = frozenset("title desc metadata defs symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
+HOLDS_HTML = frozenset("foreignobject mi mo mn ms mtext".split())
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: What stands over or beside its neighbours in a formula or drawing, so that a blank keeps it apart.
+BESIDE = frozenset({"mtd", "mtr", "text"})
 BREAK = object()
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -78,10 +91,19 @@ class Block:
         self.lines, self.apart = lines, apart
 
 
+class Option:
+    """An option of a drop-down: its text, whether it is selected, and whether it can be."""
+
+    __slots__ = ("text", "selected", "usable")
+
+    def __init__(self, text: str, selected: bool, usable: bool):
+        self.text, self.selected, self.usable = text, selected, usable
+
+
 class Element:
     """An open element and what was laid out of it so far."""
 
-    __slots__ = ("tag", "hidden", "keeps", "parts", "number", "span", "framed")
+    __slots__ = ("tag", "hidden", "keeps", "parts", "number", "span", "framed", "given")
 
     def __init__(self, tag: str, hidden: bool, keeps: bool):
         self.tag, self.hidden, self.keeps = tag, hidden, keeps
@@ -89,6 +111,8 @@ class Element:
         self.number, self.span = 1, 1
         #: Whether rows and cells in it belong to a table around it.
         self.framed = False
+        #: Attributes, where they count when it closes.
+        self.given: dict[str, str] = {}
 
 
 def _width(text: str) -> int:
@@ -178,6 +202,16 @@ def _rows(parts: list) -> list[list]:
     return rows
 
 
+def _shown(options: list[Option], given: dict[str, str]) -> str:
+    """What a drop-down shows: the selected option or the first that can be; a list shows all."""
+    size = given.get("size", "")
+    if "multiple" in given or size.isdigit() and int(size[:9]) > 1:
+        found = options
+    else:
+        found = [x for x in options if x.selected][-1:] or [x for x in options if x.usable][:1]
+    return " ".join(x.text for x in found)
+
+
 def _framed(parts: list) -> list:
     """The parts, with rows and cells that no table holds laid out as if one did."""
     out: list = []
@@ -204,6 +238,10 @@ class Page:
 
     def start(self, tag: str, rest: str) -> None:
         given = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)} if rest.strip("/ \t\r\n") else {}
+        foreign = bool(self.count["svg"] or self.count["math"])
+        if foreign and tag in ENDS_FOREIGN:
+            self._close_first(frozenset({"svg", "math"}), HOLDS_HTML)
+            foreign = bool(self.count["svg"] or self.count["math"])
         if tag in PARAGRAPH:
             self._close_first(frozenset({"p"}), FENCE)
         if tag in CLOSES:
@@ -216,6 +254,7 @@ class Page:
         hidden = (
             top.hidden
             or tag in UNSEEN
+            or foreign and tag in UNDRAWN
             or "hidden" in given
             or tag == "dialog" and "open" not in given
             or bool(HIDDEN.search(given.get("style", "")))
@@ -237,7 +276,11 @@ class Page:
             element.number = int(given["start"][:9])
         if tag in ("td", "th") and given.get("colspan", "").isdigit():
             element.span = max(1, min(int(given["colspan"][:4]), 1000))
+        if tag in ("select", "option"):
+            element.given = given
         self._push(element)
+        if foreign and rest.endswith("/"):
+            self._close()
 
     def _push(self, element: Element) -> None:
         element.framed = element.tag in FRAME or element.tag not in CELLS and self.open[-1].framed
@@ -262,6 +305,8 @@ class Page:
 
     def text(self, data: str) -> None:
         top = self.open[-1]
+        if self.count["svg"] and not (self.count["text"] or self.count["foreignobject"]):
+            return
         if not top.hidden and not (top.tag in ("table", "thead", "tbody", "tfoot", "tr", "ul", "ol") and data.isspace()):
             top.parts.append(unescape(data) if "&" in data else data)
 
@@ -301,7 +346,17 @@ class Page:
             passed = [x for x in done.parts if isinstance(x, (list, tuple))]
             if passed:
                 done.parts = [x for x in done.parts if not isinstance(x, (list, tuple))]
-        if tag in ("td", "th"):
+        if self.count["select"] and tag != "option":
+            # Nothing but its options counts in a drop-down, however they are wrapped.
+            into.parts += done.parts
+        elif self.count["select"]:
+            text = done.given.get("label") or " ".join(" ".join(_flow(done.parts, False)).split())
+            into.parts.append(Option(unescape(text) if done.given.get("label") else text, "selected" in done.given, "disabled" not in done.given))
+        elif tag == "select":
+            into.parts.append(_shown([x for x in done.parts if isinstance(x, Option)], done.given))
+        elif tag in BESIDE and (self.count["svg"] or self.count["math"]) or into.tag == "mfrac":
+            into.parts += [" ", *done.parts, " "]
+        elif tag in ("td", "th"):
             into.parts.append((_flow(done.parts, done.keeps), done.span))
         elif tag == "tr":
             cells = [x for x in done.parts if isinstance(x, tuple)]

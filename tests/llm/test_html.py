@@ -45,3 +45,17 @@ def test_cells_within_other_elements():
     assert render("<tr><td>aa<td>b</tr>\n<tr><td>c<td>d</tr>") == "aa  b\nc   d"
     assert render("<ul><li><tr><td>x</ul>") == "- x" and render("<table><tr><td>a<table><tr><td>b</table></table>") == "a\n\nb"
     assert render("<table>" + "<div>" * 5000 + "<td>deep</table>") == "deep"
+
+
+def test_formulas_drawings_and_options():
+    assert render("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b") == "a x=2 b"
+    assert render("<math><mfrac><mn>1</mn><mn>2</mn></mfrac><mtr><mtd>3</mtd><mtd>4</mtd></mtr></math>") == "1 2 3 4"
+    drawing = "<svg><title>no</title><desc>no</desc><defs/><g>no<path d='z'/><text x=1>one<tspan>s</tspan></text><text/><text>two</text></g><metadata>no</metadata></svg>"
+    assert render(f"a {drawing} b") == "a ones two b"
+    assert render("<svg><foreignObject><p>in</p></foreignObject></svg>out") == "in\n\nout"
+    assert render("<svg><path><p>after") == "after" and render("<div hidden><svg><text>no</text></svg></div>x") == "x"
+    assert render("<p>pick <select><option>a<option selected>b &amp; c<option>d</select> now") == "pick b & c now"
+    assert render("<select>no<optgroup label=x><option disabled>a<option>b</optgroup><option>c</select>") == "b"
+    assert render("<select multiple><option>a</option><div><option label=B>b</option></div></select>") == "a B"
+    assert render("<table><tr><td><select><option>a</td><td>b</table>") == "a  b" and render("<select></select>x") == "x"
+    assert render("<datalist><option>no</datalist>x<option>y</option>") == "xy"
