@@ -325,17 +325,21 @@ def page_hash(spark, sf):
 @query(rf"""SELECT item_id, doc_id FROM documents d JOIN benchmark b
     ON contains({_collapsed_sql("lower(d.text)")}, {_collapsed_sql("lower(b.text)")})""")
 def anchor_containment(spark, sf):
-    """Documents that hold a benchmark text, blanks and case aside; found by the rarest of its inner words."""
-    docs = table(spark, sf, "documents").select("doc_id", W.collapsed(F.lower("text")).alias("page"))
-    items = table(spark, sf, "benchmark").select("item_id", W.collapsed(F.lower("text")).alias("quote"))
+    """Documents that hold a benchmark text, blanks and case aside; found by the rarest of its inner words, if it has any."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", W.collapsed(F.lower("text")).alias("page"))
+    items = table(spark, sf, "benchmark").where("text IS NOT NULL").select("item_id", W.collapsed(F.lower("text")).alias("quote"))
     postings = docs.select("doc_id", F.explode(W.word_set(F.col("page"))).alias("word"))
     # A quote's first and last word may be cut, so an inner word finds its pages.
-    inner = items.select("item_id", F.explode(W.word_set(F.regexp_extract("quote", r"^\S+\s(.*)\s\S+$", 1))).alias("word"))
+    items = items.withColumn("inner", W.word_set(F.regexp_extract("quote", r"^\S+\s(.*)\s\S+$", 1)))
+    inner = items.select("item_id", F.explode("inner").alias("word"))
     common = postings.join(inner.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
     ranked = inner.join(common, "word", "left").na.fill(0, ["df"])
     rarest = ranked.groupBy("item_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
     likely = postings.join(rarest, "word").select("item_id", "doc_id").distinct()
-    return likely.join(docs, "doc_id").join(items, "item_id").where(F.contains("page", "quote")).select("item_id", "doc_id")
+    worded = likely.join(docs, "doc_id").join(items.where(F.size("inner") > 0), "item_id").where(F.contains("page", "quote"))
+    # Quotes without an inner word meet every page.
+    wordless = docs.join(items.where(F.size("inner") == 0), F.contains("page", "quote"))
+    return worded.select("item_id", "doc_id").union(wordless.select("item_id", "doc_id"))
 
 
 @query(f"""WITH pairs AS (SELECT a.conv_id, a.turn, a.text AS answer, u.text AS evidence FROM conversations a JOIN conversations u
