@@ -8,15 +8,22 @@ phrases; the language with the fewest phrases per letter wins.
 Only letters count: case is folded, everything else becomes one blank. The
 automaton steps are deterministic, so the parse is a walk through a transition
 table, and a batch of documents walks in step, one array operation per letter.
+A table has a column per class of letters: one for each of a language's most
+frequent letters, a few that its other letters share, and one for those it
+lacks. All tables together stay within a number of bytes: the more labels and
+the larger their alphabets, the fewer letters teach each; every label is taught.
 
 Cases: a null text or one without a letter is ``und`` with score 0; documents of
 any length are parsed whole; ties go to the language first in order; without
 labelled rows every language is ``und``; rows without a label teach nothing;
-repeated rows are predicted alike; extra columns are dropped.
+repeated rows are predicted alike; extra columns pass through ``predict``
+untouched unless they bear a name that it is told to give.
 """
 
 from __future__ import annotations
 
+import random
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,18 +44,21 @@ class LanguageRules:
     """Bounds of the sample that teaches the languages.
 
     sample_documents: labelled documents read per language, chosen by a hash.
-    sample_letters: letters kept per language, so that the tables are bounded.
-    languages: labels taught, the most frequent first.
+    sample_letters: letters kept per language, dealt over its documents.
+    own, shared: classes of a language for single letters and for all others.
+    table_bytes: of all tables together.
     walkers: documents that walk in step; letters: letters of a batch in memory.
-    reject_score: pipeline documents whose score is not above it are rejected.
+    least: letters from which on a document may be told to be in no known language.
     """
 
     sample_documents: int = 200
     sample_letters: int = 40_000
-    languages: int = 100
+    own: int = 128
+    shared: int = 64
+    table_bytes: int = 96_000_000
     walkers: int = 4096
     letters: int = 2_000_000
-    reject_score: float = 0.0
+    least: int = 200
 
 
 def letters(text: str) -> str:
@@ -70,12 +80,12 @@ def _folding() -> np.ndarray:
 
 
 class Automaton:
-    """The suffix automaton of a text."""
+    """The suffix automaton of a sequence of classes."""
 
-    def __init__(self, text: str):
+    def __init__(self, sequence: list[int]):
         link, length, edges = [-1], [0], [{}]
         last = 0
-        for c in text:
+        for c in sequence:
             new = len(length)
             length.append(length[last] + 1)
             link.append(0)
@@ -100,24 +110,23 @@ class Automaton:
             last = new
         self.edges = edges
 
-    def steps(self, classes: dict[str, int], width: int) -> np.ndarray:
-        """For each state and class of letters: four times the next state, plus the phrases that end."""
-        first = np.zeros(width, np.int32)
+    def steps(self, width: int, base: int, out: np.ndarray) -> None:
+        """For each state and class: four times the place of the next state, plus the phrases that end."""
+        first = np.zeros(width, np.int64)
         for c, to in self.edges[0].items():
-            first[classes[c]] = to
+            first[c] = to
         # A letter without an edge ends the phrase and begins the next one at the root;
         # one that the language lacks is a phrase of its own.
-        table = np.repeat(np.where(first > 0, first * 4 + 1, 2)[None, :], len(self.edges), axis=0)
-        table[0] = 1
-        for state, out in enumerate(self.edges):
-            for c, to in out.items():
-                table[state, classes[c]] = to * 4
-        return table
+        out[:] = np.where(first > 0, (base + first * width) * 4 + 1, base * 4 + 2)
+        out[0] = base * 4 + 1
+        for state, edges in enumerate(self.edges):
+            for c, to in edges.items():
+                out[state, c] = (base + to * width) * 4
 
 
 @dataclass(frozen=True)
 class Model:
-    """langs; one table of all their steps; where each one's root is; the class of each code.
+    """langs; all tables in one; where each one's root is; the number of each code, and its class per language.
 
     States are numbered by their first place in the table, so that a step is
     one addition and one lookup.
@@ -127,31 +136,51 @@ class Model:
     table: np.ndarray
     roots: np.ndarray
     codes: np.ndarray
-
-
-def model(sample: tuple[tuple[str, str], ...]) -> Model:
-    """The automata of a sample; built once in each Python worker."""
-    return resident((Model, sample), lambda: _build(sample))
-
-
-def _build(sample: tuple[tuple[str, str], ...]) -> Model:
-    alphabet = sorted({c for _, t in sample for c in t})
-    classes = {c: k for k, c in enumerate(alphabet, 1)}
-    width = len(alphabet) + 1
-    automata = [Automaton(text) for _, text in sample]
-    sizes = [len(a.edges) for a in automata]
-    bases = np.cumsum([0, *sizes])
-    small = int(bases[-1]) * width * 4 < 2**31
-    table = np.empty((int(bases[-1]), width), np.int32 if small else np.int64)
-    for automaton, base, size in zip(automata, bases.tolist(), sizes):
-        steps = automaton.steps(classes, width)
+    classes: np.ndarray
+
+
+Sample = tuple[tuple[str, str], ...]
+
+
+def model(sample: Sample, rules: LanguageRules = LanguageRules()):
+    """The automata of a sample, built once in each Python worker, to be used in a ``with``."""
+    return resident((Model, sample, rules), lambda: build(sample, rules))
+
+
+def _classes(text: str, rules: LanguageRules) -> dict[str, int]:
+    """The class of each letter of a language: the most frequent have their own, others share some by their code."""
+    ranked = sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))
+    found = {c: k for k, (c, _) in enumerate(ranked[: rules.own], 1)}
+    return found | {c: rules.own + 1 + ord(c) * 40503 % 65521 % rules.shared for c, _ in ranked[rules.own :]}
+
+
+def build(sample: Sample, rules: LanguageRules = LanguageRules()) -> Model:
+    """All tables of a sample; texts give way at their ends where the tables would be too large."""
+    room = rules.table_bytes // max(1, len(sample))
+    bases, widths, automata, own = [0], [], [], []
+    for _, text in sample:
+        classes = _classes(text, rules)
+        width = max(classes.values(), default=0) + 1
+        # An automaton has less than two states to a letter.
+        most = max(1, room // (8 * width))
+        automaton = Automaton([classes[c] for c in text[:most]])
+        own.append(classes)
+        automata.append(automaton)
+        widths.append(width)
+        bases.append(bases[-1] + len(automaton.edges) * width)
+    table = np.empty(bases[-1], np.int32 if bases[-1] * 4 < 2**31 else np.int64)
+    for automaton, base, width in zip(automata, bases, widths):
+        size = len(automaton.edges)
+        automaton.steps(width, base, table[base : base + size * width].reshape(size, width))
         automaton.edges = []
-        np.multiply((steps >> 2) + base, width * 4, out=table[base : base + size])
-        table[base : base + size] += steps & 3
-    codes = np.zeros(0x10000, np.int32)
-    for c, k in classes.items():
-        codes[min(ord(c), 0xFFFF)] = k
-    return Model(tuple(x for x, _ in sample), table.ravel(), bases[:-1] * width, codes)
+    alphabet = sorted({min(ord(c), 0xFFFF) for classes in own for c in classes})
+    codes = np.zeros(0x10000, np.uint16)
+    codes[alphabet] = np.arange(1, len(alphabet) + 1)
+    by_code = np.zeros((len(sample), len(alphabet) + 1), np.uint8)
+    for i, classes in enumerate(own):
+        for c, k in classes.items():
+            by_code[i, codes[min(ord(c), 0xFFFF)]] = k
+    return Model(tuple(x for x, _ in sample), table, np.array(bases[:-1], np.int64), codes, by_code)
 
 
 def phrase_counts(texts: list[str | None], m: Model, rules: LanguageRules) -> tuple[np.ndarray, np.ndarray]:
@@ -177,11 +206,11 @@ def phrase_counts(texts: list[str | None], m: Model, rules: LanguageRules) -> tu
     trailing = (sizes > 0) & (kept[np.maximum(stops - 1, 0)] == 32) if len(kept) else np.zeros(len(texts), bool)
     sizes = sizes - trailing
     counts = np.zeros((len(m.langs), len(texts)), np.int64)
-    classes = m.codes[kept]
+    numbers = m.codes[kept]
     order = np.argsort(-sizes, kind="stable")
     for at in range(0, len(order), rules.walkers):
         group = order[at : at + rules.walkers]
-        counts[:, group] = _walk(m, classes, starts[group], sizes[group])
+        counts[:, group] = _walk(m, numbers, starts[group], sizes[group])
     return counts, sizes
 
 
@@ -189,7 +218,7 @@ def phrase_counts(texts: list[str | None], m: Model, rules: LanguageRules) -> tu
 FEW = 20
 
 
-def _walk(m: Model, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _walk(m: Model, numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Phrases per language and text, the last, open one included: texts, longest first, walk through all tables in step."""
     n = len(sizes)
     found = np.zeros((len(m.roots), n), np.int64)
@@ -198,16 +227,16 @@ def _walk(m: Model, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray)
     # How many texts are still walking at each step.
     alive = np.searchsorted(-sizes, -np.arange(together), side="left")
     for step, k in enumerate(alive.tolist()):
-        at = states[:, :k] + classes[starts[:k] + step]
+        at = states[:, :k] + m.classes.take(numbers[starts[:k] + step], axis=1)
         value = m.table.take(at)
         found[:, :k] += value & 3
         states[:, :k] = value >> 2
     table = memoryview(m.table)
     for i in range(min(FEW, n)):
-        rest = classes[starts[i] + together : starts[i] + sizes[i]].tolist()
+        rest = numbers[starts[i] + together : starts[i] + sizes[i]]
         for j in range(len(m.roots)):
             state, ends = int(states[j, i]), 0
-            for c in rest:
+            for c in m.classes[j][rest].tolist():
                 value = table[state + c]
                 ends += value & 3
                 state = value >> 2
@@ -216,69 +245,101 @@ def _walk(m: Model, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray)
     return found + (states != m.roots[:, None])
 
 
-def learn(docs: DataFrame, rules: LanguageRules, teach: Column, text: str, lang: str, key: str) -> tuple:
-    """A bounded sample of labelled text: ((language, folded text), ...), in order of language."""
-    spark = docs.sparkSession
+def learn(docs: DataFrame, rules: LanguageRules, teach: Column, text: str, lang: str, key: str) -> Sample:
+    """A bounded sample of labelled text: ((language, folded text), ...), in order of language.
+
+    Each of a language's documents, chosen by a hash, gives a stretch that
+    begins at a place chosen by the hash, so that no text is known by its head.
+    """
     rows = docs.where(teach & F.col(lang).isNotNull()).select(
-        F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(key), F.col(text)).alias("h")
+        F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t")
     )
-    taught = [r["l"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(rules.languages).collect()]
-    if not taught:
+    # One row per label, which the tables hold anyway.
+    counts = [(r["l"], r["count"]) for r in rows.groupBy("l").count().collect()]
+    if not counts:
         return ()
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
-    chosen = rows.where(F.col("l").isin(taught)).withColumn("r", rank).where(F.col("r") <= rules.sample_documents)
-    picked = chosen.select(F.col("l").alias("p_lang"), F.col("h").alias("p_hash"))
-    # Bounded: languages times sample_documents rows.
-    hashed = docs.where(teach).withColumn("p_hash", F.xxhash64(F.col(key), F.col(text)))
-    texts = hashed.join(F.broadcast(picked), "p_hash", "left_semi").select(
-        F.col(lang).cast("string").alias("l"), "p_hash", F.substring(F.col(text), 1, rules.sample_letters).alias("t")
-    )
-    taken: dict[str, list[str]] = {x: [] for x in taught}
-    room = dict.fromkeys(taught, rules.sample_letters)
-    for r in texts.orderBy("p_hash").toLocalIterator():
-        if r["l"] in room and room[r["l"]] > 0 and r["t"]:
-            part = letters(r["t"])[: room[r["l"]]]
+    # As many letters as the tables take of a language with a small alphabet.
+    room = max(1, min(rules.sample_letters, rules.table_bytes // (len(counts) * 8 * 24)))
+    share = [(x, -(-2 * room // min(n, rules.sample_documents))) for x, n in counts]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(share, "s_lang string, share int"))
+    begin = F.pmod(F.col("h"), F.greatest(F.length("t") - F.col("share") + 1, F.lit(1))).cast("int") + 1
+    stretches = rows.join(shares, F.col("l") == F.col("s_lang")).select("l", "h", F.substring(F.col("t"), begin, F.col("share")).alias("t"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+    chosen = stretches.withColumn("r", rank).where(F.col("r") <= rules.sample_documents)
+    taken: dict[str, list[str]] = {x: [] for x, _ in counts}
+    left = dict.fromkeys(taken, room)
+    for r in chosen.orderBy("l", "r").toLocalIterator():
+        part = letters(r["t"])[: max(left[r["l"]], 0)]
+        if part:
             taken[r["l"]].append(part)
-            room[r["l"]] -= len(part) + 1
-    return tuple((x, " ".join(parts)) for x in sorted(taken) if (parts := taken[x]) and any(parts))
+            left[r["l"]] -= len(part) + 1
+    return tuple((x, " ".join(parts)) for x in sorted(taken) if (parts := taken[x]))
+
 
+def limits(sample: Sample, rules: LanguageRules = LanguageRules()) -> dict[str, float]:
+    """Phrases per letter, for each language, beyond which a text is in no known language.
 
-def predict(docs: DataFrame, sample: tuple, rules: LanguageRules = LanguageRules(), text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score: 1 less the winner's phrases over the runner-up's."""
+    A tenth of a language's letters is kept apart and parsed against the rest,
+    as it is and shuffled; the limit lies midway between the two.
+    """
+    rng, out = random.Random(0), {}
+    for lang, text in sample:
+        begin = len(text) * 9 // 10
+        rest, own = text[:begin], letters(text[begin:])
+        if len(own) < 2 or not letters(rest):
+            out[lang] = float("inf")
+            continue
+        order = list(own)
+        rng.shuffle(order)
+        counts, sizes = phrase_counts([own, "".join(order)], build(((lang, rest),), rules), rules)
+        out[lang] = float((counts[0] / np.maximum(sizes, 1)).mean())
+    return out
+
+
+#: Names of what ``predict`` adds: the language, 1 less the winner's phrases over the runner-up's, and the winner's phrases to a letter.
+NAMES = ("lang_pred", "score", "phrase_rate")
+
+
+def predict(
+    docs: DataFrame, sample: Sample, rules: LanguageRules = LanguageRules(), text: str = "text", names: tuple[str, str, str] = NAMES
+) -> DataFrame:
+    """``docs`` with the three columns of ``names``; the rate is null where a text has fewer letters than ``least``."""
+    kept = [f for f in docs.schema if f.name not in names]
+
+    def predicted(texts: list[str | None], taught: Model | None) -> tuple[list, list, list]:
+        if taught is None:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
+        counts, sizes = phrase_counts(texts, taught, rules)
+        ranked = np.sort(counts, axis=0)
+        second = ranked[1] if len(counts) > 1 else sizes
+        score = np.where(sizes > 0, 1 - ranked[0] / np.maximum(second, 1), 0.0).clip(0, 1)
+        best = counts.argmin(axis=0)
+        langs = [taught.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), sizes.tolist())]
+        rates = [n / s if s >= rules.least else None for n, s in zip(ranked[0].tolist(), sizes.tolist())]
+        return langs, score.tolist(), rates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taught = model(sample) if sample else None
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            langs, scores, at = [], [], 0
-            while at < len(texts):
-                # As many documents at once as their letters allow, one at least.
-                end, total = at, 0
-                while end < len(texts) and (end == at or total < rules.letters):
-                    total += len(texts[end] or "")
-                    end += 1
-                part = texts[at:end]
-                at = end
-                if taught is None:
-                    langs += [UNKNOWN] * len(part)
-                    scores += [0.0] * len(part)
-                    continue
-                counts, sizes = phrase_counts(part, taught, rules)
-                ranked = np.sort(counts, axis=0)
-                second = ranked[1] if len(counts) > 1 else sizes
-                score = np.where(sizes > 0, 1 - ranked[0] / np.maximum(second, 1), 0.0).clip(0, 1)
-                best = counts.argmin(axis=0)
-                langs += [taught.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), sizes.tolist())]
-                scores += score.tolist()
-            columns = [batch.column(i) for i, f in enumerate(batch.schema) if f.name not in ("lang_pred", "score")]
-            names = [f.name for f in batch.schema if f.name not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*names, "lang_pred", "score"],
-            )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("lang_pred", "score"))
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+        # The classes of a batch are kept for every language.
+        most = min(rules.letters, 16 * rules.letters // max(1, len(sample)))
+        with model(sample, rules) as taught:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                langs, scores, rates, at = [], [], [], 0
+                while at < len(texts):
+                    # As many documents at once as their letters allow, one at least.
+                    end, total = at, 0
+                    while end < len(texts) and (end == at or total < most):
+                        total += len(texts[end] or "")
+                        end += 1
+                    for whole, part in zip((langs, scores, rates), predicted(texts[at:end], taught if sample else None)):
+                        whole += part
+                    at = end
+                columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+                found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*columns, *found], names=[*(f.name for f in kept), *names])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return docs.mapInArrow(run, f"{fields}`{names[0]}` string, `{names[1]}` double, `{names[2]}` double")
 
 
 def identify(
@@ -291,4 +352,4 @@ def identify(
 ) -> DataFrame:
     """(key, lang_pred, score) per row; ``teach`` selects the rows that may be learned from."""
     sample = learn(docs, rules, F.lit(True) if teach is None else teach, text, lang, key)
-    return predict(docs.select(key, text), sample, rules, text).drop(text)
+    return predict(docs.select(key, text), sample, rules, text).drop(text, NAMES[2])

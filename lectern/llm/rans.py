@@ -196,30 +196,30 @@ def write(docs: DataFrame, path: str, config: TokenFiles, text: str = "text", ke
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = encoder(config.path, config.cut)
-        end = np.array([config.end_id], tok.dtype).tobytes()
-        width, shard, seq = tok.dtype.itemsize, TaskContext.get().partitionId(), 0
-        keys, sizes, held, total = [], [], [], 0
-
-        def record() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), tok.dtype)
-            row = {"shard": shard, "seq": seq, "n_docs": len(keys), "n_tokens": total}
-            row["record"] = encode_record(keys, sizes, ids, config)
-            return pa.RecordBatch.from_pylist([row], schema=_arrow())
-
-        for batch in batches:
-            texts, names = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for a, b in batches_of(texts):
-                for k, ids in zip(names[a:b], tok.encode(texts[a:b])):
-                    keys.append(k)
-                    held += (ids, end)
-                    sizes.append(len(ids) // width + 1)
-                    total += sizes[-1]
-                    if total >= config.record_tokens:
-                        yield record()
-                        keys, sizes, held, total, seq = [], [], [], 0, seq + 1
-        if keys:
-            yield record()
+        with encoder(config.path, config.cut) as tok:
+            end = np.array([config.end_id], tok.dtype).tobytes()
+            width, shard, seq = tok.dtype.itemsize, TaskContext.get().partitionId(), 0
+            keys, sizes, held, total = [], [], [], 0
+
+            def record() -> pa.RecordBatch:
+                ids = np.frombuffer(b"".join(held), tok.dtype)
+                row = {"shard": shard, "seq": seq, "n_docs": len(keys), "n_tokens": total}
+                row["record"] = encode_record(keys, sizes, ids, config)
+                return pa.RecordBatch.from_pylist([row], schema=_arrow())
+
+            for batch in batches:
+                texts, names = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+                for a, b in batches_of(texts):
+                    for k, ids in zip(names[a:b], tok.encode(texts[a:b])):
+                        keys.append(k)
+                        held += (ids, end)
+                        sizes.append(len(ids) // width + 1)
+                        total += sizes[-1]
+                        if total >= config.record_tokens:
+                            yield record()
+                            keys, sizes, held, total, seq = [], [], [], 0, seq + 1
+            if keys:
+                yield record()
 
     ranged.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(path)
 

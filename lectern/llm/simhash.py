@@ -15,7 +15,8 @@ and every two blocks meet in a task of their own; what leaves a task is a
 spanning forest of its links, never all pairs.
 
 Cases: a null or blank text has no words, fingerprint zero, and links like any
-other; a text shorter than a shingle is one shingle; repeated rows share their
+other; so do rows without a key, whose component is named by another row's key
+or, where there is none, by null; a text shorter than a shingle is one shingle; repeated rows share their
 fingerprint; an empty table gives an empty result; extra columns are dropped.
 """
 
@@ -51,7 +52,7 @@ class SimHash:
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
+    """The unsigned 64-bit fingerprint of one text, of all its shingles."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(tokens)
     if not n:
@@ -65,8 +66,12 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         starts = (ends - sizes)[: n - words + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes."""
     counts = np.zeros(64, np.int64)
-    values = np.array(hashes, dtype="<u8")
     for at in range(0, len(values), COUNTED):
         part = values[at : at + COUNTED].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -102,7 +107,7 @@ def _filed(distinct: DataFrame) -> DataFrame:
     return distinct.select("rep", "fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def chained(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Whether some chain from a to b stays within the proportional budgets all around."""
     diff = (a ^ b).astype("<u8")
     per = np.bitwise_count(diff[..., None].view(np.uint8)).astype(np.int16)
@@ -110,7 +115,7 @@ def chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     good = np.zeros(diff.shape, bool)
     for start in range(SEGMENTS):
         total = np.cumsum(ring[..., start : start + SEGMENTS], axis=-1)
-        good |= (total * SEGMENTS <= np.arange(1, SEGMENTS + 1) * BITS).all(axis=-1)
+        good |= (total * SEGMENTS <= np.arange(1, SEGMENTS + 1) * bits).all(axis=-1)
     return good
 
 
@@ -193,11 +198,12 @@ def near_duplicates(
 ) -> DataFrame:
     """(key, fingerprint, component_id) per row; the component is its smallest key."""
     marked = cut(fingerprints(docs, config, text, key))
-    distinct = cut(marked.groupBy("fp").agg(F.min("k").cast("long").alias("rep")).where("rep is not null"))
-    found = components(links(distinct, config))
-    named = distinct.join(found, F.col("rep") == F.col("node"), "left").select(
-        F.col("fp").alias("own_fp"), F.coalesce("component", "rep").alias("component_id")
-    )
-    return marked.join(named, F.col("fp") == F.col("own_fp"), "left").select(
+    # Fingerprints name themselves, so rows without a key link like any other.
+    distinct = cut(marked.groupBy("fp").agg(F.min("k").alias("least")).select("fp", F.col("fp").alias("rep"), "least"))
+    found = components(links(distinct.select("rep", "fp"), config))
+    named = cut(distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("part")))
+    first = named.groupBy("part").agg(F.min("least").alias("component_id"))
+    placed = named.join(first, "part").select(F.col("fp").alias("own_fp"), "component_id")
+    return marked.join(placed, F.col("fp") == F.col("own_fp"), "left").select(
         F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

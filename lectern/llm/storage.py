@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is named (tests)."""
+    """The folder all executors share; a temporary one only on a single machine where none is named (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if root is None:
         root = context.getCheckpointDir()
     if root is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         root = "file://" + tempfile.mkdtemp(prefix="lectern-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)

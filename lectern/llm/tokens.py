@@ -8,6 +8,11 @@ cuts give the same ids as encoding the whole text:
 * ``bytes`` (byte-level vocabularies that keep it): at a single blank or line
   end between two characters that are not white space; a text with any other
   white space at a cut is encoded whole.
+
+Units go to the library as they are, so normalizing and the strings of special
+tokens, which hold no blank, come out as in the whole text: as the library has
+it by default, or as ordinary text where ``plain_specials`` is set. Only short
+units are looked up; what a worker keeps is bounded in bytes.
 """
 
 from __future__ import annotations
@@ -19,8 +24,8 @@ import numpy as np
 
 from lectern.llm.resident import resident
 
-#: Units kept in a worker: one generation being filled and the one before.
-CACHED_UNITS = 400_000
+#: Units kept in a worker: one generation being filled and the one before; longer ones are never kept.
+CACHED_UNITS, LONGEST_UNIT = 300_000, 32
 #: Up to here letters are composed, and their lower case is one letter each.
 LATIN = "\u017f"
 DIGITS = frozenset("0123456789")
@@ -47,7 +52,8 @@ class Units(dict):
         known = self.old.get(unit)
         if known is None:
             known = self.make(unit)
-        self[unit] = known
+        if len(unit) <= LONGEST_UNIT and 4 * len(self) < 5 * self.most:
+            self[unit] = known
         return known
 
     def age(self) -> None:
@@ -60,22 +66,21 @@ class Uncut(Exception):
     """White space stands where the cuts don't cover it: the text must be encoded whole."""
 
 
-def _lower(text: str) -> str:
-    """Lower case letter by letter, as the vocabularies have it, whatever stands around."""
-    if "\u03a3" in text or "\u0130" in text:
-        return "".join(map(str.lower, text))
-    return text.lower()
+def _plain(c: str) -> bool:
+    """A letter or digit that stays one, after which punctuation is a pre-token of its own."""
+    return c <= LATIN and c != "\u0130" and c.isalpha() or c in DIGITS
 
 
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned integers of ``dtype``."""
 
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        if plain_specials:
+            self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cut = cut
         self.model = self.tokenizer.model
@@ -89,6 +94,8 @@ class Encoder:
 
     def _word(self, word: str, lead: str) -> bytes | None:
         """Ids of a plain Latin word: one pre-token, so it goes straight to the merges."""
+        if self.cut == "words":
+            word = word.lower()
         if not word.isascii():
             if max(word) > LATIN:
                 return None
@@ -100,7 +107,7 @@ class Encoder:
         found = self._word(unit, "") if unit.isalpha() else None
         if found is None:
             head = unit.rstrip(".,")
-            if 0 < len(head) < len(unit) and (head[-1].isalpha() or head[-1] in DIGITS):
+            if 0 < len(head) < len(unit) and _plain(head[-1]):
                 return self.bare[head] + self.bare[unit[len(head) :]]
             found = self._whole(unit)
         return found
@@ -117,7 +124,7 @@ class Encoder:
         found = self._word(unit, self.lead) if unit.isalpha() else None
         if found is None:
             head = unit.rstrip(".,")
-            if 0 < len(head) < len(unit) and (head[-1].isalpha() or head[-1] in DIGITS):
+            if 0 < len(head) < len(unit) and _plain(head[-1]):
                 return self.spaced[head] + self.bare[unit[len(head) :]]
             found = self._whole(" " + unit)
         return found
@@ -128,7 +135,7 @@ class Encoder:
     def _by_words(self, texts: list[str | None]) -> list[bytes]:
         self.bare.age()
         get = self.bare.__getitem__
-        return [b"".join(map(get, _lower(t).replace("\n", " ").split(" "))) if t else b"" for t in texts]
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
     def _by_bytes(self, texts: list[str | None]) -> list[bytes]:
         self.bare.age()
@@ -144,9 +151,9 @@ class Encoder:
         return out
 
 
-def encoder(path: str, cut: str) -> Encoder:
-    """One encoder, with its units, for each Python worker."""
-    return resident((Encoder, path, cut), lambda: Encoder(path, cut))
+def encoder(path: str, cut: str, plain_specials: bool = False):
+    """One encoder, with its units, for each Python worker, to be used in a ``with``."""
+    return resident((Encoder, path, cut, plain_specials), lambda: Encoder(path, cut, plain_specials))
 
 
 def batches_of(texts: list[str | None], letters: int = 1_000_000):

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ TEXTS = ["THE Dog!! runs", "der hund läuft", "", None, "123 #", "x", "жук th
 
 
 def test_phrases_against_plain_search():
-    counts, sizes = L.phrase_counts(TEXTS, L.model(SAMPLE), L.LanguageRules())
+    counts, sizes = L.phrase_counts(TEXTS, L.build(SAMPLE), L.LanguageRules())
     for i, text in enumerate(TEXTS):
         folded = L.letters(text or "")
         assert sizes[i] == len(folded), text
@@ -36,11 +37,59 @@ def test_phrases_against_plain_search():
 
 def test_many_texts_in_step():
     texts = [(EN if i % 2 else DE)[i : i + 30 + i] for i in range(100)]
-    counts, _ = L.phrase_counts(texts, L.model(SAMPLE), L.LanguageRules(walkers=64))
+    counts, _ = L.phrase_counts(texts, L.build(SAMPLE), L.LanguageRules(walkers=64))
     for i, text in enumerate(texts):
         assert counts[:, i].tolist() == [brute(L.letters(text), known) for _, known in SAMPLE]
 
 
+def test_large_alphabets_stay_within_the_bytes():
+    rng = random.Random(1)
+    wide = "".join(chr(0x4E00 + min(int(rng.expovariate(1 / 400)), 2999)) for _ in range(40_000))
+    rules = L.LanguageRules()
+    m = L.build((("en", L.letters(EN * 400)[:40_000]), ("zh", wide)), rules)
+    assert m.table.nbytes + m.classes.nbytes + m.codes.nbytes <= 200_000_000
+    counts, _ = L.phrase_counts([wide[500:560], EN], m, rules)
+    assert counts.argmin(axis=0).tolist() == [1, 0]
+
+
+def test_every_label_is_taught(spark):
+    rng = random.Random(2)
+    words = {f"l{k:03}": ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(30)] for k in range(130)}
+    rows = [(10 * i + j, " ".join(rng.choices(w, k=40)), x) for i, (x, w) in enumerate(words.items()) for j in range(4)]
+    rules = L.LanguageRules(table_bytes=20_000_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = L.learn(docs, rules, F.col("doc_id") % 10 != 3, "text", "lang", "doc_id")
+    assert [x for x, _ in sample] == sorted(words) and L.build(sample, rules).table.nbytes <= 20_000_000
+    got = L.predict(docs.where("doc_id % 10 = 3"), sample, rules).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_predictions_against_plain_search(spark):
+    rules = L.LanguageRules(least=5)
+    rows = [(i, t, 7) for i, t in enumerate(TEXTS) if all(ord(c) < 0x10000 for c in t or "")]
+    got = L.predict(spark.createDataFrame(rows, "doc_id long, text string, score int"), SAMPLE, rules, names=("l", "s", "r")).collect()
+    for r in got:
+        folded = L.letters(r["text"] or "")
+        assert r["score"] == 7
+        if not folded:
+            assert (r["l"], r["s"], r["r"]) == ("und", 0.0, None)
+            continue
+        counts = [brute(folded, known) for _, known in SAMPLE]
+        assert r["l"] == SAMPLE[counts.index(min(counts))][0]
+        assert r["s"] == pytest.approx(1 - min(counts) / max(counts))
+        assert r["r"] == (min(counts) / len(folded) if len(folded) >= 5 else None)
+
+
+def test_limits_tell_language_from_noise():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 6))) for _ in range(200)]
+    text = " ".join(rng.choices(words, k=6000))
+    limit = L.limits((("x", text), ("y", "a")))
+    noise = "".join(rng.choices("etaoinshrdlu ", k=2000))
+    counts, sizes = L.phrase_counts([text[5000:7000], L.letters(noise)], L.build((("x", text[:30_000]),)), L.LanguageRules())
+    assert counts[0][0] / sizes[0] < limit["x"] < counts[0][1] / sizes[1] and limit["y"] == float("inf")
+
+
 def corpus(spark):
     rows = [(i, (EN if i % 2 else DE)[i % 9 :] + f" {i}", "en" if i % 2 else "de", 1) for i in range(40)]
     rows += [(100, None, "en", 1), (101, "12 34", "en", 1), (102, EN, None, 1), (102, EN, None, 1), (None, DE, "de", 1)]

@@ -9,19 +9,18 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lectern.llm import packing, rans
-from lectern.llm.tokens import Encoder, encoder
+from lectern.llm.tokens import LONGEST_UNIT, Encoder, Units
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
     "", "plain words, and Words.", "  two  spaces ", "\n\nx\n", "日本語 текст É é. ÉÉ,", "x" * 300, "\ttab nb", "😀 it's We're,. a.b,c.",
-    "<|endoftext|> <|startoftext|>", "ΑΣ. İstanbul ſ", "end.\nStart 12 3,4", "é é.", "a\x1cb c\x85d",
+    "<|endoftext|> <|startoftext|>", "a<|endoftext|>. <|ENDOFTEXT|>b\n<|startoftext|>c, <|endoftext|>", "\u0130\u0e49 \u0130\u0345x", "ΑΣ. İstanbul ſ", "end.\nStart 12 3,4", "é é.", "a\x1cb c\x85d",
 ]
 
 
 @lru_cache
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -32,15 +31,40 @@ def test_ids_equal_the_library(path, cut):
         assert np.frombuffer(ids, "<u2").tolist() == expected(text), text
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text("ab 'sR.,\n\tÉé1İΣ́!", max_size=30), max_size=5))
+@lru_cache
+def known(path, cut):
+    return Encoder(path, cut)
+
+
+PARTS = st.sampled_from([*"ab 'sR.,\n\tÉé1İΣ\u0301\u0e49!", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "don't", "日本", " the "])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.lists(PARTS, max_size=20).map("".join), st.text(max_size=20)), max_size=6))
 def test_ids_of_odd_texts(texts):
     for path, cut in ((WORDS, "words"), (BYTES, "bytes")):
         expected = library(path)
-        for text, ids in zip(texts, encoder(path, cut).encode(texts)):
+        for text, ids in zip(texts, known(path, cut).encode(texts)):
             assert np.frombuffer(ids, "<u2").tolist() == expected(text)
 
 
+def test_special_strings_as_ordinary_text():
+    t = Tokenizer.from_file(BYTES)
+    t.encode_special_tokens = True
+    text = "a <|endoftext|> b"
+    ids = Encoder(BYTES, "bytes", plain_specials=True).encode([text])[0]
+    assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_units_are_bounded():
+    units = Units(lambda u: u.encode(), 10)
+    assert units["x" * (LONGEST_UNIT + 1)] and not units
+    for i in range(1000):
+        assert units[str(i)] == str(i).encode()
+        units.age()
+        assert len(units) <= 20 and len(units.old) <= 20
+
+
 @pytest.mark.parametrize("n, kinds", [(1, 1), (5, 3), (1000, 1), (40_000, 49_000), (70_000, 7)])
 def test_block_round_trip_and_checkpoints(n, kinds):
     ids = (np.random.default_rng(n).zipf(1.3, n) % kinds).astype(np.uint16)
