@@ -1,10 +1,15 @@
 """Quality rules with adaptive limits from mergeable quantile sketches.
 
-Every document is measured on its whole text inside the JVM. A KLL sketch per
-(language, source) group summarises each ratio; the sketches of the groups of
-one language merge into that language's sketch, which serves groups too small
-to speak for themselves. The limits are outlier fences of those sketches and
-come back to the rows by an equi-join on the group key.
+Every document is measured on its whole text inside the JVM. A sketch per
+(language, source) group summarises each ratio of the documents that pass the
+base rules: counts in buckets whose width grows with their value, an error of
+three percent at most. Such sketches merge by adding counts, in any order and
+with the same result; those of a language's groups merge into the language's,
+which serves groups too small to speak for themselves.
+
+Limits are fences in the scale of ratios: the upper quartile times a power of
+the quartiles' quotient. No width and no limit is a constant; the sketches alone
+decide. They come back to the rows by an equi-join on the group key.
 
 Cases: a null text is an empty one (no words, rejected); a null language or
 source forms a group of its own, named by the empty string; repeated rows are
@@ -18,8 +23,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lectern.llm.storage import cut, let
+from lectern.llm.storage import cut, let, unused
 
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -27,28 +33,32 @@ SYMBOLS = "[#*$%&|<>]"
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@dataclass(frozen=True)
+class Ratio:
+    """A count over another one, both plus one. fence: quartile quotients beyond the quartile that still pass; low: whether below it too."""
+
+    name: str
+    count: str
+    of: str
+    fence: int
+    low: bool = False
+
+
 @dataclass(frozen=True)
 class QualityRules:
     """Base limits, and how the adaptive ones are drawn from the sketches.
 
-    fence: interquartile ranges beyond the quartiles that still pass.
-    spread: least width of a fence per ratio, so that groups whose documents
-    are all alike don't reject documents for a trifle.
-    min_group: documents that a group needs to have limits of its own.
-    detail: size of a sketch; its rank error is about 1.3 / detail, and limits
-    are rounded to hundredths, so that the chance in it hardly ever shows.
+    min_group: passing documents that a group needs to have limits of its own.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    fence: float = 3.0
     min_group: int = 100
-    detail: int = 4096
-    spread: tuple[tuple[str, float], ...] = (
-        ("symbol_ratio", 0.10),
-        ("dup_line_ratio", 0.40),
-        ("repeat_ratio", 0.30),
-        ("word_length", 1.5),
+    ratios: tuple[Ratio, ...] = (
+        Ratio("symbols", "n_symbols", "n_words", 2),
+        Ratio("dup_lines", "n_dup_lines", "n_lines", 4),
+        Ratio("repeats", "n_repeat_words", "n_words", 4),
+        Ratio("word_length", "word_chars", "n_words", 5, True),
     )
 
 
@@ -124,37 +134,67 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _ratios() -> dict[str, Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return {
-        "symbol_ratio": F.col("n_symbols") / words,
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
-        "repeat_ratio": F.col("n_repeat_words") / words,
-        "word_length": F.col("word_chars") / words,
-    }
+#: Ratios are whole numbers of this part; buckets up to LINEAR hold one value, later ones a sixteenth of their power of two.
+UNIT, LINEAR = 1 << 20, 32
 
 
-def limits(measured: DataFrame, rules: QualityRules) -> DataFrame:
-    """One row per (language, source) with the fences that hold there."""
-    names = list(_ratios())
-    sketches = measured.groupBy("q_lang", "q_source").agg(
-        F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, F.lit(rules.detail)).alias(c) for c in names]
-    )
-    by_language = sketches.groupBy("q_lang").agg(
-        F.sum("n").alias("n_all"), *[F.kll_merge_agg_double(c, F.lit(rules.detail)).alias(f"{c}_all") for c in names]
-    )
-    joined = sketches.join(by_language, "q_lang")
-    own = F.col("n") >= rules.min_group
-    out = joined.select(
-        "q_lang", "q_source", "n", "n_all", *[F.when(own, F.col(c)).otherwise(F.col(f"{c}_all")).alias(c) for c in names]
-    )
-    spread = dict(rules.spread)
+def scaled(ratio: Ratio) -> Column:
+    """The ratio in units; one more of either keeps zero counts apart by the length of their text."""
+    return F.call_function("div", (F.col(ratio.count) + 1) * F.lit(UNIT), F.col(ratio.of) + 1)
+
+
+def bucket(value: Column) -> Column:
+    """The sketch's bucket of a value: its power of two and the four bits that follow the first."""
+    bits = F.length(F.bin(value))
+    shifted = F.call_function("shiftright", value, F.greatest(bits - 5, F.lit(0)))
+    return F.when(value < LINEAR, value).otherwise(bits.cast("long") * LINEAR + shifted)
+
+
+def edge(found: Column, upper: int) -> Column:
+    """Where a bucket begins (0) or ends (1)."""
+    power = F.pow(F.lit(2.0), F.call_function("div", found, F.lit(LINEAR)) - 5)
+    return F.when(found < LINEAR, found.cast("double")).otherwise((F.pmod(found, F.lit(LINEAR)) + upper) * power)
+
+
+def sketches(passed: DataFrame, ratios: tuple[Ratio, ...]) -> DataFrame:
+    """(q_lang, q_source, ratio, bucket, n): the sketches of all groups, a few hundred buckets each at most."""
+    each = F.array(*[F.struct(F.lit(r.name).alias("ratio"), bucket(scaled(r)).alias("bucket")) for r in ratios])
+    rows = passed.select("q_lang", "q_source", F.explode(each).alias("x")).select("q_lang", "q_source", "x.ratio", "x.bucket")
+    return rows.groupBy("q_lang", "q_source", "ratio", "bucket").agg(F.count("*").alias("n"))
+
+
+def merged(found: DataFrame, *keys: str) -> DataFrame:
+    """The sketches of fewer keys: sums of the counts."""
+    return found.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+
+
+def quartiles(found: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ratio, total, q1, q3) of sketches: where the lower quartile's bucket begins and the upper one's ends."""
+    group = Window.partitionBy(*keys, "ratio")
+    up_to = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = found.select(*keys, "ratio", "bucket", F.sum("n").over(up_to).alias("below"), F.sum("n").over(group).alias("total"))
+    at = lambda quarters: F.min(F.when(4 * F.col("below") >= quarters * F.col("total"), F.col("bucket")))
+    return ranked.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), edge(at(1), 0).alias("q1"), edge(at(3), 1).alias("q3"))
+
+
+def limits(found: DataFrame, rules: QualityRules) -> DataFrame:
+    """One row per (language, source) of the sketches, with the fences that hold there."""
+    own = quartiles(found, "q_lang", "q_source")
+    all_of = quartiles(merged(found, "q_lang"), "q_lang").withColumnsRenamed({"q1": "all_q1", "q3": "all_q3", "total": "all_total"})
+    joined = own.join(all_of, ["q_lang", "ratio"])
+    enough = F.col("total") >= rules.min_group
+    low, high = F.when(enough, F.col("q1")).otherwise(F.col("all_q1")), F.when(enough, F.col("q3")).otherwise(F.col("all_q3"))
+    rows = joined.select("q_lang", "q_source", "ratio", low.alias("low"), high.alias("high"), (high / low).alias("spread"))
     bounds = []
-    for c in names:
-        low, high = (F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)) for q in (0.25, 0.75))
-        width = F.greatest((high - low) * rules.fence, F.lit(spread[c]))
-        bounds += [F.round(low - width, 2).alias(f"{c}_min"), F.round(high + width, 2).alias(f"{c}_max")]
-    return out.select("q_lang", "q_source", *bounds)
+    for r in rules.ratios:
+        least, most = F.col("low"), F.col("high")
+        for _ in range(r.fence):
+            least, most = least / F.col("spread"), most * F.col("spread")
+        here = F.col("ratio") == r.name
+        bounds.append(F.max(F.when(here, most)).alias(f"{r.name}_max"))
+        if r.low:
+            bounds.append(F.max(F.when(here, least)).alias(f"{r.name}_min"))
+    return rows.groupBy("q_lang", "q_source").agg(*bounds)
 
 
 def quality(
@@ -165,21 +205,22 @@ def quality(
         {"q_lang": F.coalesce(F.col(lang).cast("string"), F.lit("")), "q_source": F.coalesce(F.col(source).cast("string"), F.lit(""))}
     )
     # Measured once: both the sketches and the verdict read the small counts.
-    counted = cut(measure(keyed, text).drop(text))
-    measured = counted.withColumns(_ratios())
-    # Fixed once, so that a task that runs again judges by the same limits.
-    fences = cut(limits(measured, rules)).withColumnsRenamed({"q_lang": "f_lang", "q_source": "f_source"})
+    measured = cut(measure(keyed, text).drop(text))
     failed = (F.col("n_words") < rules.min_words) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(rules.max_repeat_percent) * F.col("n_words")
     )
+    found = cut(sketches(measured.where(~failed), rules.ratios))
+    fences = limits(found, rules).withColumnsRenamed({"q_lang": "f_lang", "q_source": "f_source"})
     inside = F.lit(True)
-    for c in _ratios():
-        inside = inside & F.col(c).between(F.col(f"{c}_min"), F.col(f"{c}_max"))
+    for r in rules.ratios:
+        inside = inside & (scaled(r) <= F.col(f"{r.name}_max"))
+        if r.low:
+            inside = inside & (scaled(r) >= F.col(f"{r.name}_min"))
     judged = measured.join(
         fences, (measured["q_lang"] == fences["f_lang"]) & (measured["q_source"] == fences["f_source"]), "left"
     )
     return judged.select(
-        *[c for c in counted.columns if c not in ("q_lang", "q_source")],
+        *[c for c in measured.columns if c not in ("q_lang", "q_source")],
         failed.alias("base_failed"),
         (~failed & F.coalesce(inside, F.lit(True))).alias("kept"),
     )
@@ -191,12 +232,9 @@ def filter_quality(docs: DataFrame, rules: QualityRules = QualityRules(), key: s
     Rows are matched by (key, text), so rows that share a key by mistake are
     judged each by its own text; a null key is a value like any other.
     """
-    marked = docs.withColumn("q_text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    good = (
-        quality(marked.select(key, "q_text", "text", "lang", "source"), rules)
-        .where("kept")
-        .select(F.col(key).alias("g_key"), F.col("q_text").alias("g_text"))
-        .distinct()
-    )
-    rows = marked.join(good, F.col(key).eqNullSafe(F.col("g_key")) & (F.col("q_text") == F.col("g_text")), "left_semi")
-    return rows.drop("q_text")
+    own = unused(docs, "q_text")
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    asked = marked.select(F.col(key).alias("g_key"), F.col(own).alias("g_text"), "text", "lang", "source")
+    good = quality(asked, rules).where("kept").select("g_key", "g_text").distinct()
+    rows = marked.join(good, F.col(key).eqNullSafe(F.col("g_key")) & (F.col(own) == F.col("g_text")), "left_semi")
+    return rows.drop(own)

@@ -127,4 +127,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The same counts, sketches, merges and fences as in ``quality``, over rows and lists.
+QUALITY_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p
+    FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1)
+  GROUP BY doc_id),
+measured AS (
+  SELECT d.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines
+  FROM docs d LEFT JOIN repeated r ON d.doc_id = r.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+scaled AS (
+  SELECT doc_id, lang, source, base_failed, unnest([
+    {'r': 1, 'k': 2, 'v': (n_symbols + 1) * 1048576 // (n_words + 1)},
+    {'r': 2, 'k': 4, 'v': (n_dup_lines + 1) * 1048576 // (n_lines + 1)},
+    {'r': 3, 'k': 4, 'v': (n_repeat_words + 1) * 1048576 // (n_words + 1)},
+    {'r': 4, 'k': 5, 'v': (word_chars + 1) * 1048576 // (n_words + 1)}], recursive := true)
+  FROM judged),
+own AS (
+  SELECT lang, source, r, CASE WHEN v < 32 THEN v ELSE length(bin(v)) * 32 + (v >> greatest(length(bin(v)) - 5, 0)) END AS b, count(*) AS n
+  FROM scaled WHERE NOT base_failed GROUP BY ALL),
+ranked AS (
+  SELECT lang, source, r, b, sum(n) OVER (PARTITION BY lang, source, r ORDER BY b) AS below, sum(n) OVER (PARTITION BY lang, source, r) AS total
+  FROM own
+  UNION ALL BY NAME
+  SELECT lang, NULL AS source, r, b, sum(n) OVER (PARTITION BY lang, r ORDER BY b) AS below, sum(n) OVER (PARTITION BY lang, r) AS total
+  FROM (SELECT lang, r, b, sum(n) AS n FROM own GROUP BY ALL)),
+places AS (
+  SELECT lang, source, r, max(total) AS total, min(CASE WHEN 4 * below >= total THEN b END) AS b1, min(CASE WHEN 4 * below >= 3 * total THEN b END) AS b3
+  FROM ranked GROUP BY ALL),
+edges AS (
+  SELECT lang, source, r, total,
+         CASE WHEN b1 < 32 THEN b1::DOUBLE ELSE (b1 % 32) * pow(2.0, b1 // 32 - 5) END AS q1,
+         CASE WHEN b3 < 32 THEN b3::DOUBLE ELSE (b3 % 32 + 1) * pow(2.0, b3 // 32 - 5) END AS q3
+  FROM places),
+fences AS (
+  SELECT g.lang, g.source, g.r, CASE WHEN g.total >= 100 THEN g.q1 ELSE a.q1 END AS low, CASE WHEN g.total >= 100 THEN g.q3 ELSE a.q3 END AS high
+  FROM edges g JOIN edges a ON g.lang = a.lang AND g.r = a.r AND a.source IS NULL WHERE g.source IS NOT NULL),
+verdicts AS (
+  SELECT doc_id, bool_and(v <= list_reduce(list_concat([high], list_resize([]::DOUBLE[], k, spread)), lambda x, y: x * y)
+                          AND (s.r < 4 OR v >= list_reduce(list_concat([low], list_resize([]::DOUBLE[], k, spread)), lambda x, y: x / y))) AS inside
+  FROM scaled s JOIN (SELECT *, high / low AS spread FROM fences) f ON s.lang = f.lang AND s.source = f.source AND s.r = f.r
+  GROUP BY doc_id)
+SELECT j.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, true) AS kept
+FROM judged j LEFT JOIN verdicts v ON j.doc_id = v.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL}

@@ -38,3 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and bind it as the argument of ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that begins like this and that no column of ``df`` bears."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,9 +1,10 @@
 import os
+import random
 
 import pytest
 
 import corpus_pipeline
-from lectern.llm import quality, secrets, simhash
+from lectern.llm import copies, quality, secrets
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -24,7 +25,8 @@ def test_stages(spark, tmp_path):
     a, b = by_name["quality_rules"]
     assert ids(b) == {r["doc_id"] for r in quality.quality(a).where("kept").collect()}
     a, b = by_name["simhash_near_dedup"]
-    assert ids(b) == {r["component_id"] for r in simhash.near_duplicates(a).collect()} and b.count() == len(ids(b))
+    # Stages on word shingles take five words and a similarity of 0.8, not the contract of the query on fingerprints.
+    assert ids(b) == {r["component_id"] for r in copies.edited_copies(a).collect()} and b.count() == len(ids(b))
     a, b = by_name["secret_scan"]
     assert ids(a) == ids(b) and all(r["n_chars"] == len(r["text"]) for r in b.collect())
     assert all(not r["secrets"] for r in secrets.scan(b, secrets.BASE).collect())
@@ -42,3 +44,27 @@ def test_run_and_registration(spark):
 def test_empty(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 7))) for _ in range(300)]
+    prose = [" ".join(rng.choices(words, k=120)) for _ in range(6)]
+    long = " ".join(rng.choices(words, k=30_000))
+    copy = prose[0].replace(prose[0].split()[50], "other", 1)
+    rows = [(0, prose[0]), (1, copy), (2, prose[1]), (2, prose[1]), (3, None), (4, ""), (5, "12 34"), (6, "token: abcdefgh12345 " + prose[2])]
+    rows += [(7, long), (8, "a b c " * 100), (None, prose[3]), (None, None), (9, prose[4].upper()), (10, prose[4]), (11, "".join(rng.sample(long, 5000)))]
+    rows = [(k, t, "en", "s", len(t or ""), "mine", 1, 2, 3, 4) for k, t in rows]
+    names = "doc_id long, text string, lang string, source string, n_chars int, score string, lang_pred int, secrets int, q_text int, node int"
+    docs = spark.createDataFrame(rows, names)
+    out, columns = docs, docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, out, str(tmp_path)).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.columns == columns and dict(out.dtypes) == dict(docs.dtypes), name
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.count() == len(got) and set(got) == {0, 2, 6, 7, 9, None}
+    assert all((r["score"], r["lang_pred"], r["secrets"], r["q_text"], r["node"]) == ("mine", 1, 2, 3, 4) for r in got.values())
+    assert "abcdefgh12345" not in got[6]["text"] and got[7]["text"] == long
+    packed = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == set(got)
