@@ -6,6 +6,7 @@ whole table with production parameters and derives the columns it returns.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -185,4 +186,35 @@ SELECT j.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n
 FROM judged j LEFT JOIN verdicts v ON j.doc_id = v.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL}
+
+
+def _secrets_sql() -> str:
+    """Spans of every rule from the texts between its matches, joined as in the contract."""
+    from lectern.llm.secrets import BASE, RULES
+
+    parts = []
+    for order, rule in enumerate(RULES):
+        # Letters that count in either case are spelled out, so that no other letter folds into them.
+        pattern = re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", rule.pattern)
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"SELECT d, {order} AS k, '{rule.kind}' AS kind, f, p, list_transform(g, lambda x: length(x)) AS n, {rule.least} AS least FROM ("
+            f"SELECT d, regexp_extract_all(t, {quoted}) AS f, string_split_regex(t, {quoted}) AS p, regexp_extract_all(t, {quoted}, {rule.part}) AS g "
+            f"FROM texts WHERE regexp_matches(t, {quoted}))"
+        )
+    counts = ", ".join(f"count(*) FILTER (k = {k})::BIGINT AS n_{r.kind}" for k, r in enumerate(BASE))
+    line = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) {}, '')"
+    return f"""
+WITH texts AS (SELECT doc_id AS d, coalesce(text, '') AS t FROM documents),
+hits AS ({" UNION ALL ".join(parts)}),
+placed AS (
+  SELECT d, k, kind, n[i] >= least AS enough, length(f[i]) AS size,
+         list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM hits)),
+spans AS (SELECT d, k, kind, s::BIGINT AS s, (s + size)::BIGINT AS e FROM placed WHERE enough)
+SELECT x.d AS doc_id, {counts}, sha256({line.format(f"FILTER (k < {len(BASE)})")}) AS base_sha256, {line.format("")} AS spans
+FROM texts x LEFT JOIN spans y ON x.d = y.d GROUP BY x.d
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op8_secret_scan": _secrets_sql()}

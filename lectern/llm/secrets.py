@@ -3,19 +3,23 @@
 Each rule's expression is parsed, and what every match must contain becomes a
 Boolean query of trigrams: alternatives are joined by OR, the trigrams of the
 literal runs of one alternative by AND. The trigrams that occur in queries are
-indexed over all texts as postings (trigram, document). The postings of an
-alternative are intersected; documents that satisfy a query are candidates of
-its rule, and only there is the expression run. A rule whose expression has an
-alternative without a trigram scans every text.
+indexed: postings are Boolean columns that lie beside the texts they point to,
+one for each trigram, so that a block of rows is searched where it is and no
+text moves. The postings of an alternative are intersected, the rarest trigram
+first, and a text that has dropped out is not looked up in the rest; texts that
+satisfy a query are candidates of its rule, and only there is the expression
+run. A rule whose expression has an alternative without a trigram scans every
+text. The same index as rows (trigram, key), to be stored and searched apart
+from the texts, is ``postings`` and ``candidates``.
 
 Spans are offsets in code points. They come from the pieces between matches and
 the matches themselves, whose lengths add up to positions.
 
 Cases: a null or empty text has no spans; texts of any length are scanned whole;
-overlapping kinds all report; repeated rows and shared or null keys are scanned
-each for itself (a key's candidates are the union over its rows); an empty table
-gives an empty result; extra columns pass through ``scan`` untouched unless they
-bear one of its names.
+overlapping kinds all report; repeated rows and rows without a key are scanned
+each for itself (in ``candidates``, a key's rules are the union over its rows);
+an empty table gives an empty result; extra columns pass through untouched, but
+for one named as the column that ``scan`` is told to give.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ except ImportError:  # Python before 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.storage import let
+from lectern.llm.storage import let, unused
 
 
 @dataclass(frozen=True)
@@ -64,6 +68,8 @@ MORE = (
 RULES = BASE + MORE
 #: Longest class of characters, and most alternatives, that a query spells out.
 WIDE, MANY = 8, 64
+#: Letters and signs that make a trigram rare in prose.
+RARE = frozenset("kwxyzjqv_-:./")
 
 
 def _spell(parsed) -> list[list[str]]:
@@ -103,6 +109,29 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((c for c in clauses if not any(d < c for d in clauses)), key=sorted)
 
 
+def _commonness(gram: str) -> tuple[int, str]:
+    """Trigrams with signs or rare letters come first."""
+    return -sum(c in RARE for c in gram), gram
+
+
+def satisfied(low: Column, rules: tuple[Rule, ...]) -> Column:
+    """A bit per rule whose query a lower-case text satisfies: its postings, intersected and united."""
+    bits = F.lit(0).cast("long")
+    for i, rule in enumerate(rules):
+        query = trigram_query(rule.pattern)
+        if query is None:
+            continue
+        some = F.lit(False)
+        for clause in query:
+            first, *rest = sorted(clause, key=_commonness)
+            every = F.contains(low, F.lit(first))
+            for gram in rest:
+                every = every & F.contains(low, F.lit(gram))
+            some = some | every
+        bits = bits.bitwiseOR(F.when(some, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return bits
+
+
 def postings(docs: DataFrame, grams: list[str], text: str, key: str) -> DataFrame:
     """(gram, key): the inverted index of the trigrams that queries ask for."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
@@ -160,23 +189,22 @@ def _matches(text: Column, rule: Rule, order: int) -> Column:
     return let(F.regexp_extract_all(text, pattern, F.lit(0)), from_pieces)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with secrets: an array of (start, order, end), order being the rule's place in ``rules``."""
-    found = candidates(docs, rules, text, key).withColumnsRenamed({"key": "__key", "rules": "__rules"})
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", into: str = "secrets") -> DataFrame:
+    """``docs`` with the column ``into``: an array of (start, order, end), order being the rule's place in ``rules``."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    bits = F.coalesce(F.col("__rules"), F.lit(0).cast("long"))
+    bits = unused(docs, "rule_bits")
+    kept = [c for c in docs.columns if c != into]
+    marked = docs.select(*kept, let(F.lower(whole), lambda low: satisfied(low, rules)).alias(bits))
     empty = F.array().cast("array<struct<start:int,order:int,end:int>>")
     spans = []
     for i, rule in enumerate(rules):
         likely = (
             whole.rlike(_run(rule))
             if trigram_query(rule.pattern) is None
-            else F.shiftright(bits, i).bitwiseAND(F.lit(1)) == 1
+            else F.shiftright(F.col(bits), i).bitwiseAND(F.lit(1)) == 1
         )
         spans.append(F.when(likely, _matches(whole, rule, i)).otherwise(empty))
-    kept = [c for c in docs.columns if c != "secrets"]
-    joined = docs.join(found, F.col(key).eqNullSafe(F.col("__key")), "left")
-    return joined.select(*[docs[c] for c in kept], F.array_sort(F.flatten(F.array(*spans))).alias("secrets"))
+    return marked.select(*kept, F.array_sort(F.flatten(F.array(*spans))).alias(into))
 
 
 def _run(rule: Rule) -> str:
@@ -188,9 +216,10 @@ def _run(rule: Rule) -> str:
     return f"{rule.pattern[:-1]}{{{rule.least},}}" if single else rule.pattern
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]", text: str = "text", key: str = "doc_id") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]", text: str = "text") -> DataFrame:
     """``docs`` with every span of a secret replaced by the mask; spans that overlap are replaced together."""
-    found = scan(docs, rules, text, key)
+    spans = unused(docs, "secrets")
+    found = scan(docs, rules, text, spans)
     body = F.col(text)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
@@ -204,7 +233,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secre
         )
 
     clean = F.aggregate(
-        F.col("secrets"), start, step, lambda s: F.concat(s["done"], F.substring(body, s["at"] + 1, F.length(body)))
+        F.col(spans), start, step, lambda s: F.concat(s["done"], F.substring(body, s["at"] + 1, F.length(body)))
     )
-    new = F.when(F.size("secrets") > 0, clean).otherwise(body)
+    new = F.when(F.size(spans) > 0, clean).otherwise(body)
     return found.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])

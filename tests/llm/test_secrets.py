@@ -61,3 +61,18 @@ def test_more_rules_and_redaction(spark):
     docs = spark.createDataFrame([(1, text), (2, None), (3, "clean"), (4, "token=" + "0" * 40)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in S.redact(docs).collect()}
     assert got[1] == "a [secret] b [secret]host/ c [secret] d" and got[2] is None and got[3] == "clean" and got[4] == "[secret]"
+
+
+def test_stored_index_gives_the_same_candidates(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    here = docs.select("doc_id", S.satisfied(F.lower(F.coalesce("text", F.lit(""))), S.RULES).alias("bits")).where("bits <> 0")
+    apart = S.candidates(docs, S.RULES, "text", "doc_id")
+    assert sorted(map(tuple, here.collect())) == sorted(map(tuple, apart.collect()))
+
+
+def test_no_text_moves(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1")], "doc_id long, text string")
+    plan = S.redact(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
