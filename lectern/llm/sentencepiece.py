@@ -10,9 +10,13 @@ other ids than the library does for these vocabularies.)
 Giant documents are cut into chunks at arbitrary places. The states at a cut
 are the pieces that may end there or reach across. For each chunk, a matrix
 holds what the best path is worth from each state at its left cut to each at
-its right one; being 0 or minus infinity, it is kept as the pairs worth 0.
-Matrices combine associatively by max-plus products; the scan fixes the state
-at every cut, and then each chunk traces its own part of the path back, alone.
+its right one; entries of minus infinity are left out. Matrices combine by
+max-plus products, which are associative: neighbours are multiplied in pairs,
+the products again, up to one for a run of chunks and one for the document. On
+the way down, the state between two factors is the one through which their
+product is worth most; so the state at every cut is known, and then each chunk
+traces its own part of the path back, alone. Runs of chunks are multiplied and
+taken apart in tasks of their own.
 Other documents are a single chunk. A unit that no piece can reach out of, such
 as a word, has one state on either side; its path is found once and looked up.
 
@@ -25,6 +29,7 @@ the mark U+2581, which reads as a blank.
 from __future__ import annotations
 
 import json
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -50,16 +55,19 @@ UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 @dataclass(frozen=True)
 class Pieces:
-    """giant: characters from which on a document is cut. chunk: characters of its chunks."""
+    """giant: characters from which on a document is cut. chunk: characters of its chunks. run: chunks whose matrices one task multiplies."""
 
     path: str = ""
     giant: int = 65_536
     chunk: int = 16_384
+    run: int = 64
 
 
 #: A state is (end, piece): where the piece that reaches the cut ends, counted from there; at the
 #: beginning of a text, and after characters that are no piece, the piece is -1.
 State = tuple[int, int]
+#: What the best path is worth from each state to each; what is left out is minus infinity.
+Matrix = dict[State, dict[State, float]]
 
 
 class Model:
@@ -247,8 +255,15 @@ class Model:
                     found.append((end - at, piece))
         return found
 
-    def matrix(self, text: str, left: int, right: int, first: bool) -> list[tuple[State, State]]:
-        """The entries worth 0 of the chunk from left to right of a text with context on both sides."""
+    def matrix(self, text: str, left: int, right: int, first: bool) -> Matrix:
+        """The matrix of the chunk from left to right of a text with context on both sides."""
+        out: Matrix = {}
+        for state, to in self.steps(text, left, right, first):
+            out.setdefault(state, {})[to] = 0.0
+        return out
+
+    def steps(self, text: str, left: int, right: int, first: bool) -> list[tuple[State, State]]:
+        """The entries of a chunk's matrix that are worth 0."""
         entries = [(0, -1)] if first else self.states(text, left)
         meeting = self.meeting(text, left, right)
         if meeting is None:
@@ -307,26 +322,64 @@ def normal(text: str | None) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def scan(matrices: list[list[tuple[State, State]]]) -> list[tuple[State, State]]:
-    """The (entry, exit) of every chunk on the one path worth 0 from beginning to end.
+def times(a: Matrix, b: Matrix) -> Matrix:
+    """The max-plus product."""
+    out: Matrix = {}
+    for state, row in a.items():
+        best: dict[State, float] = {}
+        for between, worth in row.items():
+            for to, more in b.get(between, {}).items():
+                if worth + more > best.get(to, -math.inf):
+                    best[to] = worth + more
+        if best:
+            out[state] = best
+    return out
+
+
+def tree(matrices: list[Matrix]) -> list[list[Matrix]]:
+    """The matrices, the products of their pairs, and so on up to the product of all."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        pairs = [times(a, b) for a, b in zip(last[::2], last[1::2])]
+        levels.append(pairs + last[len(pairs) * 2 :])
+    return levels
+
+
+def scan(matrices: list[Matrix], entry: State = (0, -1), to: State | None = None) -> list[tuple[State, State]]:
+    """The (entry, exit) of every matrix on the path worth most; without ``to``, it ends where the text does."""
+    levels = tree(matrices)
+    row = levels[-1][0][entry]
+    if to is None:
+        to = min((s for s in row if s[0] == 0), key=lambda s: (-row[s], s))
+    ends = [(entry, to)]
+    for factors in reversed(levels[:-1]):
+        finer = []
+        for k, (left, right) in enumerate(ends):
+            if 2 * k + 1 == len(factors):
+                finer.append((left, right))
+                continue
+            first, second = factors[2 * k], factors[2 * k + 1]
+            through = [(w + second[s][right], s) for s, w in first[left].items() if right in second.get(s, {})]
+            between = min(through, key=lambda x: (-x[0], x[1]))[1]
+            finer += [(left, between), (between, right)]
+        ends = finer
+    return ends
+
+
+def _pack(m: Matrix) -> str:
+    return json.dumps([(s, to, w) for s, row in m.items() for to, w in row.items()])
+
 
-    Prefix products give what can be reached at each cut, and the way back from
-    the end picks the one state there that also leads to it.
-    """
-    reached: list[set[State]] = [{(0, -1)}]
-    for m in matrices:
-        reached.append({to for state, to in m if state in reached[-1]})
-    goal = [s for s in reached[-1] if s[0] == 0]
-    chosen, to = [], goal[0]
-    for m, before in zip(reversed(matrices), reversed(reached[:-1])):
-        entry = next(state for state, end in m if end == to and state in before)
-        chosen.append((entry, to))
-        to = entry
-    return chosen[::-1]
+def _unpack(packed: str) -> Matrix:
+    out: Matrix = {}
+    for s, to, w in json.loads(packed):
+        out.setdefault(tuple(s), {})[tuple(to)] = w
+    return out
 
 
-def model(path: str) -> Model:
-    """One model, with its known units, for each Python worker."""
+def model(path: str):
+    """One model, with its known units, for each Python worker, to be used in a ``with``."""
     return resident((Model, path), lambda: Model(path))
 
 
@@ -339,15 +392,15 @@ def encode(
     long = F.length("t") > config.giant
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(config.path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in batches_of(texts):
-                ids = m.encode(texts[a:b])
-                found = [batch.column(0)[a:b], pa.array(ids, pa.binary())]
-                if decoded:
-                    found.append(pa.array([m.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(found, names=["k", "ids", "decoded"][: len(found)])
+        with model(config.path) as m:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for a, b in batches_of(texts):
+                    ids = m.encode(texts[a:b])
+                    found = [batch.column(0)[a:b], pa.array(ids, pa.binary())]
+                    if decoded:
+                        found.append(pa.array([m.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string()))
+                    yield pa.RecordBatch.from_arrays(found, names=["k", "ids", "decoded"][: len(found)])
 
     schema = f"k {kind}, ids binary" + (", decoded string" if decoded else "")
     small = rows.where(~long).mapInArrow(whole, schema).withColumn("n", F.lit(1))
@@ -363,7 +416,9 @@ def _giants(rows: DataFrame, config: Pieces, kind: str) -> DataFrame:
     chunks = f"k {kind}, row long, chunk int, last boolean, lead int, size int, t string"
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest, row = model(config.path).longest, TaskContext.get().partitionId() << 33
+        with model(config.path) as m:
+            longest = m.longest
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for k, t in zip(batch.column(0), batch.column(1)):
                 s = normal(t.as_py())
@@ -383,34 +438,47 @@ def _giants(rows: DataFrame, config: Pieces, kind: str) -> DataFrame:
     kinds = pa.schema([("row", pa.int64()), ("chunk", pa.int32()), ("matrix", pa.string())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(config.path)
-        for batch in batches:
-            for r in batch.to_pylist():
-                found = m.matrix(r["t"], r["lead"], r["lead"] + r["size"], r["chunk"] == 0)
-                row = {"row": r["row"], "chunk": r["chunk"], "matrix": json.dumps(found)}
-                yield pa.RecordBatch.from_pylist([row], schema=kinds)
+        with model(config.path) as m:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    found = m.matrix(r["t"], r["lead"], r["lead"] + r["size"], r["chunk"] == 0)
+                    row = {"row": r["row"], "chunk": r["chunk"], "matrix": _pack(found)}
+                    yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    def product(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("chunk")
+        whole = tree([_unpack(x) for x in table["matrix"]])[-1][0]
+        return pd.DataFrame({"row": table["row"].iloc[:1], "chunk": table["run"].iloc[:1], "matrix": [_pack(whole)]})
 
-    def combine(table: pd.DataFrame) -> pd.DataFrame:
+    def ends(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("chunk")
-        found = [[((a, p), (b, q)) for (a, p), (b, q) in json.loads(x)] for x in table["matrix"]]
-        path = scan(found)
+        found = [_unpack(x) for x in table["matrix"]]
+        if "run_entry" in table:
+            path = scan(found, tuple(table["run_entry"].iloc[0]), tuple(table["run_exit"].iloc[0]))
+        else:
+            path = scan(found)
         return pd.DataFrame(
             {"row": table["row"], "chunk": table["chunk"], "entry": [list(a) for a, _ in path], "exit": [list(b) for _, b in path]}
         )
 
-    matrices = cuts.select("row", "chunk", "lead", "size", "t").mapInArrow(measure, "row long, chunk int, matrix string")
-    # A document's matrices are far smaller than its text, which is one row.
-    path = matrices.groupBy("row").applyInPandas(combine, "row long, chunk int, entry array<int>, exit array<int>")
+    # Small, and read on the way up and on the way down.
+    matrices = cut(cuts.select("row", "chunk", "lead", "size", "t").mapInArrow(measure, "row long, chunk int, matrix string"))
+    runs = matrices.withColumn("run", F.call_function("div", F.col("chunk"), F.lit(config.run)).cast("int"))
+    products = runs.groupBy("row", "run").applyInPandas(product, "row long, chunk int, matrix string")
+    # A document has as many products as it has runs of a million letters: far less than its text, which is one row.
+    outer = products.groupBy("row").applyInPandas(ends, "row long, chunk int, entry array<int>, exit array<int>")
+    outer = outer.select("row", F.col("chunk").alias("run"), F.col("entry").alias("run_entry"), F.col("exit").alias("run_exit"))
+    path = runs.join(outer, ["row", "run"]).groupBy("row", "run").applyInPandas(ends, "row long, chunk int, entry array<int>, exit array<int>")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(config.path)
-        for batch in batches:
-            ids = [
-                np.array(m.part(r["t"], r["lead"], r["lead"] + r["size"], tuple(r["entry"]), tuple(r["exit"])), "<u4").tobytes()
-                for r in batch.to_pylist()
-            ]
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("k", "row", "chunk")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.binary())], names=["k", "row", "chunk", "part"])
+        with model(config.path) as m:
+            for batch in batches:
+                ids = [
+                    np.array(m.part(r["t"], r["lead"], r["lead"] + r["size"], tuple(r["entry"]), tuple(r["exit"])), "<u4").tobytes()
+                    for r in batch.to_pylist()
+                ]
+                kept = [batch.column(batch.schema.get_field_index(c)) for c in ("k", "row", "chunk")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.binary())], names=["k", "row", "chunk", "part"])
 
     traced = cuts.join(path, ["row", "chunk"]).mapInArrow(trace, f"k {kind}, row long, chunk int, part binary")
     gathered = traced.groupBy("row").agg(F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("chunk", "part"))).alias("parts"))
@@ -423,12 +491,12 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     kept = [c for c in encoded.columns if c not in (ids, "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            texts = [m.decode(np.frombuffer(x.as_py(), "<u4")) for x in column]
-            others = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(texts, pa.string())], names=[*kept, "decoded"])
+        with model(path) as m:
+            for batch in batches:
+                column = batch.column(batch.schema.get_field_index(ids))
+                texts = [m.decode(np.frombuffer(x.as_py(), "<u4")) for x in column]
+                others = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(texts, pa.string())], names=[*kept, "decoded"])
 
     fields = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in kept)
     return encoded.select(*kept, ids).mapInArrow(run, f"{fields}decoded string")

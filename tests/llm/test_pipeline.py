@@ -48,13 +48,13 @@ def test_empty(spark, tmp_path):
 
 def test_odd_rows_and_clashing_columns(spark, tmp_path):
     rng = random.Random(4)
-    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 7))) for _ in range(300)]
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", k=rng.randint(2, 7))) for _ in range(300)]
     prose = [" ".join(rng.choices(words, k=120)) for _ in range(6)]
     long = " ".join(rng.choices(words, k=30_000))
     copy = prose[0].replace(prose[0].split()[50], "other", 1)
     rows = [(0, prose[0]), (1, copy), (2, prose[1]), (2, prose[1]), (3, None), (4, ""), (5, "12 34"), (6, "token: abcdefgh12345 " + prose[2])]
     rows += [(7, long), (8, "a b c " * 100), (None, prose[3]), (None, None), (9, prose[4].upper()), (10, prose[4]), (11, "".join(rng.sample(long, 5000)))]
-    rows = [(k, t, "en", "s", len(t or ""), "mine", 1, 2, 3, 4) for k, t in rows]
+    rows = [(k, t, None if k == 11 else "en", "s", len(t or ""), "mine", 1, 2, 3, 4) for k, t in rows]
     names = "doc_id long, text string, lang string, source string, n_chars int, score string, lang_pred int, secrets int, q_text int, node int"
     docs = spark.createDataFrame(rows, names)
     out, columns = docs, docs.columns

@@ -23,7 +23,7 @@ def texts():
 
 
 def test_ids_equal_the_library(library):
-    model = S.model(PATH)
+    model = S.Model(PATH)
     for text, ids in zip(texts(), model.encode(texts())):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "")
         assert model.decode(np.frombuffer(ids, "<u4")) == (text or "")
@@ -31,7 +31,7 @@ def test_ids_equal_the_library(library):
 
 @pytest.mark.parametrize("alphabet", ["thingraeos", "abetnirs éx日", "aaab "])
 def test_scan_equals_one_walk(library, alphabet):
-    model, rng = S.model(PATH), random.Random(3)
+    model, rng = S.Model(PATH), random.Random(3)
     for chunk in (1, 7, 20, 64):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(100, 300)))
         s, near = S.normal(text), model.longest
@@ -44,10 +44,34 @@ def test_scan_equals_one_walk(library, alphabet):
         assert ids == library.encode(text)
 
 
+def test_products_in_any_grouping_give_the_same_path():
+    model, rng = S.Model(PATH), random.Random(9)
+    text = S.normal("".join(rng.choice("abetnirs éx日") for _ in range(400)))
+    near, chunk = model.longest, 13
+    matrices = []
+    for a in range(0, len(text), chunk):
+        b, low = min(len(text), a + chunk), max(0, a - near)
+        matrices.append(model.matrix(text[low : b + near], a - low, b - low, a == 0))
+    whole = S.scan(matrices)
+    for _ in range(20):
+        cuts = sorted({0, len(matrices), *rng.sample(range(len(matrices)), 6)})
+        runs = [matrices[a:b] for a, b in zip(cuts, cuts[1:])]
+        ends = S.scan([S.tree(r)[-1][0] for r in runs])
+        assert [x for r, (entry, to) in zip(runs, ends) for x in S.scan(r, entry, to)] == whole
+    assert S._unpack(S._pack(matrices[3])) == matrices[3]
+
+
+def test_products_are_max_plus():
+    a = {(0, 1): {(0, 2): 1.0, (0, 3): 5.0}}
+    b = {(0, 2): {(0, 4): 7.0}, (0, 3): {(0, 4): 2.0, (0, 5): -1.0}}
+    assert S.times(a, b) == {(0, 1): {(0, 4): 8.0, (0, 5): 4.0}} and S.times(b, a) == {}
+    assert S.scan([a, b], (0, 1), (0, 4)) == [((0, 1), (0, 2)), ((0, 2), (0, 4))]
+
+
 def test_documents(spark, library):
     rows = [(i, t, "x") for i, t in enumerate(texts()[:40])] + [(900, "giant words of text\n" * 60, "x"), (900, "giant words of text\n" * 60, "x"), (None, "b" * 700, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    encoded = S.encode(docs, S.Pieces(path=PATH, giant=400, chunk=90))
+    encoded = S.encode(docs, S.Pieces(path=PATH, giant=400, chunk=90, run=3))
     got = S.decode(encoded, PATH).collect()
     assert sorted((str(r["doc_id"]), r["decoded"]) for r in got) == sorted((str(i), t or "") for i, t, _ in rows)
     for r in encoded.collect():
