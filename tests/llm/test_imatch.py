@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
 import pytest
+import xxhash
 
 from lectern.llm.imatch import IMatch, compare, fingerprints, lexicon, likeness
 
@@ -67,3 +69,74 @@ def test_likeness(spark):
 @pytest.mark.parametrize("rows", [[], [(1, "alone here")], [(None, "no key"), (None, None)]])
 def test_small_tables(spark, rows):
     assert compare(corpus(spark, rows)).count() == len(rows)
+
+
+def brute_fingerprint(text, band, config):
+    """The method in plain Python; Spark hashes with seed 42, an array element by element."""
+    def signed(x):
+        return x - 2**64 if x >= 2**63 else x
+
+    words = {w for w in re.findall(r"[^\W_]+", (text or "").lower())}
+    every = sorted(signed(xxhash.xxh64_intdigest(w, 42)) for w in words)
+    used = [h for h in every if h in band] or every
+
+    def component(chosen):
+        if not chosen:
+            return "--------"
+        h = 42
+        for x in chosen:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), h)
+        return f"{h:016x}"[8:]
+
+    out, shift = [component(used)], 63
+    for share, number in config.subsets:
+        shift -= share.bit_length() - 1
+        out += [component([h for h in used if h >> shift & share - 1 == k]) for k in range(number)]
+    return out
+
+
+def brute_likeness(a, b):
+    some = [(x, y) for x, y in zip(a, b) if (x, y) != ("--------", "--------")]
+    return 1.0 if a == b else sum(x == y for x, y in some) / max(len(some), 1)
+
+
+def test_fingerprints_and_likenesses_against_brute_force(spark):
+    rng, config = random.Random(7), IMatch(rare=0.02, common=0.3, bits=20)
+    words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(400)]
+    rows = [(3 * i, " ".join(rng.choices(words[: 50 + 3 * i], k=rng.randint(1, 60)))) for i in range(80)]
+    got = {r["doc_id"]: r for r in compare(corpus(spark, rows), config).collect()}
+    counts = Counter(w for _, t in rows for w in set(t.split()))
+    hashed = {w: xxhash.xxh64_intdigest(w, 42) for w in counts}
+    band = {h - 2**64 if h >= 2**63 else h for w, h in hashed.items() if 2 <= counts[w] <= 24 and 0.02 * 80 <= counts[w]}
+    places = {h & (1 << config.bits) - 1 for h in band}
+    assert not {h & (1 << config.bits) - 1 for w, h in hashed.items() if (h - 2**64 if h >= 2**63 else h) not in band} & places
+    for i, (d, text) in enumerate(rows):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + rows[i - 1][1][:half]
+        own, other, near = (brute_fingerprint(t, band, config) for t in (text, edited, rows[i - 1][1]))
+        assert got[d]["fingerprint"].split(".") == own
+        if not set(re.findall("[a-z]+", edited)) - set(counts):
+            assert got[d]["edited_fingerprint"].split(".") == other
+            assert got[d]["near_edited"] == pytest.approx(brute_likeness(own, other))
+        assert got[d]["near_next"] == pytest.approx(brute_likeness(own, near))
+
+
+def test_blocks_follow_one_another(spark):
+    from lectern.llm import imatch
+
+    rng = random.Random(11)
+    keys = sorted({rng.randrange(-5000, 10**12) if rng.random() < 0.5 else rng.randrange(900) for _ in range(900)}, reverse=True)
+    rows = [(k, f"text {k}") for k in keys] + [(None, f"none {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, t string")
+    for size in (0, 40, 3000):
+        got = imatch.with_next(docs, "doc_id", lambda x: x, size, 1).collect()
+        after = {r["t"]: r["next_t"] for r in got}
+        assert len(got) == len(rows) == len(after)
+        for a, b in zip(keys, keys[1:]):
+            assert after[f"text {a}"] == f"text {b}"
+        # The rows without a key are one chain between the last key and the first.
+        at, chain = after[f"text {keys[-1]}"], []
+        while at.startswith("none"):
+            chain.append(at)
+            at = after[at]
+        assert at == f"text {keys[0]}" and len(set(chain)) == 40
