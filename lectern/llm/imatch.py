@@ -153,7 +153,8 @@ def with_next(docs: DataFrame, key: str, derive, size: int = 0, block_bytes: int
     given = [c for c in docs.columns if c != key]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
     tied = docs.withColumn("tie", F.xxhash64(*given))
-    keyed = tied.withColumn("block", _blocks(docs, key, parts))
+    # Several blocks to a partition, so that hashing deals them out evenly.
+    keyed = tied.withColumn("block", _blocks(docs, key, 8 * parts))
     # One row per block: RANGES times BLOCKS at most.
     tops = keyed.groupBy("block").agg(F.max(key).alias("top"), F.max(F.when(F.col(key).isNull(), F.col("tie"))).alias("top_tie"))
     firsts = sorted((tuple(r) for r in tops.collect()), reverse=True, key=lambda r: r[0])
