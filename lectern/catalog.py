@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.functions import words as W
 from lectern.operators import answers as A
@@ -19,6 +18,7 @@ from lectern.operators import chunks as C
 from lectern.operators import evaluation as E
 from lectern.operators import evidence as V
 from lectern.operators import facts as D
+from lectern.operators import ranking as K
 from lectern.operators import profile as X
 from lectern.operators import routing as R
 from lectern.operators import search as S
@@ -124,7 +124,8 @@ def usable_chunks(spark, sf):
     FROM g""")
 def parse_quality_by_source(spark, sf):
     """Parse quality, each source being a document and its documents the pages."""
-    return C.parse_quality(table(spark, sf, "documents"), "source").drop("mean_chars")
+    found = C.parse_quality(table(spark, sf, "documents"), "source")
+    return found.select("source", "pages", "text_pages", "empty_pages", "low_pages", "total_chars", "low_ratio", "scan_likelihood")
 
 
 @query("""WITH p AS (SELECT doc_id, n_chars, (doc_id * 37) % 101 AS confidence, (doc_id % 7) * 100.0 AS width FROM documents)
@@ -182,12 +183,11 @@ def vector_topk(spark, sf):
 
 
 HYBRID_SQL = f"""WITH {CHUNKS_SQL},
-    asked AS (SELECT doc_id AS query_id, len(q) AS n, unnest(q) AS word FROM
-        (SELECT doc_id, list_slice(list_sort({_search_sql("text")}), 1, 8) AS q FROM documents JOIN embeddings ON doc_id = vec_id WHERE doc_id % 20 = 0)),
+    asked AS (SELECT item_id AS query_id, len(q) AS n, unnest(q) AS word FROM (SELECT item_id, {_search_sql("text")} AS q FROM benchmark)),
     postings AS (SELECT doc_id, unnest({_search_sql("text")}) AS word FROM documents),
     lex AS (SELECT query_id, doc_id, count(*) / any_value(n)::DOUBLE AS score FROM postings JOIN asked USING (word) GROUP BY ALL),
     l AS (SELECT query_id, doc_id, score FROM lex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20),
-    {VECTOR_SQL},
+    {VECTOR_SQL.replace("SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0", "SELECT item_id AS query_id, embedding::DOUBLE[] AS a FROM benchmark JOIN embeddings ON item_id = vec_id")},
     v AS (SELECT query_id, vec_id AS doc_id, score FROM nearest WHERE rank <= 20),
     m AS (SELECT query_id, doc_id, coalesce(v.score, 0.0) AS vector_score, coalesce(l.score, 0.0) AS lexical_score
           FROM v FULL JOIN l USING (query_id, doc_id)),
@@ -196,19 +196,18 @@ HYBRID_SQL = f"""WITH {CHUNKS_SQL},
 
 
 def _hybrid(spark, sf, k: int = 5) -> DataFrame:
-    docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings").select("vec_id")
-    first = F.slice(F.array_sort(W.search_words(F.col("text"))), 1, 8)
-    asked = docs.where("doc_id % 20 = 0").join(vectors, F.col("doc_id") == F.col("vec_id"), "left_semi")
-    asked = asked.select(F.col("doc_id").alias("query_id"), F.array_join(first, " ").alias("question"))
+    docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     fetched = S.candidate_limit(k)
     lexical = S.lexical_top(asked, docs, fetched, "query_id", "question", ["doc_id"], "text")
-    vector = _vector(spark, sf, fetched).withColumnRenamed("vec_id", "doc_id")
+    embedded = asked.join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    vector = S.vector_top(embedded, vectors, fetched, "query_id", "vec_id").withColumnRenamed("vec_id", "doc_id")
     return S.merge_hybrid(vector, lexical, k, ["query_id", "doc_id"], "query_id")
 
 
 @query(HYBRID_SQL + " SELECT query_id, doc_id, vector_score, lexical_score, score, rank FROM best WHERE rank <= 5")
 def hybrid_topk(spark, sf):
-    """Words and vectors together: a document asks with eight of its words and its vector."""
+    """Words and vectors together: every benchmark question asks with all its words and the vector of its number."""
     return _hybrid(spark, sf).select("query_id", "doc_id", "vector_score", "lexical_score", "score", F.col("rank").cast("long"))
 
 
@@ -422,27 +421,22 @@ def run_counters(spark, sf):
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def latest_per_key(spark, sf):
     """The latest event of every user."""
-    return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return K.latest(table(spark, sf, "events").select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id").select("user_id", "event_id")
 
 
 @query("""SELECT user_id, count(*) AS n, array_to_string(list_slice(list(event_id ORDER BY ts DESC, event_id DESC), 1, 3), ',') AS recent
     FROM events GROUP BY user_id""")
 def recent_three(spark, sf):
     """How many events a user has, and the three latest: the limit is the feature."""
-    events = table(spark, sf, "events").select("user_id", "event_id", "ts")
-    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    top = events.withColumn("turn", F.row_number().over(order)).where("turn <= 3")
-    listed = top.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("turn", "event_id"))).alias("x"))
-    counts = events.groupBy("user_id").agg(F.count("*").alias("n"))
-    return counts.join(listed, "user_id").select("user_id", "n", F.array_join(F.transform("x", lambda e: e["event_id"].cast("string")), ",").alias("recent"))
+    found = K.recent(table(spark, sf, "events"), ["user_id"], "event_id", "ts", "event_id")
+    return found.select("user_id", "n", F.array_join(F.transform("recent", lambda e: e.cast("string")), ",").alias("recent"))
 
 
 @query("""SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER
     (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS heading_turn FROM conversations""")
 def carry_forward_heading(spark, sf):
     """Every turn with the last user turn up to it, as chunks inherit their heading."""
-    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(order)
+    heading = K.carried(F.when(F.col("role") == "user", F.col("turn")), ["conv_id"], [F.col("turn")])
     return table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(heading, F.lit(-1).cast("long")).alias("heading_turn"))
 
 
@@ -452,20 +446,21 @@ def carry_forward_heading(spark, sf):
 def ties_with_best(spark, sf):
     """The first three chunks that share a question's best score: the limit is the feature."""
     scored = S.lexical_scores(table(spark, sf, "benchmark"), _chunked(spark, sf), "item_id", "text", ["doc_id", "chunk_index"], "chunk")
-    best = scored.groupBy("item_id").agg(F.max("score").alias("best"))
-    tied = scored.join(best, "item_id").where("score = best")
-    found = S.top_k(tied, 3, ["item_id"], [F.col("doc_id"), F.col("chunk_index")])
+    found = K.ties_with_best(scored, ["item_id"], "score", [F.col("doc_id"), F.col("chunk_index")])
     return found.select("item_id", "doc_id", F.col("chunk_index").cast("long"))
 
 
-@query(f"""WITH {CHUNKS_SQL}, {LEXICAL_SQL}, b AS (SELECT item_id, max(score) AS best FROM scored GROUP BY item_id)
-    SELECT item_id, doc_id, chunk_index::BIGINT AS chunk_index, score FROM scored JOIN b USING (item_id) WHERE score >= best - 0.1""")
+@query(f"""WITH {CHUNKS_SQL}, {LEXICAL_SQL}, p AS (SELECT item_id, doc_id, chunk_index, round(score * n)::BIGINT AS points FROM
+        (SELECT s.*, len({_search_sql("b.text")}) AS n FROM scored s JOIN benchmark b USING (item_id))),
+    b AS (SELECT item_id, max(points) AS best FROM p GROUP BY item_id)
+    SELECT item_id, doc_id, chunk_index::BIGINT AS chunk_index, points FROM p JOIN b USING (item_id) WHERE best <= 0 OR points >= greatest(1, best - 2)""")
 def near_best(spark, sf):
-    """All chunks whose score comes near a question's best."""
-    scored = S.lexical_scores(table(spark, sf, "benchmark"), _chunked(spark, sf), "item_id", "text", ["doc_id", "chunk_index"], "chunk")
-    best = scored.groupBy("item_id").agg(F.max("score").alias("best"))
-    near = scored.join(best, "item_id").where("score >= best - 0.1")
-    return near.select("item_id", "doc_id", F.col("chunk_index").cast("long"), "score")
+    """All chunks that have at most two words less of a question than its best ones."""
+    asked = table(spark, sf, "benchmark")
+    scored = S.lexical_scores(asked, _chunked(spark, sf), "item_id", "text", ["doc_id", "chunk_index"], "chunk")
+    sizes = asked.select("item_id", F.size(W.search_words(F.col("text"))).alias("n"))
+    points = scored.join(sizes, "item_id").withColumn("points", F.round(F.col("score") * F.col("n")).cast("long"))
+    return K.near_best(points, ["item_id"], "points").select("item_id", "doc_id", F.col("chunk_index").cast("long"), "points")
 
 
 @query("""SELECT doc_id, CASE WHEN vec_id IS NOT NULL THEN 'ready' WHEN quality IS NOT NULL THEN 'embed' ELSE 'chunk' END AS stage,
@@ -486,17 +481,16 @@ def processing_status(spark, sf):
 def semi_anti_related(spark, sf):
     """Merged hits that either search found alone, by semi and anti joins."""
     hits = _hybrid(spark, sf)
-    both = hits.where("vector_score > 0 and lexical_score > 0").select("query_id", "doc_id")
-    shared = hits.join(both, ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", F.lit("both").alias("found_by"))
-    alone = hits.join(both, ["query_id", "doc_id"], "left_anti")
-    return shared.unionByName(alone.select("query_id", "doc_id", F.when(F.col("vector_score") > 0, "vector").otherwise("lexical").alias("found_by")))
+    both = hits.where("vector_score > 0 and lexical_score > 0")
+    alone = F.when(F.col("vector_score") > 0, "vector").otherwise("lexical")
+    return K.split_cited(hits, both, ["query_id", "doc_id"]).select("query_id", "doc_id", F.when(F.col("role") == "answer", "both").otherwise(alone).alias("found_by"))
 
 
 @query("""SELECT lang, source, doc_id FROM (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1""")
 def stratified_pick(spark, sf):
     """The longest document of every language and source."""
-    best = F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id")))
-    return table(spark, sf, "documents").groupBy("lang", "source").agg(best.alias("doc_id"))
+    best = K.first_rows(table(spark, sf, "documents").drop("text"), ["lang", "source"], [F.desc("n_chars"), F.col("doc_id")])
+    return best.select("lang", "source", "doc_id")
 
 
 @query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS heading FROM pages)
@@ -508,10 +502,10 @@ def section_headings(spark, sf):
     return heads.groupBy("page_id", F.trim("h").alias("heading")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+')[1:40], lambda x: x), ' ') AS normalized FROM documents""")
+@query(f"SELECT doc_id, sha256(array_to_string({_words_sql('text')}, ' ')) AS normalized_sha256 FROM documents")
 def normalized_question(spark, sf):
-    """The first forty words of every document as a question is normalized."""
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(W.word_list(F.col("text")), 1, 40), " ").alias("normalized"))
+    """Every text as questions are normalized, as a hash of the whole."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(W.normalized(F.col("text")), 256).alias("normalized_sha256"))
 
 
 @query()
@@ -520,7 +514,7 @@ def evidence_pack(spark, sf):
     hits = _lexical(spark, sf, 20)
     texts = _chunked(spark, sf).select("doc_id", "chunk_index", "chunk", "word_start")
     full = hits.join(texts, ["doc_id", "chunk_index"]).select(
-        F.col("item_id").alias("qid"), F.lit("whole").alias("part"), (F.col("doc_id") * 10_000 + F.col("chunk_index")).alias("chunk_id"),
+        F.col("item_id").alias("qid"), F.lit("whole").alias("part"), F.xxhash64("doc_id", "chunk_index").alias("chunk_id"),
         F.col("doc_id").alias("document_id"), F.col("chunk_index").cast("int").alias("page_number"), F.col("chunk").alias("text"),
         "score", F.col("score").alias("source_score"),
     )
@@ -557,7 +551,7 @@ def document_profiles(spark, sf):
 def _packs(spark, sf) -> DataFrame:
     """Chosen evidence of every benchmark question with its text."""
     chosen = evidence_pack(spark, sf).where("place is not null")
-    texts = _chunked(spark, sf).select((F.col("doc_id") * 10_000 + F.col("chunk_index")).alias("chunk_id"), F.col("chunk").alias("text"))
+    texts = _chunked(spark, sf).select(F.xxhash64("doc_id", "chunk_index").alias("chunk_id"), F.col("chunk").alias("text"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     full = chosen.join(texts, "chunk_id").join(asked, "qid")
     return full.select(

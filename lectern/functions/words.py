@@ -22,6 +22,11 @@ VERIFIER_STOPWORDS = "a an and are as from in is it of on or the this to used we
 NEGATIONS = "not no never without neither cannot".split()
 
 
+def bound(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_list(text: Column) -> Column:
     """All words in order, repeats included."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
@@ -95,16 +100,16 @@ def letter_density(text: Column) -> Column:
 
 def contents_like(text: Column) -> Column:
     """Whether a text reads like a table of contents."""
-    flat = collapsed(text)
-    low = F.lower(flat)
-    leaders = F.regexp_count(flat, F.lit(r"\.{4,}"))
-    entries = F.regexp_count(flat, F.lit(r"\b[0-9]+(?:\.[0-9]+)*\.?\s+[A-Za-z][A-Za-z0-9 &:/,\-–]{2,90}\s+\.{4,}\s+[0-9]+\b"))
-    topics = low.rlike(r"\b(?:contents|overview|objective|design|method|result|pipeline|verification)\b")
-    return (
-        (low.contains("table of contents") & ((leaders > 0) | (entries > 0)))
-        | (entries >= 2)
-        | ((leaders >= 2) & topics)
-    )
+
+    def told(flat: Column) -> Column:
+        low = F.lower(flat)
+        leaders = F.regexp_count(flat, F.lit(r"\.{4,}"))
+        entries = F.regexp_count(flat, F.lit(r"\b[0-9]+(?:\.[0-9]+)*\.?\s+[A-Za-z][A-Za-z0-9 &:/,\-–]{2,90}\s+\.{4,}\s+[0-9]+\b"))
+        topics = low.rlike(r"\b(?:contents|overview|objective|design|method|result|pipeline|verification)\b")
+        # Every rule asks for dots in a row, so most texts are told at once.
+        return (leaders > 0) & ((low.contains("table of contents")) | (entries >= 2) | (leaders >= 2) & topics)
+
+    return F.when(F.contains(text, F.lit("....")), bound(collapsed(text), told)).otherwise(F.lit(False))
 
 
 def similarity_score(distance: Column) -> Column:
@@ -117,6 +122,6 @@ def page_hash(text: Column) -> Column:
 
 
 def joined_lines(text: Column) -> Column:
-    """Words that a line end hyphenates become whole, then white space collapses."""
-    whole = F.regexp_replace(text, r"(?<=[A-Za-z])-\s*\n\s*(?=[A-Za-z])", "")
+    """Words that a hyphen and white space cut become whole, then white space collapses."""
+    whole = F.regexp_replace(text, r"(?<=[A-Za-z])-\s+(?=[A-Za-z])", "")
     return F.btrim(F.regexp_replace(whole, r"\s+", " "))

@@ -11,41 +11,47 @@ from lectern.functions import words as W
 SIZE, OVERLAP = 900, 120
 
 
+def _windows(text: Column, size: int, overlap: int) -> Column:
+    """The windows of a text: an array of (word_start, n_words, chunk)."""
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("a window needs a positive size and a smaller overlap")
+    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size - overlap))
+        taken = lambda s: F.slice(words, s + 1, size)
+        window = lambda s: F.struct(s.alias("word_start"), F.size(taken(s)).alias("n_words"), F.array_join(taken(s), " ").alias("chunk"))
+        return F.filter(F.transform(starts, window), lambda w: w["n_words"] > 0)
+
+    return F.get(F.transform(F.array(tokens), cut), F.lit(0))
+
+
 def windows(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(key, word_start, n_words, chunk): windows of ``size`` words, each beginning ``size - overlap`` after the last.
 
     The last window is kept even if the one before covers it.
     """
-    if size <= 0 or not 0 <= overlap < size:
-        raise ValueError("a window needs a positive size and a smaller overlap")
-    tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    step = size - overlap
-    split = docs.select(F.col(key), tokens.alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(step))
-    placed = split.select(key, F.explode(F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice("w", s + 1, size).alias("w")))).alias("x"))
-    return placed.select(
-        key, F.col("x.at").alias("word_start"), F.size("x.w").alias("n_words"), F.array_join("x.w", " ").alias("chunk")
-    )
+    return docs.select(key, F.explode(_windows(F.col(text), size, overlap)).alias("x")).select(key, "x.*")
 
 
 def chunks(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """The usable windows that are no tables of contents, numbered per document from 0."""
-    kept = windows(docs, text, key, size, overlap).where(W.usable(F.col("chunk")) & ~W.contents_like(F.col("chunk")))
-    order = Window.partitionBy(key).orderBy("word_start")
-    return kept.select(
-        key,
-        (F.row_number().over(order) - 1).alias("chunk_index"),
-        "word_start",
-        "n_words",
-        W.letter_density(F.col("chunk")).alias("density"),
-        "chunk",
-    )
+    """The usable windows that are no tables of contents, numbered per document from 0; no row leaves its place for it."""
+    kept = F.filter(_windows(F.col(text), size, overlap), lambda w: W.usable(w["chunk"]) & ~W.contents_like(w["chunk"]))
+    numbered = docs.select(key, F.posexplode(kept).alias("chunk_index", "x"))
+    return numbered.select(key, "chunk_index", "x.word_start", "x.n_words", W.letter_density(F.col("x.chunk")).alias("density"), "x.chunk")
 
 
 def parse_quality(pages: DataFrame, key: str, text: str = "text", source: str = "text_source") -> DataFrame:
-    """Per document: pages, pages with text, empty and low pages, sizes, low-page ratio, and its verdict."""
+    """Per document: pages, pages with text, empty and low pages, sizes, low-page ratio, and its verdict with warnings.
+
+    Where pages tell their text_source, ocr_confidence and ocr_duration_ms, so do the
+    pages of each source, the mean confidence and the time spent.
+    """
     n = F.length(W.collapsed(F.col(text)))
     sized = pages.withColumn("n_text", n)
+    known = F.coalesce(F.col(source), F.lit("native")) if source in pages.columns else F.lit("native")
+    confidence = F.col("ocr_confidence") if "ocr_confidence" in pages.columns else F.lit(None).cast("double")
+    duration = F.col("ocr_duration_ms") if "ocr_duration_ms" in pages.columns else F.lit(0)
     counted = sized.groupBy(key).agg(
         F.count("*").alias("pages"),
         F.count_if(F.col("n_text") >= 20).alias("text_pages"),
@@ -53,15 +59,27 @@ def parse_quality(pages: DataFrame, key: str, text: str = "text", source: str =
         F.count_if(F.col("n_text") < 80).alias("low_pages"),
         F.sum("n_text").alias("total_chars"),
         F.avg("n_text").alias("mean_chars"),
+        *[F.count_if(known == x).alias(f"{x}_pages") for x in ("native", "ocr", "hybrid")],
+        F.round(F.avg(confidence.cast("double")), 2).alias("ocr_confidence"),
+        F.coalesce(F.sum(F.coalesce(duration, F.lit(0))), F.lit(0)).cast("long").alias("ocr_duration_ms"),
     )
     ratio = F.col("low_pages") / F.col("pages")
-    return counted.withColumn("low_ratio", ratio).withColumn("scan_likelihood", scan_likelihood(F.col("low_ratio")))
+    verdict = counted.withColumn("low_ratio", ratio).withColumn("scan_likelihood", scan_likelihood(F.col("low_ratio")))
+    return verdict.withColumn("warnings", warnings(F.col("scan_likelihood")))
 
 
 def scan_likelihood(ratio: Column) -> Column:
     return F.when(ratio >= 0.75, "high").when(ratio >= 0.35, "medium").otherwise("low")
 
 
+def warnings(likelihood: Column) -> Column:
+    """What a document's reader is told about its text."""
+    found = F.when(likelihood == "high", "This PDF has very little extractable text and may need OCR.").when(
+        likelihood == "medium", "Some pages have sparse extractable text."
+    )
+    return F.array_compact(F.array(found))
+
+
 def ocr_quality(confidence: Column) -> Column:
     return F.when(confidence.isNull(), "unknown").when(confidence >= 85, "strong").when(confidence >= 65, "moderate").otherwise("weak")
 

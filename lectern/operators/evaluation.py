@@ -85,8 +85,8 @@ def says(answer: Column, pattern: Column) -> Column:
 
 
 def source_text(text: str) -> str:
-    """Words that a line end hyphenates become whole, and white space collapses."""
-    return " ".join(re.sub(r"(?<=[A-Za-z])-\s*\n\s*(?=[A-Za-z])", "", text).split())
+    """Words that a hyphen and white space cut become whole, and white space collapses."""
+    return " ".join(re.sub(r"(?<=[A-Za-z])-\s+(?=[A-Za-z])", "", text).split())
 
 
 def join_sources(texts: Iterable[str]) -> str:

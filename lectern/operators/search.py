@@ -32,20 +32,26 @@ def top_k(rows: DataFrame, k: int, group: list[str], order: list[Column]) -> Dat
 
 
 def lexical_scores(
-    questions: DataFrame, chunks: DataFrame, qid: str, question: str, ids: list[str], text: str
+    questions: DataFrame, chunks: DataFrame, qid: str, question: str, ids: list[str], text: str, scope: str | None = None
 ) -> DataFrame:
-    """(qid, ids, score): share of a question's words that a text has, where it has any."""
-    asked = questions.select(F.col(qid), W.search_words(F.col(question)).alias("asked"))
-    asked = asked.select(qid, F.size("asked").alias("n_asked"), F.explode("asked").alias("word"))
+    """(qid, ids, score): share of a question's words that a text has, where it has any.
+
+    ``scope`` names a column of the questions and one of ``ids``: a question
+    searches only the document that it names, all of them where it names none.
+    """
+    asked = questions.select(F.col(qid), W.search_words(F.col(question)).alias("asked"), *([F.col(scope).alias("__scope")] if scope else []))
+    asked = asked.select(qid, *(["__scope"] if scope else []), F.size("asked").alias("n_asked"), F.explode("asked").alias("word"))
     postings = chunks.select(*ids, F.explode(W.search_words(F.col(text))).alias("word"))
     hits = postings.join(asked, "word")
+    if scope:
+        hits = hits.where(F.col("__scope").isNull() | (F.col("__scope") == F.col(scope)))
     return hits.groupBy(qid, *ids).agg((F.count("*") / F.first("n_asked")).alias("score"))
 
 
 def lexical_top(
-    questions: DataFrame, chunks: DataFrame, k: int, qid: str, question: str, ids: list[str], text: str
+    questions: DataFrame, chunks: DataFrame, k: int, qid: str, question: str, ids: list[str], text: str, scope: str | None = None
 ) -> DataFrame:
-    scored = lexical_scores(questions, chunks, qid, question, ids, text)
+    scored = lexical_scores(questions, chunks, qid, question, ids, text, scope)
     return top_k(scored, k, [qid], [F.desc("score"), *map(F.col, ids)])
 
 
@@ -57,45 +63,85 @@ def _blocks(vectors: DataFrame, ident: str, vector: str, size: int, total: int,
     return grouped.groupBy(name).agg(F.collect_list("x").alias(f"{name}_rows"))
 
 
+#: Bytes of question vectors that every task may hold; more meet the rows in blocks.
+HELD = 64_000_000
+
+
+def _nearest(qs: np.ndarray, q: np.ndarray, rs: np.ndarray, r: np.ndarray, k: int, names: list[str]) -> pa.RecordBatch:
+    """The best k rows of a block for each question of another, by cosine to six digits and then by id."""
+    scores = np.round(np.clip(_unit(q) @ _unit(r).T, 0, 1), 6)
+    order = np.lexsort((np.broadcast_to(rs, scores.shape), -scores), axis=1)[:, :k]
+    best = np.take_along_axis(scores, order, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, order.shape[1])), pa.array(rs[order].ravel()), pa.array(best.ravel())], names=names)
+
+
+def _unit(values: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(values, axis=1, keepdims=True)
+    return values / np.where(norms == 0, 1, norms)
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
 def vector_top(
     questions: DataFrame, rows: DataFrame, k: int, qid: str, rid: str, vector: str = "embedding", block: int = 2048
 ) -> DataFrame:
     """(qid, rid, score, rank): exact nearest rows by cosine, scores rounded to six digits, ties by id.
 
-    Each side is dealt into blocks of about ``block`` vectors; every pair of
-    blocks is one matrix product, whose best k per question go on.
+    Where all question vectors fit into ``HELD`` bytes, every task holds them and
+    the rows stay where they are. Otherwise each side is dealt into blocks of
+    about ``block`` vectors, and every pair of blocks is one matrix product,
+    whose best k per question go on.
     """
-    n_questions = questions.count()
-    left = _blocks(questions, qid, vector, block, n_questions, "q")
+    size = questions.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("values")).first()
+    names, schema = [qid, rid, "score"], f"{qid} long, {rid} long, score double"
+    if 8 * size["values"] <= HELD:
+        asked = questions.select(F.col(qid).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).toArrow()
+        qs = asked["i"].to_numpy()
+        held = rows.sparkSession.sparkContext.broadcast((qs, np.array(asked["v"].to_pylist(), np.float64)))
+
+        def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, q = held.value
+            for batch in batches:
+                if batch.num_rows and len(own):
+                    rs, r = batch.column(0).to_numpy(), _matrix(batch.column(1), batch.num_rows)
+                    for at in range(0, len(own), block):
+                        yield _nearest(own[at : at + block], q[at : at + block], rs, r, k, names)
+
+        found = rows.select(F.col(rid).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(stay, schema)
+        return top_k(found, k, [qid], [F.desc("score"), F.col(rid)])
+
+    left = _blocks(questions, qid, vector, block, size["n"], "q")
     right = _blocks(rows, rid, vector, block, rows.count(), "r")
-    n_left = max(1, -(-n_questions // block))
+    n_left = max(1, -(-size["n"] // block))
     # Each block of rows meets each block of questions once.
     pairs = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).join(left, "q")
 
-    def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        flat = column.flatten()
-        ids = flat.field("i").to_numpy(zero_copy_only=False)
-        values = flat.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        norms = np.linalg.norm(values, axis=1, keepdims=True)
-        return ids, values / np.where(norms == 0, 1, norms)
-
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                qs, q = matrix(batch.column(0).slice(i, 1))
-                rs, r = matrix(batch.column(1).slice(i, 1))
-                scores = np.round(np.clip(q @ r.T, 0, 1), 6)
-                order = np.lexsort((np.broadcast_to(rs, scores.shape), -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qs, order.shape[1])), pa.array(rs[order].ravel()), pa.array(best.ravel())],
-                    names=[qid, rid, "score"],
-                )
-
-    found = pairs.select("q_rows", "r_rows").mapInArrow(multiply, f"{qid} long, {rid} long, score double")
+                sides = [batch.column(c).slice(i, 1).flatten() for c in (0, 1)]
+                (qs, q), (rs, r) = ((s.field("i").to_numpy(zero_copy_only=False), _matrix(s.field("v"), len(s))) for s in sides)
+                yield _nearest(qs, q, rs, r, k, names)
+
+    found = pairs.select("q_rows", "r_rows").mapInArrow(multiply, schema)
     return top_k(found, k, [qid], [F.desc("score"), F.col(rid)])
 
 
+def scoped_vector_top(
+    questions: DataFrame, rows: DataFrame, k: int, qid: str, rid: str, scope: str, vector: str = "embedding"
+) -> DataFrame:
+    """As ``vector_top``, each question among the rows of the document that it names: an equi-join on ``scope``."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    asked = questions.select(F.col(qid), F.col(scope), F.col(vector).cast("array<double>").alias("__q"))
+    both = rows.select(F.col(rid), F.col(scope), F.col(vector).cast("array<double>").alias("__r")).join(asked, scope)
+    norms = F.sqrt(dot(F.col("__q"), F.col("__q")) * dot(F.col("__r"), F.col("__r")))
+    score = W.similarity_score(1 - F.coalesce(F.try_divide(dot(F.col("__q"), F.col("__r")), norms), F.lit(0.0)))
+    scored = both.select(qid, rid, F.round(score, 6).alias("score"))
+    return top_k(scored, k, [qid], [F.desc("score"), F.col(rid)])
+
+
 def merge_hybrid(vector: DataFrame, lexical: DataFrame, k: int, keys: list[str], group: str) -> DataFrame:
     """Both lists by key: the better score counts, a missing one reads 0."""
     both = vector.select(*keys, F.col("score").alias("vector_score")).join(

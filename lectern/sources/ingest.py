@@ -60,8 +60,8 @@ def pages(found: DataFrame, provider: Provider) -> DataFrame:
 
 def parse_ocr_table(table: Column) -> Column:
     """(text, confidence) of recognized words in tab-separated lines with a header; confidence is the mean of those not negative."""
-    rows = F.slice(F.split(table, "\n"), 2, 1_000_000)
-    cells = F.transform(rows, lambda r: F.split(r, "\t"))
+    rows = F.split(table, "\n")
+    cells = F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.split(r, "\t"))
     seen = F.filter(cells, lambda c: (F.size(c) >= 12) & (F.btrim(F.get(c, F.lit(11))) != ""))
     words = F.transform(seen, lambda c: F.btrim(F.get(c, F.lit(11))))
     sure = F.filter(F.transform(seen, lambda c: F.get(c, F.lit(10)).try_cast("double")), lambda x: x >= 0)

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lectern import catalog
+from lectern import catalog, catalog_documents  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
