@@ -5,8 +5,9 @@ stack of open elements. An element is laid out when it closes: inline text
 collapses to single blanks, blocks stand on lines of their own with a blank
 line where the browser leaves space, list items get bullets or numbers and
 hang, and the cells of a table are padded to columns. What a browser doesn't
-show is not emitted: head, scripts, styles, templates, hidden elements, the
-options of a drop-down that aren't chosen, what a drawing holds besides texts.
+show is not emitted: head, scripts, styles, templates, hidden elements, what a
+closed disclosure holds, the options of a drop-down that aren't chosen, what a
+drawing holds besides texts. Style sheets are not read, only style attributes.
 Everything else is: navigation and boilerplate are visible text too. Formulas
 are inline text; parts that stand over or beside each other are kept apart.
 
@@ -79,7 +80,16 @@ ENDS_FOREIGN = frozenset(
 #: What stands over or beside its neighbours in a formula or drawing, so that a blank keeps it apart.
 BESIDE = frozenset({"mtd", "mtr", "text"})
 BREAK = object()
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+VEILED = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+#: White space that collapses; a no-break space doesn't.
+BLANKS = re.compile(r"[ \t\n\r\f]+")
+#: Fields that show no text of their own.
+SILENT = frozenset("hidden password checkbox radio file image range color".split())
+
+
+def _collapsed(text: str) -> str:
+    return BLANKS.sub(" ", text).strip(" ")
 
 
 class Block:
@@ -103,12 +113,16 @@ class Option:
 class Element:
     """An open element and what was laid out of it so far."""
 
-    __slots__ = ("tag", "hidden", "keeps", "parts", "number", "span", "framed", "given")
+    __slots__ = ("tag", "hidden", "keeps", "veiled", "parts", "items", "span", "rows", "framed", "given")
 
-    def __init__(self, tag: str, hidden: bool, keeps: bool):
+    def __init__(self, tag: str, hidden: bool, keeps: bool, veiled: bool = False):
         self.tag, self.hidden, self.keeps = tag, hidden, keeps
+        #: Unseen, though what it holds may show itself.
+        self.veiled = veiled
         self.parts: list = []
-        self.number, self.span = 1, 1
+        #: Items of a numbered list: (block, lines, number given).
+        self.items: list[tuple[Block, list[str], int | None]] = []
+        self.span, self.rows = 1, 1
         #: Whether rows and cells in it belong to a table around it.
         self.framed = False
         #: Attributes, where they count when it closes.
@@ -133,7 +147,7 @@ def _flow(parts: list, keeps: bool) -> list[str]:
         nonlocal apart
         text = "".join(inline)
         inline.clear()
-        found = text.split("\n") if keeps else [" ".join(text.split())]
+        found = text.split("\n") if keeps else [_collapsed(text)]
         if keeps and found and not found[-1].strip():
             found.pop()
         if any(x.strip() for x in found) or broken and text:
@@ -164,28 +178,67 @@ def _hang(lines: list[str], mark: str) -> list[str]:
     return [(mark if i == 0 else pad if x else "") + x for i, x in enumerate(lines)] or [mark.rstrip()]
 
 
-def _grid(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines, columns spanned), padded so that columns align."""
+def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (lines, columns spanned, rows spanned), padded so that columns align."""
     widths: dict[int, int] = {}
+    placed, held, wide_cells = [], {}, []
     for row in rows:
-        at = 0
-        for lines, span in row:
+        at, own = 0, []
+        for lines, span, down in row:
+            while held.get(at, 0):  # a cell from above still stands here
+                at += 1
+            own.append((at, lines))
             if span == 1:
                 widths[at] = max(widths.get(at, 0), max(map(_width, lines), default=0))
+            else:
+                wide_cells.append((at, span, max(map(_width, lines), default=0)))
+            for column in range(at, at + span):
+                held[column] = max(held.get(column, 0), down)
             at += span
+        placed.append(own)
+        held = {c: n - 1 for c, n in held.items() if n > 1}
+    for at, span, wide in wide_cells:
+        # What a cell needs beyond its columns widens the last of them.
+        spare = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
+        if wide > spare:
+            widths[at + span - 1] = widths.get(at + span - 1, 0) + wide - spare
+    offsets, total = {}, 0
+    for column in range(max((at for own in placed for at, _ in own), default=0) + 1):
+        offsets[column] = total
+        total += widths.get(column, 0) + 2
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            line, at = "", 0
-            for lines, span in row:
+    for own in placed:
+        for k in range(max((len(lines) for _, lines in own), default=0)):
+            line, wide = "", 0
+            for at, lines in own:
                 cell = lines[k] if k < len(lines) else ""
-                room = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-                line += cell + " " * (max(room - _width(cell), 0) + 2)
-                at += span
+                room = max(offsets[at] - wide, 2 if line.strip() else 0)
+                line, wide = line + " " * room + cell, wide + room + _width(cell)
             out.append(line.rstrip())
     return out
 
 
+def _numeral(n: int, style: str) -> str:
+    """The number of an item: letters, roman numerals or digits."""
+    if style in ("a", "A") and n > 0:
+        text = ""
+        while n:
+            n, rest = divmod(n - 1, 26)
+            text = chr(97 + rest) + text
+    elif style in ("i", "I") and 0 < n < 4000:
+        text, left = "", n
+        for value, sign in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "m cm d cd c xc l xl x ix v iv i".split()):
+            text += sign * (left // value)
+            left %= value
+    else:
+        return str(n)
+    return text.upper() if style.isupper() else text
+
+
+def _integer(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"[+-]?[0-9]{1,9}", text.strip()) else None
+
+
 def _rows(parts: list) -> list[list]:
     """Rows among parts, where cells without a row make rows of their own."""
     rows: list[list] = []
@@ -249,34 +302,38 @@ class Page:
         if tag[0] == "h" and tag[1:] in ("1", "2", "3", "4", "5", "6") and self.open[-1].tag in SPACED and self.open[-1].tag[0] == "h":
             self._close()
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            self._push(Element("tr", self.open[-1].hidden, False))
+            self._push(Element("tr", self.open[-1].hidden, False, self.open[-1].veiled))
         top = self.open[-1]
+        style = given.get("style", "")
+        seen = VEILED.findall(style)
+        veiled = seen[-1].lower() != "visible" if seen else top.veiled
         hidden = (
             top.hidden
+            or top.tag == "details" and "open" not in top.given and tag != "summary"
             or tag in UNSEEN
             or foreign and tag in UNDRAWN
             or "hidden" in given
             or tag == "dialog" and "open" not in given
-            or bool(HIDDEN.search(given.get("style", "")))
+            or bool(HIDDEN.search(style))
         )
+        shown = not hidden and not veiled
         if tag == "br":
             top.parts.append("\n" if top.keeps else BREAK)
-        elif tag == "hr" and not hidden:
+        elif tag == "hr" and shown:
             top.parts.append(Block(["---"], True))
-        elif tag == "img" and not hidden and given.get("alt"):
+        elif tag == "img" and shown and given.get("alt"):
             top.parts.append(unescape(given["alt"]))
-        elif tag == "input" and not hidden and given.get("type", "").lower() in ("submit", "button", "reset"):
+        elif tag == "input" and shown and given.get("type", "").lower() not in SILENT:
             top.parts.append(unescape(given.get("value", "")))
         elif tag == "wbr":
             pass
         if tag in VOID:
             return
-        element = Element(tag, hidden, top.keeps or tag in ("pre", "textarea", "xmp"))
-        if tag == "ol" and given.get("start", "").isdigit():
-            element.number = int(given["start"][:9])
-        if tag in ("td", "th") and given.get("colspan", "").isdigit():
-            element.span = max(1, min(int(given["colspan"][:4]), 1000))
-        if tag in ("select", "option"):
+        element = Element(tag, hidden, top.keeps or tag in ("pre", "textarea", "xmp"), veiled)
+        if tag in ("td", "th"):
+            element.span = max(1, min(_integer(given.get("colspan")) or 1, 1000))
+            element.rows = max(1, min(_integer(given.get("rowspan")) or 1, 65534))
+        if tag in ("select", "option", "details", "ol", "li"):
             element.given = given
         self._push(element)
         if foreign and rest.endswith("/"):
@@ -307,7 +364,9 @@ class Page:
         top = self.open[-1]
         if self.count["svg"] and not (self.count["text"] or self.count["foreignobject"]):
             return
-        if not top.hidden and not (top.tag in ("table", "thead", "tbody", "tfoot", "tr", "ul", "ol") and data.isspace()):
+        if top.tag == "details" and "open" not in top.given:
+            return
+        if not top.hidden and not top.veiled and not (top.tag in ("table", "thead", "tbody", "tfoot", "tr", "ul", "ol") and data.isspace()):
             top.parts.append(unescape(data) if "&" in data else data)
 
     def _close_first(self, tags: frozenset[str], fence: frozenset[str]) -> None:
@@ -350,14 +409,14 @@ class Page:
             # Nothing but its options counts in a drop-down, however they are wrapped.
             into.parts += done.parts
         elif self.count["select"]:
-            text = done.given.get("label") or " ".join(" ".join(_flow(done.parts, False)).split())
+            text = done.given.get("label") or _collapsed(" ".join(_flow(done.parts, False)))
             into.parts.append(Option(unescape(text) if done.given.get("label") else text, "selected" in done.given, "disabled" not in done.given))
         elif tag == "select":
             into.parts.append(_shown([x for x in done.parts if isinstance(x, Option)], done.given))
         elif tag in BESIDE and (self.count["svg"] or self.count["math"]) or into.tag == "mfrac":
             into.parts += [" ", *done.parts, " "]
         elif tag in ("td", "th"):
-            into.parts.append((_flow(done.parts, done.keeps), done.span))
+            into.parts.append((_flow(done.parts, done.keeps), done.span, done.rows))
         elif tag == "tr":
             cells = [x for x in done.parts if isinstance(x, tuple)]
             stray = _flow([x for x in done.parts if not isinstance(x, (list, tuple))], False)
@@ -370,12 +429,13 @@ class Page:
             around = _flow([x for x in done.parts if not isinstance(x, (list, tuple))], False)
             into.parts.append(Block(around + _grid(_rows(done.parts)), True))
         elif tag == "li":
-            mark = "- "
-            if into.tag == "ol":
-                mark, into.number = f"{into.number}. ", into.number + 1
             lines = _flow(done.parts, done.keeps)
-            into.parts.append(Block(_hang(lines, mark) if lines else [], False))
+            block = Block(_hang(lines, "- ") if lines else [], False)
+            into.parts.append(block)
+            if into.tag == "ol":
+                into.items.append((block, lines, _integer(done.given.get("value"))))
         elif tag in BLOCKS:
+            self._number(done)
             lines = _flow(done.parts, done.keeps)
             if tag in ("blockquote", "dd"):
                 lines = ["  " + x if x else x for x in lines]
@@ -385,6 +445,17 @@ class Page:
             into.parts += done.parts
         into.parts += passed
 
+    @staticmethod
+    def _number(done: Element) -> None:
+        """Number the items of a list, from its start or, backwards, from their count; an item's own number goes on from there."""
+        step = -1 if "reversed" in done.given else 1
+        start = _integer(done.given.get("start"))
+        number = start if start is not None else len(done.items) if step < 0 else 1
+        for block, lines, given in done.items:
+            number = given if given is not None else number
+            block.lines = _hang(lines, f"{_numeral(number, done.given.get('type', '1'))}. ") if lines else []
+            number += step
+
     def result(self) -> str:
         while len(self.open) > 1:
             self._close()

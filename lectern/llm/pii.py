@@ -8,13 +8,17 @@ and no two values share one:
   Luhn sum: the digits but the last are permuted, the last one is computed anew;
   blanks and hyphens stay.
 * IPv4 addresses: the 32 bits are permuted.
-* telephone numbers, +country (area) number or area-number-number: the digits
-  after the country code are permuted, all other characters stay.
+* telephone numbers, +country (area) number, unbroken after a plus, (area)
+  number-number, and area-number-number with hyphens or dots: the digits after
+  the country code are permuted, all other characters stay. (An unbroken number
+  keeps its first three digits, where its country code is.)
 * dates (yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy) that exist: the day is permuted
-  within its 400 years, a whole cycle of the calendar.
+  within its 400 years, a whole cycle of the calendar. A date with slashes that
+  can only be mm/dd/yyyy stays one: days 13 to 28 are permuted with their month
+  and year, later ones keep day and month and permute the year; 02/29 stays.
 * mail addresses: two keyed sweeps over the local part, in opposite directions,
   turn each digit into a digit and each letter into one of its case; signs and
-  the domain stay.
+  the domain stay; more than 64 characters go in blocks.
 
 Digits permute as numbers of their count, in two halves of known moduli; round
 values are SHA-256 of key, kind, length, round and the other half. Where kinds
@@ -39,10 +43,14 @@ from lectern.llm.storage import let
 RESULT = ("n_cards", "n_addresses", "n_phones", "n_dates", "n_mails")
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 KINDS = {
-    "mail": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    # From its first letter on, however long; a run is tried once, as it begins only where no letter stands before.
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "address": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ -]?\([0-9]{2,4}\)[ -]?[0-9]{3,4}[ -][0-9]{3,4}|\+[0-9]{1,3}(?:[ -][0-9]{2,4}){2,4}|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
+    "phone": (
+        r"(?:\+[0-9]{1,3}[ -]?\([0-9]{2,4}\)[ -]?[0-9]{3,4}[ -][0-9]{3,4}|\+[0-9]{1,3}(?:[ -][0-9]{2,4}){2,4}|\+[0-9]{8,15}"
+        r"|\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}|(?<![0-9.])[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9])"
+    ),
     # Unbroken, or in groups of four, or of four, six and five: a number that stands beside it is none of its digits.
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
@@ -149,7 +157,26 @@ def _date(found: Column, config: Pseudonyms) -> Column:
         text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(slash, F.date_format(new, "dd/MM/yyyy"))
         return text.otherwise(F.date_format(new, "dd.MM.yyyy"))
 
-    return let(day, lambda d: F.when(d.isNotNull(), renew(d)))
+    return let(day, lambda d: F.when(d.isNotNull(), renew(d)).when(slash, _month_first(found, config)))
+
+
+def _month_first(found: Column, config: Pseudonyms) -> Column:
+    """A date that can only be mm/dd/yyyy, as another such date; null if it isn't one."""
+    month, day, year = (F.get(F.split(found, "/"), F.lit(i)).cast("bigint") for i in range(3))
+    of_400, cycle = F.pmod(year, F.lit(400)), F.call_function("div", year, F.lit(400)) * 400
+    number = lambda n: F.lit(n).cast("bigint")
+    two = lambda n, k: F.lpad(n.cast("string"), k, "0")
+
+    def written(m: Column, d: Column, y: Column) -> Column:
+        return F.concat_ws("/", two(m, 2), two(d, 2), two(y, 4))
+
+    # 400 years of 12 months of 16 days are 240 times 320.
+    place = (of_400 * 12 + month - 1) * 16 + day - 13
+    moved = feistel(place, number(240), number(320), F.lit(16), "date", config)
+    any_day = let(moved, lambda v: written(F.pmod(F.call_function("div", v, F.lit(16)), F.lit(12)) + 1, F.pmod(v, F.lit(16)) + 13, cycle + F.call_function("div", v, F.lit(192))))
+    late = let(feistel(of_400, number(20), number(20), day, "date", config), lambda y: written(month, day, cycle + y))
+    exists = F.try_to_date(found, "MM/dd/yyyy").isNotNull()
+    return F.when(exists & (day > 28), F.when(month == 2, found).otherwise(late)).when(exists & (day > 12), any_day)
 
 
 def _phone(found: Column, config: Pseudonyms) -> Column:
@@ -161,17 +188,17 @@ def _phone(found: Column, config: Pseudonyms) -> Column:
 
 
 def _mail(found: Column, config: Pseudonyms) -> Column:
-    """The local part, each character shifted by a key drawn from all others; the steps can be undone."""
+    """The local part, in blocks of 64 characters at most, each character shifted by a key drawn from all others of its block; the steps can be undone."""
     local = F.substring_index(found, "@", 1)
-    chars = F.filter(F.split(local, ""), lambda c: c != "")
     radix = lambda c: F.when(c.rlike("[0-9]"), 10).when(c.rlike("[A-Za-z]"), 26).otherwise(1)
     digit = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).when(c.rlike("[a-z]"), F.ascii(c) - 97).when(c.rlike("[A-Z]"), F.ascii(c) - 65).otherwise(0)
-    shapes = F.regexp_replace(F.regexp_replace(F.regexp_replace(local, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    shape = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
 
-    def moved(cs: Column) -> Column:
+    def moved(block: Column) -> Column:
         # Every character but the first is shifted by a key drawn from those before it, and back again:
         # two passes in opposite directions let each character depend on all others.
-        def sweep(xs: Column, salt: str) -> Column:
+        def sweep(xs: Column, salt: str, shapes: Column) -> Column:
             def step(s: Column, c: Column) -> Column:
                 key = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{config.key}|mail|{salt}|"), shapes, F.lit("|"), s), 256), 1, 8), 16, 10).cast("bigint")
                 value = F.pmod(digit(c) + F.pmod(key, radix(c).cast("bigint")), radix(c).cast("bigint"))
@@ -180,11 +207,13 @@ def _mail(found: Column, config: Pseudonyms) -> Column:
 
             return F.aggregate(xs, F.lit(""), step)
 
-        forth = sweep(cs, "0")
-        back = F.reverse(F.filter(F.split(forth, ""), lambda c: c != ""))
-        return F.reverse(sweep(back, "1"))
+        def both(shapes: Column) -> Column:
+            return F.reverse(sweep(F.reverse(chars(sweep(chars(block), "0", shapes))), "1", shapes))
+
+        return let(shape(block), both)
 
-    return F.concat(let(chars, moved), F.substring(found, F.length(local) + 1, F.length(found)))
+    blocks = F.regexp_extract_all(local, F.lit(".{1,64}"), F.lit(0))
+    return F.concat(F.array_join(F.transform(blocks, moved), ""), F.substring(found, F.length(local) + 1, F.length(found)))
 
 
 def pseudonymize(docs: DataFrame, config: Pseudonyms = Pseudonyms(), text: str = "text") -> DataFrame:

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Where a session names the secret of its pseudonyms; without one, those of ``Pseudonyms`` are for tests only.
+PSEUDONYM_KEY = "spark.lectern.pseudonymKey"
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -54,10 +58,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text with its personal data replaced by pseudonyms."""
-    from lectern.llm.pii import RESULT, pseudonymize
+    """Every text with its personal data replaced by pseudonyms; the key is the session's secret."""
+    from lectern.llm.pii import RESULT, Pseudonyms, pseudonymize
 
-    return pseudonymize(_documents(spark, sf_dir)).select("doc_id", *RESULT, "text")
+    config = Pseudonyms(key=spark.conf.get(PSEUDONYM_KEY, Pseudonyms.key))
+    return pseudonymize(_documents(spark, sf_dir), config).select("doc_id", *RESULT, "text")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ class Units(dict):
         known = self.old.get(unit)
         if known is None:
             known = self.make(unit)
-        if len(unit) <= LONGEST_UNIT and 4 * len(self) < 5 * self.most:
+        if len(unit) <= LONGEST_UNIT:
             self[unit] = known
         return known
 

@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from lectern.llm.html import render, render_pages
 
 
@@ -59,3 +63,68 @@ def test_formulas_drawings_and_options():
     assert render("<select multiple><option>a</option><div><option label=B>b</option></div></select>") == "a B"
     assert render("<table><tr><td><select><option>a</td><td>b</table>") == "a  b" and render("<select></select>x") == "x"
     assert render("<datalist><option>no</datalist>x<option>y</option>") == "xy"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td colspan=2>wide one<td>x<tr><td>a<td>b<td>c</table>", "wide one  x\na  b      c"),
+        ("a&nbsp;&nbsp;b   c", "a\u00a0\u00a0b c"),
+        ("<details><summary>more</summary>gone<p>too</p></details>", "more"),
+        ("<details open><summary>more</summary>here</details>", "more\nhere"),
+        ('<div style="visibility:hidden">no<span style="visibility: visible">yes</span></div>', "yes"),
+        ('<div style="display:none">no<span style="visibility: visible">no</span></div>', ""),
+        ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+        ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"),
+        ("<ol type=a start=26><li>z<li>aa</ol>", "z. z\naa. aa"),
+        ("<ol type=I><li>x<li><ol><li>y</ol></ol>", "I. x\nII. 1. y"),
+        ('<input value="typed"> <input type=hidden value=no> <input type=password value=no>', "typed"),
+    ],
+)
+def test_layout_of_attributes(page, text):
+    assert render(page) == text
+
+
+def _plain(parts):
+    """A second renderer for pages of paragraphs, lists and simple tables, written as what a reader would see."""
+    out = []
+    for kind, body in parts:
+        if kind == "p":
+            out.append(" ".join(body.split()))
+        elif kind in ("ul", "ol"):
+            out.append("\n".join((f"{i}. " if kind == "ol" else "- ") + x for i, x in enumerate(body, 1)))
+        else:
+            wide = [max(len(r[i]) for r in body) for i in range(len(body[0]))]
+            out.append("\n".join("  ".join(c.ljust(w) for c, w in zip(r, wide)).rstrip() for r in body))
+    return "\n\n".join(out)
+
+
+def test_against_a_second_renderer():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefg", k=rng.randint(1, 6)))
+    for _ in range(300):
+        parts, html = [], ["<html><head><title>no</title><style>p{}</style></head><body>"]
+        for _ in range(rng.randint(1, 6)):
+            kind = rng.choice(["p", "ul", "ol", "table"])
+            if kind == "p":
+                words = [word() for _ in range(rng.randint(1, 8))]
+                parts.append((kind, " ".join(words)))
+                html.append("<p>" + rng.choice([" ", "\n ", "  "]).join(f"<b>{w}</b>" if rng.random() < 0.2 else w for w in words) + rng.choice(["", "</p>"]))
+            elif kind == "table":
+                columns = rng.randint(1, 4)
+                rows = [[word() for _ in range(columns)] for _ in range(rng.randint(1, 4))]
+                parts.append((kind, rows))
+                end = rng.choice(["", "</td>"])
+                html.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}{end}" for c in r) for r in rows) + "</table>")
+            else:
+                items = [word() for _ in range(rng.randint(1, 5))]
+                parts.append((kind, items))
+                html.append(f"<{kind}>" + "".join(f"<li>{x}" + rng.choice(["", "</li>"]) for x in items) + f"</{kind}>")
+        assert render("".join(html)) == _plain(parts)
+
+
+def test_long_and_deep_pages():
+    assert render("x" * 300_000) == "x" * 300_000
+    assert render("<div>" * 20_000 + "deep") == "deep"
+    assert render("<a " * 50_000).strip() == ""

@@ -1,4 +1,6 @@
 import datetime
+import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -62,3 +64,121 @@ def test_cases(spark):
     assert null["text"] is None and empty["text"] == "" and plain["text"] == "no data" and long["n_addresses"] == 1
     assert all(null[c] == 0 for c in RESULT)
     assert pseudonymize(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_feistel(value, left, right, size, kind, key="k"):
+    def seed(i, half):
+        return int(hashlib.sha256(f"{key}|{kind}|{size}|{i}|{half}".encode()).hexdigest()[:13], 16)
+
+    a, b = divmod(value, right)
+    for i in range(8):
+        if i % 2 == 0:
+            a = (a + seed(i, b) % left) % left
+        else:
+            b = (b + seed(i, a) % right) % right
+    return a * right + b
+
+
+def plain_digits(digits, kind):
+    n = len(digits)
+    return str(plain_feistel(int(digits), 10 ** (n - n // 2), 10 ** (n // 2), n, kind)).zfill(n)
+
+
+def refill(shape, digits):
+    left = iter(digits)
+    return "".join(next(left) if c in "0123456789" else c for c in shape)
+
+
+def plain_card(found):
+    digits = re.sub("[^0-9]", "", found)
+    if not luhn(digits):
+        return found
+    body = plain_digits(digits[:-1], "card")
+    return refill(found, body + next(c for c in "0123456789" if luhn(body + c)))
+
+
+def plain_address(found):
+    value = 0
+    for part in found.split("."):
+        value = value * 256 + int(part)
+    return ".".join(str(b) for b in plain_feistel(value, 65536, 65536, 32, "address").to_bytes(4, "big"))
+
+
+def plain_phone(found):
+    code = (re.match(r"\+[0-9]{1,3}[ -]?", found) or re.match("", found))[0]
+    rest = found[len(code) :]
+    return code + refill(rest, plain_digits(re.sub("[^0-9]", "", rest), "phone"))
+
+
+def plain_date(found):
+    shape = "%Y-%m-%d" if "-" in found else "%d/%m/%Y" if "/" in found else "%d.%m.%Y"
+    try:
+        day = datetime.datetime.strptime(found, shape).date()
+    except ValueError:
+        return found
+    first = datetime.date(day.year // 400 * 400 or 1, 1, 1)
+    new = first + datetime.timedelta(plain_feistel((day - first).days, 189, 773, 400, "date"))
+    return shape.replace("%Y", f"{new.year:04}").replace("%m", f"{new.month:02}").replace("%d", f"{new.day:02}")
+
+
+def test_against_plain_python(spark):
+    rng = random.Random(3)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    found = []
+    for _ in range(60):
+        body = number(rng.choice((14, 15)))
+        found.append((body + next(c for c in "0123456789" if luhn(body + c)), plain_card))
+        found.append((".".join(str(rng.randrange(256)) for _ in range(4)), plain_address))
+        found.append((f"+{rng.randint(1, 99)} ({number(3)}) {number(3)}-{number(4)}", plain_phone))
+        found.append((f"{rng.randint(2000, 2399)}-{rng.randint(1, 12):02}-{rng.randint(1, 31):02}", plain_date))
+        found.append((f"{rng.randint(1, 28):02}.{rng.randint(1, 12):02}.{rng.randint(2000, 2399)}", plain_date))
+        found.append((f"({number(3)}) {number(3)}-{number(4)}", plain_phone))
+        found.append((f"{number(3)}.{number(3)}.{number(4)}", plain_phone))
+        found.append((f"+{rng.randint(1, 9)}{number(10)}", lambda x: x[:4] + plain_digits(x[4:], "phone")))
+    got = run(spark, *[f"see {x} there" for x, _ in found])
+    for (x, plain), r in zip(found, got):
+        assert r["text"] == f"see {plain(x)} there", x
+
+
+def plain_mail(found):
+    local, domain = found.split("@", 1)
+
+    def sweep(chars, salt, shape):
+        out = ""
+        for c in chars:
+            key = int(hashlib.sha256(f"k|mail|{salt}|{shape}|{out}".encode()).hexdigest()[:8], 16)
+            for first, n in (("0", 10), ("a", 26), ("A", 26)):
+                if 0 <= ord(c) - ord(first) < n and c.isalnum():
+                    c = chr(ord(first) + (ord(c) - ord(first) + key % n) % n)
+                    break
+            out += c
+        return out
+
+    parts = []
+    for block in re.findall(".{1,64}", local):
+        shape = re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", block)))
+        parts.append(sweep(sweep(block, 0, shape)[::-1], 1, shape)[::-1])
+    return "".join(parts) + "@" + domain
+
+
+def test_mails_against_plain_python(spark):
+    rng = random.Random(6)
+    mails = ["".join(rng.choices("abcXYZ019._%+-", k=rng.randint(1, 150))) + "@mail.example.com" for _ in range(30)]
+    for old, r in zip(mails, run(spark, *mails)):
+        assert r["text"] == plain_mail(old)
+
+
+def test_month_first_dates_and_long_mails(spark):
+    dates = [f"{m:02}/{d:02}/{y}" for y in (2024, 1999) for m in (1, 2, 12) for d in (13, 28, 29, 30, 31)]
+    rows = run(spark, *dates, "a" * 100 + "9@mail.example.com", "B" * 70_000 + "@x.org")
+    out = [r["text"] for r in rows[: len(dates)]]
+    assert len(set(out)) == len(dates)
+    for old, new in zip(dates, out):
+        try:
+            datetime.datetime.strptime(old, "%m/%d/%Y")
+        except ValueError:
+            assert new == old
+            continue
+        assert datetime.datetime.strptime(new, "%m/%d/%Y") and int(new[3:5]) > 12
+    assert not rows[-2]["text"].startswith("aaaa") and re.fullmatch(r"[a-z]{100}[0-9]@mail\.example\.com", rows[-2]["text"])
+    assert re.fullmatch(r"[A-Z]{70000}@x\.org", rows[-1]["text"]) and "B" * 100 not in rows[-1]["text"]
