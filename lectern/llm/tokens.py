@@ -25,7 +25,7 @@ import numpy as np
 from lectern.llm.resident import resident
 
 #: Units kept in a worker: one generation being filled and the one before; longer ones are never kept.
-CACHED_UNITS, LONGEST_UNIT = 300_000, 32
+CACHED_UNITS, LONGEST_UNIT = 500_000, 32
 #: Up to here letters are composed, and their lower case is one letter each.
 LATIN = "\u017f"
 DIGITS = frozenset("0123456789")
