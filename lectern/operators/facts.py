@@ -71,19 +71,49 @@ TYPE_WORDS = {
 TECHNICAL = r"(?i)\b(?:feature|interface|state|data|observation|schema|api|dimensional|reward|action)\s+contract\b"
 
 
-def document_types(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, document_type, type_score): most weight of the phrases that occur; ties go to the earlier type.
+# Signs of an academic report, and what headings tell: (type, weight, headings, how many of them).
+SIGNALS = (
+    r"\bcourse\s+code\b", r"\bcourse\s+name\b", r"\bacademic\s+session\b", r"\bassessment\s+title\b", r"\bprepared\s+by\b",
+    r"\bstudent\s+id\b", r"\bproject\s+submission\b", r"\bfinal\s+report\b", r"\blecturer\b",
+)
+PAPER_HEADINGS = (
+    "ABSTRACT", "INTRODUCTION", "OVERVIEW", "OBJECTIVES", "RELATED WORK", "LITERATURE REVIEW", "METHODOLOGY", "METHOD", "METHODS",
+    "APPROACH", "MODEL", "EXPERIMENT", "EXPERIMENTS", "EXPERIMENTAL SETUP", "EVALUATION", "RESULT", "RESULTS", "DISCUSSION",
+    "LIMITATION", "LIMITATIONS", "FUTURE WORK", "CONCLUSION", "DATASET", "DATASETS",
+)
+BONUSES = (
+    ("research_paper", 4, ("ABSTRACT",), 1), ("research_paper", 2, ("KEYWORDS",), 1), ("research_paper", 3, PAPER_HEADINGS, 2),
+    ("research_paper", 5, ("ABSTRACT", "REFERENCES"), 2), ("invoice", 4, ("TOTAL", "PAYMENT SUMMARY", "INVOICE SUMMARY"), 1),
+    ("contract", 4, ("OBLIGATIONS", "TERMINATION", "PARTIES"), 1), ("resume", 3, ("TECHNICAL SKILLS", "CORE SKILLS", "PROJECTS", "EDUCATION"), 1),
+    ("report", 4, ("EXECUTIVE SUMMARY", "FINDINGS", "RECOMMENDATIONS"), 1),
+)
+#: With two signs a report is academic, the more so with these headings; with three it is no contract.
+ACADEMIC_HEADINGS = ("OVERVIEW", "METHOD", "RESULTS")
 
-    Every text scores 1 as generic, which comes before all others.
+
+def document_types(docs: DataFrame, key: str, text: str, filename: str | None = None, headings: str | None = None) -> DataFrame:
+    """(key, document_type, type_score): most weight of the phrases that occur and the headings there are.
+
+    Every text scores 1 as generic, which comes before all others; among equals
+    types told by phrases come first, in their order, then those told by headings.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    low = F.lower(F.concat_ws(" ", *([F.col(filename)] if filename else []), F.coalesce(F.col(text), F.lit(""))))
     plain = F.regexp_replace(low, TECHNICAL, " ")
+    signs = sum((low.rlike(p).cast("int") for p in SIGNALS), F.lit(0))
+    present = F.coalesce(F.col(headings), F.array().cast("array<string>")) if headings else F.array().cast("array<string>")
+    named = lambda names, least: F.size(F.array_intersect(present, F.array(*[F.lit(n) for n in names]))) >= least
+    read = docs.select(key, low.alias("low"), plain.alias("plain"), signs.alias("signs"), present.alias("present"))
+    present, signs = F.col("present"), F.col("signs")
     scores = [F.struct(F.lit(1).alias("score"), F.lit(0).alias("rank"), F.lit("generic").alias("name"))]
     for rank, (name, phrases) in enumerate(TYPE_WORDS.items(), 1):
-        where = plain if name == "contract" else low
-        weight = F.lit(0)
-        for phrase, w in phrases.items():
-            weight = weight + F.when(where.contains(phrase), w).otherwise(0)
-        scores.append(F.struct(weight.alias("score"), F.lit(-rank).alias("rank"), F.lit(name).alias("name")))
-    best = docs.select(key, F.array_max(F.array(*scores)).alias("best"))
+        where = F.col("plain" if name == "contract" else "low")
+        weight = sum((F.when(where.contains(phrase), w).otherwise(0) for phrase, w in phrases.items()), F.lit(0))
+        bonus = sum((F.when(named(names, least), w).otherwise(0) for t, w, names, least in BONUSES if t == name), F.lit(0))
+        if name == "academic_report":
+            bonus = F.when(signs >= 2, 6 + 2 * signs + F.when(named(ACADEMIC_HEADINGS, 1), 3).otherwise(0)).otherwise(0)
+        if name == "contract":
+            bonus = bonus - F.when(signs >= 3, 4).otherwise(0)
+        place = F.when(weight > 0, -rank).otherwise(-rank - len(TYPE_WORDS))
+        scores.append(F.struct((weight + bonus).alias("score"), place.alias("rank"), F.lit(name).alias("name")))
+    best = read.select(key, F.array_max(F.array(*scores)).alias("best"))
     return best.select(key, F.col("best.name").alias("document_type"), F.col("best.score").alias("type_score"))

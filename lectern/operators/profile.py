@@ -13,17 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.facts import TECHNICAL, TYPE_WORDS
-from lectern.operators.sections import HEADINGS, canonical, contents_like, line_heading, split, tidy
+from lectern.operators import papers
+from lectern.operators.facts import ACADEMIC_HEADINGS, BONUSES, DATES as DATE_FORMATS, SIGNALS, TECHNICAL, TYPE_WORDS
+from lectern.operators.papers import clean
+from lectern.operators.sections import HEADINGS, canonical, contents_like, line_heading, split
 
 # Formats of facts, labels by what stands before a value, and what each type of document is asked.
-MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*"
-DATES = (
-    re.compile(r"\b\d{4}-\d{2}-\d{2}\b"),
-    re.compile(rf"\b{MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b", re.I),
-    re.compile(rf"\b\d{{1,2}}(?:st|nd|rd|th)?\s+{MONTH}\.?\s+\d{{4}}\b", re.I),
-    re.compile(r"\b(?:19|20)\d{2}\b"),
-)
+DATES = tuple(map(re.compile, DATE_FORMATS))
 DATE_LABELS = (
     ("due date", "Due date"), ("payment due", "Due date"), ("issue date", "Issue date"), ("invoice date", "Issue date"),
     ("effective date", "Effective date"), ("deadline", "Deadline"), ("expected", "Expected date"),
@@ -60,11 +56,6 @@ PREFERRED = {
 MOST_FACTS, MOST_SECTIONS = 12, 24
 
 
-def clean(text: str) -> str:
-    """Spaced headings closed up, hyphenated words joined, white space collapsed."""
-    return " ".join(re.sub(r"(?<=\w)-\s+(?=\w)", "", tidy(text)).split())
-
-
 def shortened(text: str, size: int = 320) -> str:
     flat = " ".join(text.split())
     return flat if len(flat) <= size else flat[: size - 3].rstrip() + "..."
@@ -108,6 +99,36 @@ def numbers(text: str) -> Iterator[Found]:
                 yield "metric", "Metric", m[0]
 
 
+def paper_numbers(text: str) -> Iterator[Found]:
+    """Percentages and metrics of a paper; other numbers only where they are figures of a table."""
+    flat = papers.clean_paper(text)
+    for m in PERCENT.finditer(flat):
+        yield "percentage", "Percentage", m[0]
+    for m in METRIC.finditer(flat):
+        yield "metric", "Metric", m[0]
+    if METRIC_PAGE.search(flat):
+        for m in BARE.finditer(flat):
+            if not papers.noise_number(m[0], flat, m.start()):
+                yield "metric", "Metric", m[0]
+
+
+def paper_facts(pages: list[tuple[int, str]], report: bool) -> list[dict]:
+    """Labelled values of a report, then data sets and claims."""
+    found: list[tuple[str, str, str, int, str]] = []
+    if report:
+        found += [("academic_metadata", name, value, n, text) for n, text in pages for name, value in papers.labelled(text)]
+    found += [("dataset", "Dataset", m[0], n, text) for n, text in pages for m in DATASET.finditer(papers.clean_paper(text))]
+    texts = dict(pages)
+    found += [(kind, name, value, n, texts[n]) for kind, name, value, n in papers.claims(pages)]
+    out: dict[tuple[str, str], dict] = {}
+    for kind, name, raw, page, text in found:
+        value = clean(raw).strip(" ,;:.")
+        if value:
+            fact = {"kind": kind, "label": name, "value": value, "page_number": page, "source_text": around(text, value)}
+            out.setdefault((kind, value.lower()), fact)
+    return list(out.values())[:MOST_FACTS]
+
+
 def entities(text: str) -> Iterator[Found]:
     for m in DATASET.finditer(text):
         yield "dataset", "Dataset", m[0]
@@ -158,42 +179,46 @@ def sections(pages: Iterable[tuple[int, str]]) -> list[dict]:
 def document_type(filename: str, text: str, headings: set[str]) -> str:
     """Most weight of phrases and headings; ties go to the type that scored first, generic before all."""
     low = f"{filename} {text}".lower()
-    scores = {"generic": 1}
-    for name, phrases in TYPE_WORDS.items():
-        where = re.sub(TECHNICAL, " ", low) if name == "contract" else low
-        weight = sum(w for p, w in phrases.items() if p in where)
-        if weight:
-            scores[name] = weight
-    bonuses = (
-        ("research_paper", 4, {"ABSTRACT"}), ("research_paper", 2, {"KEYWORDS"}), ("invoice", 4, {"TOTAL", "PAYMENT SUMMARY", "INVOICE SUMMARY"}),
-        ("contract", 4, {"OBLIGATIONS", "TERMINATION", "PARTIES"}), ("resume", 3, {"TECHNICAL SKILLS", "CORE SKILLS", "PROJECTS", "EDUCATION"}),
-        ("report", 4, {"EXECUTIVE SUMMARY", "FINDINGS", "RECOMMENDATIONS"}),
-    )
-    for name, weight, any_of in bonuses:
-        if headings & any_of:
-            scores[name] = scores.get(name, 0) + weight
-    if {"ABSTRACT", "REFERENCES"} <= headings:
-        scores["research_paper"] = scores.get("research_paper", 0) + 5
-    return max(scores, key=scores.get)
+    signs = sum(re.search(p, low) is not None for p in SIGNALS)
+    found = [("generic", 1)]
+    found += [
+        (name, w)
+        for name, phrases in TYPE_WORDS.items()
+        for where in [re.sub(TECHNICAL, " ", low) if name == "contract" else low]
+        for phrase, w in phrases.items()
+        if phrase in where
+    ]
+    if signs >= 2:
+        found.append(("academic_report", 6 + 2 * signs + 3 * bool(headings & set(ACADEMIC_HEADINGS))))
+    found += [(name, w) for name, w, names, least in BONUSES if len(headings & set(names)) >= least]
+    if signs >= 3:
+        found.append(("contract", -4))
+    totals: dict[str, int] = {}
+    for name, w in found:
+        totals[name] = totals.get(name, 0) + w
+    return max(totals, key=totals.get)
 
 
 def title(filename: str, pages: list[tuple[int, str]], kind: str) -> str | None:
-    """The first line of the first two pages that is neither heading, amount nor address; a report is named by its file."""
+    """The first line of the first two pages that is neither heading, amount nor address; a report is named by its file, a paper by its title."""
     if kind == "academic_report" and (stem := re.sub(r"\.[A-Za-z0-9]+$", "", filename).replace("_", " ").strip()):
         return clean(stem)
+    if kind == "research_paper":
+        return papers.title(pages) or next((shortened(t, 120) for _, t in pages if t.strip()), None)
     for _, text in pages[:2]:
         for line in map(clean, text.splitlines()):
             heads = canonical(line) in HEADINGS
             if line and len(line) <= 180 and not heads and not MONEY.search(line) and not line.lower().startswith(("email", "phone", "tel")):
                 return line
-    return None
+    return next((shortened(t, 120) for _, t in pages if t.strip()), None)
 
 
 def overview(kind: str, found: list[dict], pages: list[tuple[int, str]]) -> str | None:
     """The preview of the first section that tells what a type is about, else the opening text."""
     wanted = PREFERRED.get(kind, {"SUMMARY", "OVERVIEW"})
-    previews = [s["text_preview"] for s in found if s["heading"] in wanted] + [shortened(t) for _, t in pages[:2]]
-    return next((p for p in previews if p and not contents_like(p)), None)
+    read = papers.clean_paper if kind in ("academic_report", "research_paper") else (lambda t: t)
+    previews = [s["text_preview"] for s in found if s["heading"] in wanted] + [t for _, t in pages[:2]]
+    return next((shortened(read(p)) for p in previews if read(p) and not contents_like(p)), None)
 
 
 def has(*names: str) -> Callable[[dict], bool]:
@@ -209,13 +234,16 @@ ABOUT = ("What is this document about?", lambda p: True)
 QUESTIONS: dict[str, tuple[tuple[str, Callable[[dict], bool]], ...]] = {
     "research_paper": (
         ABOUT,
-        ("What methods are used?", has("METHOD", "METHODS", "METHODOLOGY", "APPROACH", "MODEL")),
+        ("What methods are used?", lambda p: any_fact("Method")(p) or has("METHOD", "METHODS", "METHODOLOGY", "APPROACH", "MODEL")(p)),
         ("What datasets are mentioned?", lambda p: any_fact("Dataset")(p) or has("DATASET", "DATASETS")(p)),
-        ("What results are reported?", lambda p: any_fact("Metric")(p) or has("RESULT", "RESULTS", "EVALUATION", "FINDINGS")(p)),
-        ("What limitations or future work are discussed?", has("LIMITATION", "LIMITATIONS", "FUTURE WORK")),
+        ("What results are reported?", lambda p: any_fact("Metric", "Result")(p) or has("RESULT", "RESULTS", "EVALUATION", "EXPERIMENT", "EXPERIMENTS", "FINDINGS")(p)),
+        (
+            "What limitations or future work are discussed?",
+            lambda p: has("LIMITATION", "LIMITATIONS", "FUTURE WORK")(p) or any(re.search(r"(?i)\b(?:limitations?|future work|future research)\b", b) for b in p["bodies"]),
+        ),
     ),
     "resume": (
-        ("What technical skills are mentioned?", has("TECHNICAL SKILLS", "CORE SKILLS", "SKILLS", "PROGRAMMING LANGUAGES")),
+        ("What technical skills are mentioned?", has("TECHNICAL SKILLS", "CORE SKILLS", "SKILLS", "PROGRAMMING LANGUAGES", "FRAMEWORKS AND LIBRARIES", "FRAMEWORKS & LIBRARIES", "TOOLS AND PLATFORMS", "TOOLS & PLATFORMS")),
         ("What projects are listed in this document?", has("PROJECTS", "KEY PROJECTS", "PROJECT EXPERIENCE")),
         ("What education background is listed?", has("EDUCATION")),
         ("What experience is described?", has("EXPERIENCE", "WORK EXPERIENCE", "PROFESSIONAL EXPERIENCE", "INTERNSHIP EXPERIENCE")),
@@ -238,9 +266,26 @@ QUESTIONS: dict[str, tuple[tuple[str, Callable[[dict], bool]], ...]] = {
         ("What recommendations are listed?", has("RECOMMENDATIONS", "NEXT STEPS")),
         ("What risks are mentioned?", has("RISKS")),
     ),
-    "generic": (ABOUT, ("What dates are mentioned?", lambda p: any(f["kind"] == "date" for f in p["facts"]))),
+    "generic": (ABOUT, ("What are the main topics covered in this document?", lambda p: False), ("What dates are mentioned?", lambda p: any(f["kind"] == "date" for f in p["facts"]))),
 }
-QUESTIONS["academic_report"] = (("What is this project report about?", lambda p: True), *QUESTIONS["research_paper"][1:])
+QUESTIONS["academic_report"] = (
+    ("What is this project report about?", lambda p: True),
+    ("What design or methodology is used?", QUESTIONS["research_paper"][1][1]),
+    *QUESTIONS["research_paper"][3:],
+    ("Who prepared this project report?", any_fact("Prepared by")),
+)
+
+
+def bodies(kind: str, found: list[dict]) -> list[tuple[str, str]]:
+    """(heading, body) of the sections that say something: prose in papers and reports, else two words at least."""
+    out = []
+    for s in found:
+        body = re.sub(rf"(?i)^\s*{re.escape(s['heading'])}\s*[:.-]?\s*", "", s["text_preview"])
+        if not body or canonical(body) in HEADINGS or contents_like(body):
+            continue
+        if papers.sentences(body) if kind in ("research_paper", "academic_report") else len(body.split()) >= 2:
+            out.append((s["heading"], body))
+    return out
 
 
 def profile(filename: str, pages: list[tuple[int, str]]) -> dict:
@@ -249,16 +294,19 @@ def profile(filename: str, pages: list[tuple[int, str]]) -> dict:
     headings = {s["heading"] for s in found}
     text = "\n".join(t for _, t in pages)
     kind = document_type(filename, text, headings)
+    learned = kind in ("research_paper", "academic_report")
     every = facts(pages, dates) if kind != "research_paper" else []
-    every = every + facts(pages, numbers) + facts(pages, entities)
-    seen = {"headings": headings, "facts": every, "text": text}
+    every = every + facts(pages, paper_numbers if kind == "research_paper" else numbers)
+    every += paper_facts(pages, kind == "academic_report") if learned else facts(pages, entities)
+    told = bodies(kind, found)
+    seen = {"headings": {h for h, _ in told}, "bodies": [b for _, b in told], "facts": every, "text": text}
     return {
         "document_type": kind,
         "title": title(filename, pages, kind),
         "overview": overview(kind, found, pages),
         "sections": found,
         "facts": every,
-        "suggested_questions": [q for q, holds in QUESTIONS[kind] if holds(seen)],
+        "suggested_questions": [q for q, holds in QUESTIONS[kind] if holds(seen)] or [ABOUT[0]],
     }
 
 

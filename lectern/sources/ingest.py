@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import words as W
 from lectern.operators import chunks as C
+from lectern.operators import tables as B
 
 # Accepted suffixes with their types.
 TYPES = {".pdf": "application/pdf", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg"}
@@ -96,13 +100,115 @@ def embed(rows: DataFrame, text: str, embedder: Callable[[list[str]], list[list[
     return rows.withColumn("embedding", run(F.col(text)))
 
 
+def store_uploads(found: DataFrame, max_mb: int = 20) -> DataFrame:
+    """Accepted files (path, length, content) under stored names: their checksum with their suffix, so that storing again changes nothing."""
+    accepted = validate(found, max_mb).where("reason is null")
+    sha = F.sha2("content", 256)
+    return accepted.select("path", F.concat(sha, suffix(F.col("path"))).alias("stored_filename"), "mime_type", sha.alias("sha256"), F.col("length").alias("size_bytes"), "content")
+
+
+def save_stream(stream, folder: str, filename: str, max_mb: int = 20, block: int = 1 << 20) -> str:
+    """Copy a stream to the folder in blocks, under a name of its own; too large a one leaves nothing behind."""
+    ending = os.path.splitext(filename)[1].lower()
+    if ending not in TYPES:
+        raise ValueError("unsupported type")
+    os.makedirs(folder, exist_ok=True)
+    path, size = os.path.join(folder, f"{uuid.uuid4().hex}{ending}"), 0
+    try:
+        with open(path, "wb") as out:
+            while data := stream.read(block):
+                size += len(data)
+                if size > max_mb << 20:
+                    raise ValueError("too large")
+                out.write(data)
+    except BaseException:
+        if os.path.exists(path):
+            os.remove(path)
+        raise
+    return path
+
+
+def recognized(images: DataFrame, provider, language: str = "eng") -> DataFrame:
+    """(path, page_number, text, confidence) of page images (path, page_number, content); pages without words are left out."""
+
+    @F.pandas_udf("string")
+    def read(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: provider.ocr_image(bytes(c), language) if c is not None else "")
+
+    table = images.select("path", "page_number", read("content").alias("table"))
+    return table.select("path", "page_number", parse_ocr_table(F.col("table")).alias("x")).select("path", "page_number", "x.text", "x.confidence").where("text <> ''")
+
+
+def with_ocr(native: DataFrame, images: Callable[[DataFrame], DataFrame], provider, most: int = 25, language: str = "eng") -> DataFrame:
+    """Native pages (path, page_number, text) completed by recognition: the first sparse ones of each file, by a renderer of page images."""
+    low = C.sparse_pages(native, "path", most=most)
+    found = recognized(images(low.select("path", "page_number")), provider, language)
+    return C.merge_ocr(native, found.withColumnRenamed("confidence", "ocr_confidence"), ["path", "page_number"])
+
+
+def page_images(rendered: DataFrame, dpi: int = 150) -> DataFrame:
+    """Metadata of rendered PNG pages (document_id, page_number, content): size from the header, and the checksum."""
+    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
+    return rendered.select("document_id", "page_number", F.lit(dpi).alias("render_dpi"), number(17).alias("width"), number(21).alias("height"), F.lit("image/png").alias("media_type"), F.sha2("content", 256).alias("checksum"))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The old rows with the new ones in the place of those that have their keys."""
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def first_existing(wanted: DataFrame, listing: DataFrame, key: str) -> DataFrame:
+    """(key, path): for each row of (key, candidates) the first path that a listing (path) has; null where it has none."""
+    each = wanted.select(key, F.posexplode("candidates").alias("place", "path")).join(listing.select("path").distinct(), "path", "left_semi")
+    found = each.groupBy(key).agg(F.min_by("path", "place").alias("path"))
+    return wanted.select(key).join(found, key, "left")
+
+
+def public_report(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """Completed runs with their reviewed results, without local ids and traces, as they are published."""
+    shown = results.where(F.col("human_assessment").isNotNull()).select("run_id", F.struct("question", "status", "human_assessment", "duration_ms").alias("case"))
+    listed = shown.groupBy("run_id").agg(F.array_sort(F.collect_list("case")).alias("cases"))
+    return runs.where("status = 'completed'").join(listed, "run_id").select("name", "finished_at", "measurements", "cases")
+
+
+def write_json(frame: DataFrame, folder: str) -> None:
+    frame.write.mode("overwrite").json(folder)
+
+
+def to_load(pack: DataFrame, allowed: list[str], stored: DataFrame) -> DataFrame:
+    """Files of a demonstration (filename, sha256, expected_sha256) that may be loaded and are not yet there; a wrong checksum ends the job."""
+    named = pack.where(F.col("filename").isin(*allowed))
+    checked = named.withColumn("sha256", F.when(F.col("sha256") == F.col("expected_sha256"), F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("checksum differs: "), "filename"))))
+    return checked.join(stored.select("sha256"), "sha256", "left_anti")
+
+
+def missing_cases(cases: DataFrame, there: DataFrame) -> DataFrame:
+    """Cases whose document has no such question yet, so that loading twice adds nothing."""
+    return cases.dropDuplicates(["document_id", "question"]).join(there.select("document_id", "question"), ["document_id", "question"], "left_anti")
+
+
 def write_tables(page_rows: DataFrame, folder: str, embedder=None, dimension: int = 384) -> None:
-    """Pages, chunks and then their embeddings, each a table; text is kept even if embedding fails."""
+    """Pages, chunks, tables with their cells, and then embeddings, each a table; text is kept even if embedding fails."""
     spark = page_rows.sparkSession
     page_rows.write.mode("overwrite").parquet(f"{folder}/pages")
     kept = spark.read.parquet(f"{folder}/pages").withColumn("page_id", F.sha2(F.concat_ws("|", "path", "page_number"), 256))
     found = C.chunks(kept, "text", "page_id").withColumn("chunk_id", F.sha2(F.concat_ws("|", "page_id", "chunk_index"), 256))
     found.write.mode("overwrite").parquet(f"{folder}/chunks")
+    cells = B.table_cells(kept.select("page_id", "text"), ["page_id"])
+    cells.write.mode("overwrite").parquet(f"{folder}/document_table_cells")
+    written = spark.read.parquet(f"{folder}/document_table_cells")
+    shape = written.groupBy("page_id", "table_index").agg((F.max("row_index") + 1).alias("row_count"), (F.max("column_index") + 1).alias("column_count"))
+    first = spark.read.parquet(f"{folder}/chunks").groupBy("page_id").agg(F.min_by("chunk_id", "chunk_index").alias("source_chunk_id"))
+    shape.join(first, "page_id", "left").write.mode("overwrite").parquet(f"{folder}/document_tables")
     if embedder is not None:
         chunks = spark.read.parquet(f"{folder}/chunks").select("chunk_id", "chunk")
         embed(chunks, "chunk", embedder, dimension).drop("chunk").write.mode("overwrite").parquet(f"{folder}/chunk_embeddings")
+
+
+def caption_chunks(captions: DataFrame, chunks: DataFrame, page: str = "page_id") -> DataFrame:
+    """``captions`` (page, caption) with the first chunk of their page that holds them, blanks aside; the page's first chunk for want of a caption."""
+    flat = lambda c: W.collapsed(F.col(c))
+    both = captions.join(chunks.select(page, "chunk_id", "chunk_index", "chunk"), page)
+    held = both.where(F.col("caption").isNull() | F.contains(flat("chunk"), flat("caption")))
+    first = held.groupBy(page, F.coalesce("caption", F.lit("")).alias("said")).agg(F.min_by("chunk_id", "chunk_index").alias("chunk_id"))
+    return captions.withColumn("said", F.coalesce("caption", F.lit(""))).join(first, [page, "said"], "left").drop("said")
