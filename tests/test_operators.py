@@ -324,7 +324,7 @@ def test_case_scores(spark):
         ("When is payment due?", "payment_due", "Invoice 1\nDue date 2024-02-03\nIssue date 2024-01-01", "Dates mentioned: Due date: 2024-02-03, Due date: 2024."),
         ("What is the total due?", "amounts", "Subtotal USD 5.00 then the total due USD 7.00", "Amounts and metrics mentioned: Total due: USD 7.00."),
         ("Which datasets?", "datasets", "We use COCO and MNIST.", "Datasets mentioned: COCO, MNIST."),
-        ("What methods are used?", "methods", "METHODS\nWe count words.\nRESULTS\nMany.", "We count words."),
+        ("What methods are used?", "methods", "METHODS\nWe count the words of every page.\nRESULTS\nMany.", "We count the words of every page."),
         ("Which datasets?", "datasets", "Nothing here.", None),
     ],
 )
