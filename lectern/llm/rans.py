@@ -111,8 +111,10 @@ def encode_block(dense: np.ndarray, table: Table, checkpoint: int) -> bytes:
     return BLOCK.pack(n, lanes, written, len(marks), zlib.crc32(body)) + body
 
 
-def decode_block(data: memoryview, table: Table, slots: np.ndarray, begin: int = 0) -> tuple[np.ndarray, int]:
-    """Ids of the block at the start of data, from its checkpoint number ``begin``, and the block's size."""
+def decode_block(
+    data: memoryview, table: Table, slots: np.ndarray, begin: int = 0, until: int | None = None
+) -> tuple[np.ndarray, int]:
+    """Ids of the block at the start of data, from its checkpoint number ``begin`` up to id ``until`` at least, and the block's size."""
     n, lanes, n_words, n_marks, crc = BLOCK.unpack_from(data)
     size = 8 * lanes + n_marks * (8 + 8 * lanes) + 4 * n_words
     body = data[BLOCK.size : BLOCK.size + size]
@@ -125,9 +127,10 @@ def decode_block(data: memoryview, table: Table, slots: np.ndarray, begin: int =
         states = body[mark + 8 : mark + 8 + 8 * lanes]
     state = np.frombuffer(states, "<u8").astype(np.uint64)
     words = np.frombuffer(body[size - 4 * n_words :], "<u4").astype(np.uint64)
-    out = np.empty(n - first * lanes, np.uint32)
+    last = -(-min(n, n if until is None else until) // lanes)
+    out = np.empty(max(min(n, last * lanes) - first * lanes, 0), np.uint32)
     mask, scale = np.uint64((1 << SCALE) - 1), np.uint64(SCALE)
-    for step in range(first, -(-n // lanes)):
+    for step in range(first, last):
         k = min(lanes, n - step * lanes)
         x = state[:k]
         slot = x & mask
@@ -142,6 +145,14 @@ def decode_block(data: memoryview, table: Table, slots: np.ndarray, begin: int =
     return table.symbols[out], BLOCK.size + size
 
 
+def block_span(data: memoryview) -> tuple[int, int, list[int]]:
+    """A block's ids, its size, and the first id of each of its checkpoints, read from its head alone."""
+    n, lanes, n_words, n_marks, _ = BLOCK.unpack_from(data)
+    at = BLOCK.size + 8 * lanes
+    marks = [struct.unpack_from("<I", data, at + k * (8 + 8 * lanes))[0] * lanes for k in range(n_marks)]
+    return n, BLOCK.size + 8 * lanes + n_marks * (8 + 8 * lanes) + 4 * n_words, marks
+
+
 def encode_record(keys: list[int | None], sizes: list[int], ids: np.ndarray, config: TokenFiles) -> bytes:
     """One record of whole documents."""
     table, dense = Table.of(ids)
@@ -157,8 +168,8 @@ def encode_record(keys: list[int | None], sizes: list[int], ids: np.ndarray, con
     return b"".join([head, struct.pack("<II", *map(len, parts)), *parts, *blocks])
 
 
-def decode_record(record: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Keys, lengths and all ids of a record."""
+def _opened(record: bytes) -> tuple[list[int | None], np.ndarray, Table, list[memoryview], int]:
+    """Keys, lengths, the frequency table and the blocks of a record, and how many ids it has."""
     data = memoryview(record)
     magic, _, n_docs, n_ids, n_symbols, n_blocks, crc = HEADER.unpack_from(data)
     if magic != MAGIC:
@@ -173,15 +184,46 @@ def decode_record(record: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     known = np.frombuffer(index, np.uint8, n_docs, 8 * n_docs)
     sizes = np.frombuffer(index, "<u4", n_docs, 9 * n_docs).astype(np.int64)
     table = Table(np.frombuffer(freqs, "<u4", n_symbols), np.frombuffer(freqs, "<u4", n_symbols, 4 * n_symbols))
-    slots, parts = table.slots(), []
+    blocks = []
     for _ in range(n_blocks):
-        ids, size = decode_block(data[at:], table, slots)
-        parts.append(ids)
+        size = block_span(data[at:])[1]
+        blocks.append(data[at : at + size])
         at += size
+    return [k if seen else None for k, seen in zip(keys, known)], sizes, table, blocks, n_ids
+
+
+def decode_record(record: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Keys, lengths and all ids of a record."""
+    keys, sizes, table, blocks, n_ids = _opened(record)
+    slots = table.slots()
+    parts = [decode_block(block, table, slots)[0] for block in blocks]
     ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
     if len(ids) != n_ids or sizes.sum() != n_ids:
         raise ValueError("a record's counts do not match")
-    return [k if seen else None for k, seen in zip(keys, known)], sizes, ids
+    return keys, sizes, ids
+
+
+def decode_documents(record: bytes, wanted: frozenset[int]) -> list[tuple[int, np.ndarray]]:
+    """(key, ids) of some documents of a record: only their blocks are decoded, each from the checkpoint before them."""
+    keys, sizes, table, blocks, _ = _opened(record)
+    places = [i for i, k in enumerate(keys) if k in wanted]
+    if not places:
+        return []
+    slots, starts = table.slots(), np.cumsum(sizes) - sizes
+    spans = [block_span(block) for block in blocks]
+    firsts = np.cumsum([0, *(n for n, _, _ in spans)])
+    out = []
+    for i in places:
+        low, high, parts = int(starts[i]), int(starts[i] + sizes[i]), []
+        for block, (n, _, marks), first in zip(blocks, spans, firsts.tolist()):
+            a, b = max(low - first, 0), min(high - first, n)
+            if a < b:
+                begin = sum(m <= a for m in marks)
+                ids, _ = decode_block(block, table, slots, begin, b)
+                skipped = a - (marks[begin - 1] if begin else 0)
+                parts.append(ids[skipped : skipped + b - a])
+        out.append((keys[i], np.concatenate(parts) if parts else np.empty(0, np.uint32)))
+    return out
 
 
 def write(docs: DataFrame, path: str, config: TokenFiles, text: str = "text", key: str = "doc_id") -> None:
@@ -234,6 +276,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(spark, path, True)
 
 
+def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
+    """(doc_id, ids) of the documents with some keys, a list that goes to every task."""
+    wanted = frozenset(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for record in batch.column(0):
+                found = decode_documents(record.as_py(), wanted)
+                ids = [x.astype("<u4").tobytes() for _, x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return spark.read.schema(SCHEMA).parquet(path).select("record").mapInArrow(run, "doc_id long, ids binary")
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """As ``read``, with ids_crc32 instead of the ids, and start: the ids of all documents before."""
     rows = _decoded(spark, path, False)

@@ -151,3 +151,24 @@ def test_sum_of_squares_rule():
         assert fill.max() <= 16 and sorted(16 - fill) == brute_squares(lengths.tolist(), 16)
         again, _ = packing.pack_lengths(lengths, 16)
         assert again.max() <= sequence.max() and np.bincount(again, weights=lengths).max() <= 16
+
+
+def test_documents_from_checkpoints():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 3000, 40).tolist()
+    ids = (rng.zipf(1.2, sum(sizes)) % 900).astype(np.uint16)
+    record = rans.encode_record([*range(39), None], sizes, ids, rans.TokenFiles(block_tokens=7000, checkpoint=4))
+    starts = np.cumsum([0, *sizes])
+    for wanted in ({0}, {5, 17, 38}, set(range(39)), {99}):
+        got = rans.decode_documents(record, frozenset(wanted))
+        assert [k for k, _ in got] == sorted(wanted - {99})
+        for k, x in got:
+            assert (x == ids[starts[k] : starts[k + 1]]).all() and len(x) == sizes[k]
+
+
+def test_lookup_in_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i + 1)) for i in range(60)], "doc_id long, text string")
+    config = rans.TokenFiles(path=WORDS, record_tokens=400, block_tokens=128, checkpoint=8)
+    rans.write(docs, str(tmp_path / "f"), config)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in rans.lookup(spark, str(tmp_path / "f"), [3, 41, 777]).collect()}
+    assert got == {i: [*library(WORDS)(f"text number {i} " * (i + 1)), 1] for i in (3, 41)}
