@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lectern.catalog import CHUNKS_SQL, INVOICES_SQL, LEXICAL_SQL, _chunked, _collapsed_sql, _invoices, _lexical, _matching_sql, _search_sql, query, table
 from lectern.functions import research as T
 from lectern.functions import words as W
+from lectern.operators import execution as E
+from lectern.operators import facts as X
 from lectern.operators import ranking as K
 from lectern.operators import reading as D
 from lectern.operators import runs as N
@@ -384,3 +386,110 @@ def case_versions(spark, sf):
     changes = cases.where("case_id % 2 = 0").select("case_id", F.when(F.col("case_id") % 4 == 0, "X").otherwise(F.col("content")).alias("content"))
     return N.updated(cases, changes, "case_id", ["content"]).select("case_id", "content", "content_version", "review_state")
 
+
+
+@query("""WITH r AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'pass' WHEN 'click' THEN 'fail' WHEN 'view' THEN 'error' ELSE 'unavailable' END AS status,
+        CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'needs_review' ELSE 'correct' END AS human FROM events)
+    SELECT 'All' AS list, count(*) AS n FROM r UNION ALL SELECT 'Failed', count(*) FILTER (status = 'fail') FROM r UNION ALL SELECT 'Unavailable', count(*) FILTER (status = 'unavailable') FROM r
+    UNION ALL SELECT 'Errors', count(*) FILTER (status = 'error') FROM r UNION ALL SELECT 'Needs review', count(*) FILTER (human IS NULL OR human = 'needs_review') FROM r""")
+def review_lists(spark, sf):
+    """How many results each list shows; what reviewers said is made up."""
+    key = F.col("event_id")
+    results = _results(spark, sf).withColumn("human_assessment", F.when(key % 3 == 1, "needs_review").when(key % 3 == 2, "correct"))
+    found = None
+    for name in ("All", "Failed", "Unavailable", "Errors", "Needs review"):
+        counted = D.result_filter(results, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("list"), "n")
+        found = counted if found is None else found.unionByName(counted)
+    return found
+
+
+@query("""SELECT count(*) FILTER (doc_id % 10 > 0) AS indexed, sum(CASE WHEN n_chars < 80 THEN 2 WHEN n_chars < 400 THEN 1 ELSE 0 END)::BIGINT AS warnings FROM documents""")
+def dashboard(spark, sf):
+    """Indexed documents and all their warnings; states are made up, warnings go by size."""
+    warnings = F.when(F.col("n_chars") < 80, F.array(F.lit("a"), F.lit("b"))).when(F.col("n_chars") < 400, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    docs = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 10 > 0, "indexed").otherwise("failed").alias("status"), warnings.alias("warnings"))
+    return D.dashboard(docs)
+
+
+@query("""WITH f AS (SELECT o_custkey AS document_id, o_orderkey AS n, CASE WHEN o_orderkey % 2 = 0 THEN 'Date' ELSE 'date ' END AS label, strftime(o_orderdate, '%Y') AS value FROM orders)
+    SELECT document_id, lower(trim(label)) AS label, value, min(n) AS first FROM f GROUP BY document_id, lower(trim(label)), value""")
+def unique_facts(spark, sf):
+    """The years of every customer's orders, each shown once, case and blanks of its label aside."""
+    key = F.col("o_orderkey")
+    facts = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("document_id"), key.alias("n"), F.when(key % 2 == 0, "Date").otherwise("date ").alias("label"), F.date_format("o_orderdate", "yyyy").alias("value")
+    )
+    found = D.unique_facts(facts, "document_id", "n")
+    return found.select("document_id", F.lower(F.trim("label")).alias("label"), "value", F.col("n").alias("first"))
+
+
+@query(f"""WITH {CHUNKS_SQL}, {LEXICAL_SQL}, t AS (SELECT item_id, doc_id, chunk_index, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk_index) AS place FROM scored),
+    seen AS (SELECT DISTINCT item_id, doc_id, chunk_index FROM t WHERE place <= 3 UNION SELECT item_id, doc_id, chunk_index FROM t WHERE place BETWEEN 3 AND 5)
+    SELECT item_id, doc_id, chunk_index::BIGINT AS chunk_index FROM seen WHERE doc_id % 2 = 0""")
+def cited_hits(spark, sf):
+    """Citations of even documents that the trace (the first three hits) or the pack (the third to fifth) has."""
+    keys = ["item_id", "doc_id", "chunk_index"]
+    hits = _lexical(spark, sf, 5)
+    trace, pack = hits.where("rank <= 3").select(*keys), hits.where("rank >= 3").select(*keys)
+    cited = _lexical(spark, sf, 20).where("doc_id % 2 = 0").select(*keys)
+    return N.cited_hits(cited, trace, pack, keys).select("item_id", "doc_id", F.col("chunk_index").cast("long"))
+
+
+@query("""SELECT doc_id AS case_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'fr') AND doc_id IN (SELECT vec_id FROM embeddings)""")
+def owned_cases(spark, sf):
+    """Labelled documents read as cases whose suite, their language, and whose document, with a vector, are still there."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("suite_id"))
+    cases = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), F.col("doc_id").alias("document_id")).join(docs, "document_id")
+    there = N.with_chunks(docs.select("document_id"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("document_id")))
+    return N.owned(cases, docs.where("suite_id <> 'fr'").select("suite_id").distinct(), there).select("case_id")
+
+
+@query("""SELECT o_orderkey AS run_id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100""")
+def newest_runs(spark, sf):
+    """The hundred newest orders read as runs: the limit of a list is the feature."""
+    return D.newest(table(spark, sf, "orders"), "o_orderdate", "o_orderkey", 100).select(F.col("o_orderkey").alias("run_id"))
+
+
+_PHRASES = [p for phrases in X.TYPE_WORDS.values() for p in phrases] + ["student id", "course name", "api contract"]
+_HEADS = ["ABSTRACT", "REFERENCES", "METHOD", "TOTAL", "PARTIES", "EDUCATION", "FINDINGS", "OVERVIEW", "RESULTS"]
+
+
+def _typed_sql() -> str:
+    quote = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    words = ", ".join(f"('{t}', {r}, '{p}', {w})" for r, (t, ps) in enumerate(X.TYPE_WORDS.items(), 1) for p, w in ps.items())
+    bonus = ", ".join(f"('{t}', {w}, {quote(names)}, {least})" for t, w, names, least in X.BONUSES)
+    signs = " + ".join(f"regexp_matches(low, '{p}')::INT" for p in X.SIGNALS)
+    n, h = len(_PHRASES), len(_HEADS)
+    return f"""WITH d AS (SELECT o_orderkey AS id, lower({quote(_PHRASES)}[o_orderkey % {n} + 1] || ' and ' || {quote(_PHRASES)}[(o_orderkey * 7 + o_custkey) % {n} + 1] || ' and ' || {quote(_PHRASES)}[(o_orderkey * 3 + 5) % {n} + 1]) AS low,
+        list_distinct([{quote(_HEADS)}[o_orderkey % {h} + 1], {quote(_HEADS)}[o_custkey % {h} + 1]]) AS heads FROM orders),
+    s AS (SELECT *, regexp_replace(low, '{X.TECHNICAL}', ' ', 'g') AS plain, {signs} AS signs FROM d),
+    k AS (SELECT id, name, rank, sum(CASE WHEN contains(CASE WHEN name = 'contract' THEN plain ELSE low END, phrase) THEN weight ELSE 0 END) AS words FROM s, (VALUES {words}) AS t(name, rank, phrase, weight) GROUP BY ALL),
+    b AS (SELECT id, name, sum(CASE WHEN len(list_intersect(heads, names)) >= least THEN weight ELSE 0 END) AS extra FROM s, (VALUES {bonus}) AS t(name, weight, names, least) GROUP BY ALL),
+    a AS (SELECT k.id, k.name, CASE WHEN words > 0 THEN rank ELSE rank + {len(X.TYPE_WORDS)} END AS place, words + coalesce(extra, 0)
+              + CASE WHEN k.name = 'academic_report' AND signs >= 2 THEN 6 + 2 * signs + CASE WHEN len(list_intersect(heads, {quote(X.ACADEMIC_HEADINGS)})) >= 1 THEN 3 ELSE 0 END ELSE 0 END
+              - CASE WHEN k.name = 'contract' AND signs >= 3 THEN 4 ELSE 0 END AS score
+          FROM k JOIN s ON k.id = s.id LEFT JOIN b ON k.id = b.id AND k.name = b.name
+          UNION ALL SELECT id, 'generic', 0, 1 FROM s)
+    SELECT id, arg_max(name, score * 100 - place) AS document_type, max(score)::INTEGER AS type_score FROM a GROUP BY id"""
+
+
+@query(_typed_sql())
+def typed_documents(spark, sf):
+    """Types of texts made of three telling phrases and two headings each, chosen by the keys of orders."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
+    text = F.concat_ws(" and ", pick(_PHRASES, key), pick(_PHRASES, key * 7 + customer), pick(_PHRASES, key * 3 + 5))
+    heads = F.array_distinct(F.array(pick(_HEADS, key), pick(_HEADS, customer)))
+    docs = table(spark, sf, "orders").select(key.alias("id"), text.alias("text"), heads.alias("heads"))
+    return X.document_types(docs, "id", "text", headings="heads")
+
+
+@query()
+def answered_questions(spark, sf):
+    """Every benchmark question from end to end over the chunks of all documents, with what was shown counted; gated sentence by sentence, so without SQL."""
+    chunks = _chunked(spark, sf).select(
+        F.xxhash64("doc_id", "chunk_index").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"),
+        F.col("chunk_index").cast("int").alias("chunk_index"), F.lit(None).cast("string").alias("section_heading"), F.col("chunk").alias("text"),
+    )
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.lit(None).cast("long").alias("document_id"))
+    return E.execute(asked, chunks).answers.select("qid", "status", "confidence", "answer", "retrieval_mode", "query_intent", "answer_evidence_count", "related_count")
