@@ -81,8 +81,30 @@ def canonical(heading: str) -> str:
     return _compact.get(upper.replace(" ", ""), upper)
 
 
+def _holds(*terms: str, whole: bool = False):
+    """A test of a title: whether it has some term, as a whole word or anywhere."""
+    return lambda title: any(t in (title.split() if whole else title) for t in terms)
+
+
+_DESIGN = ("design approach", "development pipeline")
+#: What titles tell, tried in order: (heading, test, whether the title must be numbered, must not be, or either: None).
+TITLES = (
+    ("DATASET", _holds(*DATASET_TERMS, whole=True), True),
+    ("FUTURE WORK", lambda title: _holds(*LIMIT_TERMS)(title) and "future" in title, True),
+    ("CONCLUSION", _holds(*LIMIT_TERMS), True),
+    ("OVERVIEW", _holds("overview", "objective", whole=True), None),
+    ("METHOD", _holds(*_DESIGN), None),
+    ("METHOD", _holds(*METHOD_TERMS), True),
+    ("RESULTS", _holds("results verification"), False),
+    ("RESULTS", _holds(*RESULT_TERMS, whole=True), False),
+    ("RESULTS", _holds(*RESULT_TERMS), True),
+)
+#: Major sections of reports whose titles tell nothing.
+MAJOR = {"3": "METHOD", "4": "RESULTS"}
+
+
 def alias(line: str) -> str | None:
-    """The known heading that an unlisted title stands for: numbered titles by topic, others only if plain."""
+    """The known heading that an unlisted title stands for, by the first rule that holds; a captioned or listed line has none."""
     flat = tidy(line)
     if not flat or len(flat) > 110 or contents_like(flat) or LEADER.search(flat) or re.match(r"(?:fig|figure|table)\.?\s+\d+", flat, re.I):
         return None
@@ -90,26 +112,8 @@ def alias(line: str) -> str | None:
     if numbered is None and flat[-1] in ".!?":
         return None
     title = " ".join(re.findall("[a-z0-9]+", (numbered["title"] if numbered else flat).lower()))
-    has = set(title.split())
-    overview = {"overview", "objective"} & has
-    designed = "design approach" in title or "development pipeline" in title
-    if numbered is None:
-        if overview:
-            return "OVERVIEW"
-        if designed:
-            return "METHOD"
-        return "RESULTS" if "results verification" in title or has & set(RESULT_TERMS) else None
-    if has & set(DATASET_TERMS):
-        return "DATASET"
-    if any(t in title for t in LIMIT_TERMS):
-        return "FUTURE WORK" if "future" in title else "CONCLUSION"
-    if overview:
-        return "OVERVIEW"
-    if designed or any(t in title for t in METHOD_TERMS):
-        return "METHOD"
-    if any(t in title for t in RESULT_TERMS):
-        return "RESULTS"
-    return {"3": "METHOD", "4": "RESULTS"}.get(numbered["number"].split(".")[0])
+    known = (heading for heading, test, wanted in TITLES if wanted in (None, numbered is not None) and test(title))
+    return next(known, MAJOR.get(numbered["number"].split(".")[0]) if numbered else None)
 
 
 def line_heading(line: str) -> str | None:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lectern.operators import chunks as C
+from lectern.sources import ingest as I
 
 
 def index_new_documents(
@@ -25,6 +26,23 @@ def index_new_documents(
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def store_new_files(spark: SparkSession, folder: str, out: str, checkpoint: str, max_mb: int = 20) -> StreamingQuery:
+    """Accepted files that arrive in a folder, stored under their checksums; every call takes those that are new and ends."""
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    stream = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").load(folder)
+
+    def write(batch: DataFrame, number: int) -> None:
+        I.store_uploads(batch, max_mb).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def reindexed(indexed: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The chunks of an index with those of some documents made anew; what hangs on their old chunks goes with them."""
+    fresh = C.chunks(docs, text, key)
+    return indexed.join(docs.select(key), key, "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
 def running_ratios(results: DataFrame, group: str, value: str, of: str) -> DataFrame:
     """Ratios of sums over a stream; sums are mergeable, so every new case only adds to them."""
     summed = results.groupBy(group).agg(F.sum(value).alias("numerator"), F.sum(of).alias("denominator"))

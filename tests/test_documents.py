@@ -221,3 +221,29 @@ def test_search_in_one_document_and_large_question_sets(spark, monkeypatch):
 def test_contents_and_previews(spark):
     texts = ["Table of contents 1 Intro ....... 3", "1 Intro ...... 3 2 Method ...... 9", "plain text. With dots...", "a .... b .... result"]
     assert values(spark, texts, W.contents_like) == [True, True, False, True]
+
+
+def test_titles_of_sections():
+    from lectern.operators.sections import alias
+
+    got = {
+        "3.1. Attention module design": "METHOD", "2. Benchmarks and data": "DATASET", "5. Conclusion and future work": "FUTURE WORK", "5. Limitations": "CONCLUSION",
+        "1. Overview & Objective": "OVERVIEW", "Design Approach": "METHOD", "Results & Verification": "RESULTS", "4.2. Something plain": "RESULTS", "3. Plain": "METHOD",
+        "7. Plain": None, "Figure 3 results": None, "This shows results.": None, "6. Ablation study": "RESULTS",
+    }
+    assert {t: alias(t) for t in got} == got
+
+
+def test_new_files_and_reindexing(spark, tmp_path):
+    from lectern.streaming import incremental
+
+    (tmp_path / "in").mkdir()
+    for n in (1, 2):
+        (tmp_path / "in" / f"f{n}.pdf").write_bytes(b"x" * n)
+        (tmp_path / "in" / f"f{n}.txt").write_bytes(b"no")
+        incremental.store_new_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == n
+    words = "plenty of words that make a usable chunk of text"
+    index = C.chunks(spark.createDataFrame([(1, words), (2, words)], "doc_id long, text string"))
+    again = incremental.reindexed(index, spark.createDataFrame([(2, "other " + words), (3, words)], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["chunk"].startswith("other")) for r in again.collect()) == [(1, False), (2, True), (3, False)]
