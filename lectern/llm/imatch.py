@@ -74,9 +74,19 @@ def lexicon(docs: DataFrame, config: IMatch, text: str = "text") -> list[int]:
     return bitmap
 
 
-def _drawn(shift: int, mask: int, wanted: int):
-    """Whether a term, by its hash, belongs to a random subset."""
-    return lambda h: F.shiftright(h, shift).bitwiseAND(F.lit(mask)) == wanted
+def _drawn(shift: int, mask: int, wanted: int, exactly: bool = False):
+    """Whether a term, by its hash, belongs to the random subset of that number, or to one of a lower number."""
+
+    def belongs(h: Column) -> Column:
+        number = F.shiftright(h, shift).bitwiseAND(F.lit(mask))
+        return number == wanted if exactly else number < wanted
+
+    return belongs
+
+
+def _each(tests: list, component):
+    """What a component is of each of some subsets of terms."""
+    return lambda some: F.array(*[component(F.filter(some, test)) for test in tests])
 
 
 def fingerprint(text: Column, bitmap: list[int], config: IMatch) -> Column:
@@ -92,13 +102,16 @@ def fingerprint(text: Column, bitmap: list[int], config: IMatch) -> Column:
         return F.when(F.size(chosen) == 0, F.lit(NONE)).otherwise(F.substring(F.lpad(F.hex(F.xxhash64(chosen)), 16, "0"), 9, 8))
 
     def parts(used: Column) -> Column:
-        out = [component(used)]
-        # Each size of subset reads a stretch of the terms' hashes of its own, above the bitmap's places.
+        out = [F.array(component(used))]
+        # Each size of subset reads a stretch of the terms' hashes of its own, above the bitmap's places;
+        # terms in none of its subsets are left out once.
         shift = 63
         for share, number in config.subsets:
             shift -= share.bit_length() - 1
-            out += [component(F.filter(used, _drawn(shift, share - 1, k))) for k in range(number)]
-        return F.lower(F.array_join(F.array(*out), "."))
+            some = F.filter(used, _drawn(shift, share - 1, number))
+            tests = [_drawn(shift, share - 1, k, True) for k in range(number)]
+            out.append(let(some, _each(tests, component)))
+        return F.lower(F.array_join(F.concat(*out), "."))
 
     def chosen(all_terms: Column) -> Column:
         inside = F.filter(all_terms, known)
