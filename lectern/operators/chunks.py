@@ -106,25 +106,71 @@ def merge_ocr(native: DataFrame, ocr: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumns({"text": text, "text_source": source}).drop("ocr_text")
 
 
-#: Progress that a document shows while a stage is active.
-PROGRESS = {"upload": 10, "extract": 25, "ocr": 40, "chunk": 60, "embed": 80, "ready": 100}
+# Stages with their labels and the progress that a document shows while each is active, and what it says then.
+STAGES = (
+    ("upload", "Upload saved", 10, "Upload saved. Waiting to start document processing."),
+    ("extract", "Text extracted", 25, "Extracting readable text and page structure."),
+    ("ocr", "OCR completed", 40, "Running OCR for scanned or image-only pages."),
+    ("chunk", "Chunks created", 60, "Creating page-aware evidence chunks."),
+    ("embed", "Embeddings stored", 80, "Embedding evidence chunks for semantic search."),
+    ("ready", "Ready", 100, "Document is indexed and ready for search."),
+    ("failed", "Needs attention", 0, "Document processing needs attention."),
+)
+RECOGNIZING = ("ocr_processing", "deferred_ocr")
+
+
+def _counted(n: Column, what: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(f" {what}"), F.when(n == 1, "").otherwise("s"))
 
 
 def processing_status(docs: DataFrame) -> DataFrame:
-    """Adds stage and progress to (status, n_pages, n_chunks)."""
-    stage = (
-        F.when(F.col("status") == "indexed", "ready")
-        .when(F.col("status") == "embedding", "embed")
-        .when(F.col("status").isin("ocr_processing", "deferred_ocr"), "ocr")
-        .when(F.col("status") == "uploaded", "upload")
-        .when(F.col("n_chunks") > 0, "embed")
-        .when(F.col("n_pages") > 0, "chunk")
-        .otherwise("extract")
-    )
-    done = (F.col("n_pages") > 0).cast("int") * 2 + (F.col("n_chunks") > 0).cast("int")
-    percent = F.when(F.col("status") == "failed", F.floor(done * 100 / 6)).otherwise(
-        F.try_element_at(F.create_map(*[F.lit(x) for p in PROGRESS.items() for x in p]), F.col("stage"))
-    )
-    return docs.withColumn("stage", F.when(F.col("status") == "failed", "failed").otherwise(stage)).withColumn(
-        "progress", percent.cast("int")
+    """Adds stage, progress, message and stages (key, label, status, detail) to (status, n_pages, n_chunks).
+
+    n_embedded, n_ocr_pages and error_message count where there are such columns.
+    """
+    given = lambda c, other: F.col(c) if c in docs.columns else other
+    status, pages, chunks = F.col("status"), F.col("n_pages"), F.col("n_chunks")
+    embedded, ocr = given("n_embedded", F.lit(0)), given("n_ocr_pages", F.lit(0))
+    error = given("error_message", F.lit(None).cast("string"))
+    active = (
+        F.when(status == "indexed", "ready")
+        .when(status == "failed", "failed")
+        .when(status.isin(*RECOGNIZING), "ocr")
+        .when(status == "embedding", "embed")
+        .when(status == "uploaded", "upload")
+        .when(pages == 0, "extract")
+        .when(chunks == 0, "chunk")
+        .otherwise("embed")
     )
+    done = {
+        "upload": status != "uploaded", "extract": pages > 0, "ocr": (ocr > 0) & (status != "ocr_processing"), "chunk": chunks > 0,
+        "embed": (chunks > 0) & (embedded == chunks), "ready": F.lit(False), "failed": F.lit(False),
+    }
+    there = {"ocr": status.isin(*RECOGNIZING) | (ocr > 0), "failed": status == "failed"}
+    details = {
+        "extract": F.when(pages > 0, _counted(pages, "page")),
+        "ocr": F.when(status == "deferred_ocr", error).otherwise(_counted(ocr, "OCR page")),
+        "chunk": F.when(chunks > 0, _counted(chunks, "chunk")),
+        "embed": F.when(chunks > 0, F.concat(embedded.cast("string"), F.lit("/"), chunks.cast("string"), F.lit(" embedded"))),
+        "failed": error,
+    }
+    none = F.lit(None).cast("string")
+
+    def state(key: str) -> Column:
+        broken = F.lit(key == "failed") | (F.lit(key == "ocr") & (status == "deferred_ocr"))
+        return (
+            F.when(status == "indexed", "complete").when(broken, "failed").when(F.col("stage") == key, "active")
+            .when(done[key], "complete").otherwise("pending")
+        )
+
+    rows = [
+        F.when(there.get(key, F.lit(True)), F.struct(F.lit(key).alias("key"), F.lit(label).alias("label"), state(key).alias("status"), details.get(key, none).alias("detail")))
+        for key, label, _, _ in STAGES
+    ]
+    by_stage = lambda at: F.create_map(*[F.lit(x) for row in STAGES for x in (row[0], row[at])])
+    listed = docs.withColumn("stage", active).withColumn("stages", F.array_compact(F.array(*rows)))
+    complete = F.size(F.filter("stages", lambda x: x["status"] == "complete"))
+    failed = F.when((pages == 0) & (chunks == 0), 0).otherwise(F.bround(complete * 100 / F.size("stages")))
+    progress = F.when(F.col("stage") == "failed", failed).otherwise(F.try_element_at(by_stage(2), F.col("stage")))
+    told = F.when(status.isin("failed", "deferred_ocr"), error)
+    return listed.withColumns({"progress": progress.cast("int"), "message": F.coalesce(told, F.try_element_at(by_stage(3), F.col("stage")))})

@@ -176,3 +176,36 @@ def test_publishing_and_loading(spark, tmp_path):
     captions = spark.createDataFrame([("p", "Table 1  Parts"), ("p", None), ("p", "absent")], "page_id string, caption string")
     chunks = spark.createDataFrame([("p", "c0", 0, "intro words"), ("p", "c1", 1, "see Table 1 Parts here")], "page_id string, chunk_id string, chunk_index int, chunk string")
     assert {r["caption"]: r["chunk_id"] for r in I.caption_chunks(captions, chunks).collect()} == {"Table 1  Parts": "c1", None: "c0", "absent": None}
+
+
+def test_golden_cases(spark):
+    from lectern.operators import golden
+    from lectern.operators.runs import golden_summary
+
+    invoice = "Invoice 9\nBill to: Acme Corp\nDue date 2024-02-03\nTotal due USD 12.00"
+    pages = spark.createDataFrame([("paper", "paper.pdf", 1, PAPER), ("invoice", "invoice.pdf", 1, invoice)], "document_key string, filename string, page_number int, text string")
+    cases = [
+        (1, "paper", "What datasets are mentioned?", "answerable", ["COCO", "mnist"], "datasets", "facts"),
+        (2, "invoice", "When is payment due?", "answerable", ["2024-02-03"], "payment_due", "facts"),
+        (3, "invoice", "What skills are listed?", "insufficient_evidence", [], "skills", "abstention"),
+        (4, "paper", "What methods are used?", "answerable", ["no such term"], "methods", "sections"),
+    ]
+    frame = spark.createDataFrame(cases, "case_id long, document_key string, question string, expected_status string, expected_terms array<string>, expected_intent string, quality_dimension string")
+    got = {r["case_id"]: r for r in golden.evaluate(frame, pages).collect()}
+    assert [got[i]["passed"] for i in (1, 2, 3, 4)] == [True, True, True, False] and got[4]["failures"] == ["lacks no such term"]
+    summary = golden_summary(golden.evaluate(frame, pages)).first()
+    assert (summary["total"], summary["passed"], summary["pass_rate"], summary["quality_dimensions"]["facts"]) == (4, 3, 0.75, 2)
+
+
+def test_processing_stages(spark):
+    from lectern.operators import chunks as C
+
+    rows = [("embedding", 2, 3, 1, 1, None), ("failed", 1, 0, 0, 0, "no text"), ("deferred_ocr", 0, 0, 0, 0, "scan it"), ("uploaded", 0, 0, 0, 0, None), ("indexed", 1, 1, 1, 0, None)]
+    docs = spark.createDataFrame(rows, "status string, n_pages int, n_chunks int, n_embedded int, n_ocr_pages int, error_message string")
+    got = C.processing_status(docs).collect()
+    told = [{x["key"]: (x["status"], x["detail"]) for x in r["stages"]} for r in got]
+    assert told[0] == {"upload": ("complete", None), "extract": ("complete", "2 pages"), "ocr": ("complete", "1 OCR page"), "chunk": ("complete", "3 chunks"), "embed": ("active", "1/3 embedded"), "ready": ("pending", None)}
+    assert (got[1]["stage"], got[1]["progress"], got[1]["message"], told[1]["failed"]) == ("failed", 33, "no text", ("failed", "no text"))
+    assert (got[2]["stage"], got[2]["progress"], got[2]["message"], told[2]["ocr"]) == ("ocr", 40, "scan it", ("failed", "scan it"))
+    assert (got[3]["stage"], got[3]["progress"], told[3]["extract"][0]) == ("upload", 10, "pending")
+    assert got[4]["progress"] == 100 and {s for s, _ in told[4].values()} == {"complete"}
