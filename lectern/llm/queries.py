@@ -120,6 +120,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text")
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty clusters of all vectors after five rounds."""
+    from lectern.llm.clusters import clusters
+
+    return clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -131,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_html_text": op10_html_text,
+    "op11_sort_means": op11_sort_means,
 }
 
 #: The same counts, sketches, merges and fences as in ``quality``, over rows and lists.
@@ -222,4 +230,35 @@ FROM texts x LEFT JOIN spans y ON x.d = y.d GROUP BY x.d
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op8_secret_scan": _secrets_sql()}
+def _clusters_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """Every distance of every round, by joins over the components."""
+    parts = [
+        """
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+parts AS MATERIALIZED (SELECT k, unnest(range(1, 65)) AS i, unnest(x) AS x FROM vectors)""",
+        f"""
+means0 AS MATERIALIZED (
+  SELECT c, unnest(range(1, 65)) AS i, unnest(x) AS x FROM (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, x FROM vectors) WHERE c < {clusters})""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT k, c, d FROM (SELECT p.k, m.c, sum((p.x - m.x) * (p.x - m.x)) AS d FROM parts p JOIN means{r} m ON p.i = m.i GROUP BY p.k, m.c)
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""
+means{r + 1} AS MATERIALIZED (
+  SELECT m.c, m.i, coalesce((s - (s % n + n) % n) // n, m.x)::BIGINT AS x FROM means{r} m LEFT JOIN (
+    SELECT c, i, sum(x) AS s, count(*) AS n FROM parts p JOIN near{r} a ON p.k = a.k GROUP BY c, i) t ON m.c = t.c AND m.i = t.i)""")
+    return ",".join(parts) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM near{rounds} a JOIN vectors v ON a.k = v.k
+JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM means{rounds} GROUP BY c) s ON a.c = s.c
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op8_secret_scan": _secrets_sql(), "op11_sort_means": _clusters_sql()}
