@@ -27,7 +27,7 @@ columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,16 +54,6 @@ PLACES = 10
 HASHED = 8192
 
 
-@dataclass(frozen=True)
-class Copies:
-    """words: words in a shingle. keys, rows: min-wise keys, and minima in one. block: members of a key that are compared at a time."""
-
-    words: int = 5
-    keys: int = 24
-    rows: int = 4
-    block: int = 256
-
-
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -92,6 +82,23 @@ def minima(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return least
 
 
+@dataclass(frozen=True)
+class Copies:
+    """words: words in a shingle. keys, rows: min-wise keys, and minima in one. block: members of a key that are compared at a time.
+
+    orders: what tells some number of orders of all shingles apart. least: the least shingle of a set in each of
+    them. chains: whether SimHash fingerprints prune; without, all fingerprints are one.
+    """
+
+    words: int = 5
+    keys: int = 24
+    rows: int = 4
+    block: int = 256
+    orders: Callable[[int], np.ndarray] = _factors
+    least: Callable[[np.ndarray, np.ndarray], np.ndarray] = minima
+    chains: bool = True
+
+
 def min_keys(least: np.ndarray, config: Copies) -> np.ndarray:
     """Keys made of ``rows`` minima each."""
     parts = least.reshape(config.keys, config.rows)
@@ -110,7 +117,7 @@ def parities(found: np.ndarray) -> np.ndarray:
 
 def marks_of(found: np.ndarray, factors: np.ndarray, config: Copies) -> bytes:
     """A byte of each minimum, four bytes of each key, and the parities: how many minima are equal, which key is shared first, what differs."""
-    least = minima(found, factors)
+    least = config.least(found, factors)
     keys = min_keys(least, config).view(np.uint64) >> np.uint64(32)
     return (least >> np.uint64(32)).astype(np.uint8).tobytes() + keys.astype(np.uint32).tobytes() + parities(found).tobytes()
 
@@ -246,36 +253,51 @@ def _verified(pairs: DataFrame, held: DataFrame, words: int) -> DataFrame:
 
 def edited_copies(docs: DataFrame, config: Copies = Copies(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, component_id) per row; the component is its smallest key."""
+    placed = classes(docs, config, text, key)
+    least = placed.groupBy("part").agg(F.min("k").alias("component_id"))
+    return placed.join(least, "part").select(F.col("k").alias(key), "component_id")
+
+
+def first_rows(docs: DataFrame, config: Copies = Copies(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, own) of the first row of each class: the least key, a null one last, then the least ``own``, the text's hash (null: 42)."""
+    row = F.struct(F.col("k").isNull().alias("unnamed"), "k", "own")
+    first = classes(docs, config, text, key).groupBy("part").agg(F.min(row).alias("row"))
+    return first.select(F.col("row.k").alias(key), F.col("row.own").alias("own"))
+
+
+def classes(docs: DataFrame, config: Copies = Copies(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(k, own, n, part) per row: its key, the 64-bit hash of its text, the size of its set, and what names its class."""
     words, kind = config.words, docs.schema[key].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = _factors(config.keys * config.rows)
+        factors = config.orders(config.keys * config.rows)
         for batch in batches:
-            same, keys = [], []
+            same, sizes, keys = [], [], []
             for x in batch.column(2):
                 found = shingles(x.as_py(), words)
                 same.append(xxhash.xxh64_intdigest(found.tobytes()))
-                keys.append(min_keys(minima(found, factors), config) if len(found) else np.zeros(0, np.int64))
+                sizes.append(len(found))
+                keys.append(min_keys(config.least(found, factors), config) if len(found) else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *keys]))
             told = pa.array(np.array(same, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), told, lists], names=["k", "own", "same", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), told, pa.array(sizes, pa.int64()), lists], names=["k", "own", "same", "n", "keys"])
 
     def marked_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = _factors(config.keys * config.rows)
+        factors = config.orders(config.keys * config.rows)
         for batch in batches:
             sizes, fps, told_marks = [], [], []
             # One set at a time: texts may be long.
             for x in batch.column(1):
                 found = shingles(x.as_py(), words)
                 sizes.append(len(found))
-                fps.append(majority(found))
+                fps.append(majority(found) if config.chains else 0)
                 told_marks.append(marks_of(found, factors, config))
             told = [pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(told_marks, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *told], names=["node", "n", "fp", "marks"])
 
     named_text = F.xxhash64(F.col(text))
     rows = docs.select(F.col(key).alias("k"), named_text.alias("own"), F.col(text).alias("t"))
-    marked = stored(rows.mapInArrow(sets, f"k {kind}, own long, same long, keys array<long>"), "copies")
+    marked = stored(rows.mapInArrow(sets, f"k {kind}, own long, same long, n long, keys array<long>"), "copies")
     named = cut(marked.groupBy("same").agg(F.min("own").alias("node"), F.first("keys").alias("keys")))
     filed = named.select("node", F.posexplode("keys").alias("pos", "key"))
     # Keys with the same members, told by two sums of hashes, are one: the first, so that the first key that two sets share stays.
@@ -315,9 +337,7 @@ def edited_copies(docs: DataFrame, config: Copies = Copies(), text: str = "text"
 
     joined = groups.withColumnRenamed("node", "member")
     parts = named.select("same", "node").join(joined, F.col("node") == F.col("member"), "left").select("same", F.coalesce("component", "node").alias("part"))
-    placed = cut(marked.select("k", "same").join(parts, "same").select("k", "part"))
-    least = placed.groupBy("part").agg(F.min("k").alias("component_id"))
-    return placed.join(least, "part").select(F.col("k").alias(key), "component_id")
+    return cut(marked.select("k", "own", "n", "same").join(parts, "same").select("k", "own", "n", "part"))
 
 
 def _meetings(members: DataFrame, config: Copies) -> DataFrame:

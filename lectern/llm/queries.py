@@ -127,6 +127,20 @@ def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and the terms that set each one off."""
+    from lectern.llm.divergence import divergence
+
+    return divergence(_documents(spark, sf_dir))
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document by two-word shingles and a Jaccard of 0.8."""
+    from lectern.llm.minhash import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -139,6 +153,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_html_text": op10_html_text,
     "op11_sort_means": op11_sort_means,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
 #: The same counts, sketches, merges and fences as in ``quality``, over rows and lists.
@@ -261,4 +277,56 @@ JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM means{r
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op8_secret_scan": _secrets_sql(), "op11_sort_means": _clusters_sql()}
+#: Every two documents that share a shingle, and all that can be reached from each.
+MINHASH_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY u, v, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (SELECT doc_id AS u, doc_id AS v FROM sets UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT u, min(v) AS component_id FROM reached GROUP BY u) ON doc_id = u
+"""
+
+#: Every kept term against every pair of sources.
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+occurring AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs),
+held AS MATERIALIZED (SELECT d, lang, source, w, count(*) AS n FROM (SELECT d, lang, source, unnest(w) AS w FROM docs) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, w FROM held GROUP BY lang, w HAVING count(*) >= 10),
+cells AS MATERIALIZED (SELECT lang, source, w, sum(n)::HUGEINT AS n FROM held JOIN kept USING (lang, w) GROUP BY ALL),
+kinds AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+full_cells AS (
+  SELECT o.lang, o.source, k.w, coalesce(c.n, 0) AS n FROM occurring o JOIN kept k USING (lang) LEFT JOIN cells c ON o.lang = c.lang AND o.source = c.source AND k.w = c.w),
+shares AS MATERIALIZED (
+  SELECT lang, source, w, n, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM full_cells JOIN kinds USING (lang)),
+wholes AS (
+  SELECT lang, w, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+  FROM (SELECT lang, w, sum(n) AS n FROM cells GROUP BY lang, w) JOIN kinds USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL),
+terms AS (SELECT lang, source, w AS item, (p - q) * (p - q) // (p + q) AS value FROM shares JOIN wholes USING (lang, w) WHERE n > 0 AND p > q)
+SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value,
+       (row_number() OVER (PARTITION BY a.lang, a.source ORDER BY coalesce(value, 0) DESC, b.source))::INTEGER AS rank
+FROM occurring a JOIN occurring b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+UNION ALL
+SELECT lang, source, 'term' AS part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank
+FROM terms QUALIFY rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": QUALITY_SQL,
+    "op8_secret_scan": _secrets_sql(),
+    "op11_sort_means": _clusters_sql(),
+    "op12_source_divergence": DIVERGENCE_SQL,
+    "op13_minhash_near_dedup": MINHASH_SQL,
+}
