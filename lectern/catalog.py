@@ -86,7 +86,7 @@ CHUNKS_SQL = rf"""
 LEXICAL_SQL = rf"""
     asked AS (SELECT item_id, len(q) AS n, unnest(q) AS word FROM (SELECT item_id, {_search_sql("text")} AS q FROM benchmark)),
     postings AS (SELECT doc_id, chunk_index, unnest({_search_sql("chunk")}) AS word FROM chunks),
-    scored AS (SELECT item_id, doc_id, chunk_index, count(*) / any_value(n)::DOUBLE AS score
+    scored AS (SELECT item_id, doc_id, chunk_index, round_even(count(*) / any_value(n)::DOUBLE, 6) AS score
                FROM postings JOIN asked USING (word) GROUP BY ALL)"""
 LEXICAL_TOP_SQL = f"""WITH {CHUNKS_SQL}, {LEXICAL_SQL}
     SELECT * FROM (SELECT item_id, doc_id, chunk_index, score,
@@ -185,7 +185,7 @@ def vector_topk(spark, sf):
 HYBRID_SQL = f"""WITH {CHUNKS_SQL},
     asked AS (SELECT item_id AS query_id, len(q) AS n, unnest(q) AS word FROM (SELECT item_id, {_search_sql("text")} AS q FROM benchmark)),
     postings AS (SELECT doc_id, unnest({_search_sql("text")}) AS word FROM documents),
-    lex AS (SELECT query_id, doc_id, count(*) / any_value(n)::DOUBLE AS score FROM postings JOIN asked USING (word) GROUP BY ALL),
+    lex AS (SELECT query_id, doc_id, round_even(count(*) / any_value(n)::DOUBLE, 6) AS score FROM postings JOIN asked USING (word) GROUP BY ALL),
     l AS (SELECT query_id, doc_id, score FROM lex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20),
     {VECTOR_SQL.replace("SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0", "SELECT item_id AS query_id, embedding::DOUBLE[] AS a FROM benchmark JOIN embeddings ON item_id = vec_id")},
     v AS (SELECT query_id, vec_id AS doc_id, score FROM nearest WHERE rank <= 20),
@@ -445,7 +445,7 @@ def carry_forward_heading(spark, sf):
     SELECT item_id, doc_id, chunk_index::BIGINT AS chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, chunk_index) AS n FROM m WHERE score = best) WHERE n <= 3""")
 def ties_with_best(spark, sf):
     """The first three chunks that share a question's best score: the limit is the feature."""
-    scored = S.lexical_scores(table(spark, sf, "benchmark"), _chunked(spark, sf), "item_id", "text", ["doc_id", "chunk_index"], "chunk")
+    scored = S.lexical_best(table(spark, sf, "benchmark"), _chunked(spark, sf), 1, "item_id", "text", ["doc_id", "chunk_index"], "chunk")
     found = K.ties_with_best(scored, ["item_id"], "score", [F.col("doc_id"), F.col("chunk_index")])
     return found.select("item_id", "doc_id", F.col("chunk_index").cast("long"))
 
@@ -457,7 +457,7 @@ def ties_with_best(spark, sf):
 def near_best(spark, sf):
     """All chunks that have at most two words less of a question than its best ones."""
     asked = table(spark, sf, "benchmark")
-    scored = S.lexical_scores(asked, _chunked(spark, sf), "item_id", "text", ["doc_id", "chunk_index"], "chunk")
+    scored = S.lexical_best(asked, _chunked(spark, sf), 1, "item_id", "text", ["doc_id", "chunk_index"], "chunk", slack=2)
     sizes = asked.select("item_id", F.size(W.search_words(F.col("text"))).alias("n"))
     points = scored.join(sizes, "item_id").withColumn("points", F.round(F.col("score") * F.col("n")).cast("long"))
     return K.near_best(points, ["item_id"], "points").select("item_id", "doc_id", F.col("chunk_index").cast("long"), "points")

@@ -322,7 +322,7 @@ def summary_chunks(spark, sf):
 
 @query(f"""WITH {CHUNKS_SQL}, asked AS (SELECT item_id, item_id AS scope, len(q) AS n, unnest(q) AS word FROM (SELECT item_id, {_search_sql("text")} AS q FROM benchmark)),
     postings AS (SELECT doc_id, chunk_index, unnest({_search_sql("chunk")}) AS word FROM chunks),
-    scored AS (SELECT item_id, doc_id, chunk_index, count(*) / any_value(n)::DOUBLE AS score FROM postings JOIN asked USING (word) WHERE doc_id = scope GROUP BY ALL)
+    scored AS (SELECT item_id, doc_id, chunk_index, round_even(count(*) / any_value(n)::DOUBLE, 6) AS score FROM postings JOIN asked USING (word) WHERE doc_id = scope GROUP BY ALL)
     SELECT item_id, doc_id, chunk_index::BIGINT AS chunk_index, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM scored) WHERE rank <= 5""")
 def scoped_topk(spark, sf):
     """Every benchmark question asked of the document with its number alone."""

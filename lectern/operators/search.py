@@ -1,8 +1,8 @@
 """Batch retrieval: lexical and vector top-k, their merge, and reranking.
 
 Questions are rows, so any number of them is one job. Lexical search goes
-through an inverted index: only the postings of words that some question asks
-for are joined, never questions with texts. Vector search multiplies blocks of
+through an inverted index in blocks, which skips what can't be among a question's
+best (``lexical``); questions never meet texts. Vector search multiplies blocks of
 vectors, each block of questions with each block of rows, and keeps the best of
 a block before anything is shuffled.
 """
@@ -10,6 +10,7 @@ a block before anything is shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import words as W
+from lectern.operators import lexical as L
 
 
 def candidate_limit(k: int) -> int:
@@ -34,24 +36,60 @@ def top_k(rows: DataFrame, k: int, group: list[str], order: list[Column]) -> Dat
 def lexical_scores(
     questions: DataFrame, chunks: DataFrame, qid: str, question: str, ids: list[str], text: str, scope: str | None = None
 ) -> DataFrame:
-    """(qid, ids, score): share of a question's words that a text has, where it has any.
+    """(qid, ids, score): share of a question's words that a text has, to six digits, for every text that has any.
 
     ``scope`` names a column of the questions and one of ``ids``: a question
     searches only the document that it names, all of them where it names none.
     """
+    hits = _hits(questions, chunks, qid, question, ids, text, scope)
+    return hits.groupBy(qid, *ids).agg(_rounded(F.count("*") / F.first("n_asked")).alias("score"))
+
+
+def _rounded(share: Column) -> Column:
+    return F.bround(share, 6)
+
+
+def _hits(questions: DataFrame, chunks: DataFrame, qid: str, question: str, ids: list[str], text: str, scope: str | None) -> DataFrame:
+    """(qid, ids, n_asked): a row for each word of a question that a text has."""
     asked = questions.select(F.col(qid), W.search_words(F.col(question)).alias("asked"), *([F.col(scope).alias("__scope")] if scope else []))
     asked = asked.select(qid, *(["__scope"] if scope else []), F.size("asked").alias("n_asked"), F.explode("asked").alias("word"))
     postings = chunks.select(*ids, F.explode(W.search_words(F.col(text))).alias("word"))
-    hits = postings.join(asked, "word")
+    if not scope:
+        return postings.join(asked, "word")
+    # A question that names a document meets the words of that document alone.
+    inside = postings.join(asked.where("__scope IS NOT NULL"), (F.col(scope) == F.col("__scope")) & (postings["word"] == asked["word"]))
+    return inside.select(qid, *ids, "n_asked")
+
+
+def lexical_best(
+    questions: DataFrame, chunks: DataFrame, k: int, qid: str, question: str, ids: list[str], text: str, scope: str | None = None, slack: int = 0
+) -> DataFrame:
+    """(qid, ids, score) of each question's k best texts with all their ties, and of some others.
+
+    With ``slack``, of all texts that have at most so many words less than the k-th best.
+    Questions that name a document in ``scope`` are scored there in full; the others
+    skip the blocks of texts that can't be among their best (see ``lexical``).
+    """
+    whole = questions.where(F.col(scope).isNull()) if scope else questions
+    size = F.size(W.search_words(F.col(question)))
+    short, long = whole.where(size <= L.MOST), whole.where(size > L.MOST)
+    parts = []
+    # Which ways are taken is a matter of the questions alone; no way reads the texts for nothing.
+    if not short.isEmpty():
+        found = L.candidates(L.asked_words(short, qid, question), L.index(chunks, ids, text), k, slack)
+        parts.append(found.select(F.col("qid").alias(qid), "ids.*", _rounded(F.col("score")).alias("score")))
+    if not long.isEmpty():
+        # A question of more words than a packed count holds is scored against every text.
+        parts.append(lexical_scores(long, chunks, qid, question, ids, text))
     if scope:
-        hits = hits.where(F.col("__scope").isNull() | (F.col("__scope") == F.col(scope)))
-    return hits.groupBy(qid, *ids).agg((F.count("*") / F.first("n_asked")).alias("score"))
+        parts.append(lexical_scores(questions.where(F.col(scope).isNotNull()), chunks, qid, question, ids, text, scope))
+    return reduce(DataFrame.unionByName, parts or [lexical_scores(questions, chunks, qid, question, ids, text)])
 
 
 def lexical_top(
     questions: DataFrame, chunks: DataFrame, k: int, qid: str, question: str, ids: list[str], text: str, scope: str | None = None
 ) -> DataFrame:
-    scored = lexical_scores(questions, chunks, qid, question, ids, text, scope)
+    scored = lexical_best(questions, chunks, k, qid, question, ids, text, scope)
     return top_k(scored, k, [qid], [F.desc("score"), *map(F.col, ids)])
 
 

@@ -1,0 +1,43 @@
+"""Tables that jobs write for themselves, in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only on a single machine where none is named (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if root is None:
+        root = context.getCheckpointDir()
+    if root is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        root = "file://" + tempfile.mkdtemp(prefix="lectern-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    return root
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Evaluate once into a table of the shared folder; a lost executor then costs no more than the reading."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that begins like this and that no column of ``df`` bears."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
