@@ -19,6 +19,7 @@ from lectern.operators import evaluation as E
 from lectern.operators import evidence as V
 from lectern.operators import facts as D
 from lectern.operators import ranking as K
+from lectern.operators import pivots as N
 from lectern.operators import profile as X
 from lectern.operators import routing as R
 from lectern.operators import search as S
@@ -182,6 +183,15 @@ def vector_topk(spark, sf):
     return _vector(spark, sf, 5).select("query_id", "vec_id", "score", F.col("rank").cast("long"))
 
 
+@query(f"WITH {VECTOR_SQL} SELECT query_id, vec_id, score, rank FROM nearest WHERE rank <= 5")
+def vector_topk_pivots(spark, sf):
+    """The same by blocks around pivots, as for questions that no task can hold."""
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found = N.top(asked, vectors, 5, "query_id", "vec_id")
+    return found.select("query_id", "vec_id", "score", F.col("rank").cast("long"))
+
+
 HYBRID_SQL = f"""WITH {CHUNKS_SQL},
     asked AS (SELECT item_id AS query_id, len(q) AS n, unnest(q) AS word FROM (SELECT item_id, {_search_sql("text")} AS q FROM benchmark)),
     postings AS (SELECT doc_id, unnest({_search_sql("text")}) AS word FROM documents),

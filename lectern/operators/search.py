@@ -3,8 +3,7 @@
 Questions are rows, so any number of them is one job. Lexical search goes
 through an inverted index in blocks, which skips what can't be among a question's
 best (``lexical``); questions never meet texts. Vector search multiplies blocks of
-vectors, each block of questions with each block of rows, and keeps the best of
-a block before anything is shuffled.
+vectors and keeps the best of a block before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import words as W
 from lectern.operators import lexical as L
+from lectern.operators import pivots as P
 
 
 def candidate_limit(k: int) -> int:
@@ -93,77 +93,36 @@ def lexical_top(
     return top_k(scored, k, [qid], [F.desc("score"), *map(F.col, ids)])
 
 
-def _blocks(vectors: DataFrame, ident: str, vector: str, size: int, total: int, name: str) -> DataFrame:
-    """Rows in blocks of about ``size``: (name, ids, flat vectors)."""
-    count = max(1, -(-total // size))
-    block = F.pmod(F.xxhash64(ident), F.lit(count)).cast("int")
-    grouped = vectors.select(block.alias(name), F.struct(F.col(ident).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).alias("x"))
-    return grouped.groupBy(name).agg(F.collect_list("x").alias(f"{name}_rows"))
-
-
 #: Bytes of question vectors that every task may hold; more meet the rows in blocks.
 HELD = 64_000_000
 
 
-def _nearest(qs: np.ndarray, q: np.ndarray, rs: np.ndarray, r: np.ndarray, k: int, names: list[str]) -> pa.RecordBatch:
-    """The best k rows of a block for each question of another, by cosine to six digits and then by id."""
-    scores = np.round(np.clip(_unit(q) @ _unit(r).T, 0, 1), 6)
-    order = np.lexsort((np.broadcast_to(rs, scores.shape), -scores), axis=1)[:, :k]
-    best = np.take_along_axis(scores, order, axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, order.shape[1])), pa.array(rs[order].ravel()), pa.array(best.ravel())], names=names)
-
-
-def _unit(values: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(values, axis=1, keepdims=True)
-    return values / np.where(norms == 0, 1, norms)
-
-
-def _matrix(column: pa.Array, rows: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
-
-
 def vector_top(
     questions: DataFrame, rows: DataFrame, k: int, qid: str, rid: str, vector: str = "embedding", block: int = 2048
 ) -> DataFrame:
     """(qid, rid, score, rank): exact nearest rows by cosine, scores rounded to six digits, ties by id.
 
-    Where all question vectors fit into ``HELD`` bytes, every task holds them and
-    the rows stay where they are. Otherwise each side is dealt into blocks of
-    about ``block`` vectors, and every pair of blocks is one matrix product,
-    whose best k per question go on.
+    Where all question vectors fit into ``HELD`` bytes, every task holds them and the
+    rows stay where they are. Otherwise questions meet the blocks of rows that bounds
+    around pivots don't rule out (``pivots``).
     """
-    size = questions.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("values")).first()
-    names, schema = [qid, rid, "score"], f"{qid} long, {rid} long, score double"
-    if 8 * size["values"] <= HELD:
-        asked = questions.select(F.col(qid).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).toArrow()
-        qs = asked["i"].to_numpy()
-        held = rows.sparkSession.sparkContext.broadcast((qs, np.array(asked["v"].to_pylist(), np.float64)))
-
-        def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, q = held.value
-            for batch in batches:
-                if batch.num_rows and len(own):
-                    rs, r = batch.column(0).to_numpy(), _matrix(batch.column(1), batch.num_rows)
-                    for at in range(0, len(own), block):
-                        yield _nearest(own[at : at + block], q[at : at + block], rs, r, k, names)
-
-        found = rows.select(F.col(rid).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(stay, schema)
-        return top_k(found, k, [qid], [F.desc("score"), F.col(rid)])
-
-    left = _blocks(questions, qid, vector, block, size["n"], "q")
-    right = _blocks(rows, rid, vector, block, rows.count(), "r")
-    n_left = max(1, -(-size["n"] // block))
-    # Each block of rows meets each block of questions once.
-    pairs = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).join(left, "q")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    questions, rows = (df.where(F.col(vector).isNotNull()) for df in (questions, rows))
+    size = questions.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("values")).first()
+    if 8 * size["values"] > HELD:
+        return P.top(questions, rows, k, qid, rid, vector)
+    asked = questions.select(F.col(qid).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).toArrow()
+    qs, names = asked["i"].to_numpy(), [qid, rid, "score"]
+    held = rows.sparkSession.sparkContext.broadcast((qs, np.array(asked["v"].to_pylist(), np.float64)))
+
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = held.value
         for batch in batches:
-            for i in range(batch.num_rows):
-                sides = [batch.column(c).slice(i, 1).flatten() for c in (0, 1)]
-                (qs, q), (rs, r) = ((s.field("i").to_numpy(zero_copy_only=False), _matrix(s.field("v"), len(s))) for s in sides)
-                yield _nearest(qs, q, rs, r, k, names)
+            if batch.num_rows and len(own):
+                rs, r = batch.column(0).to_numpy(), P.matrix(batch.column(1), batch.num_rows)
+                for at in range(0, len(own), block):
+                    yield P.nearest(own[at : at + block], q[at : at + block], rs, r, k, names)
 
-    found = pairs.select("q_rows", "r_rows").mapInArrow(multiply, schema)
+    found = rows.select(F.col(rid).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(stay, f"{qid} long, {rid} long, score double")
     return top_k(found, k, [qid], [F.desc("score"), F.col(rid)])
 
 
