@@ -38,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.storage import let
+from lectern.llm.storage import let, unused
 
 RESULT = ("n_cards", "n_addresses", "n_phones", "n_dates", "n_mails")
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -63,7 +63,7 @@ LIKELY = r"@|[0-9][0-9. /()-]{0,2}[0-9]"
 class Pseudonyms:
     """key: the secret. rounds: of the Feistel network, an even number."""
 
-    key: str = "change-me"
+    key: str
     rounds: int = 8
 
 
@@ -216,7 +216,7 @@ def _mail(found: Column, config: Pseudonyms) -> Column:
     return F.concat(F.array_join(F.transform(blocks, moved), ""), F.substring(found, F.length(local) + 1, F.length(found)))
 
 
-def pseudonymize(docs: DataFrame, config: Pseudonyms = Pseudonyms(), text: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, config: Pseudonyms, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in the text and, per kind, how many values were replaced."""
     body = F.col(text)
     # (kind, its pseudonym): the kinds in the order in which an overlap is decided.
@@ -234,15 +234,16 @@ def pseudonymize(docs: DataFrame, config: Pseudonyms = Pseudonyms(), text: str =
     found = F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), one)
     none = F.array().cast("array<struct<kind:string,new:string,old:string>>")
     kept = [c for c in docs.columns if c not in RESULT]
+    spot = unused(docs, "found")
     # The filter is cheap; most texts end there.
-    marked = docs.select(*kept, F.when(body.rlike(LIKELY), found).otherwise(none).alias("__found"))
+    marked = docs.select(*kept, F.when(body.rlike(LIKELY), found).otherwise(none).alias(spot))
 
     def rebuilt(pieces: Column) -> Column:
-        words = F.transform(F.col("__found"), lambda x: F.coalesce(x["new"], x["old"]))
+        words = F.transform(F.col(spot), lambda x: F.coalesce(x["new"], x["old"]))
         joined = F.zip_with(pieces, words, lambda p, w: F.concat(F.coalesce(p, F.lit("")), F.coalesce(w, F.lit(""))))
         return F.array_join(joined, "")
 
-    new = F.when(F.size("__found") > 0, let(F.split(body, ANY, -1), rebuilt)).otherwise(body)
-    count = lambda k: F.size(F.filter("__found", lambda x: (x["kind"] == k) & x["new"].isNotNull())).cast("long")
+    new = F.when(F.size(spot) > 0, let(F.split(body, ANY, -1), rebuilt)).otherwise(body)
+    count = lambda k: F.size(F.filter(spot, lambda x: (x["kind"] == k) & x["new"].isNotNull())).cast("long")
     counts = [count(k).alias(n) for k, n in zip(makers, RESULT)]
     return marked.select(*[new.alias(c) if c == text else F.col(c) for c in kept], *counts)

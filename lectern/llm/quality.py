@@ -201,11 +201,12 @@ def quality(
     docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang", source: str = "source"
 ) -> DataFrame:
     """All columns of ``docs`` but the text, with counts, ``base_failed`` and ``kept``."""
-    keyed = docs.withColumns(
-        {"q_lang": F.coalesce(F.col(lang).cast("string"), F.lit("")), "q_source": F.coalesce(F.col(source).cast("string"), F.lit(""))}
-    )
+    others = [c for c in docs.columns if c != text and c not in (*RESULT, "n_lines")]
+    group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # Columns of the caller's travel in one, so that no name here can be one of theirs.
+    keyed = docs.select(F.struct(*others).alias("row"), F.col(text).alias("t"), group(lang).alias("q_lang"), group(source).alias("q_source"))
     # Measured once: both the sketches and the verdict read the small counts.
-    measured = cut(measure(keyed, text).drop(text))
+    measured = cut(measure(keyed, "t").drop("t"))
     failed = (F.col("n_words") < rules.min_words) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(rules.max_repeat_percent) * F.col("n_words")
     )
@@ -220,7 +221,8 @@ def quality(
         fences, (measured["q_lang"] == fences["f_lang"]) & (measured["q_source"] == fences["f_source"]), "left"
     )
     return judged.select(
-        *[c for c in measured.columns if c not in ("q_lang", "q_source")],
+        "row.*",
+        *[c for c in measured.columns if c not in ("row", "q_lang", "q_source")],
         failed.alias("base_failed"),
         (~failed & F.coalesce(inside, F.lit(True))).alias("kept"),
     )
@@ -235,6 +237,7 @@ def filter_quality(docs: DataFrame, rules: QualityRules = QualityRules(), key: s
     own = unused(docs, "q_text")
     marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     asked = marked.select(F.col(key).alias("g_key"), F.col(own).alias("g_text"), "text", "lang", "source")
-    good = quality(asked, rules).where("kept").select("g_key", "g_text").distinct()
-    rows = marked.join(good, F.col(key).eqNullSafe(F.col("g_key")) & (F.col(own) == F.col("g_text")), "left_semi")
+    good_key, good_text = unused(marked, "good_key"), unused(marked, "good_text")
+    good = quality(asked, rules).where("kept").select(F.col("g_key").alias(good_key), F.col("g_text").alias(good_text)).distinct()
+    rows = marked.join(good, F.col(key).eqNullSafe(F.col(good_key)) & (F.col(own) == F.col(good_text)), "left_semi")
     return rows.drop(own)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Where a session names the secret of its pseudonyms; without one, those of ``Pseudonyms`` are for tests only.
+#: Where a session names the secret of its pseudonyms; without one a run draws its own, and its pseudonyms are linked to no other run's.
 PSEUDONYM_KEY = "spark.lectern.pseudonymKey"
 
 
@@ -61,7 +62,7 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its personal data replaced by pseudonyms; the key is the session's secret."""
     from lectern.llm.pii import RESULT, Pseudonyms, pseudonymize
 
-    config = Pseudonyms(key=spark.conf.get(PSEUDONYM_KEY, Pseudonyms.key))
+    config = Pseudonyms(key=spark.conf.get(PSEUDONYM_KEY, None) or token_hex(32))
     return pseudonymize(_documents(spark, sf_dir), config).select("doc_id", *RESULT, "text")
 
 

@@ -3,22 +3,20 @@
 Each rule's expression is parsed, and what every match must contain becomes a
 Boolean query of trigrams: alternatives are joined by OR, the trigrams of the
 literal runs of one alternative by AND. The trigrams that occur in queries are
-indexed: postings are Boolean columns that lie beside the texts they point to,
-one for each trigram, so that a block of rows is searched where it is and no
-text moves. The postings of an alternative are intersected, the rarest trigram
-first, and a text that has dropped out is not looked up in the rest; texts that
-satisfy a query are candidates of its rule, and only there is the expression
-run. A rule whose expression has an alternative without a trigram scans every
-text. The same index as rows (trigram, key), to be stored and searched apart
-from the texts, is ``postings`` and ``candidates``.
+indexed over all texts as postings (trigram, text), a text being known by its
+64-bit hash. The postings of an alternative are intersected by counting; texts
+that satisfy a query are candidates of its rule. Candidates are written before
+they meet the texts, so that Spark knows their size and moves texts only where
+they are many; there the expression is run. A rule whose expression has an
+alternative without a trigram scans every text.
 
 Spans are offsets in code points. They come from the pieces between matches and
 the matches themselves, whose lengths add up to positions.
 
 Cases: a null or empty text has no spans; texts of any length are scanned whole;
-overlapping kinds all report; repeated rows and rows without a key are scanned
-each for itself (in ``candidates``, a key's rules are the union over its rows);
-an empty table gives an empty result; extra columns pass through untouched, but
+overlapping kinds all report; repeated rows share their postings; should two texts
+share a hash, each is a candidate of the other's rules, which costs a look; an
+empty table gives an empty result; extra columns pass through untouched, but
 for one named as the column that ``scan`` is told to give.
 """
 
@@ -38,7 +36,7 @@ except ImportError:  # Python before 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.storage import let, unused
+from lectern.llm.storage import let, stored, unused
 
 
 @dataclass(frozen=True)
@@ -68,8 +66,10 @@ MORE = (
 RULES = BASE + MORE
 #: Longest class of characters, and most alternatives, that a query spells out.
 WIDE, MANY = 8, 64
-#: Letters and signs that make a trigram rare in prose.
-RARE = frozenset("kwxyzjqv_-:./")
+#: Values whose running totals are taken at a time.
+TOTALLED = 64
+#: Characters of the pieces in which a long text is masked.
+PIECE = 1024
 
 
 def _spell(parsed) -> list[list[str]]:
@@ -109,29 +109,6 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((c for c in clauses if not any(d < c for d in clauses)), key=sorted)
 
 
-def _commonness(gram: str) -> tuple[int, str]:
-    """Trigrams with signs or rare letters come first."""
-    return -sum(c in RARE for c in gram), gram
-
-
-def satisfied(low: Column, rules: tuple[Rule, ...]) -> Column:
-    """A bit per rule whose query a lower-case text satisfies: its postings, intersected and united."""
-    bits = F.lit(0).cast("long")
-    for i, rule in enumerate(rules):
-        query = trigram_query(rule.pattern)
-        if query is None:
-            continue
-        some = F.lit(False)
-        for clause in query:
-            first, *rest = sorted(clause, key=_commonness)
-            every = F.contains(low, F.lit(first))
-            for gram in rest:
-                every = every & F.contains(low, F.lit(gram))
-            some = some | every
-        bits = bits.bitwiseOR(F.when(some, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return bits
-
-
 def postings(docs: DataFrame, grams: list[str], text: str, key: str) -> DataFrame:
     """(gram, key): the inverted index of the trigrams that queries ask for."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
@@ -163,28 +140,53 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], text: str, key: str) ->
     return met.groupBy("key").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rule"))).alias("rules"))
 
 
+def before(values: Column, zero: Column, merge) -> Column:
+    """For each value of an array all values before it, merged; groups of values are merged first, so the work grows little faster than the array."""
+
+    def grouped(all_values: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.call_function("div", F.greatest(F.size(all_values) - 1, F.lit(0)), F.lit(TOTALLED)).cast("int"))
+        return F.transform(groups, lambda g: F.slice(all_values, g * TOTALLED + 1, TOTALLED))
+
+    def within(group: Column, base: Column) -> Column:
+        return F.transform(group, lambda _, i: F.aggregate(F.slice(group, F.lit(1), i), base, merge))
+
+    def placed(groups: Column) -> Column:
+        totals = F.transform(groups, lambda group: F.aggregate(group, zero, merge))
+        from_totals = lambda t: F.flatten(F.transform(groups, lambda group, g: let(F.aggregate(F.slice(t, F.lit(1), g), zero, merge), lambda base: within(group, base))))
+        return let(totals, from_totals)
+
+    return let(let(values, grouped), placed)
+
+
 def _matches(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, kind order, end) of a rule's matches in a text."""
     pattern = F.lit(_run(rule))
 
     def from_pieces(found: Column) -> Column:
         pieces = F.split(text, _run(rule), -1)
-        empty = F.array().cast("array<struct<start:int,order:int,end:int>>")
-        start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
-        def step(state: Column, part: Column) -> Column:
-            begin = state["at"] + F.length(part["piece"])
-            end = begin + F.length(part["found"])
-            enough = F.coalesce(F.length(part["kept"]) >= rule.least, F.lit(False))
-            span = F.struct(begin.alias("start"), F.lit(order).alias("order"), end.alias("end"))
-            return F.struct(
-                end.alias("at"), F.when(enough, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans")
-            )
-
         kept = F.regexp_extract_all(text, pattern, F.lit(rule.part)) if rule.part else found
-        parts = F.arrays_zip(pieces.alias("piece"), found.alias("found"), kept.alias("kept"))
         # The piece after the last match has no match beside it.
-        return F.aggregate(F.slice(parts, 1, F.size(found)), start, step, lambda s: s["spans"])
+        parts = F.slice(F.arrays_zip(pieces.alias("piece"), found.alias("found"), kept.alias("kept")), F.lit(1), F.size(found))
+        sized = F.transform(
+            parts,
+            lambda x: F.struct(
+                F.length(x["piece"]).alias("gap"), F.length(x["found"]).alias("size"), (F.length(x["kept"]) >= rule.least).alias("enough")
+            ),
+        )
+
+        def spans(sizes: Column) -> Column:
+            ends = before(F.transform(sizes, lambda x: x["gap"] + x["size"]), F.lit(0), lambda a, b: a + b)
+            begun = F.zip_with(
+                sizes,
+                ends,
+                lambda x, at: F.when(
+                    x["enough"],
+                    F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("order"), (at + x["gap"] + x["size"]).alias("end")),
+                ),
+            )
+            return F.array_compact(begun)
+
+        return let(sized, spans)
 
     return let(F.regexp_extract_all(text, pattern, F.lit(0)), from_pieces)
 
@@ -192,19 +194,21 @@ def _matches(text: Column, rule: Rule, order: int) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", into: str = "secrets") -> DataFrame:
     """``docs`` with the column ``into``: an array of (start, order, end), order being the rule's place in ``rules``."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    bits = unused(docs, "rule_bits")
+    own, key, bits = (unused(docs, name) for name in ("text_hash", "candidate", "rule_bits"))
     kept = [c for c in docs.columns if c != into]
-    marked = docs.select(*kept, let(F.lower(whole), lambda low: satisfied(low, rules)).alias(bits))
+    marked = docs.select(*kept, F.xxhash64(whole).alias(own))
+    found = stored(candidates(docs.select(F.col(text).alias("text"), F.xxhash64(whole).alias("key")), rules, "text", "key"), "candidates")
+    joined = marked.join(found.select(F.col("key").alias(key), F.col("rules").alias(bits)), F.col(own) == F.col(key), "left")
     empty = F.array().cast("array<struct<start:int,order:int,end:int>>")
     spans = []
     for i, rule in enumerate(rules):
         likely = (
             whole.rlike(_run(rule))
             if trigram_query(rule.pattern) is None
-            else F.shiftright(F.col(bits), i).bitwiseAND(F.lit(1)) == 1
+            else F.shiftright(F.coalesce(F.col(bits), F.lit(0).cast("long")), i).bitwiseAND(F.lit(1)) == 1
         )
         spans.append(F.when(likely, _matches(whole, rule, i)).otherwise(empty))
-    return marked.select(*kept, F.array_sort(F.flatten(F.array(*spans))).alias(into))
+    return joined.select(*kept, F.array_sort(F.flatten(F.array(*spans))).alias(into))
 
 
 def _run(rule: Rule) -> str:
@@ -221,19 +225,20 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secre
     spans = unused(docs, "secrets")
     found = scan(docs, rules, text, spans)
     body = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-
-    def step(state: Column, span: Column) -> Column:
-        # A span that begins before the last one ended only prolongs it.
-        inside = span["start"] < state["at"]
-        between = F.substring(body, state["at"] + 1, span["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(inside, state["done"]).otherwise(F.concat(state["done"], between, F.lit(mask))).alias("done"),
-        )
-
-    clean = F.aggregate(
-        F.col(spans), start, step, lambda s: F.concat(s["done"], F.substring(body, s["at"] + 1, F.length(body)))
-    )
-    new = F.when(F.size(spans) > 0, clean).otherwise(body)
+    # A position in a long text is found from the beginning; in a piece of it, from the piece's.
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def gap(parts: Column, begin: Column, end: Column) -> Column:
+        first = F.call_function("div", begin, F.lit(PIECE)).cast("int")
+        last = F.call_function("div", end, F.lit(PIECE)).cast("int")
+        return F.substring(F.array_join(F.slice(parts, first + 1, last - first + 1), ""), begin - first * PIECE + 1, end - begin)
+
+    def masked(all_spans: Column, parts: Column) -> Column:
+        # A span that begins before those before it ended only prolongs them.
+        reached = before(F.transform(all_spans, lambda x: x["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        told = F.zip_with(all_spans, reached, lambda x, at: F.when(x["start"] >= at, F.concat(gap(parts, at, x["start"]), F.lit(mask))))
+        last = F.array_max(F.transform(all_spans, lambda x: x["end"]))
+        return F.concat(F.array_join(told, ""), gap(parts, last, F.length(body)))
+
+    new = F.when(F.size(spans) > 0, let(pieces, lambda parts: let(F.col(spans), lambda x: masked(x, parts)))).otherwise(body)
     return found.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])

@@ -68,3 +68,44 @@ def test_odd_rows_and_clashing_columns(spark, tmp_path):
     assert "abcdefgh12345" not in got[6]["text"] and got[7]["text"] == long
     packed = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(got)
+
+
+def test_copies_with_null_or_shared_ids_go(spark, tmp_path):
+    rng = random.Random(5)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(4)]
+    near = lambda t, i: t.replace(t.split()[i], "other", 1)
+    cases = [
+        ([(None, text[0]), (5, text[0]), (None, text[1])], [(5, text[0]), (None, text[1])]),
+        ([(3, text[0]), (7, text[0]), (7, text[1])], [(3, text[0]), (7, text[1])]),
+        ([(None, text[0]), (None, near(text[0], 9))], None),
+        ([(7, text[0]), (7, near(text[0], 9)), (9, near(text[0], 30)), (9, text[2]), (9, text[2])], None),
+    ]
+    for rows, want in cases:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+        if want is not None:
+            assert sorted(got, key=str) == sorted(want, key=str)
+        else:
+            # One row of each group, whatever is null or shared.
+            assert len(got) == len({t for _, t in rows if t in text}) and set(got) <= set(rows)
+
+
+CLASHING = "k own same n keys node pos key part component_id first_id text_hash g_key g_text good_key good_text q_lang q_source f_lang f_source row t ratio bucket found candidate rule_bits gram rules secrets_ __found __words total least component term docs vector cluster told"
+
+
+def test_internal_names_as_extra_columns(spark, tmp_path):
+    from lectern.llm import pii, secrets
+
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(70)) + " token=abcdefgh1 4111 1111 1111 1111", "en", "s") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    from pyspark.sql import functions as F
+
+    docs = docs.select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASHING.split()])
+    outs = [quality.filter_quality(docs), corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)), corpus_pipeline.mask_secrets(spark, docs, str(tmp_path))]
+    outs += [corpus_pipeline.identify_language(spark, docs, str(tmp_path))]
+    for out in outs:
+        assert out.columns == docs.columns
+        assert all(r[c] == f"mine {c}" for r in out.collect() for c in CLASHING.split())
+    for out in (quality.quality(docs), pii.pseudonymize(docs, pii.Pseudonyms(key="s")), secrets.scan(docs)):
+        found = out.collect()
+        assert len(found) == 4 and all(r[c] == f"mine {c}" for r in found for c in CLASHING.split())

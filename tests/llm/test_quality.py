@@ -142,7 +142,8 @@ def test_against_sql(spark):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     for name, sql in ORACLE_SQL.items():
         want, got = con.execute(sql).df(), QUERIES[name](spark, sf).toPandas()
         assert sorted(want.columns) == sorted(got.columns)

@@ -63,16 +63,51 @@ def test_more_rules_and_redaction(spark):
     assert got[1] == "a [secret] b [secret]host/ c [secret] d" and got[2] is None and got[3] == "clean" and got[4] == "[secret]"
 
 
-def test_stored_index_gives_the_same_candidates(spark):
-    from pyspark.sql import functions as F
-
-    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
-    here = docs.select("doc_id", S.satisfied(F.lower(F.coalesce("text", F.lit(""))), S.RULES).alias("bits")).where("bits <> 0")
-    apart = S.candidates(docs, S.RULES, "text", "doc_id")
-    assert sorted(map(tuple, here.collect())) == sorted(map(tuple, apart.collect()))
-
-
-def test_no_text_moves(spark):
+def test_candidates_are_those_whose_postings_meet(spark):
+    every = texts() + ["pass the word", "a secure tokyo", "bear with me"]
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    want = {}
+    for i, text in enumerate(every):
+        bits = 0
+        for k, rule in enumerate(S.RULES):
+            query = S.trigram_query(rule.pattern)
+            bits |= (query is not None and any(all(g in (text or "").lower() for g in clause) for clause in query)) << k
+        if bits:
+            want[i] = bits
+    got = S.candidates(docs, S.RULES, "text", "doc_id")
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
+    # Few of the texts with a posting are candidates, and all of those with a match of an indexed rule are among them.
+    grams = sorted({g for r in S.RULES for clause in S.trigram_query(r.pattern) or () for g in clause})
+    with_posting = S.postings(docs, grams, "text", "doc_id").select("key").distinct().count()
+    assert len(want) < with_posting
+    assert {i for i, t in enumerate(every) if any(s[1] < 2 for s in brute(t))} <= set(want)
+
+
+def test_rules_run_on_candidates_alone(spark):
     docs = spark.createDataFrame([(1, "token=abcdefgh1")], "doc_id long, text string")
-    plan = S.redact(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
+    plan = S.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Python" not in plan
+
+
+def test_very_many_secrets_in_one_text(spark):
+    import time
+
+    text = " ".join(f"token=abcdefgh{i:05d}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = S.scan(docs).first()["secrets"]
+    assert [(s["start"], s["order"], s["end"]) for s in got] == brute(text)
+    assert S.redact(docs).first()["text"] == " ".join(["[secret]"] * 20_000)
+    assert time.perf_counter() - began < 60
+
+
+def test_overlapping_spans_are_one_mask(spark):
+    text = "x password=" + "ab12" * 10 + " y token=AKIA" + "ABCD" * 4 + "z"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = brute(text)
+    reach, want = 0, ""
+    for a, _, b in spans:
+        if a >= reach:
+            want += text[reach:a] + "[secret]"
+        reach = max(reach, b)
+    assert len(spans) > 3 and S.redact(docs, S.BASE).first()["text"] == want + text[reach:]
