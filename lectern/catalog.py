@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import section_sql
 from lectern.functions import words as W
 from lectern.operators import answers as A
 from lectern.operators import chunks as C
@@ -23,7 +24,7 @@ from lectern.operators import pivots as N
 from lectern.operators import profile as X
 from lectern.operators import routing as R
 from lectern.operators import search as S
-from lectern.operators import sections as P
+from lectern.operators import headings as P
 from lectern.operators import study as T
 from lectern.operators import tables as B
 
@@ -110,7 +111,7 @@ def chunk_windows(spark, sf):
 
 
 @query(rf"""WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, n_words,
-    len(regexp_extract_all(chunk, '[A-Za-z]')) / length(regexp_replace(chunk, '\s+', '', 'g'))::DOUBLE AS density FROM chunks""")
+    round_even(len(regexp_extract_all(chunk, '[A-Za-z]')) / length(regexp_replace(chunk, '\s+', '', 'g'))::DOUBLE, 4) AS density FROM chunks""")
 def usable_chunks(spark, sf):
     """The numbered usable windows with their density of letters."""
     found = C.chunks(table(spark, sf, "documents"))
@@ -120,13 +121,13 @@ def usable_chunks(spark, sf):
 @query(rf"""WITH s AS (SELECT source, length({_collapsed_sql("text")}) AS n FROM documents),
     g AS (SELECT source, count(*) AS pages, count(*) FILTER (n >= 20) AS text_pages, count(*) FILTER (n = 0) AS empty_pages,
           count(*) FILTER (n < 80) AS low_pages, sum(n)::BIGINT AS total_chars FROM s GROUP BY source)
-    SELECT *, low_pages / pages::DOUBLE AS low_ratio,
+    SELECT *, round_even(total_chars / pages::DOUBLE, 2) AS mean_chars, round_even(low_pages / pages::DOUBLE, 4) AS low_ratio,
         CASE WHEN low_pages / pages::DOUBLE >= 0.75 THEN 'high' WHEN low_pages / pages::DOUBLE >= 0.35 THEN 'medium' ELSE 'low' END AS scan_likelihood
     FROM g""")
 def parse_quality_by_source(spark, sf):
     """Parse quality, each source being a document and its documents the pages."""
     found = C.parse_quality(table(spark, sf, "documents"), "source")
-    return found.select("source", "pages", "text_pages", "empty_pages", "low_pages", "total_chars", "low_ratio", "scan_likelihood")
+    return found.select("source", "pages", "text_pages", "empty_pages", "low_pages", "total_chars", "mean_chars", "low_ratio", "scan_likelihood")
 
 
 @query("""WITH p AS (SELECT doc_id, n_chars, (doc_id * 37) % 101 AS confidence, (doc_id % 7) * 100.0 AS width FROM documents)
@@ -251,11 +252,11 @@ ASKED_SQL = """asked AS (SELECT o_orderkey AS qid, CASE o_orderkey % 6 WHEN 0 TH
 
 @query(f"""WITH {ASKED_SQL}, n AS (SELECT qid, kind, array_to_string({_words_sql("question")}, ' ') AS norm FROM asked),
     i AS (SELECT *, {_intent_sql("norm")} AS intent FROM n)
-    SELECT qid, intent, CASE WHEN kind = 'research_paper' AND intent = 'parties' THEN 'no_parties_in_research'
-        WHEN kind = 'research_paper' AND (intent IN ('payment_due', 'payment_terms') OR intent = 'amounts' AND ({" OR ".join(f"contains(norm, '{p}')" for p in R.INVOICE_AMOUNTS)})) THEN 'no_invoice_in_research'
-        WHEN kind = 'invoice' AND intent IN ('methods', 'datasets', 'results', 'limitations') THEN 'no_research_in_invoice'
-        WHEN kind = 'resume' AND intent IN ('amounts', 'parties', 'obligations', 'risks') THEN 'no_contract_in_resume'
-        WHEN kind = 'contract' AND intent IN ('methods', 'datasets', 'results', 'limitations') THEN 'no_research_in_contract' END AS mismatch FROM i""")
+    SELECT qid, intent, CASE WHEN kind = 'research_paper' AND intent = 'parties' THEN '{R.NO_PARTIES}'
+        WHEN kind = 'research_paper' AND (intent IN ('payment_due', 'payment_terms') OR intent = 'amounts' AND ({" OR ".join(f"contains(norm, '{p}')" for p in R.INVOICE_AMOUNTS)})) THEN '{R.NO_INVOICE_IN_PAPER}'
+        WHEN kind = 'invoice' AND intent IN ('methods', 'datasets', 'results', 'limitations') THEN '{R.NO_RESEARCH_IN_INVOICE}'
+        WHEN kind = 'resume' AND intent IN ('amounts', 'parties', 'obligations', 'risks') THEN '{R.NO_CONTRACT_IN_RESUME}'
+        WHEN kind = 'contract' AND intent IN ('methods', 'datasets', 'results', 'limitations') THEN '{R.NO_RESEARCH_IN_CONTRACT}' END AS mismatch FROM i""")
 def route_intents(spark, sf):
     """Intents of questions made from orders, held against document types."""
     key = F.col("o_orderkey")
@@ -545,12 +546,28 @@ def table_cells(spark, sf):
     )
 
 
-@query()
+@query(section_sql.chunks("SELECT doc_id, text AS t FROM documents", "doc_id"))
 def section_chunks(spark, sf):
-    """Section-aware windows of every document; heading grammar, so without SQL."""
+    """Section-aware windows of every document."""
     return P.section_chunks(table(spark, sf, "documents"), ["doc_id"])
 
 
+#: A conversation as a page: what each role says stands under a heading line of its own kind.
+ROLE_HEADINGS = {"system": "Scope:", "user": "BACKGROUND", "assistant": "3.1. Model design"}
+CONVERSATION_PAGES_SQL = f"""SELECT conv_id, string_agg(CASE role {" ".join(f"WHEN '{r}' THEN '{h}'" for r, h in ROLE_HEADINGS.items())} ELSE 'NEXT STEPS' END
+    || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn, role) AS t FROM conversations GROUP BY conv_id"""
+
+
+@query(section_sql.chunks(CONVERSATION_PAGES_SQL, "conv_id"))
+def conversation_sections(spark, sf):
+    """The sections of conversations, each a page whose headings are its roles."""
+    heading = F.coalesce(*[F.when(F.col("role") == r, h) for r, h in ROLE_HEADINGS.items()], F.lit("NEXT STEPS"))
+    said = F.struct("turn", "role", F.concat_ws("\n", heading, F.coalesce("text", F.lit(""))).alias("line"))
+    pages = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("said"))
+    texts = pages.select("conv_id", F.array_join(F.transform("said", lambda x: x["line"]), "\n").alias("text"))
+    return P.section_chunks(texts, ["conv_id"])
+
+
 @query()
 def document_profiles(spark, sf):
     """Profiles of customers from the pages made of their orders; rule-based, so without SQL."""

@@ -27,6 +27,28 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Values whose running totals are taken at a time.
+TOTALLED = 64
+
+
+def before(values: Column, zero: Column, merge) -> Column:
+    """For each value of an array all values before it, merged; groups of values are merged first, so the work grows little faster than the array."""
+
+    def grouped(every: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.call_function("div", F.greatest(F.size(every) - 1, F.lit(0)), F.lit(TOTALLED)).cast("int"))
+        return F.transform(groups, lambda g: F.slice(every, g * TOTALLED + 1, TOTALLED))
+
+    def within(group: Column, base: Column) -> Column:
+        return F.transform(group, lambda _, i: F.aggregate(F.slice(group, F.lit(1), i), base, merge))
+
+    def placed(groups: Column) -> Column:
+        totals = F.transform(groups, lambda group: F.aggregate(group, zero, merge))
+        up_to = lambda t, g: F.aggregate(F.slice(t, F.lit(1), g), zero, merge)
+        return bound(totals, lambda t: F.flatten(F.transform(groups, lambda group, g: bound(up_to(t, g), lambda base: within(group, base)))))
+
+    return bound(bound(values, grouped), placed)
+
+
 def word_list(text: Column) -> Column:
     """All words in order, repeats included."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
@@ -93,9 +115,9 @@ def usable(text: Column) -> Column:
 
 
 def letter_density(text: Column) -> Column:
-    """ASCII letters among the characters that are not white space."""
+    """ASCII letters among the characters that are not white space, to four digits."""
     solid = F.length(F.regexp_replace(text, r"\s+", ""))
-    return F.when(solid == 0, F.lit(0.0)).otherwise(F.regexp_count(text, F.lit("[A-Za-z]")) / solid)
+    return F.when(solid == 0, F.lit(0.0)).otherwise(F.bround(F.regexp_count(text, F.lit("[A-Za-z]")) / solid, 4))
 
 
 def contents_like(text: Column) -> Column:

@@ -58,13 +58,13 @@ def parse_quality(pages: DataFrame, key: str, text: str = "text", source: str =
         F.count_if(F.col("n_text") == 0).alias("empty_pages"),
         F.count_if(F.col("n_text") < 80).alias("low_pages"),
         F.sum("n_text").alias("total_chars"),
-        F.avg("n_text").alias("mean_chars"),
+        F.bround(F.avg("n_text"), 2).alias("mean_chars"),
         *[F.count_if(known == x).alias(f"{x}_pages") for x in ("native", "ocr", "hybrid")],
-        F.round(F.avg(confidence.cast("double")), 2).alias("ocr_confidence"),
+        F.bround(F.avg(confidence.cast("double")), 2).alias("ocr_confidence"),
         F.coalesce(F.sum(F.coalesce(duration, F.lit(0))), F.lit(0)).cast("long").alias("ocr_duration_ms"),
     )
     ratio = F.col("low_pages") / F.col("pages")
-    verdict = counted.withColumn("low_ratio", ratio).withColumn("scan_likelihood", scan_likelihood(F.col("low_ratio")))
+    verdict = counted.withColumn("scan_likelihood", scan_likelihood(ratio)).withColumn("low_ratio", F.bround(ratio, 4))
     return verdict.withColumn("warnings", warnings(F.col("scan_likelihood")))
 
 

@@ -1,14 +1,10 @@
-"""Sections of a page by its headings, and section-aware word windows."""
+"""Sections of a page by its headings, text by text; ``headings`` has them as columns, by the same lists and rules."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
 # Known headings, and what titles of numbered sections tell.
 HEADINGS = (
     "ABSTRACT", "KEYWORDS", "INTRODUCTION", "BACKGROUND", "RELATED WORK", "LITERATURE REVIEW", "METHODOLOGY", "METHOD",
@@ -81,23 +77,34 @@ def canonical(heading: str) -> str:
     return _compact.get(upper.replace(" ", ""), upper)
 
 
-def _holds(*terms: str, whole: bool = False):
-    """A test of a title: whether it has some term, as a whole word or anywhere."""
-    return lambda title: any(t in (title.split() if whole else title) for t in terms)
+@dataclass(frozen=True)
+class Title:
+    """What a title tells that has some of the terms, as whole words or anywhere, and ``also``.
+
+    numbered: whether it must have a number, must not have one, or either (None).
+    """
+
+    heading: str
+    terms: tuple[str, ...]
+    whole: bool = False
+    numbered: bool | None = None
+    also: str = ""
 
+    def holds(self, title: str) -> bool:
+        return self.also in title and any(t in (title.split() if self.whole else title) for t in self.terms)
 
-_DESIGN = ("design approach", "development pipeline")
-#: What titles tell, tried in order: (heading, test, whether the title must be numbered, must not be, or either: None).
+
+#: What titles tell, tried in order.
 TITLES = (
-    ("DATASET", _holds(*DATASET_TERMS, whole=True), True),
-    ("FUTURE WORK", lambda title: _holds(*LIMIT_TERMS)(title) and "future" in title, True),
-    ("CONCLUSION", _holds(*LIMIT_TERMS), True),
-    ("OVERVIEW", _holds("overview", "objective", whole=True), None),
-    ("METHOD", _holds(*_DESIGN), None),
-    ("METHOD", _holds(*METHOD_TERMS), True),
-    ("RESULTS", _holds("results verification"), False),
-    ("RESULTS", _holds(*RESULT_TERMS, whole=True), False),
-    ("RESULTS", _holds(*RESULT_TERMS), True),
+    Title("DATASET", DATASET_TERMS, whole=True, numbered=True),
+    Title("FUTURE WORK", LIMIT_TERMS, numbered=True, also="future"),
+    Title("CONCLUSION", LIMIT_TERMS, numbered=True),
+    Title("OVERVIEW", ("overview", "objective"), whole=True),
+    Title("METHOD", ("design approach", "development pipeline")),
+    Title("METHOD", METHOD_TERMS, numbered=True),
+    Title("RESULTS", ("results verification",), numbered=False),
+    Title("RESULTS", RESULT_TERMS, whole=True, numbered=False),
+    Title("RESULTS", RESULT_TERMS, numbered=True),
 )
 #: Major sections of reports whose titles tell nothing.
 MAJOR = {"3": "METHOD", "4": "RESULTS"}
@@ -112,7 +119,7 @@ def alias(line: str) -> str | None:
     if numbered is None and flat[-1] in ".!?":
         return None
     title = " ".join(re.findall("[a-z0-9]+", (numbered["title"] if numbered else flat).lower()))
-    known = (heading for heading, test, wanted in TITLES if wanted in (None, numbered is not None) and test(title))
+    known = (t.heading for t in TITLES if t.numbered in (None, numbered is not None) and t.holds(title))
     return next(known, MAJOR.get(numbered["number"].split(".")[0]) if numbered else None)
 
 
@@ -169,43 +176,3 @@ def split(text: str) -> list[Section]:
     flat = tidy(text)
     capitals = sum(m[1] == m[1].upper() for m in INLINE.finditer(flat))
     return inline(flat, capitals >= 2) or ([Section(flat, 0)] if flat else [])
-
-
-def usable(text: str) -> bool:
-    return len(re.findall("[A-Za-z0-9]+", text)) >= 4 and len(re.findall("[A-Za-z]", text)) >= 16
-
-
-def page_chunks(text: str, size: int, overlap: int) -> list[tuple]:
-    """(word_start, word_end, heading, density, text) of the usable windows of a page."""
-    out = []
-    for section in split(text):
-        tokens = section.text.split()
-        for at in range(0, len(tokens), size - overlap):
-            window = tokens[at : at + size]
-            chunk = " ".join(window)
-            if usable(chunk) and not contents_like(chunk):
-                start = section.word_start + at
-                density = len(re.findall("[A-Za-z]", chunk)) / len(re.sub(r"\s+", "", chunk))
-                out.append((start, start + len(window), section.heading, round(density, 4), chunk))
-    return out
-
-
-FIELDS = "chunk_on_page int, word_start int, word_end int, section_heading string, text_density double, text string"
-
-
-def section_chunks(pages: DataFrame, keys: list[str], text: str = "text", size: int = 900, overlap: int = 120) -> DataFrame:
-    """Section-aware windows of every page, numbered on the page; a document's number is their order over its pages."""
-    if size <= 0 or not 0 <= overlap < size:
-        raise ValueError("a window needs a positive size and a smaller overlap")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (*values[:-1], n, *chunk)
-                for values in batch[[*keys, text]].itertuples(index=False, name=None)
-                for n, chunk in enumerate(page_chunks(values[-1] or "", size, overlap))
-            ]
-            yield pd.DataFrame(rows, columns=[*keys, *(f.split()[0] for f in FIELDS.split(", "))])
-
-    fields = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
-    return pages.select(*keys, text).mapInPandas(run, f"{fields}, {FIELDS}")

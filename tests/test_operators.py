@@ -90,7 +90,7 @@ def test_routing(spark):
     for question, intent in cases.items():
         assert one(spark, R.intent(F.col("q")), q=question) == intent
     code = one(spark, R.mismatch(F.col("q"), F.lit("amounts"), F.lit("research_paper")), q="What is the total due?")
-    assert code == "no_invoice_in_research"
+    assert code == R.NO_INVOICE_IN_PAPER
     assert one(spark, R.section_score(F.col("q"), F.col("h")), q="Which frameworks are used?", h="technical skills") == 1.0
 
 
