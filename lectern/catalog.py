@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern import section_sql
 from lectern.functions import words as W
+from lectern.operators import anchors as Q
 from lectern.operators import answers as A
 from lectern.operators import chunks as C
 from lectern.operators import evaluation as E
@@ -27,6 +28,7 @@ from lectern.operators import search as S
 from lectern.operators import headings as P
 from lectern.operators import study as T
 from lectern.operators import tables as B
+from lectern.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -347,9 +349,15 @@ def anchor_containment(spark, sf):
     rarest = ranked.groupBy("item_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
     likely = postings.join(rarest, "word").select("item_id", "doc_id").distinct()
     worded = likely.join(docs, "doc_id").join(items.where(F.size("inner") > 0), "item_id").where(F.contains("page", "quote"))
-    # Quotes without an inner word meet every page.
-    wordless = docs.join(items.where(F.size("inner") == 0), F.contains("page", "quote"))
-    return worded.select("item_id", "doc_id").union(wordless.select("item_id", "doc_id"))
+    wordless = items.where(F.size("inner") == 0).withColumn("sign", F.left("quote", F.lit(2)))
+    if wordless.isEmpty():
+        return worded.select("item_id", "doc_id")
+    # Quotes without an inner word are found by their first two signs, those of one by it, an empty one in every page.
+    signs = F.split("page", "")
+    pairs = F.zip_with(signs, F.slice(signs, 2, F.size(signs)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    begun = docs.select("doc_id", "page", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), signs, pairs))).alias("sign"))
+    likely = begun.join(wordless, "sign").where(F.contains("page", "quote"))
+    return worded.select("item_id", "doc_id").union(likely.select("item_id", "doc_id"))
 
 
 @query(f"""WITH pairs AS (SELECT a.conv_id, a.turn, a.text AS answer, u.text AS evidence FROM conversations a JOIN conversations u
@@ -598,14 +606,46 @@ def verified_answers(spark, sf):
     return A.verified_answers(_packs(spark, sf), "qid", "question")
 
 
-@query()
+def _source_sql(text: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({text}, '([A-Za-z])-\s+([A-Za-z])', '\1\2', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH {CHUNKS_SQL}, {LEXICAL_SQL},
+    hits AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk_index) <= 20),
+    h AS (SELECT item_id, doc_id, chunk_index, {_source_sql("b.text")} AS quote, {_source_sql("c.chunk")} AS one, {_source_sql("array_to_string(w[word_start + 1 : word_start + 1680], ' ')")} AS two, b.text
+          FROM hits JOIN benchmark b USING (item_id) JOIN chunks c USING (doc_id, chunk_index) JOIN tokens USING (doc_id)),
+    s AS (SELECT item_id, doc_id, chunk_index FROM h WHERE contains(one, quote)),
+    n AS (SELECT a.item_id, a.doc_id, unnest([a.chunk_index, b.chunk_index]) AS chunk_index FROM h a JOIN h b ON a.item_id = b.item_id AND a.doc_id = b.doc_id AND b.chunk_index = a.chunk_index + 1
+          WHERE contains(a.two, a.quote) AND NOT contains(a.one, a.quote) AND NOT contains(b.one, b.quote)),
+    f AS (SELECT item_id, doc_id, list_sort(list(DISTINCT chunk_index)) AS l FROM (FROM s UNION FROM n) GROUP BY ALL)
+    SELECT a.item_id, a.doc_id AS page_number, a.text AS quote, l IS NOT NULL AS covered, coalesce(array_to_string(l, ','), '') AS chunk_indexes
+    FROM (SELECT DISTINCT item_id, doc_id, text FROM h) a LEFT JOIN f USING (item_id, doc_id)""")
 def anchor_coverage(spark, sf):
-    """Which retrieved chunks hold a benchmark text whole, alone or side by side; without SQL."""
+    """Which retrieved chunks hold a benchmark text whole, alone or side by side."""
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
     hits = _lexical(spark, sf, 20).join(_chunked(spark, sf).select("doc_id", "chunk_index", "chunk"), ["doc_id", "chunk_index"])
-    hits = hits.select("item_id", F.col("doc_id").alias("page_number"), F.col("chunk_index").cast("int"), F.col("chunk").alias("text"))
+    hits = stored(hits.select("item_id", F.col("doc_id").alias("page_number"), F.col("chunk_index").cast("int"), F.col("chunk").alias("text")), "hits")
     anchors = hits.select("item_id", "page_number").distinct().join(items, "item_id")
-    return E.anchor_coverage(hits, anchors, ["item_id"])
+    found = Q.coverage(hits, anchors, ["item_id"])
+    return found.withColumn("chunk_indexes", F.array_join(F.transform("chunk_indexes", lambda i: i.cast("string")), ","))
+
+
+@query(rf"""WITH tokens AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+    q AS (SELECT item_id, {_source_sql("text")} AS quote FROM benchmark WHERE text IS NOT NULL),
+    d AS (SELECT doc_id, w, {_source_sql("array_to_string(w, ' ')")} AS page FROM tokens),
+    a AS MATERIALIZED (SELECT item_id, doc_id, quote, w FROM d JOIN q ON contains(page, quote)),
+    r AS (SELECT item_id, doc_id, quote, w, unnest(range(0, len(w), 25)) AS pos FROM a),
+    t AS (SELECT *, unnest(range(1, 9)) AS width FROM r),
+    h AS (SELECT item_id, doc_id, pos // 25 AS first, width FROM t WHERE pos + 25 * (width - 1) < len(w) AND contains({_source_sql("array_to_string(w[pos + 1 : pos + 25 * (width - 1) + 30], ' ')")}, quote))
+    SELECT item_id, doc_id, arg_min(first, width * 1000000 + first)::INTEGER AS first_chunk, min(width)::INTEGER AS n_chunks FROM h GROUP BY ALL""")
+def anchor_runs(spark, sf):
+    """The shortest run of short windows that holds each benchmark text, in every document that has it."""
+    held = anchor_containment(spark, sf).join(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id")
+    anchors = held.select("item_id", F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), "quote")
+    short = C.windows(table(spark, sf, "documents"), size=30, overlap=5)
+    chunks = short.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.expr("word_start div 25").cast("int").alias("chunk_index"), F.col("chunk").alias("text"))
+    found = Q.resolve(anchors, chunks).where(F.size("chunk_indexes") > 0)
+    return found.select("item_id", F.col("document_id").alias("doc_id"), F.get("chunk_indexes", F.lit(0)).alias("first_chunk"), F.size("chunk_indexes").alias("n_chunks"))
 
 
 @query()

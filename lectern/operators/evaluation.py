@@ -102,44 +102,6 @@ def join_sources(texts: Iterable[str]) -> str:
     return joined
 
 
-def covering(quote: str, chunks: list[tuple[int, str]]) -> set[int]:
-    """Indexes of the chunks, (index, text) of one page, in neighbouring groups that hold the quote and none too many."""
-    ordered, wanted = sorted(chunks), source_text(quote)
-    holds = lambda group: wanted in join_sources(t for _, t in group)
-    found: set[int] = set()
-    for start in range(len(ordered)):
-        for end in range(start + 1, len(ordered) + 1):
-            group = ordered[start:end]
-            if group[-1][0] - group[0][0] != len(group) - 1:
-                break
-            if holds(group):
-                if len(group) == 1 or not (holds(group[1:]) or holds(group[:-1])):
-                    found.update(i for i, _ in group)
-                break  # a longer group from here could drop its last chunk
-    return found
-
-
-def anchor_coverage(hits: DataFrame, anchors: DataFrame, keys: list[str], page: str = "page_number") -> DataFrame:
-    """(keys, page, quote, covered, chunk_indexes): which retrieved chunks of its page hold each quote.
-
-    A group holds the hits of one case on one page, at most as many as were retrieved.
-    """
-    grouped = hits.groupBy(*keys, page).agg(F.collect_set(F.struct("chunk_index", "text")).alias("found"))
-    both = anchors.join(grouped, [*keys, page], "left")
-    kept = [*keys, page, "quote"]
-
-    def run(batches):
-        for batch in batches:
-            found = [
-                sorted(covering(q, [(c["chunk_index"], c["text"]) for c in f]) if f is not None else ())
-                for q, f in zip(batch["quote"], batch["found"])
-            ]
-            yield batch[kept].assign(covered=[bool(f) for f in found], chunk_indexes=found)
-
-    fields = ", ".join(f"`{c}` {anchors.schema[c].dataType.simpleString()}" for c in kept)
-    return both.select(*kept, "found").mapInPandas(run, f"{fields}, covered boolean, chunk_indexes array<int>")
-
-
 def readiness(indexed: Column, reviewed: Column, fresh: Column | None = None) -> Column:
     """Whether a case can be run: its document indexed, itself reviewed, and the pages as they were then."""
     sure = lambda c: F.coalesce(c, F.lit(False))

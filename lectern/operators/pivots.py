@@ -138,7 +138,8 @@ def met(placed: DataFrame, pairs: DataFrame, k: int, names: list[str]) -> DataFr
     other = pairs.select("block", F.lit(1).alias("kind"), F.col("q").alias("i"), F.col("qv").alias("v"))
     # Blocks that no question meets stay where they are.
     asked = own.join(pairs.select("block").distinct(), "block", "left_semi")
-    stream = asked.union(other).repartition("block").sortWithinPartitions("block", "kind")
+    # Dealt by a hash of the block: a union of sides that are dealt by the block itself would be taken to be dealt already.
+    stream = asked.union(other).repartition(F.xxhash64("block")).sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, rs, r = None, [], []

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
-from lectern.operators.evaluation import join_sources, ratio, source_text
+from lectern.operators.evaluation import ratio
 
 # States of a run, which of them hold the one active place, and the metrics of tagged cases.
 ACTIVE = ("queued", "running")
@@ -94,37 +94,6 @@ def same_hashes(expected: Column, found: Column) -> Column:
     return entries(expected) == entries(found)
 
 
-def shortest_run(quote: str, chunks: list[tuple[int, str]]) -> list[int]:
-    """Places of the shortest run of neighbouring chunks, the first of equals, whose joined text holds a quote."""
-    ordered, wanted = [t for _, t in sorted(chunks)], source_text(quote)
-    for width in range(1, len(ordered) + 1):
-        for start in range(len(ordered) - width + 1):
-            if wanted in join_sources(ordered[start : start + width]):
-                return [sorted(chunks)[i][0] for i in range(start, start + width)]
-    return []
-
-
-def resolve_anchors(anchors: DataFrame, chunks: DataFrame, document: str = "document_id", page: str = "page_number") -> DataFrame:
-    """``anchors`` (document, page, quote) with chunk_indexes: the shortest run that holds each, empty where none does.
-
-    A group is one page's chunks.
-    """
-    listed = chunks.groupBy(document, page).agg(F.collect_list(F.struct("chunk_index", "text")).alias("found"))
-    both = anchors.join(listed, [document, page], "left")
-    kept = anchors.columns
-
-    def run(batches):
-        for batch in batches:
-            found = [
-                shortest_run(q or "", [(c["chunk_index"], c["text"] or "") for c in f]) if f is not None else []
-                for q, f in zip(batch["quote"], batch["found"])
-            ]
-            yield batch[kept].assign(chunk_indexes=found)
-
-    fields = ", ".join(f"`{c}` {anchors.schema[c].dataType.simpleString()}" for c in kept)
-    return both.select(*kept, "found").mapInPandas(run, f"{fields}, chunk_indexes array<int>")
-
-
 def readiness(cases: DataFrame) -> DataFrame:
     """Adds availability and reason to cases (document_status, has_file, review_state, n_pages, fresh, unresolved, has_chunks).
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import research as T
 from lectern.functions import words as W
+from lectern.operators import anchors as Q
 from lectern.operators import chunks as C
 from lectern.operators import ranking as K
 from lectern.operators import reading as D
@@ -141,10 +142,9 @@ def test_runs(spark):
 
 def test_cases(spark):
     chunks = [(0, "alpha beta gamma"), (1, "gamma delta"), (2, "delta epsilon")]
-    assert N.shortest_run("beta gamma", chunks) == [0] and N.shortest_run("gamma delta epsilon", chunks) == [1, 2] and N.shortest_run("no", chunks) == []
     anchors = spark.createDataFrame([(1, 1, "gamma delta epsilon"), (1, 2, "x"), (2, 1, "y")], "document_id int, page_number int, quote string")
     held = spark.createDataFrame([(1, 1, i, t) for i, t in chunks], "document_id int, page_number int, chunk_index int, text string")
-    got = {(r["document_id"], r["page_number"]): r["chunk_indexes"] for r in N.resolve_anchors(anchors, held).collect()}
+    got = {(r["document_id"], r["page_number"]): r["chunk_indexes"] for r in Q.resolve(anchors, held).collect()}
     assert got == {(1, 1): [1, 2], (1, 2): [], (2, 1): []}
     base = dict(document_status="indexed", has_file=True, review_state="reviewed", n_pages=1, fresh=True, unresolved=0, has_chunks=True)
     cases = [base, base | {"document_status": None}, base | {"has_file": False}, base | {"review_state": "draft"}, base | {"fresh": False}, base | {"unresolved": 2}, base | {"has_chunks": False}]

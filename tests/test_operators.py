@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
+from lectern.operators import anchors as Q
 from lectern.operators import answers as A
 from lectern.operators import chunks as C
 from lectern.operators import evaluation as E
@@ -224,11 +225,9 @@ def test_facts_said(spark, answer, pattern, says):
 
 def test_anchors(spark):
     assert E.join_sources(["one two three", "two three four"]) == "one two three four"
-    assert E.covering("three four", [(0, "one two three"), (1, "three four five"), (2, "six")]) == {1}
-    assert E.covering("two three four", [(0, "one two three"), (1, "three four five"), (3, "x")]) == {0, 1}
     hits = spark.createDataFrame([(1, 1, 0, "one two three"), (1, 1, 1, "three four")], "case long, page_number int, chunk_index int, text string")
     anchors = spark.createDataFrame([(1, 1, "two three four"), (1, 2, "x")], "case long, page_number int, quote string")
-    found = {r["quote"]: (r["covered"], r["chunk_indexes"]) for r in E.anchor_coverage(hits, anchors, ["case"]).collect()}
+    found = {r["quote"]: (r["covered"], r["chunk_indexes"]) for r in Q.coverage(hits, anchors, ["case"]).collect()}
     assert found == {"two three four": (True, [0, 1]), "x": (False, [])}
 
 
