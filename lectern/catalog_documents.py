@@ -16,6 +16,10 @@ from lectern.operators import runs as N
 from lectern.operators import search as S
 from lectern.operators import section_answers as A
 from lectern.operators import summaries as M
+from lectern.sources import ingest as G
+from lectern.sources import snapshots as H
+from lectern.storage import fresh_path
+from lectern.streaming import incremental as I
 
 
 @query(f"""WITH {CHUNKS_SQL},
@@ -493,3 +497,33 @@ def answered_questions(spark, sf):
     )
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.lit(None).cast("long").alias("document_id"))
     return E.execute(asked, chunks).answers.select("qid", "status", "confidence", "answer", "retrieval_mode", "query_intent", "answer_evidence_count", "related_count")
+
+
+@query("""WITH last AS (SELECT user_id, arg_max(event_type, event_id) AS measure, floor(arg_max(value, event_id)) AS n FROM events GROUP BY user_id)
+    SELECT measure, sum(n)::DOUBLE AS numerator, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END)::DOUBLE AS denominator, count(*) AS cases,
+        sum(n) / nullif(sum(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 0)::DOUBLE AS value FROM last GROUP BY measure""")
+def corrected_measures(spark, sf):
+    """A stream of all events, of which a user's latest is the one that counts: sums that follow every correction."""
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    amount = F.floor("value").cast("double")
+    judged = events.select(
+        F.col("user_id").alias("case_id"), F.col("event_id").alias("version"), F.col("event_type").alias("measure"),
+        amount.alias("numerator"), (amount > 0).cast("double").alias("denominator"),
+    )
+    out = fresh_path(spark, "measures")
+    I.running_measures(judged, out, fresh_path(spark, "measures-checkpoint")).awaitTermination()
+    return I.measures(spark, out)
+
+
+@query(f"""WITH {CHUNKS_SQL} SELECT 'pages' AS name, count(*) AS n, count(DISTINCT doc_id) AS documents FROM documents
+    UNION ALL SELECT 'chunks', count(*), count(DISTINCT doc_id) FROM chunks""")
+def index_snapshot(spark, sf):
+    """All documents as pages in a folder of snapshots: what a reader sees once they are committed."""
+    folder = fresh_path(spark, "index")
+    pages = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("page_number"), "text")
+    G.write_tables(pages, folder)
+    now = H.current(spark, folder)
+    read = H.read(spark, folder, "pages", now)
+    chunks = H.read(spark, folder, "chunks", now).join(read.select("page_id", "path"), "page_id")
+    rows = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.countDistinct("path").alias("documents"))
+    return rows("pages", read).unionByName(rows("chunks", chunks))

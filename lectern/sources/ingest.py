@@ -188,21 +188,26 @@ def missing_cases(cases: DataFrame, there: DataFrame) -> DataFrame:
 
 
 def write_tables(page_rows: DataFrame, folder: str, embedder=None, dimension: int = 384) -> None:
-    """Pages, chunks, tables with their cells, and then embeddings, each a table; text is kept even if embedding fails."""
-    spark = page_rows.sparkSession
-    page_rows.write.mode("overwrite").parquet(f"{folder}/pages")
-    kept = spark.read.parquet(f"{folder}/pages").withColumn("page_id", F.sha2(F.concat_ws("|", "path", "page_number"), 256))
-    found = C.chunks(kept, "text", "page_id").withColumn("chunk_id", F.sha2(F.concat_ws("|", "page_id", "chunk_index"), 256))
-    found.write.mode("overwrite").parquet(f"{folder}/chunks")
-    cells = B.table_cells(kept.select("page_id", "text"), ["page_id"])
-    cells.write.mode("overwrite").parquet(f"{folder}/document_table_cells")
-    written = spark.read.parquet(f"{folder}/document_table_cells")
-    shape = written.groupBy("page_id", "table_index").agg((F.max("row_index") + 1).alias("row_count"), (F.max("column_index") + 1).alias("column_count"))
-    first = spark.read.parquet(f"{folder}/chunks").groupBy("page_id").agg(F.min_by("chunk_id", "chunk_index").alias("source_chunk_id"))
-    shape.join(first, "page_id", "left").write.mode("overwrite").parquet(f"{folder}/document_tables")
+    """Pages, chunks and tables with their cells become current together, and then embeddings; a failure leaves readers what was current.
+
+    Read with ``snapshots.read``. Texts that were embedded before are not embedded again.
+    """
+    from lectern.sources import snapshots, vectors
+
+    commit = snapshots.Commit(page_rows.sparkSession, folder)
+    pages = commit.write("pages", page_rows.withColumn("page_id", F.sha2(F.concat_ws("|", "path", "page_number"), 256)))
+    found = C.chunks(pages, "text", "page_id").withColumn("chunk_id", F.sha2(F.concat_ws("|", "page_id", "chunk_index"), 256))
+    chunks = commit.write("chunks", found)
+    cells = commit.write("document_table_cells", B.table_cells(pages.select("page_id", "text"), ["page_id"]))
+    shape = cells.groupBy("page_id", "table_index").agg((F.max("row_index") + 1).alias("row_count"), (F.max("column_index") + 1).alias("column_count"))
+    first = chunks.groupBy("page_id").agg(F.min_by("chunk_id", "chunk_index").alias("source_chunk_id"))
+    commit.write("document_tables", shape.join(first, "page_id", "left"))
+    commit.publish()
     if embedder is not None:
-        chunks = spark.read.parquet(f"{folder}/chunks").select("chunk_id", "chunk")
-        embed(chunks, "chunk", embedder, dimension).drop("chunk").write.mode("overwrite").parquet(f"{folder}/chunk_embeddings")
+        embedded = vectors.embed(chunks.select("chunk_id", "chunk"), f"{folder}/embedded", embedder, dimension, "chunk")
+        later = snapshots.Commit(page_rows.sparkSession, folder)
+        later.write("chunk_embeddings", embedded.select("chunk_id", "embedding"))
+        later.publish()
 
 
 def caption_chunks(captions: DataFrame, chunks: DataFrame, page: str = "page_id") -> DataFrame:
