@@ -9,6 +9,7 @@ from lectern.catalog import CHUNKS_SQL, INVOICES_SQL, LEXICAL_SQL, _chunked, _co
 from lectern.functions import research as T
 from lectern.functions import words as W
 from lectern.operators import execution as E
+from lectern.operators import likeness as L
 from lectern.operators import facts as X
 from lectern.operators import ranking as K
 from lectern.operators import reading as D
@@ -16,6 +17,7 @@ from lectern.operators import runs as N
 from lectern.operators import search as S
 from lectern.operators import section_answers as A
 from lectern.operators import summaries as M
+from lectern.operators.study import SIMILAR_STOPWORDS
 from lectern.sources import ingest as G
 from lectern.sources import snapshots as H
 from lectern.storage import fresh_path
@@ -527,3 +529,16 @@ def index_snapshot(spark, sf):
     chunks = H.read(spark, folder, "chunks", now).join(read.select("page_id", "path"), "page_id")
     rows = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.countDistinct("path").alias("documents"))
     return rows("pages", read).unionByName(rows("chunks", chunks))
+
+
+_LIKE_WORDS = "list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in SIMILAR_STOPWORDS) + "], w) AND length(w) > 1)"
+
+
+@query(f"""WITH s AS (SELECT role, conv_id * 1000 + turn AS id, {_LIKE_WORDS} AS w FROM conversations),
+    j AS (SELECT a.role, a.id AS first, b.id AS second, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS jaccard
+          FROM s a JOIN s b ON a.role = b.role AND a.id < b.id AND len(a.w) > 0 AND len(b.w) > 0)
+    SELECT * FROM j WHERE jaccard >= 0.82""")
+def similar_turns(spark, sf):
+    """Turns of the same role that say nearly the same words, as study questions are told apart."""
+    turns = table(spark, sf, "conversations").select(F.col("role").alias("group"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return L.word_pairs(turns).withColumnRenamed("group", "role")

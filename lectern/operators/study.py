@@ -1,4 +1,4 @@
-"""Study aids: grading, near-equal questions, and summaries of leading sentences."""
+"""Study aids: grading, questions, and summaries of leading sentences; ``likeness`` tells questions that ask the same."""
 
 from __future__ import annotations
 
@@ -71,20 +71,6 @@ def similar(first: str, second: str) -> bool:
     return shared >= SAME_WORDS or SequenceMatcher(None, first.lower(), second.lower()).ratio() >= SAME_TEXT
 
 
-def distinct_questions(questions: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """Per group the questions, in order, that are not similar to one kept before. A group is one document's questions."""
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        rows = table.sort_values(order, kind="stable").reset_index(drop=True)
-        for i, question in enumerate(rows[text]):
-            if not any(similar(question, rows[text][j]) for j in kept):
-                kept.append(i)
-        return rows.iloc[kept]
-
-    return questions.groupBy(group).applyInPandas(run, questions.schema)
-
-
 def context(text: Column) -> Column:
     """Lines of a context without page marks, contents and dotted leaders, joined by blanks."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import words as W
+from lectern.operators import likeness
 from lectern.operators import anchors as Q
 from lectern.operators import answers as A
 from lectern.operators import chunks as C
@@ -237,7 +238,7 @@ def test_study(spark):
     assert first["score"] == pytest.approx(1 / 3) and first["missing"] == ["gradient", "works"] and first["band"] == "needs work"
     assert second["n_expected"] == 0
     asked = spark.createDataFrame([(1, 1, "What methods apply?"), (1, 2, "what methods apply"), (1, 3, "Who wrote it?")], "d int, n int, q string")
-    assert [r["n"] for r in T.distinct_questions(asked, "d", "n", "q").orderBy("n").collect()] == [1, 3]
+    assert [r["n"] for r in likeness.distinct_questions(asked, "d", "n", "q").orderBy("n").collect()] == [1, 3]
     docs = spark.createDataFrame([(1, "Page 1\nWe use datasets here. It works. More."), (2, "")], "d int, t string")
     sums = {r["d"]: r["summary"] for r in T.summarize(docs, "t").collect()}
     assert sums[1] == "We use datasets here. It works." and sums[2].startswith("No usable")
