@@ -17,6 +17,7 @@ from lectern.operators import runs as N
 from lectern.operators import search as S
 from lectern.operators import section_answers as A
 from lectern.operators import summaries as M
+from lectern.operators import study as Y
 from lectern.operators.study import SIMILAR_STOPWORDS
 from lectern.sources import ingest as G
 from lectern.sources import snapshots as H
@@ -534,11 +535,27 @@ def index_snapshot(spark, sf):
 _LIKE_WORDS = "list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in SIMILAR_STOPWORDS) + "], w) AND length(w) > 1)"
 
 
-@query(f"""WITH s AS (SELECT role, conv_id * 1000 + turn AS id, {_LIKE_WORDS} AS w FROM conversations),
+@query(f"""WITH s AS (SELECT role, id, {_LIKE_WORDS} AS w FROM (SELECT role, min(conv_id * 1000 + turn) AS id, text FROM conversations GROUP BY role, text)),
     j AS (SELECT a.role, a.id AS first, b.id AS second, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS jaccard
           FROM s a JOIN s b ON a.role = b.role AND a.id < b.id AND len(a.w) > 0 AND len(b.w) > 0)
-    SELECT * FROM j WHERE jaccard >= 0.82""")
+    SELECT * FROM j WHERE jaccard >= 0.2""")
 def similar_turns(spark, sf):
-    """Turns of the same role that say nearly the same words, as study questions are told apart."""
-    turns = table(spark, sf, "conversations").select(F.col("role").alias("group"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return L.word_pairs(turns).withColumnRenamed("group", "role")
+    """Different turns of a role that share a fifth of their words, copies once, as study questions are told apart by more."""
+    turns = table(spark, sf, "conversations").groupBy(F.col("role").alias("group"), "text").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    return L.word_pairs(turns, 0.2).withColumnRenamed("group", "role")
+
+
+@query(f"""WITH pairs AS (SELECT a.conv_id, a.turn, u.text AS expected, a.text AS given FROM conversations a JOIN conversations u
+        ON a.conv_id = u.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND u.role = 'user'),
+    w AS (SELECT conv_id, turn, {Y.grading_sql("coalesce(expected, '')")} AS e, {Y.grading_sql("coalesce(given, '')")} AS g FROM pairs),
+    m AS (SELECT *, list_sort(list_filter(e, lambda x: NOT list_contains(g, x))) AS missing FROM w),
+    s AS (SELECT *, round_even((len(e) - len(missing)) / nullif(len(e), 0)::DOUBLE, 2) AS part, '{Y.MISSING}' || array_to_string(missing[1:8], ', ') || '.' AS line FROM m)
+    SELECT conv_id, turn, CASE WHEN len(e) = 0 THEN 0.0 WHEN len(missing) = 0 THEN 1.0 ELSE part END AS score,
+        CASE WHEN len(e) = 0 THEN '{Y.NOTHING_EXPECTED}' WHEN len(missing) = 0 THEN '{Y.ALL_SAID}' WHEN part = 0 THEN '{Y.NONE_SAID}' || line ELSE line END AS feedback FROM s""")
+def evaluated_answers(spark, sf):
+    """Assistant turns evaluated against the user turns before them, with what their writers are told."""
+    talk = table(spark, sf, "conversations")
+    given = talk.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("given"))
+    expected = talk.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("expected"))
+    pairs = given.join(expected, ["conv_id", "turn"]).withColumn("question", F.lit(""))
+    return Y.evaluate(pairs, "question", "expected", "given").select("conv_id", "turn", "score", "feedback")

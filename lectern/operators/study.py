@@ -41,6 +41,30 @@ def grade(pairs: DataFrame, expected: str, given: str) -> DataFrame:
     return graded.withColumn("band", band).drop("__e", "__g")
 
 
+# What an answer's writer is told.
+NOTHING_EXPECTED = "No expected answer was available for grading."
+ALL_SAID = "Strong answer. It covers the key terms."
+MISSING, NONE_SAID = "Missing terms: ", "No key terms matched. "
+
+
+def evaluate(pairs: DataFrame, question: str, expected: str, given: str) -> DataFrame:
+    """Adds score, to two digits, and feedback: the share of the expected words that an answer has, the question's where none are expected."""
+    wanted = W.bound(grading_words(F.col(expected)), lambda e: F.when(F.size(e) > 0, e).otherwise(grading_words(F.col(question))))
+
+    def told(e: Column) -> Column:
+        said = grading_words(F.col(given))
+        score = F.bround(F.size(F.array_intersect(e, said)) / F.size(e), 2)
+        missing = F.array_sort(F.array_except(e, said))
+        line = F.concat(F.lit(MISSING), F.array_join(F.slice(missing, 1, 8), ", "), F.lit("."))
+        short = F.when(score == 0, F.concat(F.lit(NONE_SAID), line)).otherwise(line)
+        result = lambda s, f: F.struct(s.alias("score"), f.alias("feedback"))
+        return F.when(F.size(e) == 0, result(F.lit(0.0), F.lit(NOTHING_EXPECTED))).otherwise(
+            F.when(F.size(missing) == 0, result(F.lit(1.0), F.lit(ALL_SAID))).otherwise(result(score, short))
+        )
+
+    return pairs.select("*", W.bound(wanted, told).alias("__told")).select(*pairs.columns, "__told.score", "__told.feedback")
+
+
 def jaccard_pairs(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """(first_id, second_id, jaccard) of pairs that share at least that much of their words.
 

@@ -167,3 +167,15 @@ def saved(old: DataFrame, new: DataFrame, document: str, replace: bool) -> DataF
     if replace:
         return old.join(new.select(document).distinct(), document, "left_anti").unionByName(new)
     return old.unionByName(new.join(old.select(document, "question"), [document, "question"], "left_anti"))
+
+
+def evaluated(answers: DataFrame, provider, question: str = "question", expected: str = "expected_answer", given: str = "user_answer") -> DataFrame:
+    """Adds score and feedback to answers, as a provider grades them."""
+
+    @F.pandas_udf("score double, feedback string")
+    def run(asked: pd.Series, wanted: pd.Series, said: pd.Series) -> pd.DataFrame:
+        rows = [provider.evaluate_answer(*x) for x in zip(asked.fillna(""), wanted.fillna(""), said.fillna(""))]
+        return pd.DataFrame(rows, columns=["score", "feedback"])
+
+    told = answers.select("*", run(*(F.col(c) for c in (question, expected, given))).alias("__told"))
+    return told.select(*answers.columns, "__told.score", "__told.feedback")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import subprocess
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from lectern.operators import study as S
 from lectern.operators.study import make_questions
 from lectern.sources.ingest import fake_embedding
 
@@ -29,6 +31,10 @@ class LlmProvider(Protocol):
 
     def generate_questions(self, context: str, count: int, mode: str) -> list[tuple[str, str]]: ...
 
+    def evaluate_answer(self, question: str, expected: str, given: str) -> tuple[float, str]:
+        """A score between 0 and 1, and what the writer is told."""
+        ...
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -92,6 +98,18 @@ class LocalText:
     def generate_questions(self, context: str, count: int, mode: str = "balanced") -> list[tuple[str, str]]:
         return make_questions(self._said(context), count, mode)
 
+    def evaluate_answer(self, question: str, expected: str, given: str) -> tuple[float, str]:
+        """As ``study.evaluate`` has it for columns."""
+        words = lambda t: {w for w in re.findall("[a-z0-9]+", t.lower()) if w not in S.STOPWORDS}
+        wanted = words(expected) or words(question)
+        if not wanted:
+            return 0.0, S.NOTHING_EXPECTED
+        missing = sorted(wanted - words(given))
+        if not missing:
+            return 1.0, S.ALL_SAID
+        score = round(1 - len(missing) / len(wanted), 2)
+        return score, (S.NONE_SAID if score == 0 else "") + S.MISSING + ", ".join(missing[:8]) + "."
+
 
 @dataclass(frozen=True)
 class Fallback:
@@ -112,6 +130,12 @@ class Fallback:
         except Exception:
             return self.other.generate_questions(context, count, mode)
 
+    def evaluate_answer(self, question: str, expected: str, given: str) -> tuple[float, str]:
+        try:
+            return self.first.evaluate_answer(question, expected, given)
+        except Exception:
+            return self.other.evaluate_answer(question, expected, given)
+
 
 #: Providers of text by name; a deployment adds its own.
 TEXT: dict[str, Callable[[], LlmProvider]] = {"local": LocalText}

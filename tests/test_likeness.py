@@ -71,3 +71,20 @@ def test_bounds_hold():
         ratio = SequenceMatcher(None, a, b).ratio()
         assert 2 * L.longest_common(a, b) >= ratio * (len(a) + len(b)) - 1e-9
         assert L.alike_letters(a, b) == (ratio >= 0.88)
+
+
+def test_answers_are_evaluated_alike(spark):
+    from lectern.operators import study, study_generation
+    from lectern.sources.providers import Fallback, LocalText
+
+    class Broken:
+        def evaluate_answer(self, *_):
+            raise RuntimeError("no model")
+
+    terms = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [("q one", terms, g) for g in (terms, terms.upper(), "alpha", "", "nothing here", "alpha beta gamma", None)] + [("what", "", "x"), ("the of", "", "x"), (None, None, None), ("size", "", "SIZE")]
+    frame = spark.createDataFrame(rows, "question string, expected_answer string, user_answer string")
+    want = sorted((LocalText().evaluate_answer(q or "", e or "", g or "") for q, e, g in rows))
+    assert sorted((r["score"], r["feedback"]) for r in study.evaluate(frame, "question", "expected_answer", "user_answer").collect()) == want
+    assert sorted((r["score"], r["feedback"]) for r in study_generation.evaluated(frame, Fallback(Broken())).collect()) == want
+    assert want[0][0] == 0.0 and want[-1] == (1.0, study.ALL_SAID)
