@@ -44,7 +44,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files and checkpoints that nothing refers to any more; it acts when the driver collects garbage."""
+    """Let Spark's cleaner drop shuffle files that nothing refers to any more; it acts when the driver collects garbage.
+
+    It drops checkpoints, too, where the session sets spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
