@@ -209,3 +209,29 @@ def test_processing_stages(spark):
     assert (got[2]["stage"], got[2]["progress"], got[2]["message"], told[2]["ocr"]) == ("ocr", 40, "scan it", ("failed", "scan it"))
     assert (got[3]["stage"], got[3]["progress"], told[3]["extract"][0]) == ("upload", 10, "pending")
     assert got[4]["progress"] == 100 and {s for s, _ in told[4].values()} == {"complete"}
+
+
+def test_golden_reading_cases(spark):
+    from lectern.operators import golden
+    from lectern.operators.runs import golden_summary
+
+    schema = "case_id string, document_key string, question string, quality_dimension string, expected_status string, expected_terms array<string>, expected_likelihood string, expected_sparse int, expected_document_status string"
+    none = "insufficient_evidence"
+    cases = [
+        ("low text", "sparse", "Can this be searched?", "parse_quality", none, ["OCR"], "high", None, None),
+        ("image", "image", "Can this scan be searched?", "ocr_readiness", none, ["OCR", "retry"], None, None, "deferred_ocr"),
+        ("sparse pages", "sparse", "Does this need OCR?", "ocr_readiness", none, ["OCR"], "high", 2, None),
+        ("wrong", "good", "Does this need OCR?", "ocr_readiness", none, ["OCR"], "high", 2, "indexed"),
+        ("gone", "absent", "Is it there?", "ocr_readiness", "answerable", [], None, 0, "indexed"),
+    ]
+    documents = [("sparse", "indexed", None), ("image", "deferred_ocr", "OCR is not installed; install it and retry."), ("good", "indexed", None)]
+    pages = [("sparse", 1, "."), ("sparse", 2, ""), ("good", 1, "plenty of readable text " * 10)]
+    frame = spark.createDataFrame(cases, schema)
+    found = golden.reading(frame, spark.createDataFrame(documents, "document_key string, status string, error_message string"), spark.createDataFrame(pages, "document_key string, page_number int, text string"))
+    got = {r["case_id"]: r for r in found.collect()}
+    assert [got[c]["failures"] for c in ("low text", "image", "sparse pages")] == [[], [], []]
+    assert got["wrong"]["failures"] == ["likelihood is low", "number of sparse pages is 0", "lacks OCR"]
+    assert got["gone"]["failures"] == ["document is unknown", "status is insufficient_evidence"]
+    assert got["low text"]["quality_reason"].startswith("This PDF has very little extractable text")
+    summary = golden_summary(found).first()
+    assert (summary["total"], summary["passed"], summary["pass_rate"]) == (5, 3, 0.6)
