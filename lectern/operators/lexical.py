@@ -37,10 +37,18 @@ SALTS = 16
 
 @dataclass(frozen=True)
 class Index:
-    """places (place, ids, words): chunks in the order of their blocks. postings (word, block, bits)."""
+    """places (place, ids, words): chunks in the order of their blocks. stored (word, block, bits): all postings, where they are kept."""
 
     places: DataFrame
-    postings: DataFrame
+    stored: DataFrame | None = None
+
+    def postings(self, asked: DataFrame | None = None) -> DataFrame:
+        """(word, block, bits): those that are kept, or, made for one batch of questions, those of its words."""
+        if self.stored is not None:
+            return self.stored
+        held = self.places.select("place", F.explode("words").alias("word"))
+        # Only words that some question asks for leave their place.
+        return _postings(held if asked is None else held.join(asked.select("word").distinct(), "word", "left_semi"))
 
 
 def index(chunks: DataFrame, ids: list[str], text: str, keep: bool = False) -> Index:
@@ -49,8 +57,7 @@ def index(chunks: DataFrame, ids: list[str], text: str, keep: bool = False) -> I
     ordered = words.sortWithinPartitions(F.desc(F.size("words")), "ids")
     # Numbers of rows depend on the run, so they are written before anything refers to them.
     places = stored(ordered.select(F.monotonically_increasing_id().alias("place"), "ids", "words"), "places")
-    postings = _postings(places.select("place", F.explode("words").alias("word")))
-    return Index(places, stored(postings, "postings") if keep else postings)
+    return Index(places, stored(Index(places).postings(), "postings") if keep else None)
 
 
 def _postings(held: DataFrame) -> DataFrame:
@@ -88,7 +95,7 @@ def met_blocks(asked: DataFrame, found: Index) -> DataFrame:
     """(qid, n_asked, block, bound, packed counts) for every block that holds a word of a question."""
     salt = F.pmod(F.col("block"), F.lit(SALTS)).cast("int")
     dealt = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = found.postings.withColumn("salt", salt).join(dealt, ["word", "salt"])
+    hits = found.postings(asked).withColumn("salt", salt).join(dealt, ["word", "salt"])
     sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(_lanes(F.col("bits")))]
     return hits.groupBy("qid", "n_asked", "block").agg(F.count("*").alias("bound"), *sums)
 

@@ -60,6 +60,16 @@ def test_slack_reaches_all_within_it(spark, corpus):
     assert {tuple(r) for r in got.collect()} >= set(want)
 
 
+def test_a_kept_index_serves_any_questions(spark, corpus):
+    chunks, asked, _, _ = corpus
+    kept = L.index(chunks, IDS, "text", keep=True)
+    whole = asked.where("doc IS NULL").drop("doc")
+    for part in (whole, whole.where("qid < 5")):
+        words = L.asked_words(part, "qid", "question")
+        rows = lambda found: sorted(map(str, found.collect()))
+        assert rows(L.candidates(words, kept, 5)) == rows(L.candidates(words, L.Index(kept.places), 5))
+
+
 def test_empty_sides(spark, corpus):
     chunks, asked, _, _ = corpus
     assert S.lexical_top(asked.limit(0), chunks, 5, "qid", "question", IDS, "text").count() == 0
@@ -93,7 +103,7 @@ def test_few_pairs_are_scored(spark):
     assert 0 < formed * 10 < pairs
     # A stored word has no more rows than there are blocks, however many chunks hold it.
     blocks = found.places.selectExpr("count(DISTINCT place div 64) AS n").first()["n"]
-    assert found.postings.groupBy("word").count().agg(F.max("count")).first()[0] <= blocks
+    assert found.postings().groupBy("word").count().agg(F.max("count")).first()[0] <= blocks
     met = L.met_blocks(asked, found)
     kept = L.kept_blocks(met, 5).count()
     assert kept < met.count()
