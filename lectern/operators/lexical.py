@@ -53,7 +53,8 @@ class Index:
 
 def index(chunks: DataFrame, ids: list[str], text: str, keep: bool = False) -> Index:
     """The blocks of some chunks, written once; the postings too where many batches of questions will ask (``keep``)."""
-    words = chunks.select(F.struct(*ids).alias("ids"), W.search_words(F.col(text)).alias("words")).where(F.size("words") > 0)
+    # Chunks without words keep their places: a filter on the words would be pushed down and make them twice.
+    words = chunks.select(F.struct(*ids).alias("ids"), W.search_words(F.col(text)).alias("words"))
     ordered = words.sortWithinPartitions(F.desc(F.size("words")), "ids")
     # Numbers of rows depend on the run, so they are written before anything refers to them.
     places = stored(ordered.select(F.monotonically_increasing_id().alias("place"), "ids", "words"), "places")
