@@ -182,8 +182,10 @@ def sections(text: Column) -> Column:
     def whole(page: Column) -> Column:
         capitals = F.size(F.filter(F.regexp_extract_all(page, F.lit(WITHIN), F.lit(1)), lambda h: h == F.upper(h)))
         one = F.array(F.struct(page.alias("text"), F.lit(0).alias("word_start"), F.lit(None).cast("string").alias("heading")))
-        found = within(page, capitals >= 2)
-        return W.bound(found, lambda x: F.when(F.size(x) > 0, x).when(page != "", one).otherwise(F.array().cast(SECTION)))
+        plain = F.when(page != "", one).otherwise(F.array().cast(SECTION))
+        found = W.bound(within(page, capitals >= 2), lambda x: F.when(F.size(x) > 0, x).otherwise(plain))
+        # Most pages hold no heading at all and are read for one once.
+        return F.when(page.rlike(WITHIN), found).otherwise(plain)
 
     def read(lines: Column) -> Column:
         titled = F.exists(lines, lambda x: x["heading"].isNotNull())
