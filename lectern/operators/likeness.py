@@ -5,7 +5,11 @@ the ratio of matching blocks of their letters (twice the matched ones to all) is
 0.88 or more. Neither arm looks at all pairs of a group:
 
 * words: with a share of t, two sets of n words share one of the n - ceil(t n) + 1
-  rarest words of either, so those are the keys of an equi-join;
+  rarest words of either, so those are the keys of an equi-join. For a small share
+  these are nearly all words, and nearly all pairs would meet, once a word: there
+  blocks of sets meet, each two of them once, and a set travels as the places that
+  its words are hashed to. The places that two sets share bound what they share, so
+  only pairs that can reach the share become rows, and their words decide;
 * letters: of m matched letters in b blocks, m - b pairs of neighbours are shared,
   and each block but one costs an unmatched letter, so b <= all - 2 m + 1. At a
   ratio r of m this leaves at least (3 r / 2 - 1) all - 1 shared pairs of
@@ -24,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +38,10 @@ from lectern.operators.study import SAME_TEXT, SAME_WORDS, SIMILAR_STOPWORDS
 from lectern.storage import stored
 
 
+#: Share of words below which blocks of sets meet; sets in a block; places for each word of an average set, and how many there are at least and most.
+FEW, BLOCK, SPARE, PLACES = 0.5, 2048, 16, (256, 8192)
+
+
 def question_words(text: Column) -> Column:
     """Distinct words of two letters or more, without stop words."""
     stop = F.array(*[F.lit(w) for w in SIMILAR_STOPWORDS])
@@ -53,6 +62,80 @@ def _met(keys: DataFrame) -> DataFrame:
     return a.join(b, ["group", "key"]).where("first < second").select("group", "first", "second").distinct()
 
 
+def _bits(places: pa.Array, rows: int, width: int) -> np.ndarray:
+    """A row of ``width`` bits for each set, packed."""
+    bits = np.zeros((rows, width), bool)
+    sizes = places.value_lengths().to_numpy()
+    bits[np.repeat(np.arange(rows), sizes), places.flatten().to_numpy()] = True
+    return np.packbits(bits, axis=1)
+
+
+def _met_in_blocks(sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(group, first, second) of sets (group, id, keys) that share as many places as sets with a share of ``least`` do."""
+    spark = sets.sparkSession
+    named = sets.where("group IS NOT NULL AND id IS NOT NULL")
+    mean = named.agg(F.coalesce(F.avg(F.size("keys")), F.lit(1.0)).alias("n")).first()["n"]
+    width = min(max(1 << int(np.ceil(np.log2(SPARE * mean))), PLACES[0]), PLACES[1])
+    types = {n: sets.schema[n].dataType.simpleString() for n in ("group", "id")}
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = _bits(batch.column(3), batch.num_rows, width)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in bits], pa.binary())], names=["group", "id", "n", "bits"])
+
+    places = F.transform("keys", lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
+    marks = named.select("group", "id", F.size("keys").alias("n"), places).mapInArrow(marked, f"group {types['group']}, id {types['id']}, n int, bits binary")
+    counts = named.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks").cast("long")).cast("int")
+    dealt = marks.join(counts, "group").withColumn("own", own)
+    pair = lambda b: F.struct(F.least("own", b).alias("low"), F.greatest("own", b).alias("high"))
+    spread = dealt.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
+    rows = spread.select(F.xxhash64("group", "pair").alias("place"), "group", "pair.low", "pair.high", (F.col("own") == F.col("pair.high")).alias("later"), "id", "n", "bits")
+    # A few bytes are many comparisons, so the number of parts is that of the session's shuffles whatever the bytes.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = rows.repartition(parts, "place").sortWithinPartitions("place", "group", "low", "high", "later")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low < high:
+                    if keys[low] != here and held:
+                        yield from _possible(pa.Table.from_batches(held), width, least)
+                        held = []
+                    here = keys[low]
+                    held.append(batch.slice(low, high - low))
+        if held:
+            yield from _possible(pa.Table.from_batches(held), width, least)
+
+    met = stream.mapInArrow(compared, f"group {types['group']}, a {types['id']}, b {types['id']}")
+    return met.select("group", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second")).where("first < second").distinct()
+
+
+def _possible(rows: pa.Table, width: int, least: float, at_once: int = 256) -> Iterator[pa.RecordBatch]:
+    """(group, a, b) of the pairs across two blocks, or within one, that may have the share; rows of the later block come last."""
+    n = rows["n"].to_numpy().astype(np.float32)
+    packed = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    bits = np.unpackbits(packed, axis=1).astype(np.float32)
+    # Words beyond the places of a set may be shared without a place of their own.
+    hidden = n - bits.sum(axis=1)
+    inner = rows["low"][0] == rows["high"][0]
+    first = 0 if inner else int(np.searchsorted(rows["later"].to_numpy(), True))
+    ids, group = rows["id"].combine_chunks(), rows["group"].combine_chunks()
+    for at in range(0, rows.num_rows if inner else first, at_once):
+        to = min(at + at_once, rows.num_rows if inner else first)
+        start = at if inner else first
+        shared = bits[at:to] @ bits[start:].T + np.minimum(hidden[at:to, None], hidden[None, start:])
+        good = shared * (1 + least) >= least * (n[at:to, None] + n[None, start:]) - 1e-3
+        if inner:
+            good &= np.arange(at, to)[:, None] < np.arange(start, rows.num_rows)[None, :]
+        one, other = np.nonzero(good)
+        if len(one):
+            yield pa.RecordBatch.from_arrays([group.take(pa.array(one + at)), ids.take(pa.array(one + at)), ids.take(pa.array(other + start))], names=["group", "a", "b"])
+
+
 def _with_both(pairs: DataFrame, items: DataFrame, column: str) -> DataFrame:
     one, other = (items.select("group", F.col("id").alias(name), F.col(column).alias(f"{name}_{column}")) for name in ("first", "second"))
     return pairs.join(one, ["group", "first"]).join(other, ["group", "second"])
@@ -61,7 +144,12 @@ def _with_both(pairs: DataFrame, items: DataFrame, column: str) -> DataFrame:
 def word_pairs(items: DataFrame, least: float = SAME_WORDS) -> DataFrame:
     """(group, first, second, jaccard) for rows (group, id, text) whose words are nearly the same."""
     sets = items.select("group", "id", question_words(F.col("text")).alias("keys")).where(F.size("keys") > 0)
-    both = _with_both(_met(_rarest(sets, F.ceil(F.col("n") * F.lit(least) - 1e-9))), sets, "keys")
+    if least < FEW:
+        sets = stored(sets, "words")
+        met = _met_in_blocks(sets, least)
+    else:
+        met = _met(_rarest(sets, F.ceil(F.col("n") * F.lit(least) - 1e-9)))
+    both = _with_both(met, sets, "keys")
     jaccard = F.size(F.array_intersect("first_keys", "second_keys")) / F.size(F.array_union("first_keys", "second_keys"))
     return both.select("group", "first", "second", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
 
