@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import copies, langid, packing, quality, secrets
+from lectern.llm import copies, langid, packing, quality, secrets, simhash
 from lectern.llm.queries import tokenizer
 from lectern.llm.storage import fresh_path, unused
 
@@ -42,14 +42,15 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every group of copies: five-word shingles, Jaccard 0.8 or more.
+    """One row of every group of copies: SimHash fingerprints of three-word shingles within three bits, and edited copies.
 
-    It is the row with the smallest doc_id, a null one only where no other has an id, and of rows that share an id
-    one text. SimHash chains and fingerprints prune candidates here; they come from min-wise keys, as no chain of
-    equal segments is selective at this distance.
+    The fingerprints are filed under the keys of their pigeonring chains and linked as by op3. Copies that were edited
+    more, with a Jaccard of 0.8 or more of their five-word shingles, differ in some ten bits, where no chain of equal
+    segments is selective: these links come from min-wise keys and are added. What either links is one group; of it the
+    row with the smallest doc_id stays, a null one only where no other has an id, and of rows that share an id one text.
     """
     first_id, first_hash, text_hash = (unused(docs, name) for name in ("first_id", "first_hash", "text_hash"))
-    first = copies.first_rows(docs).select(F.col("doc_id").alias(first_id), F.col("own").alias(first_hash))
+    first = copies.first_rows(docs, linked=simhash.text_classes(docs)).select(F.col("doc_id").alias(first_id), F.col("own").alias(first_hash))
     marked = docs.withColumn(text_hash, F.xxhash64("text"))
     rows = marked.join(first, F.col("doc_id").eqNullSafe(F.col(first_id)) & (F.col(text_hash) == F.col(first_hash)), "left_semi")
     # A row that is there twice stays once.

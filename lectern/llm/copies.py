@@ -258,10 +258,20 @@ def edited_copies(docs: DataFrame, config: Copies = Copies(), text: str = "text"
     return placed.join(least, "part").select(F.col("k").alias(key), "component_id")
 
 
-def first_rows(docs: DataFrame, config: Copies = Copies(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, own) of the first row of each class: the least key, a null one last, then the least ``own``, the text's hash (null: 42)."""
+def first_rows(docs: DataFrame, config: Copies = Copies(), text: str = "text", key: str = "doc_id", linked: DataFrame | None = None) -> DataFrame:
+    """(key, own) of the first row of each class: the least key, a null one last, then the least ``own``, the text's hash (null: 42).
+
+    ``linked`` has (own, linked), classes of texts by another measure: what either links is one class.
+    """
     row = F.struct(F.col("k").isNull().alias("unnamed"), "k", "own")
-    first = classes(docs, config, text, key).groupBy("part").agg(F.min(row).alias("row"))
+    placed = classes(docs, config, text, key)
+    if linked is not None:
+        # Of each class by the other measure, its parts and the least of them: an edge only where it has several.
+        met = cut(placed.select("own", "part").distinct().join(linked, "own").select("linked", "part").distinct())
+        several = met.groupBy("linked").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
+        found = components(met.join(several, "linked").select(F.col("part").alias("u"), F.col("least").alias("v")))
+        placed = placed.join(found, F.col("part") == F.col("node"), "left").select("k", "own", F.coalesce("component", "part").alias("part"))
+    first = placed.groupBy("part").agg(F.min(row).alias("row"))
     return first.select(F.col("row.k").alias(key), F.col("row.own").alias("own"))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
-from lectern.llm.storage import cut
+from lectern.llm.storage import cut, release
 
 SEED = 42
 SEGMENTS = 8
@@ -193,15 +193,28 @@ def links(distinct: DataFrame, config: SimHash = SimHash()) -> DataFrame:
     return once.mapInArrow(run, "u long, v long")
 
 
+def _parts(marked: DataFrame, config: SimHash) -> DataFrame:
+    """(fp, least, part) of every fingerprint of rows (k, fp): its least key, and the fingerprint that names its class."""
+    # Fingerprints name themselves, so rows without a key link like any other.
+    distinct = cut(marked.groupBy("fp").agg(F.min("k").alias("least")).select("fp", F.col("fp").alias("rep"), "least"))
+    found = components(links(distinct.select("rep", "fp"), config))
+    return cut(distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("part")))
+
+
+def text_classes(docs: DataFrame, config: SimHash = SimHash(), text: str = "text") -> DataFrame:
+    """(own, linked) of every text: its 64-bit hash (null: 42), and the fingerprint that names its class."""
+    marked = cut(fingerprints(docs.select(F.xxhash64(text).alias("own"), F.col(text).alias("text")), config, "text", "own").distinct())
+    named = cut(marked.join(_parts(marked, config), "fp").select(F.col("k").alias("own"), F.col("part").alias("linked")))
+    release(docs.sparkSession)
+    return named
+
+
 def near_duplicates(
     docs: DataFrame, config: SimHash = SimHash(), text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """(key, fingerprint, component_id) per row; the component is its smallest key."""
     marked = cut(fingerprints(docs, config, text, key))
-    # Fingerprints name themselves, so rows without a key link like any other.
-    distinct = cut(marked.groupBy("fp").agg(F.min("k").alias("least")).select("fp", F.col("fp").alias("rep"), "least"))
-    found = components(links(distinct.select("rep", "fp"), config))
-    named = cut(distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("part")))
+    named = _parts(marked, config)
     first = named.groupBy("part").agg(F.min("least").alias("component_id"))
     placed = named.join(first, "part").select(F.col("fp").alias("own_fp"), "component_id")
     return marked.join(placed, F.col("fp") == F.col("own_fp"), "left").select(
