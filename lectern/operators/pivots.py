@@ -34,6 +34,8 @@ from lectern.storage import stored
 RING, DIGIT, ROOM = 0.05, 1e-6, 1e-9
 #: Numbers that a ring can have, and rings on either side of a question's own that it meets first.
 RINGS, AROUND = 64, 3
+#: Scores that are computed at a time, whatever the sizes of two blocks.
+CELLS = 1 << 20
 #: Vectors from which pivots are chosen.
 SAMPLE = 4096
 
@@ -58,10 +60,16 @@ def matrix(column: pa.Array, rows: int) -> np.ndarray:
 
 def nearest(qs: np.ndarray, q: np.ndarray, rs: np.ndarray, r: np.ndarray, k: int, names: list[str]) -> pa.RecordBatch:
     """The best k rows of a block for each question of another, by cosine to six digits and then by id."""
-    scores = np.round(np.clip(unit(q) @ unit(r).T, 0, 1), 6)
-    order = np.lexsort((np.broadcast_to(rs, scores.shape), -scores), axis=1)[:, :k]
-    best = np.take_along_axis(scores, order, axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, order.shape[1])), pa.array(rs[order].ravel()), pa.array(best.ravel())], names=names)
+    q, r, step = unit(q), unit(r).T, max(1, CELLS // max(1, len(rs)))
+    ids, best = [np.zeros(0, rs.dtype)], [np.zeros(0)]
+    for at in range(0, len(qs), step):
+        scores = np.round(np.clip(q[at : at + step] @ r, 0, 1), 6)
+        order = np.lexsort((np.broadcast_to(rs, scores.shape), -scores), axis=1)[:, :k]
+        ids.append(rs[order].ravel())
+        best.append(np.take_along_axis(scores, order, axis=1).ravel())
+    found = np.concatenate(ids)
+    own = np.repeat(qs, len(found) // max(1, len(qs)))
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(found), pa.array(np.concatenate(best))], names=names)
 
 
 def choose(rows: DataFrame, rid: str, vector: str, count: int) -> np.ndarray:
