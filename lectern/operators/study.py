@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -130,13 +131,24 @@ def make_questions(said: list[str], count: int, mode: str = "balanced") -> list[
     shape = ASKING.get(mode, ASKING["balanced"])
     found: dict[str, str] = {}
 
-    def about(topic: str) -> str | None:
-        named = next((s for s in said if topic in s.lower()), None)
-        return named or next((s for s in said if _python_words(topic) <= _python_words(s)), None)
+    lowered = [s.lower() for s in said]
+    whole = "\n".join(lowered)
 
-    pairs = [(t, about(t)) for t in TOPICS] + [(" ".join(sorted(_python_words(s))[:2]), s) for s in said]
-    for topic, sentence in pairs:
-        if len(found) < count and topic and sentence:
+    def about(topic: str) -> str | None:
+        words = _python_words(topic)
+        if not all(w in whole for w in words):
+            return None
+        named = next((s for s, low in zip(said, lowered) if topic in low), None)
+        # Only a sentence that has the letters of all words is cut into words.
+        return named or next((s for s, low in zip(said, lowered) if all(w in low for w in words) and words <= _python_words(low)), None)
+
+    # Made one by one: later ones are not needed once there are enough.
+    topics = ((t, about(t)) for t in TOPICS)
+    leading = ((" ".join(sorted(_python_words(s))[:2]), s) for s in said)
+    for topic, sentence in chain(topics, leading):
+        if len(found) >= count:
+            break
+        if topic and sentence:
             found.setdefault(shape.format(topic), sentence)
     if not found and count > 0:
         found["What are the main points in this document?"] = " ".join(said[:2]) or "No usable context was available for summarization."
