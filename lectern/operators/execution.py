@@ -20,6 +20,7 @@ from lectern.operators import ranking as K
 from lectern.operators import routing as R
 from lectern.operators import search as S
 from lectern.operators.reading import image_url, page_url, snippet
+from lectern.storage import stored
 
 #: A search by vectors: (parts with qid, part and document_id, k) to (qid, part, chunk_id, score).
 VectorSearch = Callable[[DataFrame, int], DataFrame]
@@ -83,7 +84,8 @@ def candidates(asked: DataFrame, chunks: DataFrame, k: int, vector_search: Vecto
         merged = lexical.select("key", "chunk_id", F.lit(0.0).alias("vector_score"), F.col("score").alias("lexical_score"), "score")
     else:
         merged = S.merge_hybrid(vector_search(keyed, fetched).select("key", "chunk_id", "score"), lexical, fetched, ["key", "chunk_id"], "key").drop("rank")
-    hits = merged.withColumnRenamed("score", "source_score").join(chunks.select(*HIT), "chunk_id").join(keyed.drop("document_id"), "key").drop("key")
+    # Written, so that the few hits are known to be few where they meet the chunks.
+    hits = stored(merged, "hits").withColumnRenamed("score", "source_score").join(chunks.select(*HIT), "chunk_id").join(keyed.drop("document_id"), "key").drop("key")
     keyword = W.overlap(W.matching_words(F.col("part")), W.matching_words(F.concat_ws(" ", "section_heading", "text")))
     section = R.section_score(F.col("part"), F.col("section_heading"))
     return hits.withColumns({"keyword": keyword, "section": section}).withColumn("score", F.round(S.rerank_score(F.col("source_score"), F.col("keyword"), F.col("section")), 9))
@@ -120,6 +122,11 @@ def diagnostics(shown: DataFrame, answers: DataFrame) -> DataFrame:
     return both.withColumns({"answer_evidence_count": F.size(F.coalesce("cited", F.array().cast("array<bigint>"))), "rejected_reasons": reasons})
 
 
+def _of_hits(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """The chunks that some hit is."""
+    return stored(chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select(*HIT), "cited")
+
+
 def _shown(hits: DataFrame, answers: DataFrame, chunks: DataFrame) -> DataFrame:
     cited = answers.select("qid", F.posexplode("cited").alias("place", "chunk_id"))
     ordered = K.cited_first(hits.select("qid", "chunk_id", "text", "score", "place"), cited, chunks.select("chunk_id", "text"), ["qid"], "chunk_id")
@@ -150,7 +157,10 @@ def execute(
     status, for those that have no chunks. fallback: why there are no vectors.
     """
     asked = questions.select(F.col("qid").cast("long"), "question", F.col("document_id").cast("long"))
-    hits = candidates(parts(asked, verified), chunks, k, vector_search)
+    # Searched once: answers, modes and what is shown all go on with the hits.
+    hits = stored(candidates(parts(asked, verified), chunks, k, vector_search), "candidates")
+    # What is cited is a hit, unless answers are known from elsewhere.
+    cited_from = chunks if known is not None else _of_hits(chunks, hits)
     ranked = answer_ranked(hits) if verified else hits
     order = [F.desc("score"), F.desc("source_score"), F.col("document_id"), F.col("chunk_index")]
     packs = None
@@ -161,7 +171,7 @@ def execute(
         )
         packs = V.evidence_packs(found)
         chosen = packs.where("place is not null").select("qid", "place", "chunk_id", "score")
-        items = chosen.join(chunks.select("chunk_id", "text", "section_heading"), "chunk_id").join(asked.select("qid", "question"), "qid")
+        items = chosen.join(cited_from.select("chunk_id", "text", "section_heading"), "chunk_id").join(asked.select("qid", "question"), "qid")
         sources = top.groupBy("qid", "chunk_id").agg(F.max("source_score").alias("source_score"))
         packed = items.join(sources, ["qid", "chunk_id"])
         answered = A.verified_answers(packed, "qid", "question")
@@ -174,7 +184,7 @@ def execute(
     reasons = without_chunks(asked, docs, chunks) if docs is not None else None
     whole = _whole(asked, answered, reasons).join(modes(hits, vector_search is not None), "qid", "left")
     whole = whole.withColumns({"query_intent": R.intent(F.col("question")), "fallback_reason": F.lit(fallback).cast("string")})
-    shown = _shown(shown_hits, whole, chunks)
+    shown = _shown(shown_hits, whole, cited_from)
     best = K.first_rows(ranked, ["qid", "part_no"], order, 5).select("qid", "part", F.col("place").alias("rank"), "chunk_id", "score", "source_score")
     return Execution(diagnostics(shown, whole), shown, best, packs)
 
