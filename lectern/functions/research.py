@@ -78,7 +78,8 @@ def tidied(text: Column) -> Column:
         found = F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), lambda x: F.try_element_at(known, F.upper(F.regexp_replace(x, r"\s+", ""))))
         pieces = F.zip_with(F.split(whole, pattern, -1), found, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
         # Few texts have four letters that stand apart at all.
-        return F.when(whole.rlike(r"(?i)\b[a-z](?:\s+[a-z]\b){3}"), F.array_join(pieces, "")).otherwise(whole)
+        apart = whole.rlike(r"\s[A-Za-z]\s+[A-Za-z]\s") & whole.rlike(r"(?i)\b[a-z](?:\s+[a-z]\b){3}")
+        return F.when(apart, F.array_join(pieces, "")).otherwise(whole)
 
     return W.bound(F.coalesce(text, F.lit("")), closed)
 

@@ -21,11 +21,16 @@ from lectern.operators.sections import HEADINGS, MAJOR, TITLES, Title
 
 ANY = "|".join(sorted(HEADINGS, key=len, reverse=True))
 #: A heading within a text, alone on its line, and a numbered title.
-WITHIN = rf"(?i)(?<![A-Za-z0-9])({ANY})(?![A-Za-z0-9])"
+BY_LETTER = "|".join(f"{a}(?:{'|'.join(h[1:] for h in sorted(HEADINGS, key=len, reverse=True) if h[0] == a)})" for a in sorted({h[0] for h in HEADINGS}))
+WITHIN = rf"(?i)(?<![A-Za-z0-9])({BY_LETTER})(?![A-Za-z0-9])"
+#: Whatever reads as a heading within a text begins with a capital, so a text without this holds none.
+CAPITAL = rf"(?=[A-Z])(?<![A-Za-z0-9])(?i:{BY_LETTER})(?![A-Za-z0-9])"
 ALONE = rf"(?i)^\s*(?:[-*#]+\s*)?(?:\d+(?:\.\d+)*\.?\s*)?({ANY})\s*:?\s*$"
 NUMBERED = r"^\s*(\d+(?:\.\d+)*\.)\s*([A-Za-z][A-Za-z0-9 /&:,\-–]{2,90})\s*:?\s*$"
 CAPTION = r"(?i)^(?:fig|figure|table)\.?\s+\d+"
-LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+LINE_END = r"[\v\x1C-\x1E]"
+#: More signs than a title has, read no further than these.
+LONG = r"^(?:\s*+\S){111}"
 SECTION = "array<struct<text:string,word_start:int,heading:string>>"
 
 
@@ -77,8 +82,11 @@ def alias(line: Column) -> Column:
 
 
 def line_heading(line: Column) -> Column:
-    """The heading that a line is, or null."""
-    return W.bound(F.regexp_extract(line, ALONE, 1), lambda alone: F.when(alone != "", canonical(alone)).otherwise(alias(line)))
+    """The heading that a line without white space at its ends is, or null."""
+    told = W.bound(F.regexp_extract(line, ALONE, 1), lambda alone: F.when(alone != "", canonical(alone)).when(~line.rlike(LONG), alias(line)))
+    # A heading ends like a sentence only if a number begins it; lines of prose are told by their last sign.
+    prose = line.endswith(".") | line.endswith("!") | line.endswith("?")
+    return F.when(~prose | F.substring(line, 1, 1).between("0", "9"), told)
 
 
 def _reads_as_heading(found: Column, titles: Column) -> Column:
@@ -136,13 +144,13 @@ def within(text: Column, titles: Column) -> Column:
 
 
 def by_lines(lines: Column) -> Column:
-    """Sections of lines (line, heading, words) that begin at those with a heading."""
+    """Sections of lines (line, heading) that begin at those with a heading."""
     said = lambda x: F.when(x["heading"].isNotNull(), F.regexp_replace(x["line"], ":+$", "")).otherwise(x["line"])
 
     def body(run: Column) -> Column:
         return F.struct(
             flat(F.array_join(F.transform(run, said), " ")).alias("text"),
-            F.aggregate(run, F.lit(0), lambda n, x: n + x["words"]).alias("words"),
+            F.aggregate(run, F.lit(0), lambda n, x: n + F.size(F.split(x["line"], r"\s+"))).alias("words"),
             F.get(run, F.lit(0))["heading"].alias("heading"),
         )
 
@@ -168,16 +176,14 @@ def _refined(section: Column) -> Column:
         )
         return F.when(F.size(found) > 0, moved).otherwise(F.array(section))
 
-    return W.bound(within(section["text"], F.lit(True)), parts)
+    return F.when(section["text"].rlike(CAPITAL), W.bound(within(section["text"], F.lit(True)), parts)).otherwise(F.array(section))
 
 
 def sections(text: Column) -> Column:
     """(text, word_start, heading) of a page: by heading lines, each looked into for more; else by headings in the text; else the whole."""
-    trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END, -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    told = F.transform(
-        F.filter(trimmed, lambda x: x != ""),
-        lambda x: F.struct(x.alias("line"), line_heading(x).alias("heading"), F.size(F.split(x, r"\s+")).alias("words")),
-    )
+    # Of white space only blanks and tabs don't end a line.
+    trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END, -1), lambda x: F.btrim(x, F.lit(" \t")))
+    told = F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: F.struct(x.alias("line"), line_heading(x).alias("heading")))
 
     def whole(page: Column) -> Column:
         capitals = F.size(F.filter(F.regexp_extract_all(page, F.lit(WITHIN), F.lit(1)), lambda h: h == F.upper(h)))
@@ -185,7 +191,7 @@ def sections(text: Column) -> Column:
         plain = F.when(page != "", one).otherwise(F.array().cast(SECTION))
         found = W.bound(within(page, capitals >= 2), lambda x: F.when(F.size(x) > 0, x).otherwise(plain))
         # Most pages hold no heading at all and are read for one once.
-        return F.when(page.rlike(WITHIN), found).otherwise(plain)
+        return F.when(page.rlike(CAPITAL), found).otherwise(plain)
 
     def read(lines: Column) -> Column:
         titled = F.exists(lines, lambda x: x["heading"].isNotNull())
@@ -200,24 +206,30 @@ def section_chunks(pages: DataFrame, keys: list[str], text: str = "text", size:
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("a window needs a positive size and a smaller overlap")
 
+    step = size - overlap
+
     def windows(section: Column) -> Column:
-        def cut(tokens: Column) -> Column:
-            starts = F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(size - overlap))
-            taken = lambda at: F.slice(tokens, at + 1, size)
-            begin = lambda at: section["word_start"] + at
-            return F.transform(
-                starts,
-                lambda at: F.struct(
-                    begin(at).alias("word_start"),
-                    (begin(at) + F.size(taken(at))).alias("word_end"),
-                    section["heading"].alias("section_heading"),
-                    F.array_join(taken(at), " ").alias("text"),
-                ),
+        text = section["text"]
+
+        def window(at: Column, n: Column, body: Column) -> Column:
+            begin = section["word_start"]
+            return F.struct(
+                (begin + at).alias("word_start"), (begin + F.least(n, at + size)).alias("word_end"), section["heading"].alias("section_heading"), body.alias("text")
             )
 
-        return W.bound(F.split(section["text"], " "), cut)
+        def cut(n: Column) -> Column:
+            # Runs of a step's words; a window is as many as it reaches into, up to its last word.
+            runs = F.regexp_extract_all(text, F.lit(rf"[^ ]++(?: [^ ]++){{0,{step - 1}}}+"), F.lit(0))
+            body = lambda every, k: F.substring_index(F.array_join(F.slice(every, k + 1, -(-size // step)), " "), " ", size)
+            several = W.bound(runs, lambda every: F.transform(every, lambda _, k: window(k * step, n, body(every, k))))
+            return F.when(n <= step, F.array(window(F.lit(0), n, text))).otherwise(several)
+
+        # Words are parted by single blanks.
+        return W.bound(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1, cut)
 
     every = F.flatten(F.transform(sections(F.col(text)), windows))
     kept = F.filter(every, lambda x: W.usable(x["text"]) & ~W.contents_like(x["text"]))
     numbered = pages.select(*keys, F.posexplode(kept).alias("chunk_on_page", "x"))
-    return numbered.select(*keys, "chunk_on_page", "x.word_start", "x.word_end", "x.section_heading", W.letter_density(F.col("x.text")).alias("text_density"), "x.text")
+    blanks = F.col("x.word_end") - F.col("x.word_start") - 1
+    density = W.letter_density(F.col("x.text"), F.length("x.text") - blanks)
+    return numbered.select(*keys, "chunk_on_page", "x.word_start", "x.word_end", "x.section_heading", density.alias("text_density"), "x.text")

@@ -1,6 +1,7 @@
 """Sections as columns, against the same grammar text by text."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -44,3 +45,26 @@ def test_windows(spark):
     ]
     plan = H.section_chunks(spark.createDataFrame([(1, text)], "doc int, text string"), ["doc"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_windows_of_any_size(spark):
+    texts = [" ".join(f"word{i}" for i in range(n)) for n in (3, 4, 5, 12, 13, 40)]
+    for size, overlap in ((4, 0), (7, 3), (10, 9), (5, 4), (12, 0)):
+        rows = H.section_chunks(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), ["i"], size=size, overlap=overlap).collect()
+        words = {i: t.split(" ") for i, t in enumerate(texts)}
+        cut = [(i, at, min(at + size, len(w)), " ".join(w[at : at + size])) for i, w in words.items() for at in range(0, len(w), size - overlap)]
+        kept = [x for x in cut if len(x[3].split(" ")) >= 4 and sum(c.isalpha() for c in x[3]) >= 16]
+        assert sorted((r["i"], r["word_start"], r["word_end"], r["text"]) for r in rows) == sorted(kept)
+        assert all(r["text_density"] == round(sum(c.isalpha() for c in r["text"]) / len(r["text"].replace(" ", "")), 4) for r in rows)
+
+
+def test_nothing_is_kept_per_letter(spark):
+    plan = H.section_chunks(spark.createDataFrame([(1, "x")], "i int, text string"), ["i"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "[A-Za-z], 0" not in plan
+
+
+def test_white_space_within_a_line_is_read_once(spark):
+    page = spark.createDataFrame([(1, "x" + " " * 100_000 + "y and some more words to stand as a window")], "i int, text string")
+    began = time.perf_counter()
+    assert [(r["word_start"], r["word_end"]) for r in H.section_chunks(page, ["i"]).collect()] == [(0, 11)]
+    assert time.perf_counter() - began < 30
