@@ -342,7 +342,9 @@ def classes(docs: DataFrame, config: Copies = Copies(), text: str = "text", key:
     found = _meetings(apart.join(sides, "key").join(marks, "node"), config)
     more = cut(found.join(tried, ["u", "v"], "left_anti"))
     if not more.isEmpty():
-        groups = cut(components(links.union(_verified(more, held, words))))
+        # The groups as stars: what the first links joined isn't joined again.
+        stars = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        groups = cut(components(stars.union(_verified(more, held, words))))
         release(spark)
 
     joined = groups.withColumnRenamed("node", "member")

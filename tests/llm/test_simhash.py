@@ -85,3 +85,52 @@ def test_components_of_a_long_chain(spark):
     extra = spark.createDataFrame([(500, 501), (501, 501), (501, 500)], "u long, v long")
     found = dict((r["node"], r["component"]) for r in components(chain.union(extra)).collect())
     assert all(found[i] == 0 for i in range(200)) and found[500] == found[501] == 500 and len(found) == 202
+
+
+def _work(spark, edges, partitions):
+    """The components of an edge table, and the tasks that found them, with shuffles of so many partitions."""
+    held = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, context = {k: spark.conf.get(k) for k in held}, spark.sparkContext
+    group = f"components-{random.random()}"
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup(group, group)
+        found = dict((r["node"], r["component"]) for r in components(edges).collect())
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return found, sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    # Each task leaves files: with 211 partitions a graph of some thousand edges filled the disk.
+    star = spark.range(1, 300).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    found, tasks = _work(spark, star, 40)
+    assert found == dict.fromkeys(range(300), 0) and 0 < tasks < 6 * 40
+    ring = spark.range(1, 300).select(F.col("id").alias("u"), (F.col("id") % 299 + 1).alias("v"))
+    found, tasks = _work(spark, star.union(ring), 40)
+    assert found == dict.fromkeys(range(300), 0) and 0 < tasks < 16 * 40
+
+
+def test_components_of_random_graphs_and_hubs(spark):
+    rng = random.Random(6)
+    for n, m in ((60, 30), (200, 180), (400, 600)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        pairs += [(n + 50, i) for i in range(0, n, 9)] + [(None, 3), (4, None)]
+        parent = {}
+
+        def root(i):
+            while parent.setdefault(i, i) != i:
+                i = parent[i]
+            return i
+
+        for u, v in pairs:
+            if u is not None and v is not None and u != v:
+                x, y = sorted((root(u), root(v)))
+                parent[y] = x
+        rows = components(spark.createDataFrame(pairs, "u long, v long")).collect()
+        assert len(rows) == len(parent) and {r["node"]: r["component"] for r in rows} == {i: root(i) for i in parent}
