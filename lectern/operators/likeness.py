@@ -7,9 +7,11 @@ the ratio of matching blocks of their letters (twice the matched ones to all) is
 * words: with a share of t, two sets of n words share one of the n - ceil(t n) + 1
   rarest words of either, so those are the keys of an equi-join. For a small share
   these are nearly all words, and nearly all pairs would meet, once a word: there
-  blocks of sets meet, each two of them once, and a set travels as the places that
-  its words are hashed to. The places that two sets share bound what they share, so
-  only pairs that can reach the share become rows, and their words decide;
+  blocks of sets meet, each two of them once. A block is one row that is written once;
+  tasks read two files of blocks each, so no set is shuffled for the blocks that it
+  meets. Within two blocks the places that their words are dealt to bound what two sets
+  share, and the words of those that can reach the share decide, so only alike sets
+  become rows;
 * letters: of m matched letters in b blocks, m - b pairs of neighbours are shared,
   and each block but one costs an unmatched letter, so b <= all - 2 m + 1. At a
   ratio r of m this leaves at least (3 r / 2 - 1) all - 1 shared pairs of
@@ -35,11 +37,14 @@ from pyspark.sql import functions as F
 
 from lectern.functions import words as W
 from lectern.operators.study import SAME_TEXT, SAME_WORDS, SIMILAR_STOPWORDS
-from lectern.storage import stored
+from lectern.storage import release, stored
 
 
 #: Share of words below which blocks of sets meet; sets in a block; places for each word of an average set, and how many there are at least and most.
-FEW, BLOCK, SPARE, PLACES = 0.5, 2048, 16, (256, 8192)
+FEW, BLOCK, SPARE, PLACES = 0.5, 2048, 8, (256, 8192)
+
+#: Words for each set of a block, beyond which a group has more blocks; blocks in a file; words looked up at a time.
+WORDS, BLOCKS_IN_FILE, AT_ONCE = 256, 8, 1 << 20
 
 
 def question_words(text: Column) -> Column:
@@ -62,78 +67,132 @@ def _met(keys: DataFrame) -> DataFrame:
     return a.join(b, ["group", "key"]).where("first < second").select("group", "first", "second").distinct()
 
 
-def _bits(places: pa.Array, rows: int, width: int) -> np.ndarray:
-    """A row of ``width`` bits for each set, packed."""
-    bits = np.zeros((rows, width), bool)
-    sizes = places.value_lengths().to_numpy()
-    bits[np.repeat(np.arange(rows), sizes), places.flatten().to_numpy()] = True
-    return np.packbits(bits, axis=1)
-
-
-def _met_in_blocks(sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(group, first, second) of sets (group, id, keys) that share as many places as sets with a share of ``least`` do."""
+def _blocks(sets: DataFrame, block: int) -> DataFrame:
+    """(group, block, blocks, sets): every set (group, id, keys) once, those of a block as one row in Arrow's stream format."""
     spark = sets.sparkSession
     named = sets.where("group IS NOT NULL AND id IS NOT NULL")
-    mean = named.agg(F.coalesce(F.avg(F.size("keys")), F.lit(1.0)).alias("n")).first()["n"]
-    width = min(max(1 << int(np.ceil(np.log2(SPARE * mean))), PLACES[0]), PLACES[1])
-    types = {n: sets.schema[n].dataType.simpleString() for n in ("group", "id")}
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = _bits(batch.column(3), batch.num_rows, width)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in bits], pa.binary())], names=["group", "id", "n", "bits"])
-
-    places = F.transform("keys", lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
-    marks = named.select("group", "id", F.size("keys").alias("n"), places).mapInArrow(marked, f"group {types['group']}, id {types['id']}, n int, bits binary")
-    counts = named.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum(F.size("keys")) / F.lit(block * WORDS))).cast("int")
+    # Each of these has more sets or more words than a block, so they are few.
+    large = stored(named.groupBy("group").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
+    # What was shuffled for the sets is not needed beside what is shuffled for the blocks.
+    release(spark)
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks").cast("long")).cast("int")
-    dealt = marks.join(counts, "group").withColumn("own", own)
-    pair = lambda b: F.struct(F.least("own", b).alias("low"), F.greatest("own", b).alias("high"))
-    spread = dealt.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
-    rows = spread.select(F.xxhash64("group", "pair").alias("place"), "group", "pair.low", "pair.high", (F.col("own") == F.col("pair.high")).alias("later"), "id", "n", "bits")
-    # A few bytes are many comparisons, so the number of parts is that of the session's shuffles whatever the bytes.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stream = rows.repartition(parts, "place").sortWithinPartitions("place", "group", "low", "high", "later")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    dealt = named.join(F.broadcast(large), "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", own)
+    files = (large.agg(F.sum("blocks").alias("n")).first()["n"] or 0) // BLOCKS_IN_FILE
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), files)
+    stream = dealt.select("group", "block", "blocks", "id", "keys").repartition(parts, "group", "block").sortWithinPartitions("group", "block")
+
+    def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, keys = (pa.concat_arrays([b.column(i) for b in held]) for i in (3, 4))
+        coded = pa.ListArray.from_arrays(np.append(0, np.cumsum(keys.value_lengths().to_numpy())).astype(np.int32), keys.flatten().dictionary_encode())
+        table = pa.table({"id": ids, "keys": coded})
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        first = held[0].slice(0, 1)
+        return pa.RecordBatch.from_arrays([*first.columns[:3], pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["group", "block", "blocks", "sets"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for low, high in zip(cuts, cuts[1:]):
                 if low < high:
                     if keys[low] != here and held:
-                        yield from _possible(pa.Table.from_batches(held), width, least)
+                        yield row(held)
                         held = []
                     here = keys[low]
                     held.append(batch.slice(low, high - low))
         if held:
-            yield from _possible(pa.Table.from_batches(held), width, least)
-
-    met = stream.mapInArrow(compared, f"group {types['group']}, a {types['id']}, b {types['id']}")
-    return met.select("group", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second")).where("first < second").distinct()
-
-
-def _possible(rows: pa.Table, width: int, least: float, at_once: int = 256) -> Iterator[pa.RecordBatch]:
-    """(group, a, b) of the pairs across two blocks, or within one, that may have the share; rows of the later block come last."""
-    n = rows["n"].to_numpy().astype(np.float32)
-    packed = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-    bits = np.unpackbits(packed, axis=1).astype(np.float32)
-    # Words beyond the places of a set may be shared without a place of their own.
-    hidden = n - bits.sum(axis=1)
-    inner = rows["low"][0] == rows["high"][0]
-    first = 0 if inner else int(np.searchsorted(rows["later"].to_numpy(), True))
-    ids, group = rows["id"].combine_chunks(), rows["group"].combine_chunks()
-    for at in range(0, rows.num_rows if inner else first, at_once):
-        to = min(at + at_once, rows.num_rows if inner else first)
-        start = at if inner else first
-        shared = bits[at:to] @ bits[start:].T + np.minimum(hidden[at:to, None], hidden[None, start:])
-        good = shared * (1 + least) >= least * (n[at:to, None] + n[None, start:]) - 1e-3
+            yield row(held)
+
+    return stored(stream.mapInArrow(packed, f"group {sets.schema['group'].dataType.simpleString()}, block int, blocks int, sets binary"), "blocks")
+
+
+def _shares_in_blocks(sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(group, first, second, jaccard) of the sets (group, id, keys) that share ``least`` of their keys."""
+    blocks = _blocks(sets, block)
+    types = {n: sets.schema[n].dataType.simpleString() for n in ("group", "id")}
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pair = [pa.ipc.open_stream(c[i].as_buffer()).read_all().combine_chunks() for c in batch.columns[1:]]
+                for a, b, jaccard in _shares(pair[0], pair[-1], least, len(pair) == 1):
+                    group = batch.column(0).take(pa.array(np.full(len(a), i)))
+                    yield pa.RecordBatch.from_arrays([group, a, b, pa.array(jaccard)], names=["group", "a", "b", "jaccard"])
+
+    split = blocks.where("blocks > 1")
+    later = split.select(F.col("group").alias("later_group"), F.col("block").alias("later"), F.col("sets").alias("other"))
+    # Pairs of files are tasks that read them where they lie; an equi-join would bring a group's blocks into one task, or copy them.
+    two = split.hint("shuffle_replicate_nl").join(later, (F.col("group") == F.col("later_group")) & (F.col("block") < F.col("later")))
+    shape = f"group {types['group']}, a {types['id']}, b {types['id']}, jaccard double"
+    found = blocks.select("group", "sets").mapInArrow(compared, shape).union(two.select("group", "sets", "other").mapInArrow(compared, shape))
+    return found.where("a != b").select("group", F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"), "jaccard")
+
+
+def _met_in_blocks(sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(group, first, second) of the sets (group, id, keys) that share ``least`` of their keys."""
+    return _shares_in_blocks(sets, least, block).select("group", "first", "second")
+
+
+def _shares(one: pa.Table, other: pa.Table, least: float, inner: bool, at_once: int = 256) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Ids and shares of the pairs across two blocks (id, keys), or within one, that have the share."""
+    keys = [t["keys"].combine_chunks() for t in (one, other)]
+    n, m = (k.value_lengths().to_numpy().astype(np.int64) for k in keys)
+    words = [k.flatten() for k in keys]
+    # Numbers of the words that hold for both.
+    named = pa.concat_arrays([w.dictionary for w in words]).dictionary_encode()
+    codes = [c[w.indices.to_numpy()] for c, w in zip(np.split(named.indices.to_numpy(), [len(words[0].dictionary)]), words)]
+    meetings = np.prod([np.bincount(c, minlength=len(named.dictionary)) for c in codes], axis=0)
+    # Words that only one set has are shared by none; the others are ranked, those that meet most often first.
+    shared = int(np.count_nonzero(meetings > inner))
+    rank = np.empty(len(meetings), np.int64)
+    rank[np.argsort(-meetings, kind="stable")] = np.arange(len(meetings))
+    mean = max((n.sum() + m.sum()) / (len(n) + len(m)), 1)
+    width = min(max(1 << int(np.ceil(np.log2(SPARE * mean))), PLACES[0]), PLACES[1])
+    # The first words have a place each, the others share the rest.
+    alone = width // 4
+    (rows, ranks, places), (later_rows, later_ranks, later_places) = (
+        (r[k < shared], k[k < shared], np.where(k < alone, k, alone + k % (width - alone))[k < shared])
+        for r, k in ((np.repeat(np.arange(len(sizes)), sizes), rank[c]) for c, sizes in zip(codes, (n, m)))
+    )
+    # One set's words at each place, where the other has any: as many as they share, or more. From that goes what they must share.
+    must = least / (1 + least)
+    bounds = np.zeros((len(n), width + 2), np.float32)
+    bounds[:, :width] = np.bincount(rows * width + places, minlength=len(n) * width).reshape(-1, width)
+    bounds[:, width], bounds[:, width + 1] = -must * n, 1
+    later_bounds = np.zeros((len(m), width + 2), np.float32)
+    later_bounds[later_rows, later_places] = 1
+    later_bounds[:, width], later_bounds[:, width + 1] = 1, -must * m
+    slack = 1e-3 + 1e-5 * float(n.max() + m.max())
+    begins = np.searchsorted(rows, np.arange(len(n) + 1))
+    there = np.append(np.sort(later_rows * shared + later_ranks), -1)
+    ids = [t["id"].combine_chunks() for t in (one, other)]
+    for at in range(0, len(n), at_once):
+        start = at if inner else 0
+        a, b = np.divmod(np.flatnonzero((bounds[at : at + at_once] @ later_bounds[start:].T).ravel() >= -slack), len(m) - start)
+        a, b = a + at, b + start
         if inner:
-            good &= np.arange(at, to)[:, None] < np.arange(start, rows.num_rows)[None, :]
-        one, other = np.nonzero(good)
-        if len(one):
-            yield pa.RecordBatch.from_arrays([group.take(pa.array(one + at)), ids.take(pa.array(one + at)), ids.take(pa.array(other + start))], names=["group", "a", "b"])
+            a, b = a[a < b], b[a < b]
+        # The words of these pairs are looked up, as many pairs at a time as have so many words.
+        size = begins[a + 1] - begins[a]
+        total = np.cumsum(size)
+        for part in np.split(np.arange(len(a)), np.searchsorted(total, np.arange(AT_ONCE, total[-1] if len(a) else 0, AT_ONCE))):
+            if len(part):
+                x, y, many = a[part], b[part], size[part]
+                pair = np.repeat(np.arange(len(part)), many)
+                word = np.arange(len(pair)) + np.repeat(begins[x] - (np.cumsum(many) - many), many)
+                has = later_bounds[y[pair], places[word]] > 0
+                unsure = np.flatnonzero(has & (ranks[word] >= alone))
+                asked = y[pair[unsure]] * shared + ranks[word[unsure]]
+                has[unsure] = there[np.searchsorted(there[:-1], asked)] == asked
+                both = np.bincount(pair, weights=has, minlength=len(part))
+                jaccard = both / (n[x] + m[y] - both)
+                found = jaccard >= least
+                if found.any():
+                    yield ids[0].take(pa.array(x[found])), ids[1].take(pa.array(y[found])), jaccard[found]
 
 
 def _with_both(pairs: DataFrame, items: DataFrame, column: str) -> DataFrame:
@@ -145,11 +204,8 @@ def word_pairs(items: DataFrame, least: float = SAME_WORDS) -> DataFrame:
     """(group, first, second, jaccard) for rows (group, id, text) whose words are nearly the same."""
     sets = items.select("group", "id", question_words(F.col("text")).alias("keys")).where(F.size("keys") > 0)
     if least < FEW:
-        sets = stored(sets, "words")
-        met = _met_in_blocks(sets, least)
-    else:
-        met = _met(_rarest(sets, F.ceil(F.col("n") * F.lit(least) - 1e-9)))
-    both = _with_both(met, sets, "keys")
+        return _shares_in_blocks(stored(sets, "words"), least)
+    both = _with_both(_met(_rarest(sets, F.ceil(F.col("n") * F.lit(least) - 1e-9))), sets, "keys")
     jaccard = F.size(F.array_intersect("first_keys", "second_keys")) / F.size(F.array_union("first_keys", "second_keys"))
     return both.select("group", "first", "second", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
 
